@@ -36,20 +36,25 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, which release() deletes."""
+    path = f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def settle_table(df: DataFrame) -> DataFrame:
     """As settle(), in compressed columnar form; for wide or repetitive rows."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 _written: list[tuple[SparkSession, str]] = []
 
 
 def release() -> None:
-    """Delete what settle_table() wrote; call once the results that read it are stored."""
+    """Delete what was written to shared paths; call once the results that read it are stored."""
     while _written:
         spark, path = _written.pop()
         jvm = spark.sparkContext._jvm
