@@ -10,9 +10,11 @@ from millrace.llm.bpe import encode_digests
 from millrace.llm.decontaminate import contaminated
 from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.language_id import identify
+from millrace.llm.licenses import scan_licenses
 from millrace.llm.simhash import simhash_components
 from millrace.llm.token_counts import token_counts
-from millrace.session import table
+from millrace.llm.warc import read_warc, write_warc
+from millrace.session import shared_path, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +27,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -43,13 +49,21 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = shared_path(spark)
+    write_warc(table(spark, sf_dir, "pages"), archives)
+    return read_warc(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_license_scan": op3_license_scan,
     "op4_language_id": op4_language_id,
     "op6_bpe_codec": op6_bpe_codec,
     "op7_simhash": op7_simhash,
     "op9_decontaminate": op9_decontaminate,
+    "op10_warc": op10_warc,
 }
 
 ORACLES: dict[str, str] = {
