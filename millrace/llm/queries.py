@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.bpe import encode_digests
 from millrace.llm.decontaminate import contaminated
 from millrace.llm.exact_dedup import exact_dedup
+from millrace.llm.fm_dedup import substring_dedup
 from millrace.llm.language_id import identify
 from millrace.llm.licenses import scan_licenses
 from millrace.llm.simhash import simhash_components
+from millrace.llm.suffix_dedup import suffix_dedup
 from millrace.llm.token_counts import token_counts
 from millrace.llm.warc import read_warc, write_warc
 from millrace.session import shared_path, table
@@ -35,6 +37,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,6 +51,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -52,7 +62,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = shared_path(spark)
     write_warc(table(spark, sf_dir, "pages"), archives)
-    return read_warc(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "verified")
+    return read_warc(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -60,8 +70,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_license_scan": op3_license_scan,
     "op4_language_id": op4_language_id,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_bpe_codec": op6_bpe_codec,
     "op7_simhash": op7_simhash,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_warc": op10_warc,
 }
@@ -79,4 +91,15 @@ ORACLES: dict[str, str] = {
             FROM d)
         SELECT doc_id, keep_id, group_size, n = 1 AS kept, text_sha256 FROM r
     """,
+    "op10_warc": r"""
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+            FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to,
+               true AS verified
+        FROM f
+    """,
 }
