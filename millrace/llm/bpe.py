@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -71,7 +72,7 @@ class TreeBpe:
         self.final = [self.vocab[symbols[b] + self.suffix] for b in range(256)]
         self.split = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words: dict[str, tuple[int, str, str]] = {}
+        self.words: dict[str, tuple[list[int], str, str]] = {}
         self.agreed: dict[tuple[int, int], bool] = {}
         self._library = None
         self._path = path
@@ -162,31 +163,31 @@ class TreeBpe:
         normal = self._library.normalizer.normalize_str(text)
         return [bytes(self._byte_of[c] for c in piece).decode("utf-8") for piece, _ in self._library.pre_tokenizer.pre_tokenize_str(normal)]
 
-    def _known(self, word: str) -> tuple[int, str, str]:
+    def _known(self, word: str) -> tuple[list[int], str, str]:
         found = self.words.get(word)
         if found is None:
             ids = self.encode_unsplit(word.encode("utf-8"))
-            found = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+            found = (ids, " ".join(map(str, ids)), self.decode(ids))
             if len(self.words) >= REMEMBERED:
                 self.words.clear()
             if len(word) <= LEAF:
                 self.words[word] = found
         return found
 
-    def encode_parts(self, text: str) -> list[tuple[int, str, str]]:
-        """(number of ids, ids in decimals, decoded tokens) of each pre-token and special token."""
+    def encode_parts(self, text: str) -> list[tuple[list[int], str, str]]:
+        """(ids, ids in decimals, decoded tokens) of each pre-token and special token."""
         if self.cut is None or "<|" not in text:
             return [self._known(w) for w in self.pre_tokens(text)]
         out = []
         for piece in self.cut.split(text):
             if piece in self.special:
-                out.append((1, str(self.special[piece]), piece))
+                out.append(([self.special[piece]], str(self.special[piece]), piece))
             elif piece:
                 out += [self._known(w) for w in self.pre_tokens(piece)]
         return out
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.encode_parts(text) for i in ids.split(" ")]
+        return list(itertools.chain.from_iterable(p[0] for p in self.encode_parts(text)))
 
     def decode(self, ids: list[int]) -> str:
         """Special tokens are kept."""
@@ -203,7 +204,7 @@ def _coder(path: str) -> TreeBpe:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids (array of int) and decoded text of each document."""
+    """doc_id, n_tokens, ids (array of int) and the decoded text of each document."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +227,7 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
             counts, ids, texts = [], [], []
             for text in batch.column("text").to_pylist():
                 parts = coder.encode_parts(text or "")
-                counts.append(sum(p[0] for p in parts))
+                counts.append(sum([len(p[0]) for p in parts]))
                 ids.append(sha(" ".join([p[1] for p in parts])))
                 texts.append(sha(" ".join([p[2] for p in parts])))
             yield pa.record_batch([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

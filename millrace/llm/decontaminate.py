@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.arrow import in_chunks, small_batches, utf8
+from millrace.llm.exact_dedup import content_key
 from millrace.llm.words import mix, span_hashes, word_spans
 from millrace.session import settle
 
@@ -169,3 +170,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         rows = lowered.mapInArrow(run, OUT)
         found = rows if found is None else found.unionByName(rows)
     return found if found is not None else spark.createDataFrame([], OUT)
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that hold no passage of the benchmark."""
+    hit = contaminated(docs.select(content_key().alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_millrace_key")).distinct()
+    return docs.withColumn("_millrace_key", content_key()).join(hit, "_millrace_key", "left_anti").select(*docs.columns)

@@ -178,8 +178,13 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield last
 
 
+def content_key() -> F.Column:
+    """A 64-bit key of a row's id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, sha, n_points and a row number uid for each document, settled in the shared folder."""
+    """doc_id, sha, n_points, a key and a row number uid for each document, settled in the shared folder."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return settle(
         docs.select(
@@ -187,6 +192,7 @@ def digests(docs: DataFrame) -> DataFrame:
             F.sha2(F.regexp_replace(text, WHITE, ""), 256).alias("sha"),
             F.char_length(text).cast("long").alias("n_points"),
             F.monotonically_increasing_id().alias("uid"),
+            content_key().alias("key"),
         )
     )
 
@@ -198,6 +204,24 @@ def groups_of(rows: DataFrame) -> DataFrame:
     return partial.repartition("sha").sortWithinPartitions("sha").mapInArrow(_merged, GROUP)
 
 
+def keep_best(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that stay: one of each group of equal texts.
+
+    Only the keys of rows that go are joined with the documents. A row that is repeated
+    as a whole shares its key with the one that stays; such keys, if any, are told apart by
+    keeping one of each.
+    """
+    rows = digests(docs)
+    told = settle(rows.join(groups_of(rows), "sha").where("members > 1").groupBy("key").agg(F.max((F.col("uid") == F.col("keep_uid")).cast("int")).alias("stays"), F.count("*").alias("rows")))
+    marked = docs.withColumn("_millrace_key", content_key())
+    gone = told.where("stays = 0").select(F.col("key").alias("_millrace_key"))
+    left = marked.join(gone, "_millrace_key", "left_anti")
+    repeated = told.where("stays = 1 AND rows > 1").select(F.col("key").alias("_millrace_key"))
+    if not repeated.isEmpty():
+        left = left.join(repeated, "_millrace_key", "left_anti").unionByName(left.join(repeated, "_millrace_key", "left_semi").dropDuplicates(["_millrace_key"]))
+    return left.select(*docs.columns)
+
+
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 for each row of docs.
 

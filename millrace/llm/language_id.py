@@ -34,7 +34,7 @@ BINS = 1 << 14
 SMOOTHING = 0.5
 MOST_TRAINING = 20_000
 #: Difference between the two least losses below which a text is ambiguous.
-AMBIGUOUS = 0.05
+AMBIGUOUS = 0.03
 SHARPNESS = 10.0
 CHUNK_BYTES = 1 << 19
 UNDETERMINED = "und"
@@ -181,3 +181,13 @@ def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score and ambiguous for each row, learned from the rows not held out."""
     model = train(docs.where(~held_out()).select("doc_id", "text", "lang"))
     return predict(docs.select("doc_id", "text"), model).select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, whose language is determined and not ambiguous; learned from the rows not held out."""
+    model = train(docs.where(~held_out()).select("doc_id", "text", "lang"))
+    marks = ("lang_pred", "score", "ambiguous")
+    own = [c for c in docs.columns if c in marks]
+    renamed = docs.withColumnsRenamed({c: f"own_{c}" for c in own})
+    kept = predict(renamed, model).where(f"lang_pred <> '{UNDETERMINED}' AND NOT ambiguous").drop(*marks)
+    return kept.withColumnsRenamed({f"own_{c}": c for c in own}).select(*docs.columns)

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.arrow import small_batches
+from millrace.llm.exact_dedup import content_key
 from millrace.operators.components import connected_components
 from millrace.session import settle
 
@@ -65,13 +66,13 @@ def fingerprint(text: bytes, width: int = WIDTH, seed: int = SEED) -> int:
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([fingerprint(t or b"") for t in batch.column("body").to_pylist()], np.uint64).view(np.int64)
-        yield pa.record_batch([batch.column("doc_id"), pa.array(prints, pa.int64())], names=["doc_id", "fp"])
+        yield pa.record_batch([batch.column("doc_id"), batch.column("key"), pa.array(prints, pa.int64())], names=["doc_id", "key", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and the signed 64-bit fingerprint fp of each document."""
+    """doc_id, a key of the row and its signed 64-bit fingerprint fp."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("body")).mapInArrow(_prints, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), content_key().alias("key"), F.col("text").cast("binary").alias("body")).mapInArrow(_prints, "doc_id long, key long, fp long")
 
 
 def _rotated(i: int) -> F.Column:
@@ -187,12 +188,29 @@ def similar_fingerprints(prints: DataFrame) -> DataFrame:
     return plain.unionByName(_bucketed(deep.select((F.shiftleft(turn, LONG_KEY) + hashed).alias("key"), "rot"), LONG_KEY))
 
 
-def simhash_components(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits) and component_id for each row of docs."""
+def _components(docs: DataFrame) -> DataFrame:
+    """doc_id, key, fp and component_id for each row."""
     prints = settle(fingerprints(docs))
     classes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
     roots = connected_components(similar_fingerprints(classes))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
-    lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("copies").alias("members"))
+    named = rooted.join(lowest, "root").select("fp", "root", "component_id", "members")
+    return prints.join(named, "fp")
+
+
+def simhash_components(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits) and component_id for each row of docs."""
+    return _components(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that stay: of each component the row with the smallest doc_id (null last).
+
+    Only the keys of rows that go are joined with the documents; rows that are repeated as a
+    whole are one document here and stay or go together.
+    """
+    linked = settle(_components(docs).where("members > 1").select("root", "key", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("rank")))
+    stays = linked.groupBy("root").agg(F.min(F.struct("rank", "key")).alias("s")).select(F.col("s.key").alias("key"))
+    gone = linked.select("key").distinct().join(stays, "key", "left_anti").withColumnRenamed("key", "_millrace_key")
+    return docs.withColumn("_millrace_key", content_key()).join(gone, "_millrace_key", "left_anti").select(*docs.columns)
