@@ -30,47 +30,53 @@ from pyspark.sql import functions as F
 from millrace.llm.arrow import small_batches
 
 MARK = "▁"
-MOST_NODES = 300_000
+MOST_NODES = 600_000
 LONGEST = 64
 UNIT = 1_000_000
+PIECE_BITS = 32
+PIECE_MASK = (1 << PIECE_BITS) - 1
 #: Added to the cost of a byte token, beyond the rarest piece.
 BYTE_PENALTY = 10 * UNIT
 
 
 class Pieces:
-    """Whole-number costs of the pieces of a vocabulary file."""
+    """Whole-number costs of the pieces of a vocabulary file.
+
+    A forward score is one number: the cost in the high bits and the number of pieces in
+    the low ones, so that sums add both and the smaller of two is the better.
+    """
 
     def __init__(self, path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         normal = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-        self.cost = {model.id_to_piece(i): round(math.log(rank + 2) * UNIT) for rank, i in enumerate(normal)}
-        self.longest = max(map(len, self.cost))
-        self.byte_cost = round(math.log(len(normal) + 2) * UNIT) + BYTE_PENALTY
-
-    def forward(self, text: str, end: int, best: list[tuple[int, int]]) -> tuple[int, int]:
-        """(cost, pieces) of text[:end], from those of all shorter prefixes."""
+        self.cost = {model.id_to_piece(i): (round(math.log(rank + 2) * UNIT) << PIECE_BITS) + 1 for rank, i in enumerate(normal)}
+        self.byte_cost = ((round(math.log(len(normal) + 2) * UNIT) + BYTE_PENALTY) << PIECE_BITS) + 1
+        lengths: dict[str, set[int]] = {}
+        for piece in self.cost:
+            lengths.setdefault(piece[-2:], set()).add(len(piece))
+        #: Lengths of the pieces that end in these two characters.
+        self.lengths = {tail: sorted(n) for tail, n in lengths.items()}
+
+    def forward(self, text: str, end: int, best: list[int]) -> int:
+        """The score of text[:end], from those of all shorter prefixes."""
         cost = self.cost
-        found = None
-        for start in range(max(0, end - self.longest), end):
-            c = cost.get(text[start:end])
-            if c is not None:
-                before = best[start]
-                here = (before[0] + c, before[1] + 1)
-                if found is None or here < found:
-                    found = here
-        if text[end - 1] not in cost:
-            n = len(text[end - 1].encode("utf-8"))
-            before = best[end - 1]
-            here = (before[0] + n * self.byte_cost, before[1] + n)
-            if found is None or here < found:
-                found = here
+        single = cost.get(text[end - 1])
+        if single is None:
+            single = len(text[end - 1].encode("utf-8")) * self.byte_cost
+        found = best[end - 1] + single
+        for n in self.lengths.get(text[end - 2 : end], ()) if end > 1 else ():
+            if n > end:
+                break
+            c = cost.get(text[end - n : end])
+            if c is not None and best[end - n] + c < found:
+                found = best[end - n] + c
         return found
 
 
 class Trie(dict):
-    """Terminal results by word; a missing word is inserted along its path."""
+    """Terminal scores by word; a missing word is inserted along its path."""
 
     def __init__(self, pieces: Pieces):
         super().__init__()
@@ -79,29 +85,28 @@ class Trie(dict):
 
     def _clear(self) -> None:
         self.clear()
-        self.children: list[dict[str, int]] = [{}]
-        self.forward: list[tuple[int, int]] = [(0, 0)]
+        self.edges: dict[tuple[int, str], int] = {}
+        self.forward = [0]
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
+    def __missing__(self, word: bytes) -> int:
         text = MARK + word.decode("utf-8")
         if len(text) > LONGEST:
             return self._along(text)
-        if len(self.children) > MOST_NODES:
+        if len(self.forward) > MOST_NODES:
             self._clear()
-        node, path = 0, [self.forward[0]]
+        edges, forward, node, path = self.edges, self.forward, 0, [0]
         for end, char in enumerate(text, 1):
-            below = self.children[node].get(char)
+            below = edges.get((node, char))
             if below is None:
-                below = self.children[node][char] = len(self.children)
-                self.children.append({})
-                self.forward.append(self.pieces.forward(text, end, path))
+                below = edges[node, char] = len(forward)
+                forward.append(self.pieces.forward(text, end, path))
             node = below
-            path.append(self.forward[node])
+            path.append(forward[node])
         self[word] = path[-1]
         return path[-1]
 
-    def _along(self, text: str) -> tuple[int, int]:
-        path = [(0, 0)]
+    def _along(self, text: str) -> int:
+        path = [0]
         for end in range(1, len(text) + 1):
             path.append(self.pieces.forward(text, end, path))
         return path[-1]
@@ -122,10 +127,10 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
             words_n, tokens_n, scores = [], [], []
             for text in batch.column("body").to_pylist():
                 words = (text or b"").split()
-                ends = [trie[w] for w in words]
+                total = sum([trie[w] for w in words])
                 words_n.append(len(words))
-                tokens_n.append(sum([e[1] for e in ends]))
-                scores.append(-sum([e[0] for e in ends]) / UNIT)
+                tokens_n.append(total & PIECE_MASK)
+                scores.append(-(total >> PIECE_BITS) / UNIT)
             yield pa.record_batch([batch.column("doc_id"), pa.array(words_n, pa.int64()), pa.array(tokens_n, pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "n_pretokens", "n_tokens", "log_score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("body")).mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long, log_score double")

@@ -7,7 +7,7 @@ PATH = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def brute(pieces, word):
-    """All segmentations of a word, by memoised recursion from the right end."""
+    """The best of all segmentations of a word, by memoised recursion from the right end."""
     text, memo = MARK + word, {}
 
     def best(start):
@@ -18,11 +18,11 @@ def brute(pieces, word):
             for end in range(start + 1, len(text) + 1):
                 if text[start:end] in pieces.cost:
                     c, n = best(end)
-                    found.append((c + pieces.cost[text[start:end]], n + 1))
+                    found.append((c + (pieces.cost[text[start:end]] >> t.PIECE_BITS), n + 1))
             if text[start] not in pieces.cost:
                 b = len(text[start].encode())
                 c, n = best(start + 1)
-                found.append((c + b * pieces.byte_cost, n + b))
+                found.append((c + b * (pieces.byte_cost >> t.PIECE_BITS), n + b))
             memo[start] = min(found)
         return memo[start]
 
