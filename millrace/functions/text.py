@@ -217,7 +217,7 @@ def file_size(c: Column) -> Column:
     """A number of bytes in the largest unit of which there is at least one."""
     unit = F.lit(None).cast("string")
     for k, name in enumerate(("B", "KB", "MB", "GB", "TB")):
-        unit = F.when(c >= 1024**k, F.concat(F.format_string("%.1f", c / float(1024**k)), F.lit(" " + name))).otherwise(unit)
+        unit = F.when(c >= 1024**k, F.concat(F.format_string("%.1f", F.bround(c / float(1024**k), 1)), F.lit(" " + name))).otherwise(unit)
     return F.coalesce(unit, F.lit("0.0 B"))
 
 
