@@ -27,7 +27,7 @@ from millrace.llm.arrow import small_batches
 from millrace.llm.windows import Units, cover, keyed, merged_spans, shared_windows
 
 WINDOW = 200
-GRAM = 16
+GRAM = 64
 _BYTE = np.random.default_rng(1).integers(0, 1 << 64, 256, dtype=np.uint64)
 
 
