@@ -158,17 +158,21 @@ class FmIndex:
         return np.split(out, ends[:-1])
 
 
-def least_owners(pieces: list[bytes], ids: np.ndarray, times: np.ndarray, window: int) -> list[list[tuple[int, int, int]]]:
-    """For each piece the spans of its windows with one least id among the pieces that hold the window."""
+def least_owners(raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray, times: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Piece, from, to and least id, among the pieces that hold the window, of the spans of windows that have one such id."""
     known: dict[bytes, int] = {}
-    numbered = [np.array([known.setdefault(w, len(known) + 1) for w in p.split()], np.int64) for p in pieces]
-    index = FmIndex(numbered, ids, len(known), window)
-    out = []
-    for who in index.statistics(numbered, window):
-        who = who[: len(who) - window + 1]
-        edges = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1], [True])))
-        out.append([(int(a), int(b), int(who[a])) for a, b in zip(edges[:-1], edges[1:], strict=True) if who[a] >= 0])
-    return out
+    data = raw.tobytes()
+    numbered = [np.array([known.setdefault(w, len(known) + 1) for w in data[a:b].split()], np.int64) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    who = np.concatenate(FmIndex(numbered, ids, len(known), window).statistics(numbered, window))
+    ends = np.cumsum(np.fromiter(map(len, numbered), np.int64, len(numbered)))
+    # no span goes over the end of its piece, where windows don't fit
+    edges = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1], [True])))
+    a, b = edges[:-1], edges[1:]
+    told = who[a] >= 0
+    a, b = a[told], b[told]
+    piece = np.searchsorted(ends, a, "right")
+    begin = np.concatenate(([0], ends))[piece]
+    return piece, a - begin, b - begin, who[a]
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

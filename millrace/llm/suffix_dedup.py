@@ -56,17 +56,29 @@ def smaller_than_next(text: np.ndarray) -> np.ndarray:
     return rises[deciding]
 
 
+def _dense(key: np.ndarray) -> np.ndarray:
+    order = np.argsort(key)
+    ordered = key[order]
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
+    return rank
+
+
 def block_ranks(text: np.ndarray, most: int) -> tuple[np.ndarray, int]:
-    """Ranks of the blocks that begin at each position, and their length: a power of two, at most `most`."""
+    """Ranks of the blocks that begin at each position, and their length, which is at most `most`.
+
+    Seven symbols of nine bits make a first key; equal blocks are then doubled.
+    """
     n = len(text)
-    span, rank = 1, text.astype(np.int64)
+    span = min(7, most)
+    key = np.zeros(n, np.int64)
+    for k in range(span):
+        key <<= 9
+        key[: n - k] |= text[k:] + 1
+    rank = _dense(key)
     while span * 2 <= most:
         after = np.concatenate((rank[span:] + 1, np.zeros(min(span, n), np.int64)))[:n]
-        key = rank * (int(rank.max()) + 2) + after
-        order = np.argsort(key)
-        step = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1])))
-        rank = np.empty(n, np.int64)
-        rank[order] = step
+        rank = _dense(rank * (int(rank.max()) + 2) + after)
         span *= 2
     return rank, span
 
@@ -114,18 +126,17 @@ def two_stage_sort(text: np.ndarray, depth: int, rank: np.ndarray, span: int) ->
     return order
 
 
-def repeated_spans(pieces: list[bytes], ids: np.ndarray, times: np.ndarray, window: int) -> list[list[tuple[int, int, int]]]:
-    """For each piece the spans of starts whose window occurs again, counting each piece `times` times."""
-    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+def repeated_spans(raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray, times: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Piece, from, to and 0 of the spans of starts whose window occurs again, counting each piece `times` times."""
+    lengths = np.diff(offsets)
     ends = np.cumsum(lengths + 1)
+    begins = ends - lengths - 1
     text = np.zeros(int(ends[-1]), np.int64)
     inner = np.ones(len(text), bool)
     inner[ends - 1] = False
-    text[inner] = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64) + 1
+    text[inner] = raw.astype(np.int64) + 1
     rank, span = block_ranks(text, min(64, window))
     order = two_stage_sort(text, window, rank, span)
-    begins = ends - lengths - 1
-    starts = np.zeros(len(text), bool)
     change = np.zeros(len(text) + 1, np.int64)
     np.add.at(change, begins, 1)
     np.add.at(change, np.maximum(begins, ends - window), -1)
@@ -144,12 +155,11 @@ def repeated_spans(pieces: list[bytes], ids: np.ndarray, times: np.ndarray, wind
         weight = np.repeat(times, lengths + 1)[order]
         total = np.add.reduceat(weight, opens)
         flags[order] = np.repeat(total > 1, np.diff(np.append(opens, len(order))))
-    out = []
-    for lo, n in zip(begins.tolist(), lengths.tolist(), strict=True):
-        own = flags[lo : lo + max(0, n - window + 1)]
-        edges = np.flatnonzero(np.diff(np.concatenate(([False], own, [False])).astype(np.int8)))
-        out.append([(int(a), int(b), 0) for a, b in zip(edges[::2], edges[1::2], strict=True)])
-    return out
+    # no run goes over the end of its piece, where windows don't fit
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], flags, [False])).astype(np.int8)))
+    a, b = edges[::2], edges[1::2]
+    piece = np.searchsorted(ends, a, "right")
+    return piece, a - begins[piece], b - begins[piece], np.zeros(len(a), np.int64)
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -203,27 +203,31 @@ def _cut(units: Units):
 def _decided(decide: Callable, units: Units):
     """Index whole anchors, a bounded number of units at a time; rows arrive sorted by anchor."""
 
+    def emit(rows: pa.RecordBatch) -> pa.RecordBatch:
+        raw, offsets = utf8(rows.column("piece"))
+        row, a, b, who = decide(raw, offsets, rows.column("id").to_numpy(), rows.column("times").to_numpy(), units.window)
+        ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=rows.num_rows))))
+        spans = pa.StructArray.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(who, pa.int64())], names=["a", "b", "who"])
+        return pa.record_batch([rows.column("anchor"), rows.column("mark"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans)], names=["anchor", "mark", "spans"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[pa.RecordBatch] = []
         size = 0
-
-        def emit(rows: list[tuple]) -> pa.RecordBatch:
-            spans = decide([r[4] for r in rows], np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64), units.window)
-            kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("who", pa.int64())]))
-            return pa.record_batch(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([[{"a": a, "b": b, "who": w} for a, b, w in s] for s in spans], kind)],
-                names=["anchor", "mark", "spans"],
-            )
-
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("anchor", "mark", "id", "times", "piece")), strict=True):
-                if size >= SHARD_BYTES and r[0] != held[-1][0]:
-                    yield emit(held)
-                    held, size = [], 0
-                held.append(r)
-                size += len(r[4])
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += int(np.diff(utf8(batch.column("piece"))[1]).sum())
+            last = batch.column("anchor")[-1].as_py()
+            if size < SHARD_BYTES or held[0].column("anchor")[0].as_py() == last:
+                continue
+            rows = pa.concat_batches(held)
+            cut = int(np.searchsorted(rows.column("anchor").to_numpy(), last))  # the last anchor may go on
+            yield emit(rows.slice(0, cut))
+            held = [rows.slice(cut)]
+            size = int(np.diff(utf8(held[0].column("piece"))[1]).sum())
         if held:
-            yield emit(held)
+            yield emit(pa.concat_batches(held))
 
     return run
 
@@ -235,13 +239,13 @@ def _shards(pieces: DataFrame, decide: Callable, units: Units) -> DataFrame:
 def shared_windows(rows: DataFrame, units: Units, decide: Callable, across: bool) -> tuple[DataFrame, DataFrame]:
     """Which windows of keyed() rows occur again.
 
-    across: only windows of two ids count, else any two occurrences. decide(pieces, ids,
-    times, window) gives for each piece the spans (from, to, least id) of windows that occur
-    again among the pieces. Returns the rows that hold candidates (key, id, body, settled)
+    across: only windows of two ids count, else any two occurrences. decide(bytes and
+    offsets of pieces, ids, times, window) gives, as arrays in order of the piece, the piece,
+    start, end and least id of spans of windows that occur again among them. Returns the rows that hold candidates (key, id, body, settled)
     and key, id, lo, hi, who for each span of windows lo <= start < hi that occurs again.
     """
     small_batches(rows.sparkSession)
-    found = anchors(rows, units)
+    found = settle_table(anchors(rows, units))
     if across:
         shared = found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     else:
