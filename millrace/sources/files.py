@@ -64,8 +64,8 @@ def detect_encoding(sample: list[bytes]) -> str:
         return "UTF-16"
     try:
         raw.decode("utf-8")
-    except UnicodeDecodeError as e:
-        return "UTF-8" if e.end >= len(raw) else "ISO-8859-1"
+    except UnicodeDecodeError:
+        return "ISO-8859-1"
     return "UTF-8"
 
 
@@ -124,7 +124,8 @@ def read_json(spark: SparkSession, path: str, structure: str | None = None, json
     of its first array of records; of an array of plain values come `value` and `_index`; an
     object without arrays is one record.
     """
-    structure = structure or json_structure([x.decode("utf-8", "replace") for x in head(spark, path, 2)])
+    if structure is None:
+        structure = "object" if json_path else json_structure([x.decode("utf-8", "replace") for x in head(spark, path, 2)])
     if structure == "invalid":
         raise ValueError(f"no JSON in {path}")
     if structure == "jsonl":
