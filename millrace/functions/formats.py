@@ -95,3 +95,32 @@ FORMATS: dict[str, Callable[..., Column]] = {
     "passport": _by_country(PASSPORT, PASSPORT["US"], raised=True),
     "license_plate": _by_country(LICENSE_PLATE, LICENSE_PLATE[""], raised=True),
 }
+
+
+def email_parts(c: Column) -> Column:
+    """The local part and the domain, in lower case, of a valid address; null else."""
+    ok = c.rlike(EMAIL)
+    return F.when(ok, F.struct(F.substring_index(c, "@", 1).alias("local"), F.lower(F.substring_index(c, "@", -1)).alias("domain")))
+
+
+def url_parts(c: Column) -> Column:
+    """Scheme, host, path, query and fragment of a URL; null where it can't be parsed."""
+    part = lambda name: F.try_parse_url(c, F.lit(name))
+    return F.struct(*(part(n.upper() if n != "fragment" else "REF").alias(n) for n in ("protocol", "host", "path", "query", "fragment")))
+
+
+def ip_properties(c: Column) -> Column:
+    """What kind of network an IPv4 address belongs to; null for what isn't one."""
+    octets = F.transform(F.split(c, r"\."), lambda p: F.trim(p).try_cast("int"))
+    a, b = F.get(octets, F.lit(0)), F.get(octets, F.lit(1))
+    private = (a == 10) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | (a == 127) | ((a == 169) & (b == 254))
+    found = F.struct(private.alias("is_private"), (a == 127).alias("is_loopback"), a.between(224, 239).alias("is_multicast"), ((a == 169) & (b == 254)).alias("is_link_local"), (a >= 240).alias("is_reserved"))
+    return F.when(is_ipv4(c), found)
+
+
+def is_json(c: Column) -> Column:
+    """Whether a text is one JSON value; the parser stops after a first value, so its end is looked at, too."""
+    t = F.trim(c)
+    closed = (t.startswith("{") & t.endswith("}")) | (t.startswith("[") & t.endswith("]"))
+    plain = t.rlike(r'^("([^"\\]|\\.)*"|-?\d+(\.\d+)?([eE][+-]?\d+)?|true|false|null)$')
+    return F.when(c.isNotNull(), F.try_parse_json(t).isNotNull() & (closed | plain))

@@ -129,6 +129,17 @@ def accepted_and_rejected(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where("_status <> 'FAILED'"), df.where("_status = 'FAILED'").withColumn("rejection_reason", reason)
 
 
+def violation_rows(df: DataFrame, rules: list[Rule], order: str, most: int = 100) -> DataFrame:
+    """The first `most` violations of a file's rows: row (the header is the first one), field, rule and value.
+
+    order: the column that numbers the records from 1. The limit is that of an error report.
+    """
+    marked = validate(df, rules, order)
+    values = F.create_map(*(x for r in dict.fromkeys(r.field for r in rules if r.field) for x in (F.lit(r), F.col(r).cast("string"))))
+    rows = marked.select((F.col(order) + 1).alias("row"), F.posexplode("_errors").alias("at", "e"), values.alias("_v"))
+    return rows.orderBy("row", "at").limit(most).select("row", "e.field", "e.rule", F.try_element_at("_v", F.col("e.field")).alias("value"))
+
+
 def header_check(actual: list[str], expected: list[str]) -> tuple[list[str], list[str]]:
     """Expected columns that are missing and columns that aren't expected, whatever their case."""
     have, want = {c.strip().lower() for c in actual}, {c.strip().lower() for c in expected}

@@ -60,6 +60,12 @@ def prof_schema(spark, sf_dir):
     return spark.createDataFrame(p.schema_fields(table(spark, sf_dir, "embeddings").schema), "path string, kind string, level int")
 
 
+@query("SELECT 'event_id' AS column_name, 'string' AS expected, 'bigint' AS actual UNION ALL SELECT 'none', 'int', ''")
+def prof_types(spark, sf_dir):
+    odd = p.type_mismatches(table(spark, sf_dir, "events"), {"event_id": "string", "value": "double", "none": "int"})
+    return spark.createDataFrame(odd, "column_name string, expected string, actual string")
+
+
 @query("SELECT event_id, sha256('event_id=' || event_id || '|event_type=' || event_type || '|user_id=' || user_id) AS record_hash FROM events")
 def ing_record_hash(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", i.record_hash(["user_id", "event_type", "event_id"]).alias("record_hash"))

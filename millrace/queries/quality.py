@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.functions.formats import FORMATS, PATTERNS, parsed_date, parsed_datetime
+from millrace.functions.formats import FORMATS, PATTERNS, email_parts, ip_properties, is_json, parsed_date, parsed_datetime, url_parts
 from millrace.operators import quality as q
 from millrace.operators import validate as v
 from millrace.queries.registry import query
@@ -76,6 +76,39 @@ def fmt_patterns(spark, sf_dir):
     return d.select("c_custkey", *(F.col(n).rlike(PATTERNS[n]).alias(n) for n in ("username", "slug", "hex_color", "password_strong")))
 
 
+@query("""SELECT page_id, nullif(regexp_extract(url, '^([a-z]+)://', 1), '') AS protocol, nullif(regexp_extract(url, '://([^/:?#]+)', 1), '') AS host, regexp_extract(url, '://[^/?#]+([^?#]*)', 1) AS path,
+  CASE WHEN regexp_matches(url, '^[^#]*\\?') THEN regexp_extract(url, '\\?([^#]*)', 1) END AS query, CASE WHEN contains(url, '#') THEN regexp_extract(url, '#(.*)$', 1) END AS fragment FROM pages""")
+def fmt_url_parts(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", url_parts(F.col("url")).alias("u")).select("page_id", "u.*")
+
+
+@query("""SELECT c_custkey, k < 5 AS is_private, k = 1 AS is_loopback, k = 6 AS is_multicast, k = 4 AS is_link_local, k = 7 AS is_reserved FROM (SELECT c_custkey, c_custkey % 9 AS k FROM customer) WHERE k <> 8
+  UNION ALL SELECT c_custkey, NULL, NULL, NULL, NULL, NULL FROM customer WHERE c_custkey % 9 = 8""")
+def fmt_ip_properties(spark, sf_dir):
+    ips = F.array(*(F.lit(x) for x in ("10.1.2.3", "127.0.0.1", "192.168.0.9", "172.31.0.1", "169.254.1.1", "8.8.8.8", "224.0.0.1", "250.0.0.1", "1.2.3.256")))
+    d = table(spark, sf_dir, "customer").select("c_custkey", ip_properties(F.get(ips, (F.col("c_custkey") % 9).cast("int"))).alias("p"))
+    return d.select("c_custkey", "p.*")
+
+
+@query("""SELECT event_id, event_id % 3 <> 1 AS valid_json, CASE WHEN event_id % 2 = 0 THEN 'u' || user_id END AS local, CASE WHEN event_id % 2 = 0 THEN 'mail.example.com' END AS domain FROM events""")
+def fmt_json_and_email(spark, sf_dir):
+    d = table(spark, sf_dir, "events").selectExpr("event_id", "CASE WHEN event_id % 3 = 1 THEN substr(props, 2) ELSE props END AS j", "CASE WHEN event_id % 2 = 0 THEN 'u' || user_id || '@Mail.Example.com' ELSE 'u' || user_id END AS mail")
+    return d.select("event_id", is_json(F.col("j")).alias("valid_json"), email_parts(F.col("mail")).alias("m")).select("event_id", "valid_json", "m.*")
+
+
+@query("SELECT 'c_balance' AS missing, 'c_acctbal, c_custkey' AS extra")
+def valid_header(spark, sf_dir):
+    missing, extra = v.header_check(table(spark, sf_dir, "customer").columns, ["C_NAME", "c_balance", "c_nationkey ", "c_mktsegment"])
+    return spark.createDataFrame([(", ".join(missing), ", ".join(extra))], "missing string, extra string")
+
+
+@query("""SELECT "row", field, rule, value FROM (SELECT o_orderkey + 2 AS row, 0 AS pos, 'o_orderstatus' AS field, 'in' AS rule, o_orderstatus AS value FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT o_orderkey + 2, 1, 'o_orderpriority', 'pattern', o_orderpriority FROM orders WHERE o_orderpriority > '3') ORDER BY "row", pos LIMIT 100""")
+def valid_violation_rows(spark, sf_dir):
+    rules = [v.Rule("o_orderstatus", "in", {"values": ["O", "F"]}), v.Rule("o_orderpriority", "pattern", {"pattern": "[12]-"})]
+    d = table(spark, sf_dir, "orders").withColumn("n", F.col("o_orderkey") + 1)
+    return v.violation_rows(d, rules, "n")
+
+
 RULES = [
     v.Rule("c_name", "required", severity="critical"),
     v.Rule("c_acctbal", "range", {"min": 0, "max": 9000}, severity="error", fix=True),
@@ -142,7 +175,7 @@ QUALITY = [
     q.QualityRule("own_rule", "custom", "", {"expression": "$c_custkey > 10"}),
 ]
 FAILED = """SELECT count(*) AS checked, count(*) FILTER (c_name IS NULL OR trim(c_name) = '') AS name_present, count(*) FILTER (NOT (c_acctbal BETWEEN 0 AND 9000)) AS balance_in_range, count(*) FILTER (NOT regexp_matches(c_name, '^Customer#0*[1-9]')) AS name_form,
-  count(*) FILTER (k > 1) AS segment_unique, count(*) FILTER (c_mktsegment = 'BUILDING' AND c_acctbal <= 0) AS building_is_solvent, count(*) FILTER (abs(c_acctbal - round_even(c_acctbal, 1)) > 0.04) AS rounded, count(*) FILTER (c_nationkey >= 20) AS known_nation, count(*) FILTER (c_custkey <= 10) AS own_rule
+  count(*) FILTER (k > 1) AS segment_unique, count(*) FILTER (c_mktsegment = 'BUILDING' AND c_acctbal <= 0) AS building_is_solvent, count(*) FILTER (abs(c_acctbal - round_even(c_acctbal, 1)) > 0.04) AS rounded, count(*) FILTER (c_nationkey NOT IN (SELECT s_nationkey FROM supplier)) AS known_nation, count(*) FILTER (c_custkey <= 10) AS own_rule
   FROM (SELECT *, count(*) OVER (PARTITION BY c_mktsegment) AS k FROM customer)"""
 LONG = f"""(SELECT checked, unnest([struct_pack(r := 'name_present', t := 'COMPLETENESS', s := 'error', h := 0.0, f := name_present), struct_pack(r := 'balance_in_range', t := 'RANGE', s := 'warning', h := 0.5, f := balance_in_range), struct_pack(r := 'name_form', t := 'VALIDITY', s := 'error', h := 0.0, f := name_form),
   struct_pack(r := 'segment_unique', t := 'UNIQUENESS', s := 'critical', h := 0.0, f := segment_unique), struct_pack(r := 'building_is_solvent', t := 'CONSISTENCY', s := 'error', h := 0.0, f := building_is_solvent), struct_pack(r := 'rounded', t := 'ACCURACY', s := 'error', h := 0.0, f := rounded),
@@ -151,8 +184,8 @@ CARD = f"(SELECT x.r AS rule_id, x.t AS rule_type, x.s AS severity, checked, che
 
 
 def _card(spark, sf_dir):
-    known = table(spark, sf_dir, "nation").where("n_nationkey < 20")
-    return q.scorecard(table(spark, sf_dir, "customer").withColumn("solvent", F.col("c_acctbal") > 0), QUALITY, {"known_nation": (known, "n_nationkey")})
+    known = table(spark, sf_dir, "supplier")
+    return q.scorecard(table(spark, sf_dir, "customer").withColumn("solvent", F.col("c_acctbal") > 0), QUALITY, {"known_nation": (known, "s_nationkey")})
 
 
 @query(f"SELECT * FROM {CARD}")

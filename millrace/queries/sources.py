@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
 from pyspark.sql import functions as F
 
 from millrace.operators import aggregate as a
@@ -12,6 +16,7 @@ from millrace.plans import pipeline as p
 from millrace.queries.registry import query
 from millrace.session import shared_path, table
 from millrace.sources import files, sinks
+from millrace.sources.excel import read_excel, sheet_metadata
 
 
 @query("SELECT c_custkey::VARCHAR AS c_custkey, c_name, nullif(trim(CASE WHEN c_custkey % 3 = 0 THEN '  ' ELSE ' ' || c_mktsegment || ' ' END), '') AS segment FROM customer")
@@ -71,6 +76,39 @@ def src_xml(spark, sf_dir):
     return files.read_xml(spark, path)
 
 
+_MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def _workbook(spark, sf_dir) -> str:
+    """The nations and, hidden, the regions - a few rows at any size - as a workbook."""
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        names = ("nation", "region")
+        sheets = "".join(f'<sheet name="{n}" sheetId="{k}" r:id="r{k}"{" state='hidden'" if k else ""}/>' for k, n in enumerate(names))
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{_MAIN}" xmlns:r="{_OFFICE}"><sheets>{sheets}</sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="r{k}" Target="worksheets/{n}.xml"/>' for k, n in enumerate(names)) + "</Relationships>")
+        for n in names:
+            df = table(spark, sf_dir, n)
+            rows = [df.columns, *(map(str, r) for r in df.orderBy(df.columns[0]).collect())]
+            cells = "".join("<row>" + "".join(f'<c t="inlineStr"><is><t>{escape(v)}</t></is></c>' for v in r) + "</row>" for r in rows)
+            z.writestr(f"xl/worksheets/{n}.xml", f'<worksheet xmlns="{_MAIN}"><sheetData>{cells}</sheetData></worksheet>')
+    path = shared_path(spark)
+    # the text sink passes bytes through, to any store that Spark writes to
+    spark.createDataFrame([(bytearray(data.getvalue()),)], "value binary").select(F.col("value").cast("string")).write.text(path)
+    return f"{path}/part-*"
+
+
+@query("SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey, 'nation' AS _sheet_name, n_nationkey + 2::BIGINT AS _row_number FROM nation")
+def src_excel(spark, sf_dir):
+    return read_excel(spark, _workbook(spark, sf_dir))
+
+
+@query("SELECT 'nation' AS sheet_name, false AS hidden, count(*) + 1 AS rows, 3 AS columns FROM nation UNION ALL SELECT 'region', true, count(*) + 1, 2 FROM region")
+def src_excel_sheets(spark, sf_dir):
+    return sheet_metadata(spark, _workbook(spark, sf_dir)).select("sheet_name", "hidden", "rows", "columns")
+
+
 @query("SELECT n_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
 def src_sql(spark, sf_dir):
     tables = {t: table(spark, sf_dir, t) for t in ("customer", "nation")}
