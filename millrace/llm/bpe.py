@@ -19,9 +19,9 @@ held one at a time by a task.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import itertools
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -35,9 +35,16 @@ from millrace.llm.arrow import small_batches
 #: Symbols that are encoded without halving.
 LEAF = 96
 #: Distinct pre-tokens that a task remembers; beyond this it starts afresh.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
+ID_BITS = 24
+ID_MASK = (1 << ID_BITS) - 1
+NO_MERGE = 1 << 62
 # Fixed value: the split pattern of the tokenizer file.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: What the pattern comes to in lower-cased ASCII.
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+#: Combining marks up to this one are ordered alike by every version of Unicode in use.
+LAST_OLD_MARK = "\u036f"
 #: Beyond these, a text's characters are looked up one by one.
 _LONG_ASSIGNED = regex.compile(r"[^\u0000-\u0557\u2010-\u2027\u20A0-\u20BF]")
 
@@ -60,12 +67,13 @@ class TreeBpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in (self.vocab | self.special).items()}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: Two ids in one number to rank and made id in one number.
+        self.merges: dict[int, int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             made = self.vocab[a + b]
-            self.merges[self.vocab[a], self.vocab[b]] = (rank, made)
+            self.merges[self.vocab[a] << ID_BITS | self.vocab[b]] = rank << ID_BITS | made
             self.parts.setdefault(made, (self.vocab[a], self.vocab[b]))
         symbols = byte_symbols()
         self.inner = [self.vocab[symbols[b]] for b in range(256)]
@@ -81,26 +89,17 @@ class TreeBpe:
 
     def _merge(self, tokens: list[int]) -> list[int]:
         """Merge from scratch: the lowest rank first, of equal ranks the leftmost."""
-        n = len(tokens)
-        tokens = list(tokens)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*self.merges[p], i, p) for i in range(n - 1) if (p := (tokens[i], tokens[i + 1])) in self.merges]
-        heap = [(rank, i, made, p) for rank, made, i, p in heap]
-        heapq.heapify(heap)
-        while heap:
-            _, i, made, pair = heapq.heappop(heap)
-            j = after[i] if tokens[i] >= 0 else n
-            if j >= n or (tokens[i], tokens[j]) != pair:
-                continue
-            tokens[i], tokens[j] = made, -1
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n and (p := (tokens[a], tokens[b])) in self.merges:
-                    rank, made2 = self.merges[p]
-                    heapq.heappush(heap, (rank, a, made2, p))
-        return [t for t in tokens if t >= 0]
+        tokens, merge = list(tokens), self.merges.get
+        found = [merge(a << ID_BITS | b, NO_MERGE) for a, b in zip(tokens, tokens[1:], strict=False)]
+        while found and (best := min(found)) != NO_MERGE:
+            i, made = found.index(best), best & ID_MASK
+            tokens[i : i + 2] = (made,)
+            del found[i]
+            if i:
+                found[i - 1] = merge(tokens[i - 1] << ID_BITS | made, NO_MERGE)
+            if i < len(found):
+                found[i] = merge(made << ID_BITS | tokens[i + 1], NO_MERGE)
+        return tokens
 
     def _symbols(self, tokens: list[int]) -> list[int]:
         out, stack = [], tokens[::-1]
@@ -145,16 +144,16 @@ class TreeBpe:
     def pre_tokens(self, text: str) -> list[str]:
         """Normalise and split a text that holds no special token."""
         if text.isascii():
-            return self.split.findall(text.lower())
-        if _LONG_ASSIGNED.search(text) and any(unicodedata.category(c) == "Cn" for c in set(text)):
-            return self._pre_tokens_of_newer_unicode(text)
+            return _ASCII.findall(text.lower())
+        if _LONG_ASSIGNED.search(text) and any(unicodedata.category(c) == "Cn" or (c > LAST_OLD_MARK and unicodedata.combining(c)) for c in set(text)):
+            return self._pre_tokens_of_other_unicode(text)
         text = unicodedata.normalize("NFC", text)
         # One letter at a time where context would choose the letter's lower case.
         text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
         return self.split.findall(text)
 
-    def _pre_tokens_of_newer_unicode(self, text: str) -> list[str]:
-        """Characters that Python's tables do not know yet: classes and cases are the tokenizer file's library's."""
+    def _pre_tokens_of_other_unicode(self, text: str) -> list[str]:
+        """Characters that Python's tables don't know yet, or marks whose order they know since: classes, cases and order are the tokenizer file's library's."""
         if self._library is None:
             from tokenizers import Tokenizer
 

@@ -15,7 +15,7 @@ def pair():
     return TreeBpe(PATH), Tokenizer.from_file(PATH)
 
 
-EDGE = ["", " ", "Hello World's", "ΣΑΣ İx", "a" * 5000, "ab" * 3000 + "c", "<|endoftext|>x<|startoftext|>", "é é", "՘Ɤz", "12345 3.14", "don't we'll", "中文" * 500, "!!!***\n\n###", "\x1c\x1d a\x85b", "<|endoftext", "\U0001f600" * 200]
+EDGE = ["", " ", "\u1df9\u0327", "\u0928\u093c\u0941 \u05d1\u05bc\u05b8", "a\x1cb\x1f c\x0bd\x7f", "'S'll x'D_9__", "".join(map(chr, range(128))), "".join(map(chr, range(1, 600))), "Hello World's", "ΣΑΣ İx", "a" * 5000, "ab" * 3000 + "c", "<|endoftext|>x<|startoftext|>", "é é", "՘Ɤz", "12345 3.14", "don't we'll", "中文" * 500, "!!!***\n\n###", "\x1c\x1d a\x85b", "<|endoftext", "\U0001f600" * 200]
 
 
 def test_edge_texts_equal_the_library(pair):
