@@ -178,11 +178,26 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield last
 
 
+#: Stands for a null doc_id, which is larger than any other.
+LAST_ID = (1 << 63) - 1
+
+
+def row_id() -> F.Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
+
+
 def content_key() -> F.Column:
-    """A 64-bit key of a row's id and text."""
+    """A 64-bit key of a row's id and text; it tells rows apart together with row_id() only, as 64 bits alone are too few for a large corpus."""
     return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, whose (id, key) isn't in gone."""
+    marked = docs.withColumns({"_millrace_id": row_id(), "_millrace_key": content_key()})
+    named = gone.select(F.col("id").alias("_millrace_id"), F.col("key").alias("_millrace_key"))
+    return marked.join(named, ["_millrace_id", "_millrace_key"], "left_anti").select(*docs.columns)
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, sha, n_points, a key and a row number uid for each document, settled in the shared folder."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -207,19 +222,20 @@ def groups_of(rows: DataFrame) -> DataFrame:
 def keep_best(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that stay: one of each group of equal texts.
 
-    Only the keys of rows that go are joined with the documents. A row that is repeated
-    as a whole shares its key with the one that stays; such keys, if any, are told apart by
-    keeping one of each.
+    Only ids and keys of rows that go are joined with the documents. A row that is repeated
+    as a whole shares both with the one that stays; of such rows, if any, one is kept.
     """
     rows = digests(docs)
-    told = settle(rows.join(groups_of(rows), "sha").where("members > 1").groupBy("key").agg(F.max((F.col("uid") == F.col("keep_uid")).cast("int")).alias("stays"), F.count("*").alias("rows")))
-    marked = docs.withColumn("_millrace_key", content_key())
-    gone = told.where("stays = 0").select(F.col("key").alias("_millrace_key"))
-    left = marked.join(gone, "_millrace_key", "left_anti")
-    repeated = told.where("stays = 1 AND rows > 1").select(F.col("key").alias("_millrace_key"))
-    if not repeated.isEmpty():
-        left = left.join(repeated, "_millrace_key", "left_anti").unionByName(left.join(repeated, "_millrace_key", "left_semi").dropDuplicates(["_millrace_key"]))
-    return left.select(*docs.columns)
+    own = ["id", "key"]
+    members = rows.join(groups_of(rows), "sha").where("members > 1").select(row_id().alias("id"), "key", (F.col("uid") == F.col("keep_uid")).alias("stays"))
+    told = settle(members.groupBy(*own).agg(F.bool_or("stays").alias("stays"), F.count("*").alias("rows")))
+    left = without(docs, told.where("NOT stays"))
+    repeated = told.where("stays AND rows > 1").select(F.col("id").alias("_millrace_id"), F.col("key").alias("_millrace_key"))
+    if repeated.isEmpty():
+        return left
+    marked = left.withColumns({"_millrace_id": row_id(), "_millrace_key": content_key()})
+    one = marked.join(repeated, ["_millrace_id", "_millrace_key"], "left_semi").dropDuplicates(["_millrace_id", "_millrace_key"])
+    return marked.join(repeated, ["_millrace_id", "_millrace_key"], "left_anti").unionByName(one).select(*docs.columns)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:

@@ -187,11 +187,11 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
             removed.append(totals[-1] - len(words))
             shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
-        yield pa.record_batch([batch.column("key"), batch.column("doc_id"), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], names=["key", "doc_id", "n_words", "n_removed", "kept_sha256"])
+        yield pa.record_batch([batch.column("id"), batch.column("key"), batch.column("doc_id"), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], names=["id", "key", "doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
 def covered_words(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The keyed rows, those that hold candidates, and by key the word spans to remove."""
+    """The keyed rows, those that hold candidates, and by id and key the word spans to remove."""
     rows = keyed(docs)
     candidates, spans = shared_windows(rows, WORDS, least_owners, across=True)
     return rows, candidates, merged_spans(spans.where("who < id"), WINDOW)
@@ -205,8 +205,8 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     rows, candidates, covered = covered_words(docs)
-    schema = f"key long, doc_id long, {OUT}"
-    plain = rows.select("key", "doc_id", "body").mapInArrow(_kept, schema)
-    cut = candidates.select("key", "doc_id", "body").dropDuplicates(["key"]).join(covered, "key").mapInArrow(_kept, schema)
-    cut = cut.select("key", F.col("n_removed").alias("cut_removed"), F.col("kept_sha256").alias("cut_sha"))
-    return plain.join(cut, "key", "left").select("doc_id", "n_words", F.coalesce("cut_removed", "n_removed").alias("n_removed"), F.coalesce("cut_sha", "kept_sha256").alias("kept_sha256"))
+    own, schema = ["id", "key"], f"id long, key long, doc_id long, {OUT}"
+    plain = rows.select(*own, "doc_id", "body").mapInArrow(_kept, schema)
+    cut = candidates.select(*own, "doc_id", "body").dropDuplicates(own).join(covered, own).mapInArrow(_kept, schema)
+    cut = cut.select(*own, F.col("n_removed").alias("cut_removed"), F.col("kept_sha256").alias("cut_sha"))
+    return plain.join(cut, own, "left").select("doc_id", "n_words", F.coalesce("cut_removed", "n_removed").alias("n_removed"), F.coalesce("cut_sha", "kept_sha256").alias("kept_sha256"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.arrow import small_batches
-from millrace.llm.exact_dedup import content_key
+from millrace.llm.exact_dedup import content_key, row_id, without
 from millrace.operators.components import connected_components
 from millrace.session import settle
 
@@ -207,10 +207,9 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that stay: of each component the row with the smallest doc_id (null last).
 
-    Only the keys of rows that go are joined with the documents; rows that are repeated as a
+    Only ids and keys of rows that go are joined with the documents; rows that are repeated as a
     whole are one document here and stay or go together.
     """
-    linked = settle(_components(docs).where("members > 1").select("root", "key", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("rank")))
-    stays = linked.groupBy("root").agg(F.min(F.struct("rank", "key")).alias("s")).select(F.col("s.key").alias("key"))
-    gone = linked.select("key").distinct().join(stays, "key", "left_anti").withColumnRenamed("key", "_millrace_key")
-    return docs.withColumn("_millrace_key", content_key()).join(gone, "_millrace_key", "left_anti").select(*docs.columns)
+    linked = settle(_components(docs).where("members > 1").select("root", row_id().alias("id"), "key"))
+    stays = linked.groupBy("root").agg(F.min(F.struct("id", "key")).alias("s")).select("s.id", "s.key")
+    return without(docs, linked.select("id", "key").distinct().join(stays, ["id", "key"], "left_anti"))

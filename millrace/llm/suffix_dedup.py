@@ -176,7 +176,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept = body
             rows.append((len(body), gone, pieces, hashlib.sha256(kept).hexdigest()))
         n, gone, pieces, sha = zip(*rows, strict=True) if rows else ((), (), (), ())
-        yield pa.record_batch([batch.column("key"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(pieces, pa.int64()), pa.array(sha, pa.string())], names=["key", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.record_batch([batch.column("id"), batch.column("key"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(pieces, pa.int64()), pa.array(sha, pa.string())], names=["id", "key", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
@@ -185,8 +185,8 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     rows = keyed(docs)
     candidates, spans = shared_windows(rows, BYTES, repeated_spans, across=False)
     covered = merged_spans(spans, WINDOW)
-    schema = "key long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    plain = rows.select("key", "doc_id", "body").mapInArrow(_kept, schema)
-    cut = candidates.select("key", "doc_id", "body").dropDuplicates(["key"]).join(covered, "key").mapInArrow(_kept, schema)
-    cut = cut.select("key", *(F.col(c).alias(f"cut_{c}") for c in ("n_removed", "n_spans", "kept_sha256")))
-    return plain.join(cut, "key", "left").select("doc_id", "n_bytes", *(F.coalesce(f"cut_{c}", c).alias(c) for c in ("n_removed", "n_spans", "kept_sha256")))
+    own, schema = ["id", "key"], "id long, key long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    plain = rows.select(*own, "doc_id", "body").mapInArrow(_kept, schema)
+    cut = candidates.select(*own, "doc_id", "body").dropDuplicates(own).join(covered, own).mapInArrow(_kept, schema)
+    cut = cut.select(*own, *(F.col(c).alias(f"cut_{c}") for c in ("n_removed", "n_spans", "kept_sha256")))
+    return plain.join(cut, own, "left").select("doc_id", "n_bytes", *(F.coalesce(f"cut_{c}", c).alias(c) for c in ("n_removed", "n_spans", "kept_sha256")))

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.arrow import in_chunks, small_batches, utf8
+from millrace.llm.exact_dedup import content_key, row_id
 from millrace.llm.words import mix
 from millrace.session import settle, settle_table
 
@@ -34,7 +35,6 @@ CHUNK_BYTES = 1 << 19
 CROWDED = 4000
 #: Bytes of pieces that a shard indexes at once; a single anchor may have more.
 SHARD_BYTES = 1 << 20
-LAST_ID = (1 << 63) - 1
 
 
 @dataclass(frozen=True)
@@ -105,9 +105,8 @@ def runs(h: np.ndarray, first: np.ndarray, units: Units, repeats: bool = False)
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, its rank id (null last), a key of the row's content, and the text as bytes (null: empty)."""
-    doc_id = F.col("doc_id").cast("long")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(LAST_ID)).alias("id"), F.xxhash64(doc_id, text).alias("key"), text.cast("binary").alias("body"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_id().alias("id"), content_key().alias("key"), text.cast("binary").alias("body"))
 
 
 def _batch_runs(column: pa.Array, units: Units, repeats: bool = False) -> Iterator[tuple]:
@@ -250,8 +249,8 @@ def shared_windows(rows: DataFrame, units: Units, decide: Callable, across: bool
         shared = found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     else:
         shared = found.groupBy("anchor").agg(F.sum("times").alias("times")).where("times > 1")
-    holders = found.select("anchor", "key").join(shared.select("anchor"), "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
-    candidates = settle_table(rows.join(holders, "key"))
+    holders = found.select("anchor", "id", "key").join(shared.select("anchor"), "anchor").groupBy("id", "key").agg(F.collect_set("anchor").alias("anchors"))
+    candidates = settle_table(rows.join(holders, ["id", "key"]))
     occurrences = settle_table(pieces_of(candidates, units))
     times = F.count("*").alias("times")
     pieces = settle_table(occurrences.groupBy("anchor", "mark").agg(F.min("id").alias("id"), F.max("id").alias("last_id"), times, F.first("piece").alias("piece")))
@@ -276,8 +275,8 @@ def _crowded(pieces: DataFrame, decide: Callable, units: Units, across: bool) ->
 
 
 def merged_spans(spans: DataFrame, width: int) -> DataFrame:
-    """key and the list of (a, b): what the windows of each key's spans cover, in units; not merged yet where spans overlap."""
-    return spans.groupBy("key").agg(F.collect_set(F.struct(F.col("lo").alias("a"), (F.col("hi") + (width - 1)).alias("b"))).alias("covered"))
+    """id, key and the list of (a, b): what the windows of each row's spans cover, in units; not merged yet where spans overlap."""
+    return spans.groupBy("id", "key").agg(F.collect_set(F.struct(F.col("lo").alias("a"), (F.col("hi") + (width - 1)).alias("b"))).alias("covered"))
 
 
 def cover(n: int, covered: list[dict]) -> np.ndarray:
