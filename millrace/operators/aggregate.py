@@ -80,8 +80,8 @@ def range_bucket(c: Column, bounds: list[float], labels: list[str]) -> Column:
 
 def quantile_bounds(df: DataFrame, column: str, n: int) -> list[float]:
     """The n - 1 inner bounds of n equally full buckets: a few numbers, exact."""
-    found = df.agg(F.percentile(column, F.array(*(F.lit(k / n) for k in range(1, n)))).alias("b")).first()["b"]
-    return found or []
+    found = bracketed_percentiles(df, [], column, [k / n for k in range(1, n)]).first()
+    return found["percentiles"] if found else [0.0] * (n - 1)
 
 
 def mapped_bucket(c: Column, mapping: dict[str, str], miss: str = "Other") -> Column:
@@ -226,29 +226,30 @@ def aggregate(df: DataFrame, keys: list[Key], measures: list[Measure], nulls: st
     return named(out) if keys else out.drop("_key0")
 
 
-def bracketed_percentile(df: DataFrame, keys: list[str], value: str, p: float, accuracy: int = 10_000) -> DataFrame:
-    """The exact interpolated percentile of groups of any size, as column `percentile`.
+def bracketed_percentiles(df: DataFrame, keys: list[str], value: str, shares: list[float], accuracy: int = 10_000) -> DataFrame:
+    """The exact interpolated percentiles of groups of any size, as an array `percentiles` in order of shares.
 
-    A first pass brackets the wanted rank by approximate percentiles; of the second only the
-    counts below the bracket and the values within it - some ten-thousandths of a group -
+    A first pass brackets the wanted ranks by approximate percentiles; of the second only the
+    counts below the brackets and the values within them - some ten-thousandths of a group -
     are gathered. Groups too small for that to be worth it count whole.
     """
-    v, reach = F.col(value), 2 / accuracy
+    v, reach, m = F.col(value), 2 / accuracy, len(shares)
     rows = df.where(v.isNotNull() & reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys), F.lit(True))).select(*keys, value).withColumn("_one", F.lit(1))
     own = [*keys, "_one"]
-    ends = F.percentile_approx(value, [max(0.0, p - reach), min(1.0, p + reach)], accuracy)
+    ends = F.percentile_approx(value, [x for p in shares for x in (max(0.0, p - reach), min(1.0, p + reach))], accuracy)
     bounds = rows.groupBy(*own).agg(F.count("*").alias("_n"), ends.alias("_b"))
-    large = F.col("_n") > 2 * accuracy
-    bounds = bounds.select(*own, "_n", F.when(large, F.col("_b")[0]).alias("_low"), F.when(large, F.col("_b")[1]).alias("_high"))
+    bounds = bounds.select(*own, "_n", F.when(F.col("_n") > 2 * accuracy, F.col("_b")).alias("_b"))
     near = rows.join(bounds, own)
-    below = near.groupBy(*own).agg(F.first("_n").alias("_n"), F.count_if(v < F.col("_low")).alias("_below"))
-    inside = near.where("_low IS NULL OR (" + value + " BETWEEN _low AND _high)").groupBy(*own, v.alias("_v")).agg(F.count("*").alias("_c"))
-    up_to = Window.partitionBy(*own).orderBy("_v")
-    ranked = inside.join(below, own).withColumn("_to", F.col("_below") + F.sum("_c").over(up_to)).withColumn("_from", F.col("_to") - F.col("_c"))
-    wanted = F.lit(p) * (F.col("_n") - 1)
+    below = near.groupBy(*own).agg(F.first("_n").alias("_n"), F.array(*(F.count_if(v < F.col("_b")[2 * i]) for i in range(m))).alias("_below"))
+    within = F.filter(F.array(*(F.lit(i) for i in range(m))), lambda i: F.col("_b").isNull() | ((v >= F.col("_b")[2 * i]) & (v <= F.col("_b")[2 * i + 1])))
+    inside = near.select(*own, v.alias("_v"), F.explode(within).alias("_i")).groupBy(*own, "_i", "_v").agg(F.count("*").alias("_c"))
+    up_to = Window.partitionBy(*own, "_i").orderBy("_v")
+    ranked = inside.join(below, own).withColumn("_to", F.col("_below")[F.col("_i")] + F.sum("_c").over(up_to)).withColumn("_from", F.col("_to") - F.col("_c"))
+    wanted = F.array(*(F.lit(float(p)) for p in shares))[F.col("_i")] * (F.col("_n") - 1)
     at = lambda r: F.max(F.when((F.col("_from") <= r) & (r < F.col("_to")), F.col("_v")))
-    found = ranked.groupBy(*own).agg(F.max(wanted).alias("_r"), at(F.floor(wanted)).alias("_x"), at(F.ceil(wanted)).alias("_y"))
-    return found.select(*keys, (F.col("_x") + (F.col("_r") - F.floor("_r")) * (F.col("_y") - F.col("_x"))).alias("percentile"))
+    found = ranked.groupBy(*own, "_i").agg(F.max(wanted).alias("_r"), at(F.floor(wanted)).alias("_x"), at(F.ceil(wanted)).alias("_y"))
+    told = F.struct("_i", (F.col("_x") + (F.col("_r") - F.floor("_r")) * (F.col("_y") - F.col("_x"))).alias("p"))
+    return found.groupBy(*own).agg(F.transform(F.sort_array(F.collect_list(told)), lambda x: x.p).alias("percentiles")).drop("_one")
 
 
 def hierarchy(df: DataFrame, levels: list[str], measures: list[Measure]) -> DataFrame:

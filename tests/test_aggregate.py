@@ -53,15 +53,17 @@ def test_names_of_keys_and_measures(groups):
     assert a.aggregate(groups, [Key("g", "group"), Key("absent")], [Measure("v", "max"), Measure("v", "min", "low")]).columns == ["group", "v_max", "low"]
 
 
-@pytest.mark.parametrize("p", [0.0, 0.1, 0.5, 0.95, 1.0])
-def test_bracketed_percentile_is_exact(spark, p):
+def test_bracketed_percentiles_are_exact(spark):
     rng = np.random.default_rng(4)
     groups = {"large": rng.normal(size=9000).round(3), "small": np.array([3.0, 1.0, 2.0, 10.0]), "one": np.array([7.0]), "ties": np.repeat([1.0, 2.0], 3000)}
     df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs] + [("none", None), (None, 1.0)], "k string, v double")
-    got = by_key(a.bracketed_percentile(df, ["k"], "v", p, accuracy=500))
+    shares = [0.0, 0.1, 0.5, 0.95, 1.0]
+    got = by_key(a.bracketed_percentiles(df, ["k"], "v", shares, accuracy=500))
     assert set(got) == set(groups)
     for k, vs in groups.items():
-        assert got[k][0] == pytest.approx(float(np.percentile(vs, p * 100)))
+        assert got[k][0] == pytest.approx(np.percentile(vs, [100 * p for p in shares]).tolist())
+    assert a.quantile_bounds(df.where("k = 'small'"), "v", 2) == [2.5]
+    assert a.bracketed_percentiles(df.where("false"), [], "v", [0.5]).count() == 0
 
 
 def test_fill_periods_without_keys(spark):
