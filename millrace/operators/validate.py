@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.expressions import parse
@@ -87,7 +87,7 @@ def fixed(rule: Rule) -> Column | None:
 def validate(df: DataFrame, rules: list[Rule], order: str, references: dict[str, tuple[DataFrame, str]] | None = None, stop_on_first: bool = False) -> DataFrame:
     """df with `_errors` (field, rule, severity), `_status` and `_score`; fixed fields carry their new values.
 
-    order: the column that tells which of equal values came first. references: for
+    order: the column, without repeats, that tells which of equal values came first. references: for
     referential rules, by field, the table and its key column. Cross-field conditions count
     only for records without errors before them.
     """
@@ -98,8 +98,10 @@ def validate(df: DataFrame, rules: list[Rule], order: str, references: dict[str,
             known, key = references[r.field]
             df = df.join(known.select(F.col(key).alias(f"_known_{r.field}")).distinct(), F.col(r.field) == F.col(f"_known_{r.field}"), "left")
         if r.kind == "uniqueness":
-            first = Window.partitionBy(F.col(r.field).cast("string")).orderBy(order)
-            df = df.withColumn(f"_nth_{r.field}", F.row_number().over(first))
+            # the first of each value by a partial aggregate and a join, which a frequent value doesn't bring into one task
+            text = F.col(r.field).cast("string")
+            firsts = df.where(text.isNotNull()).groupBy(text.alias(f"_text_{r.field}")).agg(F.min(order).alias(f"_first_{r.field}"))
+            df = df.join(firsts, text == F.col(f"_text_{r.field}"), "left").withColumn(f"_nth_{r.field}", F.when(F.col(order) == F.col(f"_first_{r.field}"), 1).otherwise(2)).drop(f"_text_{r.field}", f"_first_{r.field}")
     plain = [r for r in active if r.kind != "cross_field"]
     crossed = [r for r in active if r.kind == "cross_field"]
     told = lambda r: F.struct(F.lit(r.field).alias("field"), F.lit(r.kind).alias("rule"), F.lit(r.severity).alias("severity"))
