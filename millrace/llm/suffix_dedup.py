@@ -83,6 +83,18 @@ def block_ranks(text: np.ndarray, most: int) -> tuple[np.ndarray, int]:
     return rank, span
 
 
+def _joint(keys: list[np.ndarray]) -> np.ndarray:
+    """One number for each tuple of keys, in their order: as many side by side as fit, then dense ranks."""
+    out, used = keys[0], int(keys[0].max(initial=0)).bit_length()
+    for key in keys[1:]:
+        bits = int(key.max(initial=0)).bit_length()
+        if used + bits > 62:
+            out = _dense(out)
+            used = int(out.max(initial=0)).bit_length()
+        out, used = out << bits | key, used + bits
+    return out
+
+
 def two_stage_sort(text: np.ndarray, depth: int, rank: np.ndarray, span: int) -> np.ndarray:
     """Suffixes of text in the order of their first `depth` symbols.
 
@@ -96,8 +108,8 @@ def two_stage_sort(text: np.ndarray, depth: int, rank: np.ndarray, span: int) ->
     reach = [*range(0, depth - span + 1, span)]
     if reach[-1] + span < depth:
         reach.append(depth - span)
-    padded = np.concatenate((rank, np.full(depth, -1, np.int64)))
-    direct = direct[np.lexsort([padded[direct + r] for r in reversed(reach)])]
+    padded = np.concatenate((rank + 1, np.zeros(depth, np.int64)))
+    direct = direct[np.argsort(_joint([padded[direct + r] for r in reach]), kind="stable")]
     order = np.full(n, -1, np.int64)
     smalls = np.bincount(text[direct], minlength=len(sizes))
     tail = head + sizes - smalls  # where a bucket's directly sorted suffixes begin
