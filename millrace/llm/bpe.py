@@ -23,8 +23,10 @@ import itertools
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -209,8 +211,15 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path)
         for batch in batches:
-            ids = [coder.encode(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(map(coder.decode, ids), pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+            flat, ends, texts = array("i"), [0], []
+            for text in batch.column("text").to_pylist():
+                parts = coder.encode_parts(text or "")
+                for p in parts:
+                    flat.extend(p[0])
+                ends.append(len(flat))
+                texts.append(" ".join([p[2] for p in parts]))
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
+            yield pa.record_batch([batch.column("doc_id"), pa.array(np.diff(ends), pa.int64()), ids, pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")
 
