@@ -51,13 +51,14 @@ def stream_unexpired(spark, sf_dir):
     return s.run(s.unexpired(s.event_stream(spark, sf_dir), "2024-01-20", "3 DAYS").select("event_id"))
 
 
-CHECKS = {"value": F.col("value") <= 200, "user": F.col("user_id") > 5}
+def _checks():
+    return {"value": F.col("value") <= 200, "user": F.col("user_id") > 5}
 
 
 @query("SELECT event_id, concat_ws('; ', CASE WHEN value > 200 THEN 'value' END, CASE WHEN user_id <= 5 THEN 'user' END) AS rejection_reason FROM events")
 def stream_split(spark, sf_dir):
     good, bad = shared_path(spark), shared_path(spark)
-    s.split_to(s.with_errors(s.event_stream(spark, sf_dir), CHECKS), good, bad)
+    s.split_to(s.with_errors(s.event_stream(spark, sf_dir), _checks()), good, bad)
     return spark.read.parquet(good).select("event_id", F.lit("").alias("rejection_reason")).unionAll(spark.read.parquet(bad).select("event_id", "rejection_reason"))
 
 
@@ -70,7 +71,7 @@ def stream_routed(spark, sf_dir):
 
 @query("SELECT count(*) AS checked, count(*) FILTER (value > 200) AS value, count(*) FILTER (user_id <= 5) AS user FROM events".replace("AS user ", 'AS "user" '))
 def stream_quality(spark, sf_dir):
-    return s.run(s.quality_counts(s.event_stream(spark, sf_dir), CHECKS), "complete")
+    return s.run(s.quality_counts(s.event_stream(spark, sf_dir), _checks()), "complete")
 
 
 @query("SELECT user_id, count(*) AS events, count(*) FILTER (event_type = 'error') AS errors, epoch_us(max(ts)) AS last_micros FROM events GROUP BY 1")
