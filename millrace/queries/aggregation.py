@@ -122,7 +122,7 @@ def agg_by_quantile(spark, sf_dir):
     return rounded(out, "total", digits=2)
 
 
-@query("""SELECT lower(c_mktsegment) AS low, length(c_mktsegment) AS long, round_even(c_acctbal / 1000, 0) AS thousands, count(*) AS n FROM customer GROUP BY ALL""")
+@query("""SELECT lower(c_mktsegment) AS low, length(c_mktsegment)::INT AS long, round_even(c_acctbal / 1000, 0) AS thousands, count(*) AS n FROM customer GROUP BY ALL""")
 def agg_by_transform(spark, sf_dir):
     d = table(spark, sf_dir, "customer").withColumn("k", F.col("c_acctbal") / 1000)
     return a.aggregate(d, [Key("c_mktsegment", "low", transform="lower"), Key("c_mktsegment", "long", transform="length"), Key("k", "thousands", transform="round")], [Measure("c_custkey", "count", "n")])

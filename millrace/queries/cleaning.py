@@ -51,8 +51,8 @@ def clean_remove_and_default(spark, sf_dir):
     return c.clean(untidy(spark, sf_dir).select("c_custkey", "name", "segment"), c.CleanConfig(fields=rules))
 
 
-@query(f"""SELECT c_custkey, round(greatest(0.0, least(1.0, 1.0 - CASE WHEN name IS NULL THEN 0.05 WHEN t = '' THEN 0.02 ELSE 0.0 END
-  + CASE WHEN name IS DISTINCT FROM t THEN 0.01 ELSE 0.0 END + CASE WHEN segment <> lower(segment) THEN 0.01 ELSE 0.0 END)), 6) AS score
+@query(f"""SELECT c_custkey, round((greatest(0.0, least(1.0, 1.0 - CASE WHEN name IS NULL THEN 0.05 WHEN t = '' THEN 0.02 ELSE 0.0 END
+  + CASE WHEN name IS DISTINCT FROM t THEN 0.01 ELSE 0.0 END + CASE WHEN segment <> lower(segment) THEN 0.01 ELSE 0.0 END)))::DOUBLE, 6) AS score
   FROM (SELECT *, trim(regexp_replace(name, '\\s+', ' ', 'g')) AS t FROM {U})""")
 def clean_score(spark, sf_dir):
     d = untidy(spark, sf_dir)
@@ -195,7 +195,7 @@ def map_rules(spark, sf_dir):
     return d.select("l_orderkey", "l_linenumber", F.round("net", 4).alias("net"), "batch", F.round("l_tax", 6).alias("l_tax"), "flag", "_errors")
 
 
-@query("""SELECT p_partkey, length(p_name) AS n, upper(p_brand) AS brand, round(p_retailprice / nullif(p_size, 0), 6) AS unit, p_size IN (1, 2, 3) AND NOT (p_retailprice > 1000) AS chosen,
+@query("""SELECT p_partkey, length(p_name)::INT AS n, upper(p_brand) AS brand, round(p_retailprice / nullif(p_size, 0), 6) AS unit, p_size IN (1, 2, 3) AND NOT (p_retailprice > 1000) AS chosen,
   CASE WHEN p_size >= 25 AND p_size < 40 THEN 'mid' ELSE 'edge' END AS place FROM part""")
 def map_expressions(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", parse("len($p_name)").alias("n"), parse("upper($p_brand)").alias("brand"), F.round(parse("$p_retailprice / $p_size"), 6).alias("unit"), parse("$p_size in [1, 2, 3] and not ($p_retailprice > 1000)").alias("chosen"), parse("'mid' if 25 <= $p_size < 40 else 'edge'").alias("place"))
