@@ -1,26 +1,34 @@
 """License scans by conditional compression.
 
 Blocks of text around words that license notices use are compressed twice with zstandard:
-alone, and with each template as a raw dictionary. The template that saves the most bytes
-describes the block best; the best RANKED of them are then held against the block word by
-word, and the one with the fewest differences wins if at most TOLERANCE of its words differ.
-What differs - template words that are missing, words put in between - is reported.
+alone, and with each notice as a raw dictionary. The notice that saves the most bytes
+describes the block best; those whose words the block has are held against it word by word,
+and the one with the fewest differences wins if at most TOLERANCE of its words differ.
+What differs - words of the notice that are missing, words put in between - is reported.
 
-Templates are short notices, so every task holds them; blocks are found by built-in string
+Notices of a line (TEMPLATES, and FORMS of few words) are looked for in parts of lines. Notices
+of LONG words or more run over many lines and are looked for first, in the text around a clue
+whatever its lines; what they hold is not looked at again.
+
+{holder} in a notice stands for up to MOST_HELD words, such as years and names, that are no
+differences. Notices too short for a difference by TOLERANCE may have one, but of three
+words none may be missing: two are no notice ("all rights") or another ("some rights reserved").
+
+Notices are short, so every task holds them; blocks are found by built-in string
 functions in the scan, and only documents that hold one reach Python.
 
 Defined results: null and empty texts have no blocks; repeated rows are each reported; an
-empty table gives no rows; other columns are ignored; of templates with equally few
+empty table gives no rows; other columns are ignored; of notices with equally few
 differences the one that saves more bytes wins, then the first by name.
 """
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -28,9 +36,10 @@ from pyspark.sql import functions as F
 
 from millrace.llm.arrow import small_batches
 
-RANKED = 3
 TOLERANCE = 0.2
 LEVEL = 19
+LONG = 30
+MOST_HELD = 30
 # Words of license notices, in lower case, and the notices.
 CLUES = ("licen", "copyright", "all rights reserved", "public domain", "creative commons", "spdx-")
 TEMPLATES = {
@@ -47,32 +56,144 @@ TEMPLATES = {
     "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "This work is subject to the terms of the Mozilla Public License, version 2.0.",
-    "Proprietary": "Copyright. All rights reserved.",
+    "Proprietary": "All rights reserved.",
+}
+_WARRANTY = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE "
+    "FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; "
+    "LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT "
+    "(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD = (
+    "Copyright (c) {holder} All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+    "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+    "materials provided with the distribution. "
+)
+_GNU = (
+    "This {program} is free software; you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the Free Software Foundation; "
+    "either version {version} of the License, or (at your option) any later version. This {program} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
+    "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} for more details."
+)
+# Further notices of a license.
+FORMS = {
+    "Apache-2.0": (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at '
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+        '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations '
+        "under the License.",
+    ),
+    "BSD-2-Clause": (_BSD + _WARRANTY,),
+    "BSD-3-Clause": (
+        _BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without "
+        "specific prior written permission. " + _WARRANTY,
+    ),
+    "GPL-2.0": (_GNU.format(program="program", kind="General Public License", version=2),),
+    "GPL-3.0": (_GNU.format(program="program", kind="General Public License", version=3),),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this "
+        'permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED '
+        "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER "
+        "RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+        "PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    "LGPL-3.0": (_GNU.format(program="library", kind="Lesser General Public License", version=3),),
+    "MIT": (
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software '
+        "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+        "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all "
+        'copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR "
+        "OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at "
+        "http://mozilla.org/MPL/2.0/.",
+    ),
+    "Proprietary": ("Copyright {holder}. All rights reserved.",),
 }
 OUT = "doc_id long, license string, block_start long, saved_bytes long, differences long, missing array<string>, added array<string>"
 
 _CLUE = re.compile("|".join(map(re.escape, CLUES)), re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
+_HOLDER = "{holder}"
+#: A word put in, above the bits that tell where a match starts.
+_PUT_IN = 1 << 32
+_NEVER = 1 << 60
+
+
+def _words(notice: str) -> list[str]:
+    parts = [_WORD.findall(x) for x in notice.lower().split(_HOLDER)]
+    return parts[0] + [w for p in parts[1:] for w in (_HOLDER, *p)]
+
+
+def _tables(notice: list[str], block: list[str], lacks: int) -> Iterator[np.ndarray]:
+    """For each number of the notice's words, from 0: by words missing and by end in the block, the fewest words put in, then the latest start."""
+    ids = {w: k for k, w in enumerate(dict.fromkeys(block))}
+    own = np.array([ids[w] for w in block], np.int64)
+    n = len(block)
+    ends = np.arange(n + 1, dtype=np.int64)
+    now = np.full((lacks + 1, n + 1), _NEVER, np.int64)
+    now[0] = n - ends
+    yield now
+    for w in notice:
+        if w == _HOLDER:
+            new = now.copy()
+            for k in range(1, min(MOST_HELD, n) + 1):
+                np.minimum(new[:, k:], now[:, :-k], out=new[:, k:])
+        else:
+            new = np.full_like(now, _NEVER)
+            if w in ids:
+                new[:, 1:] = np.where(own == ids[w], now[:, :-1], _NEVER)
+            np.minimum(new[1:], now[:-1], out=new[1:])
+            new = np.minimum.accumulate(new - ends * _PUT_IN, axis=1) + ends * _PUT_IN
+        now = new
+        yield now
+
+
+class Notice:
+    """A notice, ready to compress and to compare."""
+
+    def __init__(self, name: str, text: str):
+        self.name, self.words = name, _words(text)
+        raw = zstandard.ZstdCompressionDict(text.replace(_HOLDER, "").lower().encode("utf-8"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.given = zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False)
+        self.fixed = [w for w in self.words if w != _HOLDER]
+        spare = int(TOLERANCE * len(self.fixed))
+        self.lacks, self.adds = max(spare, int(len(self.fixed) > 3)), max(spare, 1)
+
+    def possible(self, there: set[str]) -> bool:
+        """Whether a block with these words has enough of the notice's."""
+        return sum(w not in there for w in self.fixed) <= self.lacks
 
 
 class Scanner:
-    """Templates, ready to compress and to compare."""
+    """Notices, and where to look for them."""
 
-    def __init__(self, templates: dict[str, str]):
-        self.reach = 2 * max(map(len, templates.values()))
+    def __init__(self, templates: dict[str, str], forms: dict[str, tuple[str, ...]] | None = None):
+        named = sorted([*templates.items(), *((name, text) for name, texts in (forms or {}).items() for text in texts)])
         self.alone = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
-        self.templates = []
-        for name in sorted(templates):
-            raw = zstandard.ZstdCompressionDict(templates[name].lower().encode("utf-8"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.templates.append((name, _WORD.findall(templates[name].lower()), zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False)))
+        self.kinds = []
+        for across in (True, False):
+            texts = [(name, text) for name, text in named if (len(_words(text)) >= LONG) == across]
+            if texts:
+                self.kinds.append((across, 2 * max(len(text) for _, text in texts), [Notice(*x) for x in texts]))
 
-    def blocks(self, text: str) -> list[tuple[int, int]]:
-        """Parts of lines within reach of a clue; parts that meet are one."""
+    @staticmethod
+    def blocks(text: str, reach: int, across: bool = False, taken: list[tuple[int, int]] = ()) -> list[tuple[int, int]]:
+        """Text within reach of a clue, of its line unless across lines, outside of what is taken; parts that meet are one."""
         found: list[list[int]] = []
         for m in _CLUE.finditer(text):
-            lo = max(text.rfind("\n", 0, m.start()) + 1, m.start() - self.reach)
-            stop = text.find("\n", m.end())
-            hi = min(len(text) if stop < 0 else stop, m.end() + self.reach)
+            lo, hi = max(0, m.start() - reach), min(len(text), m.end() + reach)
+            if not across:
+                lo = max(text.rfind("\n", 0, m.start()) + 1, lo)
+                stop = text.find("\n", m.end(), hi)
+                hi = hi if stop < 0 else stop
+            if any(a < m.end() and m.start() < b for a, b in taken):
+                continue
+            lo = max([lo, *(b for _, b in taken if b <= m.start())])
+            hi = min([hi, *(a for a, _ in taken if a >= m.end())])
             if found and lo <= found[-1][1]:
                 found[-1][1] = max(hi, found[-1][1])
             else:
@@ -80,52 +201,89 @@ class Scanner:
         return [(a, b) for a, b in found]
 
     @staticmethod
-    def wording(template: list[str], block: list[str]) -> tuple[list[str], list[str]]:
-        """Template words that the block lacks, and words that stand between its others."""
-        missing, added = [], []
-        steps = difflib.SequenceMatcher(None, template, block, autojunk=False).get_opcodes()
-        while steps and steps[0][0] == "insert":
-            steps = steps[1:]
-        while steps and steps[-1][0] == "insert":
-            steps = steps[:-1]
-        for k, (kind, a, b, c, d) in enumerate(steps):
-            if kind != "equal":
-                missing += template[a:b]
-                inner = block[c:d]
-                if k == 0:  # words before the notice aren't put into it
-                    inner = inner[max(0, len(inner) - (b - a)) :]
-                elif k == len(steps) - 1:
-                    inner = inner[: b - a]
-                added += inner
-        return missing, added
+    def matches(notice: Notice, block: list[str]) -> list[tuple[int, int, int]]:
+        """Differences, start and end of the best match that ends at a word, where there is one."""
+        for last in _tables(notice.words, block, notice.lacks):  # noqa: B007
+            pass
+        added = last // _PUT_IN
+        lacks = np.arange(notice.lacks + 1)[:, None]
+        rank = np.where(added <= notice.adds, (np.maximum(added, lacks) * 4096 + added + lacks) * 4096 + lacks, _NEVER)
+        best = rank.argmin(axis=0)
+        out = []
+        for end in np.flatnonzero(rank.min(axis=0) < _NEVER).tolist():
+            m = int(best[end])
+            start = len(block) - int(last[m, end] % _PUT_IN)
+            if start < end:
+                out.append((max(m, int(added[m, end])), start, end))
+        return out
+
+    @staticmethod
+    def wording(template: list[str], block: list[str], at: tuple[int, int] | None = None, lacks: int | None = None) -> tuple[list[str], list[str]]:
+        """Words of the notice that the block, or the part of it at some words, lacks, and words that stand between its others or in place of its first or last."""
+        start, end = at or (0, len(block))
+        part = block[start:end]
+        steps = list(_tables(template, part, len(template) if lacks is None else lacks))
+        added = steps[-1] // _PUT_IN
+        _, _, m, j = min((max(k, a), k + a, k, j) for k, row in enumerate(added.tolist()) for j, a in enumerate(row) if at is None or j == len(row) - 1)
+        missing, put_in, matched, i = [], [], [], len(template)
+        after = end if at else j
+        while i:
+            here, before = steps[i][m, j], steps[i - 1]
+            if template[i - 1] == _HOLDER:
+                j -= next(k for k in range(j + 1) if before[m, j - k] == here)
+                i -= 1
+            elif j and part[j - 1] == template[i - 1] and before[m, j - 1] == here:
+                i, j = i - 1, j - 1
+                matched.append(i)
+            elif m and before[m - 1, j] == here:
+                i, m = i - 1, m - 1
+                missing.append(template[i])
+            else:
+                j -= 1
+                put_in.append(part[j])
+        fixed = [k for k, w in enumerate(template) if w != _HOLDER]
+        first, last = (fixed.index(matched[-1]), len(fixed) - 1 - fixed.index(matched[0])) if matched else (0, 0)
+        before = start + j
+        return missing[::-1], block[max(0, before - first) : before] + put_in[::-1] + block[after : after + last]
+
+    def confirmed(self, text: str, lo: int, hi: int, notices: list[Notice]) -> tuple[list[tuple], list[tuple[int, int]]]:
+        """Rows of the notices that a block holds, and the places of their words."""
+        at = [(m.start(), m.end()) for m in _WORD.finditer(text, lo, hi)]
+        words = [text[a:b].lower() for a, b in at]
+        there = set(words)
+        able = [n for n in notices if n.possible(there)]
+        if not able:
+            return [], []
+        raw = text[lo:hi].lower().encode("utf-8")
+        plain = len(self.alone.compress(raw))
+        saved = [plain - len(n.given.compress(raw)) for n in able]
+        hits = sorted((d, -s, n.name, start - end, start, end, k) for k, (n, s) in enumerate(zip(able, saved, strict=True)) for d, start, end in self.matches(n, words))
+        if not hits:
+            return [], []
+        differ, less, name, _, start, end, k = hits[0]
+        missing, added = self.wording(able[k].words, words, (start, end), able[k].lacks)
+        return [(name, lo, -less, differ, missing, added)], [(at[start][0], at[end - 1][1])]
 
     def scan(self, text: str) -> list[tuple]:
-        found = []
-        for lo, hi in self.blocks(text):
-            block = text[lo:hi].lower()
-            raw, words = block.encode("utf-8"), _WORD.findall(block)
-            plain = len(self.alone.compress(raw))
-            ranked = sorted(((plain - len(c.compress(raw)), name, own) for name, own, c in self.templates), key=lambda x: (-x[0], x[1]))
-            best = None
-            for saved, name, own in ranked[:RANKED]:
-                missing, added = self.wording(own, words)
-                differ = max(len(missing), len(added))
-                if saved > 0 and differ <= TOLERANCE * len(own) and (best is None or differ < best[3]):
-                    best = (name, lo, saved, differ, missing, added)
-            if best:
-                found.append(best)
+        found, taken = [], []
+        for across, reach, notices in self.kinds:
+            for lo, hi in self.blocks(text, reach, across, taken):
+                rows, places = self.confirmed(text, lo, hi, notices)
+                found += rows
+                if across:
+                    taken = sorted(taken + places)
         return found
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """A row for each confirmed notice: doc_id, license, where its block starts, bytes saved, and the differences."""
     small_batches(docs.sparkSession)
-    known = templates or TEMPLATES
+    known, further = (templates, None) if templates else (TEMPLATES, FORMS)
     lowered = F.lower(F.col("text").cast("string"))
     clue = reduce(lambda a, b: a | b, (F.contains(lowered, F.lit(c)) for c in CLUES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(known)
+        scanner = Scanner(known, further)
         for batch in batches:
             rows = [(i, *hit) for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for hit in scanner.scan(text)]
             if rows:

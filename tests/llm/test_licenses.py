@@ -1,6 +1,6 @@
 import pytest
 
-from millrace.llm.licenses import TEMPLATES, Scanner, scan_licenses
+from millrace.llm.licenses import FORMS, TEMPLATES, Scanner, scan_licenses
 
 
 def test_every_template_is_found_in_running_text(spark):
@@ -32,3 +32,25 @@ def test_table_equals_plain_search(spark, sf_dir):
 @pytest.mark.parametrize("block, missing, added", [("a b c", [], []), ("x a b c y", [], []), ("a q b c", [], ["q"]), ("a c", ["b"], [])])
 def test_wording(block, missing, added):
     assert Scanner.wording(["a", "b", "c"], block.split()) == (missing, added)
+
+
+def scanned(spark, *texts):
+    rows = scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return sorted((r.doc_id, r.license, r.differences) for r in rows)
+
+
+def test_rights_notices_as_they_occur(spark, sf_dir):
+    texts = ["All rights reserved.", "Copyright. All rights reserved.", "Copyright (c) 2024 Acme Corp. All rights reserved.", "Copyright 2024. All rights reserved.", "Copyright 2024 Acme. All right reserved."]
+    assert scanned(spark, *texts) == [(0, "Proprietary", 0), (1, "Proprietary", 0), (2, "Proprietary", 0), (3, "Proprietary", 0), (4, "Proprietary", 1)]
+    assert scanned(spark, "Copyright and what it is.", "Creative Commons: some rights reserved.", "Copyright " + "word " * 99 + "rights reserved") == []
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = sorted(r.doc_id for r in docs.collect() if "All rights reserved." in (r.text or ""))
+    assert want and sorted(r.doc_id for r in scan_licenses(docs).where("license = 'Proprietary' AND differences = 0").collect()) == want
+
+
+@pytest.mark.parametrize("name, k", [(name, k) for name, texts in FORMS.items() for k in range(len(texts))])
+def test_further_forms(name, k):
+    words = FORMS[name][k].replace("{holder}", "2020, 2021 Ann Bell and others").split()
+    lines = "\n".join("# " + " ".join(words[i : i + 9]) for i in range(0, len(words), 9))
+    rows = Scanner(TEMPLATES, FORMS).scan(f"import this\n{lines if len(words) > 20 else ' '.join(words)}\nand after")
+    assert [(r[0], r[3], r[4], r[5]) for r in rows] == [(name, 0, [], [])]
