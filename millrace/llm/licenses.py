@@ -4,6 +4,7 @@ Blocks of text around words that license notices use are compressed twice with z
 alone, and with each notice as a raw dictionary. The notice that saves the most bytes
 describes the block best; those whose words the block has are held against it word by word,
 and the one with the fewest differences wins if at most TOLERANCE of its words differ.
+Its words are cut out, and so on with what is left of the block until no notice is confirmed.
 What differs - words of the notice that are missing, words put in between - is reported.
 
 Notices of a line (TEMPLATES, and FORMS of few words) are looked for in parts of lines. Notices
@@ -19,7 +20,9 @@ functions in the scan, and only documents that hold one reach Python.
 
 Defined results: null and empty texts have no blocks; repeated rows are each reported; an
 empty table gives no rows; other columns are ignored; of notices with equally few
-differences the one that saves more bytes wins, then the first by name.
+differences the one that saves more bytes wins, then the first by name. Notices that don't
+share words are all reported, repeated ones too; block_start and saved_bytes of one found in
+what was left are of that part of the block.
 """
 
 from __future__ import annotations
@@ -246,8 +249,8 @@ class Scanner:
         before = start + j
         return missing[::-1], block[max(0, before - first) : before] + put_in[::-1] + block[after : after + last]
 
-    def confirmed(self, text: str, lo: int, hi: int, notices: list[Notice]) -> tuple[list[tuple], list[tuple[int, int]]]:
-        """Rows of the notices that a block holds, and the places of their words."""
+    def confirmed(self, text: str, lo: int, hi: int, notices: list[Notice]) -> tuple[list[tuple[int, tuple]], list[tuple[int, int]]]:
+        """Where each notice in a block begins with its row, and the places of their words."""
         at = [(m.start(), m.end()) for m in _WORD.finditer(text, lo, hi)]
         words = [text[a:b].lower() for a, b in at]
         there = set(words)
@@ -258,11 +261,21 @@ class Scanner:
         plain = len(self.alone.compress(raw))
         saved = [plain - len(n.given.compress(raw)) for n in able]
         hits = sorted((d, -s, n.name, start - end, start, end, k) for k, (n, s) in enumerate(zip(able, saved, strict=True)) for d, start, end in self.matches(n, words))
-        if not hits:
-            return [], []
-        differ, less, name, _, start, end, k = hits[0]
-        missing, added = self.wording(able[k].words, words, (start, end), able[k].lacks)
-        return [(name, lo, -less, differ, missing, added)], [(at[start][0], at[end - 1][1])]
+        rows, places = [], []
+        free = np.ones(len(words), bool)
+        for differ, less, name, _, start, end, k in hits:
+            if free[start:end].all():
+                free[start:end] = False
+                missing, added = self.wording(able[k].words, words, (start, end), able[k].lacks)
+                rows.append((at[start][0], (name, lo, -less, differ, missing, added)))
+                places.append((at[start][0], at[end - 1][1]))
+        cuts = sorted(places)
+        if cuts:
+            for left, right in zip([lo, *(b for _, b in cuts)], [*(a for a, _ in cuts), hi], strict=True):
+                more, further = self.confirmed(text, left, right, notices)
+                rows += more
+                places += further
+        return rows, places
 
     def scan(self, text: str) -> list[tuple]:
         found, taken = [], []
@@ -272,7 +285,7 @@ class Scanner:
                 found += rows
                 if across:
                     taken = sorted(taken + places)
-        return found
+        return [row for _, row in sorted(found, key=lambda x: x[0])]
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:

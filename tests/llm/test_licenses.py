@@ -54,3 +54,17 @@ def test_further_forms(name, k):
     lines = "\n".join("# " + " ".join(words[i : i + 9]) for i in range(0, len(words), 9))
     rows = Scanner(TEMPLATES, FORMS).scan(f"import this\n{lines if len(words) > 20 else ' '.join(words)}\nand after")
     assert [(r[0], r[3], r[4], r[5]) for r in rows] == [(name, 0, [], [])]
+
+
+def test_all_notices_of_a_line(spark):
+    cc, mit, apache = (TEMPLATES[x] for x in ("CC-BY-NC-4.0", "MIT", "Apache-2.0"))
+    texts = [f"{cc} {mit}", f"{mit} {mit}", f"Parts: {apache} Others: {mit} Data: {cc} Copyright 2024 Acme. All rights reserved.", " ".join([mit, cc] * 200)]
+    want = [(0, "CC-BY-NC-4.0", 0), (0, "MIT", 0), (1, "MIT", 0), (1, "MIT", 0)]
+    want += [(2, x, 0) for x in ("Apache-2.0", "CC-BY-NC-4.0", "MIT", "Proprietary")] + [(3, x, 0) for x in ("CC-BY-NC-4.0", "MIT") for _ in range(200)]
+    assert scanned(spark, *texts) == want
+    assert [r[0] for r in Scanner(TEMPLATES, FORMS).scan(texts[2])] == ["Apache-2.0", "MIT", "CC-BY-NC-4.0", "Proprietary"]
+
+
+def test_one_row_for_one_notice(spark):
+    assert scanned(spark, *TEMPLATES.values()) == sorted((i, x, 0) for i, x in enumerate(TEMPLATES))
+    assert scanned(spark, "Copyright 2024 Acme. " + FORMS["MIT"][0] + " " + TEMPLATES["MIT"]) == [(0, "MIT", 0), (0, "MIT", 0)]
