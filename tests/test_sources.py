@@ -9,7 +9,7 @@ import pytest
 
 from millrace.sources import files, sinks
 from millrace.sources.excel import read_excel, sheet_metadata
-from millrace.sources.rest import auth_headers, read_rest, records_of
+from millrace.sources.rest import RestReader, auth_headers, read_rest, records_of
 
 
 @pytest.mark.parametrize("sep", [",", ";", "\t", "|", ":"])
@@ -145,3 +145,50 @@ def test_kinds():
 def test_report(spark):
     page = sinks.report_html(spark.sql("SELECT '<b>' AS name, cast(NULL AS int) AS n"), "A & B")
     assert "&lt;b&gt;" in page and "A &amp; B" in page and "<td></td>" in page
+
+
+class Paged(http.server.BaseHTTPRequestHandler):
+    """23 records; the path tells how the service behaves."""
+
+    def do_GET(self):  # noqa: N802
+        at = urllib.parse.urlparse(self.path)
+        q = {k: int(v[0]) for k, v in urllib.parse.parse_qs(at.query).items()}
+        size = min(q.get("per_page", q.get("limit", 100)), 3 if at.path == "/capped" else 100)
+        start = (q["page"] - 1) * size if "page" in q else q["offset"]
+        start = min(start, 20) if at.path == "/clamped" else start
+        body = {"items": [{"id": i} for i in range(23)][start : start + size]}
+        body |= {"/flag": {"has_more": start + size < 23}, "/total": {"total_count": 23}, "/next": {"next_page": 1 if start + size < 23 else None}}.get(at.path, {})
+        if not body["items"]:
+            body = {"message": "no more"} if at.path == "/words" else body
+        self.send_response(404 if at.path in ("/missing", "/flag", "/next") and not body.get("items") else 200)
+        self.end_headers()
+        self.wfile.write(json.dumps(body["items"] if at.path == "/list" else body).encode())
+
+    def log_message(self, *args):
+        pass
+
+
+@pytest.fixture(scope="module")
+def paged():
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Paged)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/"
+    server.shutdown()
+
+
+@pytest.mark.parametrize("pagination", ["offset", "page"])
+@pytest.mark.parametrize("path", ["plain", "list", "flag", "next", "total", "capped", "missing", "words", "clamped"])
+@pytest.mark.parametrize("pages", [None, 2])
+def test_services_are_read_to_their_end(paged, path, pagination, pages):
+    reader = RestReader({"path": paged + path, "pagination": pagination, "pagesize": "5"} | ({"pages": str(pages)} if pages else {}))
+    got = [json.loads(r)["id"] for p in reader.partitions() for _, r in reader.read(p)]
+    assert sorted(got) == list(range(23))
+    assert len(reader.partitions()) == (pages or (5 if path == "total" else 1))
+
+
+def test_services_without_pages_given(spark, paged):
+    assert sorted(r.id for r in read_rest(spark, paged + "total", "id long", pagination="offset", pageSize=5).collect()) == list(range(23))
+    with pytest.raises(ValueError, match="alike"):
+        reader = RestReader({"path": paged + "plain", "pagination": "page", "pagename": "p", "pagesize": "23"})
+        reader._place = lambda at: {"offset": 0, "limit": 23}
+        list(reader.read(reader.partitions()[0]))
