@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 import tarfile
 import xml.etree.ElementTree as ET
 import zipfile
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,15 +81,47 @@ def detect_delimiter(lines: list[str]) -> str:
         return counts.most_common(1)[0][0] if counts else ","
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None) -> DataFrame:
-    """All columns as text; names and values trimmed, empty ones null."""
-    sample = head(spark, path, CHECKED_LINES) if delimiter is None or encoding is None else []
-    encoding = encoding or detect_encoding(sample)
-    delimiter = delimiter or detect_delimiter([x.decode(encoding, "replace") for x in sample])
-    rows = spark.read.option("encoding", encoding).csv(path, sep=delimiter, header=True, inferSchema=False, escape='"', multiLine=False)
+def csv_kinds(spark: SparkSession, path: str) -> DataFrame:
+    """For each file with lines: its encoding, by all of its bytes, and whether a line has an odd number of quotes, as where a quoted value goes on in the next."""
+    line = F.col("value").cast("binary")
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
+    marked = F.max(F.substring(line, 1, 2).isin(F.lit(b"\xff\xfe"), F.lit(b"\xfe\xff"))) & F.max(F.contains(line, F.lit(b"\0")))
+    encoding = F.when(marked, "UTF-16").when(F.min(F.expr("is_valid_utf8(value)")), "UTF-8").otherwise("ISO-8859-1")
+    return spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(encoding.alias("encoding"), F.max(quotes % 2 == 1).alias("odd"))
+
+
+def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None, multi_line: bool | None = None) -> DataFrame:
+    """All columns as text; names and values trimmed, empty ones null.
+
+    Encoding and whether values hold line breaks are told for each file from all of it, in one
+    distributed pass, unless both are given. Only files without such values are split among tasks;
+    line breaks in values become line feeds.
+    """
+    if delimiter is None:
+        sample = head(spark, path, CHECKED_LINES)
+        delimiter = detect_delimiter(b"\n".join(sample).decode(encoding or detect_encoding(sample), "replace").splitlines())
+    kinds: dict[tuple[str, bool], list[str]] = {}
+    for r in csv_kinds(spark, path).collect() if encoding is None or multi_line is None else []:
+        told = encoding or r.encoding
+        wide = told.upper().startswith(("UTF-16", "UTF-32"))
+        kinds.setdefault((told, (r.odd or wide) if multi_line is None else multi_line), []).append(r.file)
+    if len(kinds) < 2:
+        told, broken = next(iter(kinds), (encoding or "UTF-8", bool(multi_line)))
+        rows = _csv(spark, path, delimiter, told, broken)
+    else:
+        base = {"basePath": path} if all(f"{path.rstrip('/')}/" in unquote(f) for x in kinds.values() for f in x) else {}
+        rows = None
+        for (told, broken), found in sorted(kinds.items()):
+            paths = [re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(f)) for f in found]
+            more = _csv(spark, paths, delimiter, told, broken, rows and rows.schema, **base)
+            rows = rows.union(more) if rows else more
     return rows.select(*(F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c.strip()) for c in rows.columns))
 
 
+def _csv(spark: SparkSession, path: str | list[str], delimiter: str, encoding: str, multi_line: bool, schema: StructType | None = None, **options: str) -> DataFrame:
+    return spark.read.options(encoding=encoding, **options).csv(path, schema, sep=delimiter, header=True, inferSchema=False, escape='"', multiLine=multi_line)
+
+
 def check_csv(spark: SparkSession, path: str, size: int, delimiter: str = ",") -> DataFrame:
     """One row: whether extension, size and the spread of column counts in the first lines are right."""
     lines = spark.read.text(path).limit(CHECKED_LINES).select((F.size(F.split("value", f"\\Q{delimiter}\\E"))).alias("n"))

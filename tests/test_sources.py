@@ -192,3 +192,29 @@ def test_services_without_pages_given(spark, paged):
         reader = RestReader({"path": paged + "plain", "pagination": "page", "pagename": "p", "pagesize": "23"})
         reader._place = lambda at: {"offset": 0, "limit": 23}
         list(reader.read(reader.partitions()[0]))
+
+
+def test_csv_keeps_values_with_line_breaks(spark, tmp_path):
+    path = tmp_path / "b.csv"
+    path.write_text('id,note,n\n1,"first\nsecond, ""x""\n\nlast",5\n2,plain,6\n')
+    assert [tuple(r) for r in files.read_csv(spark, str(path)).collect()] == [("1", 'first\nsecond, "x"\n\nlast', "5"), ("2", "plain", "6")]
+    assert files.read_csv(spark, str(path), multi_line=True).count() == 2 and files.read_csv(spark, str(path), ",", "UTF-8", True).count() == 2
+    (tmp_path / "e.csv").write_text("")
+    assert files.read_csv(spark, str(tmp_path / "e.csv"), ",").count() == 0
+
+
+def test_csv_encoding_is_told_from_the_whole_file(spark, tmp_path):
+    lines = ["id,name", *(f"{i},ann" for i in range(50)), "50,José"]
+    for name, encoding in (("l.csv", "latin-1"), ("u.csv", "utf-8"), ("w.csv", "utf-16")):
+        (tmp_path / name).write_bytes("\n".join(lines).encode(encoding))
+        got = {r.id: r.name for r in files.read_csv(spark, str(tmp_path / name)).collect()}
+        assert len(got) == 51 and got["50"] == "José"
+
+
+def test_csv_folder_of_several_kinds(spark, tmp_path):
+    folder = tmp_path / "of all%20 kinds"
+    for k, (text, encoding) in enumerate([("1,José", "latin-1"), ("2,José", "utf-8"), ('3,"a\nb"', "utf-8"), ('4,"é\nb"', "latin-1"), ("5,plain", "utf-8")]):
+        (folder / f"day={k % 2}").mkdir(parents=True, exist_ok=True)
+        (folder / f"day={k % 2}" / f"[{k}] x%41.csv").write_bytes(f"id,name\n{text}\n".encode(encoding))
+    got = sorted((r.id, r.name, r.day) for r in files.read_csv(spark, str(folder), ",").collect())
+    assert got == [("1", "José", "0"), ("2", "José", "1"), ("3", "a\nb", "0"), ("4", "é\nb", "1"), ("5", "plain", "0")]
