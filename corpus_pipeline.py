@@ -12,7 +12,7 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language, or with two codewords equally near, go."""
+    """Documents without a language go."""
     return language_id.keep_identified(docs)
 
 

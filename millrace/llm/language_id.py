@@ -140,6 +140,10 @@ def train(labelled: DataFrame, most: int = MOST_TRAINING) -> Ecoc | None:
     return Ecoc(langs, counts)
 
 
+def has_letter() -> F.Column:
+    return F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))
+
+
 def predict(docs: DataFrame, model: Ecoc | None) -> DataFrame:
     """All columns of docs with lang_pred, score (0 to 1) and ambiguous."""
     marked = docs.withColumn("lang_pred", F.lit(UNDETERMINED)).withColumn("score", F.lit(0.0)).withColumn("ambiguous", F.lit(True))
@@ -147,7 +151,6 @@ def predict(docs: DataFrame, model: Ecoc | None) -> DataFrame:
         return marked
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    has_letter = F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -169,7 +172,7 @@ def predict(docs: DataFrame, model: Ecoc | None) -> DataFrame:
 
     own = docs.drop("lang_pred", "score", "ambiguous")
     schema = own.limit(0).withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).withColumn("ambiguous", F.lit(True)).schema
-    return own.withColumn("_millrace_body", F.col("text").cast("binary")).withColumn("_millrace_letters", has_letter).mapInArrow(run, schema)
+    return own.withColumn("_millrace_body", F.col("text").cast("binary")).withColumn("_millrace_letters", has_letter()).mapInArrow(run, schema)
 
 
 def held_out() -> F.Column:
@@ -184,10 +187,15 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose language is determined and not ambiguous; learned from the rows not held out."""
+    """The rows of docs, all columns, whose language is determined; learned from the rows not held out.
+
+    Ambiguous texts stay: they are short or in several languages. Without a labelled row all that have a letter stay.
+    """
     model = train(docs.where(~held_out()).select("doc_id", "text", "lang"))
+    if model is None:
+        return docs.where(has_letter())
     marks = ("lang_pred", "score", "ambiguous")
     own = [c for c in docs.columns if c in marks]
     renamed = docs.withColumnsRenamed({c: f"own_{c}" for c in own})
-    kept = predict(renamed, model).where(f"lang_pred <> '{UNDETERMINED}' AND NOT ambiguous").drop(*marks)
+    kept = predict(renamed, model).where(f"lang_pred <> '{UNDETERMINED}'").drop(*marks)
     return kept.withColumnsRenamed({f"own_{c}": c for c in own}).select(*docs.columns)

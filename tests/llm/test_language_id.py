@@ -1,6 +1,8 @@
 import zlib
 
-from millrace.llm.language_id import codewords, identify, predict, train
+from pyspark.sql import functions as F
+
+from millrace.llm.language_id import codewords, identify, keep_identified, predict, train
 
 
 def test_codewords_keep_their_distance():
@@ -36,3 +38,12 @@ def test_edges(spark, sf_dir):
     assert {r.lang_pred for r in identify(unlabelled).collect()} == {"und"}
     one = docs.selectExpr("doc_id", "text", "'xx' AS lang")
     assert {r.lang_pred for r in identify(one).collect()} == {"xx"}
+
+
+def test_only_texts_without_a_language_are_dropped(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").where("lang IS NOT NULL")
+    first = {r.lang: r.text for r in docs.groupBy("lang").agg(F.max_by("text", F.length("text")).alias("text")).collect()}
+    mixed = " ".join(t[:300] for t in first.values())
+    odd = spark.createDataFrame([(-1, "A.", None), (-2, "De.", None), (-3, "x", None), (-4, mixed, None), (-5, "中", None), (-6, "1 2.", None), (-7, None, None)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in keep_identified(docs.unionByName(odd)).where("doc_id < 0").collect()} == {-1, -2, -3, -4, -5}
+    assert {r.doc_id for r in keep_identified(odd).collect()} == {-1, -2, -3, -4, -5}
