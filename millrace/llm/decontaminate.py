@@ -1,13 +1,15 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Tokens are lower-cased runs of letters, digits and bytes beyond ASCII. A seed is a mask
+Tokens are lower-cased runs of letters, digits and bytes beyond ASCII; in scripts without
+spaces between words every character is one. A seed is a mask
 over token positions: it hashes the positions it keeps and ignores the others, so a
 substituted token under an ignored position does not hide a hit. The two masks hit every
 run of WINDOW aligned tokens that has at most SUBSTITUTIONS substitutions (which their
 test proves by going through all cases). Hashes of the benchmark are joined with those of
 the documents; around a hit the aligned tokens are compared and the overlap is reported
-if it holds such a run. Items of fewer tokens than WINDOW must occur as a whole; items of
-fewer than SHORTEST tokens are not searched for.
+if it holds such a run. Items of fewer tokens than WINDOW must occur as a whole: with at most
+one substitution from TOLERANT tokens on, for which each of three masks leaves out a third of
+them, and without any if they are shorter. Of these the first occurrence is reported.
 
 The benchmark side of the join is broadcast in parts of at most PART_TOKENS tokens, so what
 a task holds is bounded however large the benchmark is; more parts mean more passes over
@@ -34,27 +36,58 @@ from millrace.session import settle
 
 WINDOW = 13
 SUBSTITUTIONS = 2
-SHORTEST = 5
+SHORTEST = 1
+TOLERANT = 6
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 #: Benchmark tokens that are broadcast at once: 8 bytes each, and 16 for each mask.
 PART_TOKENS = 500_000
 CHUNK_BYTES = 1 << 20
 OUT = "doc_id long, item_id long, overlap_tokens long, equal_tokens long, doc_start long, item_start long"
 
+# Code points of scripts without spaces between words: Thai and Lao, Burmese, Khmer, Japanese, Chinese.
+UNSPACED = ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
+
 _WORD = np.zeros(256, bool)
 _WORD[[*b"0123456789abcdefghijklmnopqrstuvwxyz", *range(128, 256)]] = True
 
 
+def unspaced_edges(raw: np.ndarray) -> np.ndarray | None:
+    """Marks of the bytes at which a character of an unspaced script begins or has just ended."""
+    lead = np.flatnonzero(raw >= 0xE0)
+    if not len(lead):
+        return None
+    four = raw[lead] >= 0xF0
+    b = np.concatenate((raw, np.zeros(3, np.uint8))).astype(np.int64)
+    low = [b[lead + k] & 63 for k in (1, 2, 3)]
+    code = np.where(four, (b[lead] & 7) << 18 | low[0] << 12 | low[1] << 6 | low[2], (b[lead] & 15) << 12 | low[0] << 6 | low[1])
+    found = np.zeros(len(lead), bool)
+    for lo, hi in UNSPACED:
+        found |= (code >= lo) & (code <= hi)
+    edges = np.zeros(len(raw) + 4, bool)
+    edges[lead[found]] = True
+    edges[lead[found] + 3 + four[found]] = True
+    return edges[: len(raw)]
+
+
 def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each token of a lower-cased column, and the index of each row's first token."""
     raw, offsets = utf8(column)
-    starts, ends, first = word_spans(raw, _WORD, offsets)
+    starts, ends, first = word_spans(raw, _WORD, offsets, unspaced_edges(raw))
     return span_hashes(raw, starts, ends), first
 
 
-def seeds(tokens: np.ndarray, first: np.ndarray, mask: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Positions from which the mask fits into its row, and the hashes there."""
-    span = mask[-1] + 1
+def tolerated(width: int) -> int:
+    """Substitutions in an aligned run of so many tokens."""
+    return SUBSTITUTIONS if width == WINDOW else int(width >= TOLERANT)
+
+
+def whole_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks that hit an item of n tokens with as many substitutions as are tolerated."""
+    return [tuple(k for k in range(n) if k * 3 // n != third) for third in range(3)] if tolerated(n) else [tuple(range(n))]
+
+
+def seeds(tokens: np.ndarray, first: np.ndarray, mask: tuple[int, ...], span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions from which the span of a mask fits into its row, and the hashes there."""
     n = len(tokens) - span + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -75,12 +108,12 @@ class Benchmark:
         lengths = np.diff(first)
         row = np.repeat(np.arange(len(lengths)), lengths)
         whole = sorted({int(n) for n in lengths if SHORTEST <= n < WINDOW})
-        self.masks = [*MASKS, *(tuple(range(n)) for n in whole)]
+        self.masks = [*((mask, mask[-1] + 1, False) for mask in MASKS), *((mask, n, True) for n in whole for mask in whole_masks(n))]
         self.seeds = []
-        for i, mask in enumerate(self.masks):
-            at, h = seeds(tokens, first, mask)
+        for mask, span, is_whole in self.masks:
+            at, h = seeds(tokens, first, mask, span)
             own = lengths[row[at]]
-            keep = own >= WINDOW if i < len(MASKS) else own == len(mask)
+            keep = own == span if is_whole else own >= WINDOW
             at, h = at[keep], h[keep]
             order = np.argsort(h, kind="stable")
             marks = np.zeros(1 << 20, bool)
@@ -91,8 +124,8 @@ class Benchmark:
         """Distinct (row, item, diagonal) of all seed hits."""
         row = np.repeat(np.arange(len(first) - 1), np.diff(first))
         found = []
-        for mask, (known, where, item, marks) in zip(self.masks, self.seeds, strict=True):
-            at, h = seeds(tokens, first, mask)
+        for (mask, span, is_whole), (known, where, item, marks) in zip(self.masks, self.seeds, strict=True):
+            at, h = seeds(tokens, first, mask, span)
             may = marks[h >> np.uint64(44)]
             at, h = at[may], h[may]
             lo, hi = np.searchsorted(known, h, "left"), np.searchsorted(known, h, "right")
@@ -102,7 +135,10 @@ class Benchmark:
             pick = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             doc_at = np.repeat(at, n)
             r = row[doc_at]
-            found.append(np.stack((r, item[pick], (doc_at - first[r]) - (where[pick] - self.first[item[pick]])), axis=1))
+            hit = np.stack((r, item[pick], (doc_at - first[r]) - (where[pick] - self.first[item[pick]])), axis=1)
+            if is_whole and not tolerated(span):  # all are equal, and there may be many
+                hit = hit[np.unique(hit[:, :2], axis=0, return_index=True)[1]]
+            found.append(hit)
         return np.unique(np.concatenate(found), axis=0).tolist() if found else []
 
     def overlap(self, doc: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int, int] | None:
@@ -114,7 +150,7 @@ class Benchmark:
             return None
         equal = own[lo:hi] == doc[lo + diagonal : hi + diagonal]
         sums = np.concatenate(([0], np.cumsum(equal)))
-        good = np.flatnonzero(sums[width:] - sums[:-width] >= width - (SUBSTITUTIONS if width == WINDOW else 0))
+        good = np.flatnonzero(sums[width:] - sums[:-width] >= width - tolerated(width))
         if not len(good):
             return None
         covered = np.zeros(hi - lo, bool)
@@ -126,10 +162,11 @@ class Benchmark:
 
 def _parts(benchmark: DataFrame) -> Iterator[Benchmark]:
     """The benchmark in parts of bounded size, each fetched when its turn comes."""
+    unspaced = "[^" + "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in UNSPACED) + "]+"
     items = settle(
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.coalesce("text", F.lit(""))).alias("body"))
         .where("item_id IS NOT NULL")
-        .withColumn("size", F.size(F.split("body", r"[^0-9a-z\x{80}-\x{10ffff}]+")))
+        .withColumn("size", F.size(F.split("body", r"[^0-9a-z\x{80}-\x{10ffff}]+")) + F.length(F.regexp_replace("body", unspaced, "")) * 2)
     )
     total = items.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     parts = max(1, -(-total * 2 // PART_TOKENS)) if total > PART_TOKENS else 1

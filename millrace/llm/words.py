@@ -37,8 +37,8 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((sums[ends] - sums[starts]) * inv[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
-def word_spans(raw: np.ndarray, is_word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of word bytes within each row, and the index of the first word of each row (and of the end)."""
+def word_spans(raw: np.ndarray, is_word: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of word bytes within each row, cut before marked bytes, and the index of the first word of each row (and of the end)."""
     inside = is_word[raw]
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
@@ -50,5 +50,8 @@ def word_spans(raw: np.ndarray, is_word: np.ndarray, offsets: np.ndarray) -> tup
     begins[edges] = inside[edges]
     last = edges[edges > 0] - 1
     stops[last] = inside[last]
+    if cuts is not None:
+        begins |= inside & cuts
+        stops[:-1] |= inside[:-1] & cuts[1:]
     starts = np.flatnonzero(begins)
     return starts, np.flatnonzero(stops) + 1, np.searchsorted(starts, offsets)

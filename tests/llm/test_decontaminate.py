@@ -69,3 +69,14 @@ def test_table_equals_brute_force(spark, sf_dir):
     got = gather(contaminated(docs, bench))
     assert got == brute(rows, items)
     assert got
+
+
+def test_short_items_and_unspaced_scripts(spark):
+    for n in range(d.TOLERANT, d.WINDOW):
+        assert all(any(bad not in mask for mask in d.whole_masks(n)) for bad in range(n))
+    seven, twelve = "a1 b1 c1 d1 e1 f1 g1", " ".join(f"t{k}" for k in range(12))
+    chinese, thai = "床前明月光疑是地上霜举头望明月", "กรุงเทพมหานคร"
+    items = [(1, "yes"), (2, "nine lives"), (3, seven), (4, twelve), (5, chinese), (6, thai), (7, "東京")]
+    docs = [(1, "no, yes! " + "yes " * 999), (2, "of nine lives"), (3, seven.replace("a1", "x")), (4, "u " + twelve.replace("t6", "x")), (5, "诗:" + chinese.replace("疑", "乃") + "。"), (6, "a" + thai + "b"), (7, "x東京y"), (8, seven.replace("b1", "x").replace("f1", "y") + " nine x lives 東x京")]
+    got = gather(contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    assert got == {(1, 1): [(1, 1, 1, 0)], (2, 2): [(2, 2, 1, 0)], (3, 3): [(7, 6, 0, 0)], (4, 4): [(12, 11, 1, 0)], (5, 5): [(15, 14, 1, 0)], (6, 6): [(13, 13, 1, 0)], (7, 7): [(2, 2, 1, 0)]}
