@@ -1,4 +1,9 @@
-"""Arrow helpers for the operators that run Python inside tasks."""
+"""Arrow helpers for the operators that run Python inside tasks.
+
+What a Python worker is handed at once is bounded by Spark's own setting for the bytes of an
+Arrow batch (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set), so that the
+operators leave the session as it is.
+"""
 
 from __future__ import annotations
 
@@ -6,15 +11,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
-
-#: Rows in a batch that a Python task holds at once; texts can be long.
-BATCH_ROWS = 1000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds: whole texts travel in batches of few rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -32,7 +32,6 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.arrow import small_batches
 
 #: Symbols that are encoded without halving.
 LEAF = 96
@@ -206,7 +205,6 @@ def _coder(path: str) -> TreeBpe:
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids (array of int) and the decoded text of each document."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path)
@@ -226,7 +224,6 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256: as encode(), of which only digests leave the task."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path)

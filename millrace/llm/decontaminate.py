@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.arrow import in_chunks, small_batches, utf8
+from millrace.llm.arrow import in_chunks, utf8
 from millrace.llm.exact_dedup import content_key
 from millrace.llm.words import mix, span_hashes, word_spans
 from millrace.session import settle
@@ -180,7 +180,6 @@ def _parts(benchmark: DataFrame) -> Iterator[Benchmark]:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id and the largest overlap for each document that holds a passage of an item."""
     spark = docs.sparkSession
-    small_batches(spark)
     lowered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("body"))
     found = None
     for part in _parts(benchmark):

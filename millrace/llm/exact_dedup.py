@@ -23,7 +23,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.arrow import small_batches
 from millrace.session import settle
 
 SLOTS = 4
@@ -214,7 +213,6 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def groups_of(rows: DataFrame) -> DataFrame:
     """One row for each distinct digest: the row that stays and the number of members."""
-    small_batches(rows.sparkSession)
     partial = rows.mapInArrow(_partial, GROUP)
     return partial.repartition("sha").sortWithinPartitions("sha").mapInArrow(_merged, GROUP)
 

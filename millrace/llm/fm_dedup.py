@@ -5,18 +5,21 @@ consecutive words of one document; each word is removed that a window covers who
 also start in a document with a smaller doc_id. Windows are judged on the input.
 
 `windows` routes text that may recur to shards. A shard numbers its words, builds the
-Burrows-Wheeler transform of its pieces and stores it as a wavelet matrix of packed bits
-with sampled counts. Documents' pieces are then streamed through it: backward search
-extends a match by one word to the left and, where it grows past the threshold, widens the
-interval to the matches of threshold length again. So at every position the matching
-statistic (capped at the threshold) and its interval are known; where it reaches the
-threshold, the least doc_id in the interval is reported. All pieces of a shard move one step
-at a time, as arrays.
+Burrows-Wheeler transform of its pieces and keeps of it: wavelet bits of the transform,
+wavelet bits of the owners in the order of suffixes, and a bit wherever neighbours share
+fewer than WINDOW - 1 words. Suffix order and text are dropped. The pieces of documents that
+may lose words - all but an anchor's first holder - are then streamed through it: backward
+search extends a match by one word to the left, after widening its interval to the matches of
+WINDOW - 1 words where it has as many. So at every position the matching statistic (capped
+at the threshold) and its interval are known; where it reaches the threshold, a descent
+through the owners' bits gives the least doc_id of the interval. All streamed pieces of a
+shard move one step at a time, as arrays.
 
 Defined results: null text has no words; kept words are joined by one space (no words: the
 digest of the empty text); a null doc_id is larger than any other, and rows that share a
 doc_id don't remove each other's words; repeated rows are each returned; an empty table
-gives no rows; other columns are ignored.
+gives no rows; other columns are ignored. A very long text is cut into pieces by anchors and
+rejoined by its spans alone.
 """
 
 from __future__ import annotations
@@ -29,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.arrow import small_batches
+from millrace.llm.arrow import utf8
 from millrace.llm.windows import Units, cover, keyed, merged_spans, shared_windows
 from millrace.llm.words import span_hashes, word_spans
 
 WINDOW = 50
 GRAM = 8
+#: Starts of a streamed piece that are searched one after the other.
+STRETCH = 256
 OUT = "n_words long, n_removed long, kept_sha256 string"
 
 _WORD = np.ones(256, bool)
@@ -50,40 +55,74 @@ def _bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return word_spans(raw, _WORD, offsets)[:2]
 
 
-WORDS = Units(WINDOW, GRAM, _hashes, _bounds)
+def _plain(text: bytes) -> bytes:
+    return b" ".join(text.split())
+
+
+WORDS = Units(WINDOW, GRAM, _hashes, _bounds, _plain)
+
+
+class Bits:
+    """Packed bits with counts for each 64 of them."""
+
+    def __init__(self, bits: np.ndarray):
+        packed = np.packbits(bits.astype(np.uint8), bitorder="little")
+        self.words = np.zeros(len(bits) // 64 + 1, np.uint64)
+        self.words.view(np.uint8)[: len(packed)] = packed
+        self.counts = np.concatenate(([0], np.cumsum(np.bitwise_count(self.words).astype(np.int64)))).astype(np.int32)
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """How many are set before each position."""
+        block = at >> 6
+        below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.counts[block] + np.bitwise_count(self.words[block] & below)
+
+    def select(self, k: np.ndarray) -> np.ndarray:
+        """Where the bit stands before which k are set."""
+        block = np.searchsorted(self.counts, k, "right") - 1
+        word, left = self.words[block], k - self.counts[block]
+        at = np.zeros(len(k), np.int64)
+        for span in (32, 16, 8, 4, 2, 1):  # halves of what is left of the word
+            low = np.bitwise_count((word >> at.astype(np.uint64)) & np.uint64((1 << span) - 1))
+            right = left >= low
+            left, at = np.where(right, left - low, left), np.where(right, at + span, at)
+        return block * 64 + at
 
 
 class WaveletMatrix:
-    """Rank queries over a sequence of small numbers, from packed bits and counts per 64 of them."""
+    """Counts of symbols and least symbols of ranges over a sequence of small numbers, from bits alone."""
 
     def __init__(self, values: np.ndarray, distinct: int):
         self.levels = max(1, int(distinct - 1).bit_length())
-        self.n = len(values)
-        self.words, self.counts, self.zeros = [], [], []
+        self.bits, self.zeros = [], []
         for level in reversed(range(self.levels)):
-            bits = (values >> level) & 1
-            packed = np.packbits(bits.astype(np.uint8), bitorder="little")
-            words = np.zeros(self.n // 64 + 1, np.uint64)
-            words.view(np.uint8)[: len(packed)] = packed
-            self.words.append(words)
-            self.counts.append(np.concatenate(([0], np.cumsum(np.bitwise_count(words).astype(np.int64)))))
-            self.zeros.append(int(self.n - bits.sum()))
-            values = np.concatenate((values[bits == 0], values[bits == 1]))
+            bit = (values >> level) & 1 == 1
+            self.bits.append(Bits(bit))
+            self.zeros.append(int(len(values) - bit.sum()))
+            values = np.concatenate((values[~bit], values[bit]))
         self.origin = self._descend(np.arange(distinct), np.zeros(distinct, np.int64))
 
     def _descend(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        for k, level in enumerate(reversed(range(self.levels))):
-            words, counts = self.words[k], self.counts[k]
-            block = at >> 6
-            below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-            ones = counts[block] + np.bitwise_count(words[block] & below)
-            at = np.where((symbol >> level) & 1, self.zeros[k] + ones, at - ones)
+        for bits, zeros, level in zip(self.bits, self.zeros, reversed(range(self.levels)), strict=True):
+            ones = bits.rank(at)
+            at = np.where((symbol >> level) & 1, zeros + ones, at - ones)
         return at
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol stands before position `at`."""
         return self._descend(symbol, at) - self.origin[symbol]
 
+    def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The least symbol of each range, which isn't empty."""
+        out = np.zeros(len(low), np.int64)
+        for bits, zeros in zip(self.bits, self.zeros, strict=True):
+            ones = bits.rank(np.concatenate((low, high)))
+            a, b = ones[: len(low)], ones[len(low) :]
+            none = high - b == low - a  # no zero in the range
+            low, high = np.where(none, zeros + a, low - a), np.where(none, zeros + b, high - b)
+            out = out * 2 + none
+        return out
+
 
 class FmIndex:
     """An index over pieces (arrays of numbers from 1), for matches of at most `most` symbols."""
@@ -91,80 +130,99 @@ class FmIndex:
     def __init__(self, pieces: list[np.ndarray], owners: np.ndarray, distinct: int, most: int):
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         ends = np.cumsum(lengths + 1)
-        text = np.zeros(int(ends[-1]), np.int64)
-        inner = np.ones(len(text), bool)
+        self.n, self.most = int(ends[-1]), most
+        # big-endian numbers of one width compare as strings do; a separator is 0
+        text = np.zeros(self.n + most, ">u2" if distinct < 1 << 16 else ">u4")
+        inner = np.ones(self.n, bool)
         inner[ends - 1] = False
-        text[inner] = np.concatenate(pieces)
-        order, block = self._sorted(text, ends - 1, most)
-        self.transform = WaveletMatrix(text[order - 1], distinct + 1)
-        self.before = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=distinct + 1))))
-        # neighbours in order that share `most` symbols form a block
-        opens = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-        self.block = np.cumsum(np.concatenate(([True], block[1:] != block[:-1]))) - 1
-        self.opens = np.append(opens, len(text))
-        self.least = np.minimum.reduceat(np.repeat(owners, lengths + 1)[order], opens)
-
-    @staticmethod
-    def _sorted(text: np.ndarray, separators: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """Suffixes in order, and for each in that order a number that tells its first `most` symbols."""
-        n = len(text)
-        rank = text + len(separators)
-        rank[separators] = np.arange(len(separators))  # a separator equals no other
-        span, prefix = 1, None
-        while True:
-            if prefix is None and span * 2 > most:
-                shift = most - span
-                prefix = rank * (rank.max() + 2) + np.concatenate((rank[shift:] + 1, np.zeros(shift, np.int64)))
-            key = rank * (rank.max() + 2) + np.concatenate((rank[span:] + 1, np.zeros(min(span, n), np.int64)))[:n]
-            order = np.argsort(key)
-            sorted_key = key[order]
-            new = np.concatenate(([0], np.cumsum(sorted_key[1:] != sorted_key[:-1])))
-            rank = np.empty(n, np.int64)
-            rank[order] = new
-            span *= 2
-            if prefix is not None and new[-1] == n - 1:
-                return order, prefix[order]
+        text[: self.n][inner] = np.concatenate(pieces)
+        size = text.itemsize
+        at = np.lib.stride_tricks.sliding_window_view(text.view(np.uint8), most * size)[:: size][: self.n]
+        order = np.argsort(np.ascontiguousarray(at).view(f"S{most * size}").ravel(), kind="stable")
+        near = np.ascontiguousarray(at[order, : (most - 1) * size]).view(f"S{(most - 1) * size}").ravel()
+        self.opens = Bits(np.concatenate(([True], near[1:] != near[:-1], [True])))
+        plain = text[: self.n].astype(np.int64)
+        self.transform = WaveletMatrix(plain[order - 1], distinct + 1)
+        self.before = np.concatenate(([0], np.cumsum(np.bincount(plain, minlength=distinct + 1))))
+        self.known = np.unique(owners)
+        self.owners = WaveletMatrix(np.repeat(np.searchsorted(self.known, owners), lengths + 1)[order], len(self.known))
 
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the matches extended by one symbol to the left."""
         both = self.transform.rank(np.concatenate((symbol, symbol)), np.concatenate((low, high)))
         return self.before[symbol] + both[: len(symbol)], self.before[symbol] + both[len(symbol) :]
 
-    def statistics(self, pieces: list[np.ndarray], most: int) -> list[np.ndarray]:
-        """For each start in each piece the least owner of the pieces that hold the `most` symbols there (-1: fewer are left).
+    def widened(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals around a position whose suffixes share `most` - 1 symbols."""
+        k = self.opens.rank(low + 1)
+        return self.opens.select(k - 1), self.opens.select(k)
 
-        The pieces are among those of the index, so that backward search never comes to an end.
+    def statistics(self, pieces: list[np.ndarray]) -> list[np.ndarray]:
+        """For each start in each piece the least owner of the pieces that hold the `most` symbols there (-1: none, or fewer are left).
+
+        Their symbols are the index's. A match of a piece of the index can always be extended;
+        pieces with one that can't are searched once more, each window by itself.
         """
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        turn = np.argsort(-lengths, kind="stable")
         ends = np.cumsum(lengths)
         text = np.concatenate(pieces)
         out = np.full(len(text), -1, np.int64)
-        whole = len(self.block)
-        low, high = np.zeros(len(pieces), np.int64), np.full(len(pieces), whole, np.int64)
-        size = np.zeros(len(pieces), np.int64)
-        at = ends[turn] - 1
-        lengths = lengths[turn]
+        # stretches of starts, each with the symbols that its last windows reach
+        parts = np.maximum(1, -(-np.maximum(0, lengths - self.most + 1) // STRETCH))
+        own = np.repeat(np.arange(len(pieces)), parts)
+        start = (np.arange(len(own)) - np.repeat(np.cumsum(parts) - parts, parts)) * STRETCH
+        size_of = np.minimum(lengths[own] - start, STRETCH + self.most - 1)
+        turn = np.argsort(-size_of, kind="stable")
+        lengths, at = size_of[turn], ((ends - lengths)[own] + start + size_of - 1)[turn]
+        low, high = np.zeros(len(own), np.int64), np.full(len(own), self.n, np.int64)
+        size = np.zeros(len(own), np.int64)
+        strange: set[int] = set()
         for done in range(int(lengths[0]) if len(lengths) else 0):
             live = int(np.searchsorted(-lengths, -done, "left"))  # longer than done
+            full = np.flatnonzero(size[:live] == self.most)
+            low[full], high[full] = self.widened(low[full])
+            size[full] -= 1
             here = at[:live] - done
-            symbol = text[here]
-            low[:live], high[:live] = self.step(symbol, low[:live], high[:live])
+            low[:live], high[:live] = self.step(text[here], low[:live], high[:live])
             size[:live] += 1
-            long = np.flatnonzero(size[:live] >= most)
-            block = self.block[low[long]]
-            low[long], high[long], size[long] = self.opens[block], self.opens[block + 1], most
-            out[here[long]] = self.least[block]
+            lost = np.flatnonzero(low[:live] >= high[:live])
+            low[lost], high[lost], size[lost] = 0, self.n, -len(text)
+            strange.update(own[turn[lost]].tolist())
+            found = np.flatnonzero(size[:live] == self.most)
+            out[here[found]] = self.known[self.owners.least(low[found], high[found])]
+        for k in strange:
+            lo = ends[k] - len(pieces[k])
+            out[lo : ends[k]] = self._each_window(pieces[k])
         return np.split(out, ends[:-1])
 
+    def _each_window(self, piece: np.ndarray) -> np.ndarray:
+        out = np.full(len(piece), -1, np.int64)
+        at = np.arange(len(piece) - self.most + 1)
+        low, high = np.zeros(len(at), np.int64), np.full(len(at), self.n, np.int64)
+        for k in reversed(range(self.most)):
+            low, high = self.step(piece[at + k], low, high)
+            there = low < high
+            at, low, high = at[there], low[there], high[there]
+        out[at] = self.known[self.owners.least(low, high)]
+        return out
+
 
-def least_owners(raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray, times: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+def least_owners(pieces: pa.RecordBatch, window: int) -> tuple[np.ndarray, ...]:
     """Piece, from, to and least id, among the pieces that hold the window, of the spans of windows that have one such id."""
+    anchor, ids, last = (pieces.column(c).to_numpy() for c in ("anchor", "id", "last_id"))
+    raw, offsets = utf8(pieces.column("piece"))
     known: dict[bytes, int] = {}
     data = raw.tobytes()
     numbered = [np.array([known.setdefault(w, len(known) + 1) for w in data[a:b].split()], np.int64) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-    who = np.concatenate(FmIndex(numbered, ids, len(known), window).statistics(numbered, window))
-    ends = np.cumsum(np.fromiter(map(len, numbered), np.int64, len(numbered)))
+    opens = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+    first = np.repeat(np.minimum.reduceat(ids, opens), np.diff(np.append(opens, len(ids))))
+    streamed = np.flatnonzero(last > first)  # the first holder of an anchor loses nothing there
+    if not len(streamed):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
+    stream = [numbered[k] for k in streamed.tolist()]
+    who = np.concatenate(FmIndex(numbered, ids, len(known), window).statistics(stream))
+    ends = np.cumsum(np.fromiter(map(len, stream), np.int64, len(stream)))
     # no span goes over the end of its piece, where windows don't fit
     edges = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1], [True])))
     a, b = edges[:-1], edges[1:]
@@ -172,7 +230,7 @@ def least_owners(raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray, times: n
     a, b = a[told], b[told]
     piece = np.searchsorted(ends, a, "right")
     begin = np.concatenate(([0], ends))[piece]
-    return piece, a - begin, b - begin, who[a]
+    return streamed[piece], a - begin, b - begin, who[a]
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +261,6 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     Rows without a repeated window are done in the scan; only the others' texts are joined
     with their spans.
     """
-    small_batches(docs.sparkSession)
     rows, candidates, covered = covered_words(docs)
     own, schema = ["id", "key"], f"id long, key long, doc_id long, {OUT}"
     plain = rows.select(*own, "doc_id", "body").mapInArrow(_kept, schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.arrow import in_chunks, small_batches, utf8
+from millrace.llm.arrow import in_chunks, utf8
 
 BINS = 1 << 14
 SMOOTHING = 0.5
@@ -119,7 +119,6 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(labelled: DataFrame, most: int = MOST_TRAINING) -> Ecoc | None:
     """Fit on text and lang of at most about `most` rows of labelled (doc_id, text, lang); None without labels."""
-    small_batches(labelled.sparkSession)
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
     total = rows.count()
     if total > most:
@@ -149,7 +148,6 @@ def predict(docs: DataFrame, model: Ecoc | None) -> DataFrame:
     marked = docs.withColumn("lang_pred", F.lit(UNDETERMINED)).withColumn("score", F.lit(0.0)).withColumn("ambiguous", F.lit(True))
     if model is None:
         return marked
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

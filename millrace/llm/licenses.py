@@ -37,7 +37,6 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.arrow import small_batches
 
 TOLERANCE = 0.2
 LEVEL = 19
@@ -290,7 +289,6 @@ class Scanner:
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """A row for each confirmed notice: doc_id, license, where its block starts, bytes saved, and the differences."""
-    small_batches(docs.sparkSession)
     known, further = (templates, None) if templates else (TEMPLATES, FORMS)
     lowered = F.lower(F.col("text").cast("string"))
     clue = reduce(lambda a, b: a | b, (F.contains(lowered, F.lit(c)) for c in CLUES))

@@ -27,7 +27,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.arrow import small_batches
 from millrace.llm.exact_dedup import content_key, row_id, without
 from millrace.operators.components import connected_components
 from millrace.session import settle
@@ -71,7 +70,6 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, a key of the row and its signed 64-bit fingerprint fp."""
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), content_key().alias("key"), F.col("text").cast("binary").alias("body")).mapInArrow(_prints, "doc_id long, key long, fp long")
 
 

@@ -27,7 +27,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.arrow import small_batches
 
 MARK = "▁"
 MOST_NODES = 600_000
@@ -117,7 +116,6 @@ _tries: dict[str, Trie] = {}
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_pretokens, n_tokens and the texts' unigram log score for each document."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _tries:

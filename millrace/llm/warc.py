@@ -30,7 +30,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.arrow import small_batches
 
 REVISIT_FROM = 100
 RECORDS_IN_ARCHIVE = 10_000
@@ -82,7 +81,6 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_warc(pages: DataFrame, path: str) -> None:
     """Write a record for each row of pages (page_id, url, html) into archives in the folder path."""
-    small_batches(pages.sparkSession)
     body = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("body")).withColumn("digest", F.sha2("body", 256))
     equal = (

@@ -7,8 +7,9 @@ those found once go, with nearly all of the corpus. Documents that hold a shared
 fetched, and the text under each run of a shared anchor becomes a piece, dealt out by anchor.
 Equal pieces are one piece with a count, so a group of copies costs a shard no more than one
 of them. An anchor with very many different pieces - a passage in ever new surroundings - is
-not left to one task: its windows are counted by their own hash, and only those that occur
-again are dealt out, each under that hash.
+not left to one task: its windows are counted by their own hash, and the texts of those whose
+hash occurs again are dealt out, each text once with its counts, to a shard for each hash. The
+hash only routes: what decides compares the texts.
 
 What decides - an FM-index or a suffix array over the pieces of a shard - is handed in.
 """
@@ -24,15 +25,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.arrow import in_chunks, small_batches, utf8
+from millrace.llm.arrow import in_chunks, utf8
 from millrace.llm.exact_dedup import content_key, row_id
 from millrace.llm.words import mix
 from millrace.session import settle, settle_table
 
 #: Bytes of text that a task turns into arrays at once.
 CHUNK_BYTES = 1 << 19
-#: Different pieces under one anchor beyond which its windows are dealt out one by one.
+#: Different pieces under one anchor beyond which its windows are dealt out by their own hash.
 CROWDED = 4000
+#: Bits of the hash that routes a window of a crowded piece.
+ROUTE_BITS = 64
+#: Windows of crowded pieces whose texts a task holds at once.
+TEXTS_AT_ONCE = 20_000
 #: Bytes of pieces that a shard indexes at once; a single anchor may have more.
 SHARD_BYTES = 1 << 20
 
@@ -42,13 +47,15 @@ class Units:
     """How text is cut into units.
 
     hashes: raw bytes and row offsets to a hash of each unit and the index of each row's
-    first unit. bounds: the same to byte starts and ends of each unit.
+    first unit. bounds: the same to byte starts and ends of each unit. plain: a text to the
+    form in which equal units are equal bytes.
     """
 
     window: int
     gram: int
     hashes: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
     bounds: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+    plain: Callable[[bytes], bytes]
 
 
 def _sliding(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
@@ -150,7 +157,7 @@ def pieces_of(candidates: DataFrame, units: Units) -> DataFrame:
                 a = begin[first[row] + start]
                 b = end[first[row] + start + count + units.window - 2]
                 data = part.tobytes()
-                texts = [data[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+                texts = [units.plain(data[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
                 marks = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64).view(np.int64)
                 yield pa.record_batch(
                     [pa.array(anchor.view(np.int64)), pa.array(marks), pa.array(key[lo + row]), pa.array(rank[lo + row]), pa.array(start.astype(np.int64)), pa.array(count.astype(np.int32)), pa.array(texts, pa.binary())],
@@ -162,6 +169,7 @@ def pieces_of(candidates: DataFrame, units: Units) -> DataFrame:
 
 def _windows(units: Units):
     """The windows of pieces, by the hash of their units."""
+    kept = np.uint64((1 << ROUTE_BITS) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,36 +183,45 @@ def _windows(units: Units):
                 total = np.zeros(max(0, len(h) - units.window + 1), np.uint64)
                 for k in range(units.window):
                     total = total * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(total)]
-                hashed = mix(total)[first[row] + off]
+                hashed = (mix(total) & kept)[first[row] + off]
                 of = lambda c: pa.array(batch.column(c).to_numpy()[lo + row])  # noqa: B023, E731
                 yield pa.record_batch([pa.array(hashed.view(np.int64)), of("anchor"), of("mark"), pa.array(off.astype(np.int32)), of("id"), of("times"), of("last_id")], names=["hash", "anchor", "mark", "off", "id", "times", "last_id"])
 
     return run
 
 
-def _cut(units: Units):
-    """The text of the listed windows of a piece, each as a piece of its own."""
+def _texts(units: Units):
+    """The listed windows of each piece: hash and a second hash of the text, place, counts, and the text where a chunk has it first."""
+    names = ["hash", "tell", "anchor", "mark", "off", "id", "last_id", "times", "text"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, seen = [], set()
         for batch in batches:
-            out = []
-            for piece, wanted in zip(batch.column("piece").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+            for row in batch.to_pylist():
+                piece = row["piece"]
                 raw = np.frombuffer(piece, np.uint8)
                 begin, end = units.bounds(raw, np.array([0, len(raw)]))
-                out += [(w["hash"], w["hash"], w["id"], w["times"], piece[begin[w["off"]] : end[w["off"] + units.window - 1]]) for w in wanted]
-            if out:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["anchor", "mark", "id", "times", "piece"])
+                for w in row["wanted"]:
+                    text = piece[begin[w["off"]] : end[w["off"] + units.window - 1]]
+                    tell = int(np.uint64(xxhash.xxh3_64_intdigest(text)).view(np.int64))
+                    out.append((w["hash"], tell, row["anchor"], row["mark"], w["off"], row["id"], row["last_id"], row["times"], None if text in seen else text))
+                    seen.add(text)
+                if len(out) >= TEXTS_AT_ONCE:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                    out, seen = [], set()
+        if out:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     return run
 
 
 def _decided(decide: Callable, units: Units):
     """Index whole anchors, a bounded number of units at a time; rows arrive sorted by anchor."""
+    most = SHARD_BYTES
 
     def emit(rows: pa.RecordBatch) -> pa.RecordBatch:
-        raw, offsets = utf8(rows.column("piece"))
-        row, a, b, who = decide(raw, offsets, rows.column("id").to_numpy(), rows.column("times").to_numpy(), units.window)
+        row, a, b, who = decide(rows, units.window)
         ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=rows.num_rows))))
         spans = pa.StructArray.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(who, pa.int64())], names=["a", "b", "who"])
         return pa.record_batch([rows.column("anchor"), rows.column("mark"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans)], names=["anchor", "mark", "spans"])
@@ -218,7 +235,7 @@ def _decided(decide: Callable, units: Units):
             held.append(batch)
             size += int(np.diff(utf8(batch.column("piece"))[1]).sum())
             last = batch.column("anchor")[-1].as_py()
-            if size < SHARD_BYTES or held[0].column("anchor")[0].as_py() == last:
+            if size < most or held[0].column("anchor")[0].as_py() == last:
                 continue
             rows = pa.concat_batches(held)
             cut = int(np.searchsorted(rows.column("anchor").to_numpy(), last))  # the last anchor may go on
@@ -232,18 +249,17 @@ def _decided(decide: Callable, units: Units):
 
 
 def _shards(pieces: DataFrame, decide: Callable, units: Units) -> DataFrame:
-    return pieces.select("anchor", "mark", "id", "times", "piece").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_decided(decide, units), "anchor long, mark long, spans array<struct<a:int,b:int,who:long>>")
+    return pieces.select("anchor", "mark", "id", "last_id", "times", "piece").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_decided(decide, units), "anchor long, mark long, spans array<struct<a:int,b:int,who:long>>")
 
 
 def shared_windows(rows: DataFrame, units: Units, decide: Callable, across: bool) -> tuple[DataFrame, DataFrame]:
     """Which windows of keyed() rows occur again.
 
-    across: only windows of two ids count, else any two occurrences. decide(bytes and
-    offsets of pieces, ids, times, window) gives, as arrays in order of the piece, the piece,
+    across: only windows of two ids count, else any two occurrences. decide(pieces with
+    anchor, id, last_id and times, window) gives, as arrays in order of the piece, the piece,
     start, end and least id of spans of windows that occur again among them. Returns the rows that hold candidates (key, id, body, settled)
     and key, id, lo, hi, who for each span of windows lo <= start < hi that occurs again.
     """
-    small_batches(rows.sparkSession)
     found = settle_table(anchors(rows, units))
     if across:
         shared = found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
@@ -264,14 +280,16 @@ def shared_windows(rows: DataFrame, units: Units, decide: Callable, across: bool
 
 
 def _crowded(pieces: DataFrame, decide: Callable, units: Units, across: bool) -> DataFrame:
-    """Spans of pieces under crowded anchors, decided window by window."""
+    """Spans of pieces under crowded anchors: windows whose hash occurs again go to the shard of that hash, which compares their texts."""
     wins = settle(pieces.mapInArrow(_windows(units), "hash long, anchor long, mark long, off int, id long, times long, last_id long"))
-    counted = wins.groupBy("hash").agg(F.min("id").alias("least"), F.max("last_id").alias("high"), F.sum("times").alias("times"), F.min(F.struct("anchor", "mark", "off")).alias("at"))
-    again = settle(counted.where("least < high" if across else "times > 1"))
-    wanted = again.select("at.anchor", "at.mark", F.struct("hash", F.col("at.off").alias("off"), F.col("least").alias("id"), "times").alias("w")).groupBy("anchor", "mark").agg(F.collect_list("w").alias("wanted"))
-    cut = pieces.select("anchor", "mark", "piece").join(wanted, ["anchor", "mark"]).select("piece", "wanted").mapInArrow(_cut(units), "anchor long, mark long, id long, times long, piece binary")
-    decided = _shards(cut, decide, units).select(F.col("anchor").alias("hash"), F.explode("spans").alias("s"))
-    return wins.select("hash", "anchor", "mark", "off").join(decided, "hash").groupBy("anchor", "mark").agg(F.collect_list(F.struct(F.col("off").alias("a"), (F.col("off") + 1).alias("b"), F.col("s.who").alias("who"))).alias("spans"))
+    counted = wins.groupBy("hash").agg(F.min("id").alias("least"), F.max("last_id").alias("high"), F.sum("times").alias("times"))
+    again = settle(counted.where("least < high" if across else "times > 1").select("hash"))
+    wanted = wins.join(again, "hash").groupBy("anchor", "mark").agg(F.collect_list(F.struct("hash", "off")).alias("wanted"))
+    told = pieces.select("anchor", "mark", "id", "last_id", "times", "piece").join(wanted, ["anchor", "mark"])
+    told = settle_table(told.mapInArrow(_texts(units), "hash long, tell long, anchor long, mark long, off int, id long, last_id long, times long, text binary"))
+    texts = told.groupBy("hash", "tell").agg(F.min("id").alias("id"), F.max("last_id").alias("last_id"), F.sum("times").alias("times"), F.first("text", ignorenulls=True).alias("piece"))
+    decided = _shards(texts.withColumnsRenamed({"hash": "anchor", "tell": "mark"}), decide, units).select(F.col("anchor").alias("hash"), F.col("mark").alias("tell"), F.explode("spans").alias("s"))
+    return told.select("hash", "tell", "anchor", "mark", "off").join(decided, ["hash", "tell"]).groupBy("anchor", "mark").agg(F.collect_list(F.struct(F.col("off").alias("a"), (F.col("off") + 1).alias("b"), F.col("s.who").alias("who"))).alias("spans"))
 
 
 def merged_spans(spans: DataFrame, width: int) -> DataFrame:

@@ -1,12 +1,13 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
 
 from millrace.llm import suffix_dedup, windows
-from millrace.llm.fm_dedup import FmIndex, WaveletMatrix, substring_dedup
-from millrace.llm.suffix_dedup import block_ranks, smaller_than_next, two_stage_sort
+from millrace.llm.fm_dedup import Bits, FmIndex, WaveletMatrix, substring_dedup
+from millrace.llm.suffix_dedup import common_prefixes, smaller_than_next, two_stage_sort
 
 
 def brute_words(rows, w=50):
@@ -69,7 +70,6 @@ def test_edges(spark):
 def test_crowded_anchors(spark, monkeypatch):
     monkeypatch.setattr(windows, "CROWDED", 5)
     monkeypatch.setattr(windows, "SHARD_BYTES", 2000)
-    monkeypatch.setattr(windows, "CHUNK_BYTES", 3000)
     check(spark, odd_rows())
 
 
@@ -77,17 +77,52 @@ def test_tables_equal_brute_force(spark, sf_dir):
     check(spark, [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()])
 
 
+def test_colliding_hashes_under_crowded_anchors(spark, monkeypatch):
+    """Hashes route windows; texts decide."""
+    monkeypatch.setattr(windows, "CROWDED", 5)
+    monkeypatch.setattr(windows, "ROUTE_BITS", 3)
+    check(spark, odd_rows()[::2])
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60_000))
+    rows = [(1, text), (2, "x y " + text[100_000:130_000]), (3, "a" * 300_000), (4, text[::-1] + "b " * 40_000)]
+    check(spark, rows)
+
+
 @pytest.mark.parametrize("seed", range(4))
-def test_two_stage_sort_sorts(seed):
+def test_two_stage_sort_sorts(seed, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SORTED_AT_ONCE", 150 if seed > 1 else 400_000)
     rng = np.random.default_rng(seed)
-    text = np.append(rng.integers(1, 4 if seed % 2 else 60, 3000), 0)
+    text = np.append(rng.integers(1, 4 if seed % 2 else 60, 3000), 0).astype(np.uint8)
     text[500:800] = 2
+    text[[900, 950, 951]] = 0
+    text[1000:1400] = text[2000:2400]
     n = len(text)
-    whole = [tuple(text[i:]) for i in range(n)]
+    whole = [text[i:].tobytes() for i in range(n)]
     assert smaller_than_next(text).tolist() == [whole[i] < whole[i + 1] if i + 1 < n else True for i in range(n)]
-    rank, span = block_ranks(text, 64)
-    order = two_stage_sort(text, 1024, rank, span)
+    order = two_stage_sort(text, 1024)
     assert order.tolist() == sorted(range(n), key=lambda i: whole[i])
+    a = np.sort(order[1:])
+    after = dict(zip(order[1:].tolist(), order[:-1].tolist()))
+    b = np.array([after[i] for i in a.tolist()])
+
+    def shared(i, j):
+        k = 0
+        while k < 200 and i + k < n and j + k < n and text[i + k] == text[j + k]:
+            k += 1
+        return k
+
+    assert [g for g, i, j in zip(common_prefixes(text, a, b, 200).tolist(), a, b) if max(i, j) + 200 < n] == [shared(i, j) for i, j in zip(a, b) if max(i, j) + 200 < n]
+
+
+def test_runs_of_one_byte_take_linear_time():
+    for text in (np.full(1 << 20, 7), np.tile([7] * 1000 + [9], 1000), np.tile([9] * 1000 + [7], 1000)):
+        began = time.perf_counter()
+        order = two_stage_sort(np.append(text, 0).astype(np.uint8), 200)
+        assert time.perf_counter() - began < 10 and len(set(order.tolist())) == len(text) + 1
+    assert two_stage_sort(np.append(np.full(1000, 7), 0).astype(np.uint8), 200).tolist() == list(range(1000, -1, -1))
 
 
 def test_wavelet_matrix_and_backward_search():
@@ -96,15 +131,21 @@ def test_wavelet_matrix_and_backward_search():
     tree = WaveletMatrix(values, 37)
     symbol, at = rng.integers(0, 37, 300), rng.integers(0, 5001, 300)
     assert tree.rank(symbol, at).tolist() == [int((values[:a] == s).sum()) for s, a in zip(symbol, at)]
-    pieces = [rng.integers(1, 4, n) for n in (40, 7, 90, 1, 33)]
+    low = rng.integers(0, 4999, 300)
+    high = low + 1 + rng.integers(0, 40, 300) % (5000 - low)
+    assert tree.least(low, high).tolist() == [int(values[a:b].min()) for a, b in zip(low, high)]
+    flags = rng.random(1000) < 0.1
+    bits = Bits(flags)
+    assert bits.select(np.arange(flags.sum())).tolist() == np.flatnonzero(flags).tolist()
+    pieces = [rng.integers(1, 4, n) for n in (40, 7, 900, 1, 33)]
     owners = np.array([5, 3, 9, 1, 4])
     index = FmIndex(pieces, owners, 3, 6)
-    queries = pieces[::-1]
+    queries = [*pieces[::-1], rng.integers(1, 4, 700), np.array([1, 2])]
     holds = {}
     for p, o in zip(pieces, owners):
         for s in range(len(p) - 5):
             k = tuple(p[s : s + 6])
             holds[k] = min(int(o), holds.get(k, 99))
-    for q, got in zip(queries, index.statistics(queries, 6)):
+    for q, got in zip(queries, index.statistics(queries)):
         want = [holds.get(tuple(q[s : s + 6]), -1) if s + 6 <= len(q) else -1 for s in range(len(q))]
         assert got.tolist() == want
