@@ -4,15 +4,17 @@ Documents are equal when their texts are, after deleting ASCII white space. Only
 digest, a length and an id leave the scan. Each input task folds its rows through a
 cuckoo index (so a group of copies shrinks to a row per task before anything is
 shuffled), the partial groups are dealt out by digest, and each bucket of digests is
-merged through a second index. A filter hit is only a hint: it is verified against the
-digests stored in that bucket. The filter doubles from those stored digests when an
-insertion finds no room, and digests are deleted again as soon as their bucket is done,
-so the memory of a task is bounded by one bucket and not by the partition.
+merged through a second index. A slot of the index holds a fingerprint, the digest it stands
+for and that digest's group, and nothing else does. A fingerprint that is hit is only a hint: it
+is verified against the SHA-256 digest in its slot, which is what the operator takes for the
+content of a text. The filter doubles from the stored digests when an insertion finds no room.
+Digests are deleted as soon as their bucket is done, and by a task whose index is full if they
+have no copy yet, so that the memory of a task is bounded by one bucket and not by the partition.
 
 Defined results: null text counts as empty; empty texts are equal to each other; of
 equal texts the one with the most code points stays, then the smallest doc_id (null
 last), then the first row; repeated rows are members of their group and exactly one row
-of a group is kept; an empty table gives no rows; other columns are ignored.
+of a group is kept; an empty table gives no rows; other columns are ignored. A very long text is read by its digest only.
 """
 
 from __future__ import annotations
@@ -36,10 +38,10 @@ GROUP = "sha string, keep_len long, keep_id long, keep_uid long, members long"
 
 
 class CuckooIndex:
-    """A cuckoo filter over live digests, each slot backed by the digest it stands for.
+    """A cuckoo filter over live digests, each slot backed by the digest it stands for and its value.
 
     `find` reads two buckets of fingerprints and verifies hits against the stored
-    digest; `add` moves fingerprints between their two buckets; `remove` frees a slot.
+    digest; `add` moves slots between their two buckets; `remove` frees a slot.
     """
 
     def __init__(self, buckets: int = 64):
@@ -48,7 +50,7 @@ class CuckooIndex:
     def _reset(self, buckets: int) -> None:
         self.mask = buckets - 1
         self.prints = [0] * (buckets * SLOTS)
-        self.keys: list = [None] * (buckets * SLOTS)
+        self.entries: list[list | None] = [None] * (buckets * SLOTS)  # digest and value
         self.live = 0
 
     @staticmethod
@@ -65,57 +67,58 @@ class CuckooIndex:
         first = h & self.mask
         return mark, first, self._other(first, mark)
 
-    def find(self, key: str) -> int:
-        """The slot that holds the digest, or -1."""
+    def _find(self, key: str) -> int:
         mark, first, second = self._slots(key)
         for bucket in (first, second):
             for at in range(bucket * SLOTS, bucket * SLOTS + SLOTS):
-                if self.prints[at] == mark and self.keys[at] == key:
+                if self.prints[at] == mark and self.entries[at][0] == key:
                     return at
         return -1
 
-    def add(self, key: str) -> None:
+    def find(self, key: str) -> list | None:
+        """The entry [digest, value] of a live digest."""
+        at = self._find(key)
+        return None if at < 0 else self.entries[at]
+
+    def add(self, key: str, value=None) -> None:
         """Insert a digest that is not live."""
-        while not self._place(key):
-            live = [k for k in self.keys if k is not None]
-            self._reset((self.mask + 1) * 2)
-            todo, live = live, []
-            for k in todo:
-                if not self._place(k):
-                    live.append(k)
-            for k in live:  # dense corner: doubles again
-                self.add(k)
-
-    def _place(self, key: str) -> bool:
-        mark, first, second = self._slots(key)
-        moved: list[tuple[int, int, str]] = []
-        bucket = first
-        for choice in (first, second):
-            for at in range(choice * SLOTS, choice * SLOTS + SLOTS):
-                if not self.prints[at]:
-                    self.prints[at], self.keys[at] = mark, key
-                    self.live += 1
-                    return True
+        todo = [[key, value]]
+        while todo:
+            if self._place(todo[-1]):
+                todo.pop()
+            else:  # no room: twice the buckets, filled from the stored digests
+                todo += [e for e in self.entries if e is not None]
+                self._reset((self.mask + 1) * 2)
+
+    def _free(self, bucket: int) -> int:
+        for at in range(bucket * SLOTS, bucket * SLOTS + SLOTS):
+            if not self.prints[at]:
+                return at
+        return -1
+
+    def _place(self, entry: list) -> bool:
+        mark, first, second = self._slots(entry[0])
+        moved: list[tuple[int, int, list]] = []
+        bucket = first if self._free(first) >= 0 else second
         for kick in range(MAX_KICKS):
+            if (at := self._free(bucket)) >= 0:
+                self.prints[at], self.entries[at] = mark, entry
+                self.live += 1
+                return True
             at = bucket * SLOTS + kick % SLOTS
-            moved.append((at, self.prints[at], self.keys[at]))
-            (mark, key), (self.prints[at], self.keys[at]) = (self.prints[at], self.keys[at]), (mark, key)
+            moved.append((at, self.prints[at], self.entries[at]))
+            (mark, entry), (self.prints[at], self.entries[at]) = moved[-1][1:], (mark, entry)
             bucket = self._other(bucket, mark)
-            for at in range(bucket * SLOTS, bucket * SLOTS + SLOTS):
-                if not self.prints[at]:
-                    self.prints[at], self.keys[at] = mark, key
-                    self.live += 1
-                    return True
-        for at, old_mark, old_key in reversed(moved):
-            self.prints[at], self.keys[at] = old_mark, old_key
+        for at, old_mark, old_entry in reversed(moved):
+            self.prints[at], self.entries[at] = old_mark, old_entry
         return False
 
     def remove(self, key: str) -> bool:
         """Delete a live digest; false if it is not there."""
-        at = self.find(key)
+        at = self._find(key)
         if at < 0:
             return False
-        self.prints[at], self.keys[at] = 0, None
+        self.prints[at], self.entries[at] = 0, None
         self.live -= 1
         return True
 
@@ -126,28 +129,24 @@ def _better(a: tuple, b: tuple) -> tuple:
     return a if rank(a) <= rank(b) else b
 
 
-class _Groups:
-    """Partial groups of live digests."""
-
-    def __init__(self) -> None:
-        self.index = CuckooIndex()
-        self.best: dict[str, list] = {}
+class _Groups(CuckooIndex):
+    """Partial groups, each [candidate, members], of live digests."""
 
     def take(self, key: str, candidate: tuple, members: int) -> None:
-        if self.index.find(key) >= 0:
-            state = self.best[key]
+        found = self.find(key)
+        if found:
+            state = found[1]
             state[0], state[1] = _better(state[0], candidate), state[1] + members
         else:
-            self.index.add(key)
-            self.best[key] = [candidate, members]
+            self.add(key, [candidate, members])
 
-    def drain(self) -> pa.RecordBatch | None:
-        if not self.best:
+    def handed_on(self, single_only: bool = False) -> pa.RecordBatch | None:
+        """Groups, all or those of one member, deleted from the index."""
+        rows = [(e[0], *e[1][0], e[1][1]) for e in self.entries if e is not None and not (single_only and e[1][1] > 1)]
+        if not rows:
             return None
-        rows = [(k, *state[0], state[1]) for k, state in self.best.items()]
-        for k in self.best:
-            self.index.remove(k)
-        self.best = {}
+        for r in rows:
+            self.remove(r[0])
         sha, length, ids, uids, members = zip(*rows, strict=True)
         return pa.record_batch([pa.array(sha, pa.string()), pa.array(length, pa.int64()), pa.array(ids, pa.int64()), pa.array(uids, pa.int64()), pa.array(members, pa.int64())], names=["sha", "keep_len", "keep_id", "keep_uid", "members"])
 
@@ -157,23 +156,26 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for sha, length, doc_id, uid in zip(*(batch.column(c).to_pylist() for c in ("sha", "n_points", "doc_id", "uid")), strict=True):
             groups.take(sha, (length, doc_id, uid), 1)
-        if groups.index.live >= LIVE_KEYS:
-            yield groups.drain()
-    if (last := groups.drain()) is not None:
+        if groups.live >= LIVE_KEYS:  # digests with copies stay, as more are likely
+            if (some := groups.handed_on(single_only=True)) is not None:
+                yield some
+            if groups.live >= LIVE_KEYS // 2:
+                yield groups.handed_on()
+    if (last := groups.handed_on()) is not None:
         yield last
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows arrive sorted by digest, so that a bucket is complete when the next begins."""
+    """Rows arrive sorted by bucket, so that a bucket is complete when the next begins."""
     groups, bucket = _Groups(), None
     for batch in batches:
         for sha, length, doc_id, uid, members in zip(*(batch.column(c).to_pylist() for c in ("sha", "keep_len", "keep_id", "keep_uid", "members")), strict=True):
             if sha[:BUCKET_DIGITS] != bucket:
                 bucket = sha[:BUCKET_DIGITS]
-                if groups.index.live >= 2000 and (done := groups.drain()) is not None:
+                if groups.live >= 2000 and (done := groups.handed_on()) is not None:
                     yield done
             groups.take(sha, (length, doc_id, uid), members)
-    if (last := groups.drain()) is not None:
+    if (last := groups.handed_on()) is not None:
         yield last
 
 
@@ -214,7 +216,7 @@ def digests(docs: DataFrame) -> DataFrame:
 def groups_of(rows: DataFrame) -> DataFrame:
     """One row for each distinct digest: the row that stays and the number of members."""
     partial = rows.mapInArrow(_partial, GROUP)
-    return partial.repartition("sha").sortWithinPartitions("sha").mapInArrow(_merged, GROUP)
+    return partial.repartition("sha").sortWithinPartitions(F.substring("sha", 1, BUCKET_DIGITS)).mapInArrow(_merged, GROUP)
 
 
 def keep_best(docs: DataFrame) -> DataFrame:

@@ -117,12 +117,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([lang] * len(bins), pa.string()), pa.array(bins, pa.int32()), pa.array(n[bins], pa.int64())], names=["lang", "bin", "n"])
 
 
+def sampled_below(most: int, total: int) -> int:
+    """Of 2^62 equally likely numbers, as many as give `most` of `total` rows; no table is too large for it."""
+    return min(1 << 62, (most << 62) // total)
+
+
 def train(labelled: DataFrame, most: int = MOST_TRAINING) -> Ecoc | None:
     """Fit on text and lang of at most about `most` rows of labelled (doc_id, text, lang); None without labels."""
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
     total = rows.count()
     if total > most:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * most / total)))
+        rows = rows.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 2) < F.lit(sampled_below(most, total)))
     found = (
         rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("binary").alias("body"))
         .mapInArrow(_count, "lang string, bin int, n long")

@@ -2,6 +2,9 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
+
+from millrace.llm import exact_dedup as exact
 from millrace.llm.exact_dedup import CuckooIndex, exact_dedup
 
 
@@ -11,7 +14,7 @@ def test_cuckoo_index_follows_a_set():
     index, live = CuckooIndex(2), set()
     for _ in range(20000):
         k = rng.choice(keys)
-        assert (index.find(k) >= 0) == (k in live)
+        assert (index.find(k) is not None) == (k in live)
         if k in live and rng.random() < 0.4:
             assert index.remove(k)
             live.discard(k)
@@ -20,6 +23,21 @@ def test_cuckoo_index_follows_a_set():
             live.add(k)
     assert index.live == len(live)
     assert not index.remove("0" * 64)
+    assert {e[0] for e in index.entries if e} == live
+
+
+def test_a_full_index_hands_on_and_loses_nothing(monkeypatch):
+    monkeypatch.setattr(exact, "LIVE_KEYS", 50)
+    rng = random.Random(4)
+    rows = [(hashlib.sha256(str(rng.randint(0, 400)).encode()).hexdigest(), rng.randint(0, 3), rng.randint(0, 9), k) for k in range(3000)]
+    batches = [pa.record_batch([pa.array(c) for c in zip(*rows[a : a + 20])], names=["sha", "n_points", "doc_id", "uid"]) for a in range(0, 3000, 20)]
+    parts = sorted((r for b in exact._partial(iter(batches)) for r in b.to_pylist()), key=lambda r: r["sha"][:2])
+    done = [r for b in exact._merged(iter([pa.RecordBatch.from_pylist(parts)])) for r in b.to_pylist()]
+    want = {}
+    for sha, *candidate in rows:
+        want.setdefault(sha, []).append(candidate)
+    assert {r["sha"]: (r["keep_uid"], r["members"]) for r in done} == {sha: (min(c, key=lambda x: (-x[0], x[1], x[2]))[2], len(c)) for sha, c in want.items()}
+    assert len(done) == len(want) and len(parts) > 2 * len(want)
 
 
 def test_groups(spark):

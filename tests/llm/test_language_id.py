@@ -1,8 +1,10 @@
+import math
 import zlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from millrace.llm.language_id import codewords, identify, keep_identified, predict, train
+from millrace.llm.language_id import BINS, MOST_TRAINING, SHARPNESS, SMOOTHING, codewords, identify, keep_identified, predict, sampled_below, train
 
 
 def test_codewords_keep_their_distance():
@@ -47,3 +49,50 @@ def test_only_texts_without_a_language_are_dropped(spark, sf_dir):
     odd = spark.createDataFrame([(-1, "A.", None), (-2, "De.", None), (-3, "x", None), (-4, mixed, None), (-5, "中", None), (-6, "1 2.", None), (-7, None, None)], "doc_id long, text string, lang string")
     assert {r.doc_id for r in keep_identified(docs.unionByName(odd)).where("doc_id < 0").collect()} == {-1, -2, -3, -4, -5}
     assert {r.doc_id for r in keep_identified(odd).collect()} == {-1, -2, -3, -4, -5}
+
+
+def plain_bins(text):
+    """Trigrams in plain Python: folded bytes, none around a byte that is no letter."""
+    folded = [b if b >= 128 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in text.encode()]
+    return Counter((((a << 16 | b << 8 | c) * 2654435761 & 0xFFFFFFFF) >> 18) for a, b, c in zip(folded, folded[1:], folded[2:]) if b != 32)
+
+
+def test_table_equals_plain_python(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    counts = {}
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.lang is not None and r.text is not None:
+            counts.setdefault(r.lang, Counter()).update(plain_bins(r.text))
+    langs = sorted(counts)
+    code = codewords(len(langs)).tolist()
+    share = {x: [(counts[x][k] + SMOOTHING) / (sum(counts[x].values()) + SMOOTHING * BINS) for k in range(BINS)] for x in langs}
+    weights, trust = [], []
+    for bit in range(len(code[0])):
+        sides = [[share[x] for x, c in zip(langs, code) if c[bit] == sign] for sign in (1, -1)]
+        means = [[sum(v) / len(side) for v in zip(*side)] for side in sides]
+        w = [math.log(a) - math.log(b) for a, b in zip(*means)]
+        margin = [sum(s * v for s, v in zip(share[x], w)) for x in langs]
+        scale = sum(map(abs, margin)) / len(margin)
+        weights.append([v / scale for v in w])
+        trust.append(max(0.02 * scale, min(m * c[bit] for m, c in zip(margin, code))))
+    trust = [t / sum(trust) for t in trust]
+    got = {r.doc_id: r for r in identify(spark.createDataFrame(rows)).collect()}
+    for r in rows:
+        bins = plain_bins(r.text or "")
+        if not any(c.isalpha() for c in r.text or ""):
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        n = max(1, sum(bins.values()))
+        margin = [sum(w[k] * m for k, m in bins.items()) / n for w in weights]
+        loss = [sum(math.log1p(math.exp(-2 * m * c)) * t for m, c, t in zip(margin, row, trust)) for row in code]
+        best = min(range(len(langs)), key=loss.__getitem__)
+        odds = sum(math.exp(-SHARPNESS * (x - loss[best])) for x in loss)
+        assert abs(got[r.doc_id].score - 1 / odds) < 1e-4
+        if sorted(loss)[1] - loss[best] > 1e-5:
+            assert got[r.doc_id].lang_pred == langs[best]
+
+
+def test_the_sample_is_bounded_and_never_empty(spark, sf_dir):
+    for total in (30_000, 10**9, 10**12, 10**15):
+        assert abs(sampled_below(MOST_TRAINING, total) / (1 << 62) * total - MOST_TRAINING) < 1
+    assert train(spark.read.parquet(f"{sf_dir}/documents.parquet"), most=60).langs
