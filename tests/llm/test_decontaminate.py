@@ -1,6 +1,8 @@
 import itertools
 import re
 
+import pytest
+
 from millrace.llm import decontaminate as d
 from millrace.llm.decontaminate import contaminated
 
@@ -15,16 +17,25 @@ def toks(t):
     return re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (t or "").lower())
 
 
+def may_overlap(a, b, w, need):
+    """Whether any tokens that a qualifying run must share are shared: a run of need // (substitutions + 1) of them."""
+    n = max(1, need // (w - need + 1))
+    own = {tuple(b[k : k + n]) for k in range(len(b) - n + 1)}
+    return any(tuple(a[k : k + n]) in own for k in range(len(a) - n + 1))
+
+
 def brute(docs, items):
     out = {}
     for i, t in docs:
         a = toks(t)
         for j, s in items:
             b = toks(s)
-            if len(b) < d.SHORTEST:
+            if not b:
                 continue
             w = min(d.WINDOW, len(b))
-            need = w - (d.SUBSTITUTIONS if w == d.WINDOW else 0)
+            need = w - d.tolerated(w)
+            if not may_overlap(a, b, w, need):
+                continue
             best = None
             for diag in range(-len(b), len(a)):
                 cover, eq = set(), 0
@@ -47,12 +58,13 @@ def gather(df):
     return {k: sorted(v) for k, v in out.items()}
 
 
-def test_edges(spark, monkeypatch):
+@pytest.mark.parametrize("bits", (7, 26))
+def test_edges(spark, monkeypatch, bits):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
     items = [(1, item), (2, "five words make one item"), (3, "too short"), (4, None), (5, ""), (6, item), (None, item)]
     swapped = item.replace("gamma", "x").replace("kappa", "y")
     docs = [(1, "so " + item + " end"), (2, swapped.upper()), (3, swapped.replace("mu", "z")), (4, None), (5, ""), (6, "say: five words, make ONE item!"), (6, "say: five words, make ONE item!"), (7, "x " * 30000 + item), (8, "five words make other item")]
-    monkeypatch.setattr(d, "PART_TOKENS", 20)
+    monkeypatch.setattr(d, "FILTER_BITS", bits)
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS item_id", "2 AS body")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = gather(contaminated(df, bench))
@@ -62,8 +74,10 @@ def test_edges(spark, monkeypatch):
 
 
 def test_table_equals_brute_force(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) < 1500")
-    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = [r.text for r in docs.orderBy("doc_id").limit(12).collect()]
+    short = [(1000 + n, " ".join(toks(texts[n % len(texts)])[5 : 5 + n])) for n in range(1, 13)]
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").unionByName(spark.createDataFrame(short, "item_id long, text string"))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     items = [(r.item_id, r.text) for r in bench.collect()]
     got = gather(contaminated(docs, bench))
