@@ -1,28 +1,33 @@
 """License scans by conditional compression.
 
-Blocks of text around words that license notices use are compressed twice with zstandard:
+Blocks of text around words that a notice can't do without are compressed twice with zstandard:
 alone, and with each notice as a raw dictionary. The notice that saves the most bytes
 describes the block best; those whose words the block has are held against it word by word,
 and the one with the fewest differences wins if at most TOLERANCE of its words differ.
 Its words are cut out, and so on with what is left of the block until no notice is confirmed.
 What differs - words of the notice that are missing, words put in between - is reported.
 
-Notices of a line (TEMPLATES, and FORMS of few words) are looked for in parts of lines. Notices
-of LONG words or more run over many lines and are looked for first, in the text around a clue
-whatever its lines; what they hold is not looked at again.
+Some differences refuse a match, however few they are: a missing word that tells a license from
+others (its version, or a name: a word with a capital within a sentence that fewer than half of
+the licenses have), such a word of another license put in, and a negation put in or just before.
+
+Where to look follows from the notices themselves: of each notice one such telling word has to
+be there, or else one of any words that are one more than may be missing. So the blocks
+around these words hold all matches, whatever templates a caller gives. Notices may be wrapped
+over lines. Those of LONG words or more are looked for first; what they hold is not looked at again.
 
 {holder} in a notice stands for up to MOST_HELD words, such as years and names, that are no
 differences. Notices too short for a difference by TOLERANCE may have one, but of three
 words none may be missing: two are no notice ("all rights") or another ("some rights reserved").
 
-Notices are short, so every task holds them; blocks are found by built-in string
-functions in the scan, and only documents that hold one reach Python.
+Notices are short, so every task holds them; documents that hold none of the words are dropped by
+built-in string functions in the scan, and only the others reach Python.
 
 Defined results: null and empty texts have no blocks; repeated rows are each reported; an
 empty table gives no rows; other columns are ignored; of notices with equally few
 differences the one that saves more bytes wins, then the first by name. Notices that don't
-share words are all reported, repeated ones too; block_start and saved_bytes of one found in
-what was left are of that part of the block.
+share words are all reported, repeated ones too; saved_bytes of one found in
+what was left are of that part of the block. Very long texts are held one at a time by a task.
 """
 
 from __future__ import annotations
@@ -42,8 +47,10 @@ TOLERANCE = 0.2
 LEVEL = 19
 LONG = 30
 MOST_HELD = 30
-# Words of license notices, in lower case, and the notices.
-CLUES = ("licen", "copyright", "all rights reserved", "public domain", "creative commons", "spdx-")
+#: Words before a match among which a negation refuses it.
+BEFORE = 3
+# Words that negate, as far as _WORD takes them, and the notices.
+NEGATIONS = ("not", "no", "never", "nor", "neither", "cannot", "isn", "aren", "wasn", "weren", "don", "doesn", "didn", "won")
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "BSD-2-Clause": "Licensed under the BSD 2-Clause License.",
@@ -117,7 +124,6 @@ FORMS = {
 }
 OUT = "doc_id long, license string, block_start long, saved_bytes long, differences long, missing array<string>, added array<string>"
 
-_CLUE = re.compile("|".join(map(re.escape, CLUES)), re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 _HOLDER = "{holder}"
 #: A word put in, above the bits that tell where a match starts.
@@ -154,20 +160,40 @@ def _tables(notice: list[str], block: list[str], lacks: int) -> Iterator[np.ndar
         yield now
 
 
+def _names(text: str) -> set[str]:
+    """Versions of a notice, and in one of fewer than LONG words its words with a digit or with a capital within a sentence."""
+    found = [m for m in _WORD.finditer(text.replace(_HOLDER, " " * len(_HOLDER)))]
+    out = {b.group().lower() for a, b in zip(found, found[1:]) if a.group().lower() in ("version", "v") and b.group()[0].isdigit()}
+    if len(found) < LONG:
+        for k, m in enumerate(found):
+            opens = not k or "." in text[found[k - 1].end() : m.start()]
+            if any(c.isdigit() for c in m.group()) or (not opens and m.group()[0].isupper()):
+                out.add(m.group().lower())
+    return out
+
+
 class Notice:
     """A notice, ready to compress and to compare."""
 
     def __init__(self, name: str, text: str):
-        self.name, self.words = name, _words(text)
+        self.name, self.text, self.words = name, text, _words(text)
         raw = zstandard.ZstdCompressionDict(text.replace(_HOLDER, "").lower().encode("utf-8"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.given = zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False)
         self.fixed = [w for w in self.words if w != _HOLDER]
         spare = int(TOLERANCE * len(self.fixed))
         self.lacks, self.adds = max(spare, int(len(self.fixed) > 3)), max(spare, 1)
+        self.telling: set[str] = set()
+        self.others: set[str] = set()
 
     def possible(self, there: set[str]) -> bool:
         """Whether a block with these words has enough of the notice's."""
-        return sum(w not in there for w in self.fixed) <= self.lacks
+        return self.telling <= there and sum(w not in there for w in self.fixed) <= self.lacks
+
+    def clues(self) -> list[str]:
+        """Words of which every match holds one."""
+        words = sorted(dict.fromkeys(self.fixed), key=lambda w: (-len(w), w))
+        telling = [w for w in words if w in self.telling]
+        return telling[:1] or words[: self.lacks + 1]
 
 
 class Scanner:
@@ -176,26 +202,33 @@ class Scanner:
     def __init__(self, templates: dict[str, str], forms: dict[str, tuple[str, ...]] | None = None):
         named = sorted([*templates.items(), *((name, text) for name, texts in (forms or {}).items() for text in texts)])
         self.alone = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
+        notices = [Notice(*x) for x in named]
+        names = {w for n in notices for w in _names(n.text)}
+        licenses = {n.name for n in notices}
+        common = {w for w in names if len({n.name for n in notices if w in n.fixed}) * 2 >= max(3, len(licenses))}
+        for n in notices:
+            n.telling = _names(n.text) - common
+            n.others = names - common - set(n.fixed)
         self.kinds = []
-        for across in (True, False):
-            texts = [(name, text) for name, text in named if (len(_words(text)) >= LONG) == across]
-            if texts:
-                self.kinds.append((across, 2 * max(len(text) for _, text in texts), [Notice(*x) for x in texts]))
+        for long in (True, False):
+            kind = [n for n in notices if (len(n.words) >= LONG) == long]
+            if kind:
+                clues = re.compile(r"(?<![^\W_])(?:" + "|".join(sorted({re.escape(w) for n in kind for w in n.clues()})) + r")(?![^\W_])", re.IGNORECASE)
+                self.kinds.append((clues, 2 * max(len(n.text) for n in kind), kind))
+
+    def clues(self) -> list[str]:
+        """Texts without any of these words, in any case, have no notice."""
+        return sorted({w for _, _, kind in self.kinds for n in kind for w in n.clues()})
 
     @staticmethod
-    def blocks(text: str, reach: int, across: bool = False, taken: list[tuple[int, int]] = ()) -> list[tuple[int, int]]:
-        """Text within reach of a clue, of its line unless across lines, outside of what is taken; parts that meet are one."""
+    def blocks(text: str, clues: re.Pattern, reach: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Text within reach of a clue, outside of what is taken; parts that meet are one."""
         found: list[list[int]] = []
-        for m in _CLUE.finditer(text):
-            lo, hi = max(0, m.start() - reach), min(len(text), m.end() + reach)
-            if not across:
-                lo = max(text.rfind("\n", 0, m.start()) + 1, lo)
-                stop = text.find("\n", m.end(), hi)
-                hi = hi if stop < 0 else stop
+        for m in clues.finditer(text):
             if any(a < m.end() and m.start() < b for a, b in taken):
                 continue
-            lo = max([lo, *(b for _, b in taken if b <= m.start())])
-            hi = min([hi, *(a for a, _ in taken if a >= m.end())])
+            lo = max([0, m.start() - reach, *(b for _, b in taken if b <= m.start())])
+            hi = min([len(text), m.end() + reach, *(a for a, _ in taken if a >= m.end())])
             if found and lo <= found[-1][1]:
                 found[-1][1] = max(hi, found[-1][1])
             else:
@@ -264,9 +297,12 @@ class Scanner:
         free = np.ones(len(words), bool)
         for differ, less, name, _, start, end, k in hits:
             if free[start:end].all():
-                free[start:end] = False
                 missing, added = self.wording(able[k].words, words, (start, end), able[k].lacks)
-                rows.append((at[start][0], (name, lo, -less, differ, missing, added)))
+                ahead = [m.group().lower() for m in _WORD.finditer(text[max(0, at[start][0] - 100) : at[start][0]].rpartition(". ")[2])][-BEFORE:]
+                if able[k].telling & set(missing) or able[k].others & set(added) or not set(NEGATIONS).isdisjoint((*added, *ahead)):
+                    continue
+                free[start:end] = False
+                rows.append((at[start][0], (name, at[start][0], -less, differ, missing, added)))
                 places.append((at[start][0], at[end - 1][1]))
         cuts = sorted(places)
         if cuts:
@@ -278,20 +314,20 @@ class Scanner:
 
     def scan(self, text: str) -> list[tuple]:
         found, taken = [], []
-        for across, reach, notices in self.kinds:
-            for lo, hi in self.blocks(text, reach, across, taken):
+        for clues, reach, notices in self.kinds:
+            for lo, hi in self.blocks(text, clues, reach, taken):
                 rows, places = self.confirmed(text, lo, hi, notices)
                 found += rows
-                if across:
+                if len(notices[0].words) >= LONG:
                     taken = sorted(taken + places)
         return [row for _, row in sorted(found, key=lambda x: x[0])]
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """A row for each confirmed notice: doc_id, license, where its block starts, bytes saved, and the differences."""
+    """A row for each confirmed notice: doc_id, license, where it starts in the text, bytes saved, and the differences."""
     known, further = (templates, None) if templates else (TEMPLATES, FORMS)
     lowered = F.lower(F.col("text").cast("string"))
-    clue = reduce(lambda a, b: a | b, (F.contains(lowered, F.lit(c)) for c in CLUES))
+    clue = reduce(lambda a, b: a | b, (F.contains(lowered, F.lit(c)) for c in Scanner(known, further).clues()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(known, further)

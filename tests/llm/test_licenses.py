@@ -68,3 +68,40 @@ def test_all_notices_of_a_line(spark):
 def test_one_row_for_one_notice(spark):
     assert scanned(spark, *TEMPLATES.values()) == sorted((i, x, 0) for i, x in enumerate(TEMPLATES))
     assert scanned(spark, "Copyright 2024 Acme. " + FORMS["MIT"][0] + " " + TEMPLATES["MIT"]) == [(0, "MIT", 0), (0, "MIT", 0)]
+
+
+def test_versions_names_negations_and_wrapped_lines(spark):
+    texts = ["Released under\nthe MIT\nLicense.", "Licensed under CC BY-SA 3.0.", "Licensed under the Apache License, Version 1.1.", "This is not licensed under the MIT License.", "It is licensed under the MIT License.", "Released under the XYZ License.", "This library isn't released under the ISC License. It is released under the MIT License.", "This work is licensed under the GNU Lesser General Public License, version 2.", "Do not copy. Released under the MIT License."]
+    assert scanned(spark, *texts) == [(0, "MIT", 0), (4, "MIT", 1), (6, "MIT", 0), (8, "MIT", 0)]
+
+
+def test_templates_of_a_caller_need_no_clue_words(spark):
+    own = {"Garden": "Seeds may be sown by anyone in the village.", "Orchard": "Apples belong to who picks them up."}
+    texts = ["He said: seeds may be\nsown by anyone in the village, truly.", "apples belong to who picks up", "Seeds and apples."]
+    rows = scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), own).collect()
+    assert sorted((r.doc_id, r.license, r.differences) for r in rows) == [(0, "Garden", 0), (1, "Orchard", 1)]
+
+
+def test_equally_good_notices_are_told_by_bytes_saved_then_name():
+    rows = Scanner({"B": "alpha beta gamma delta now", "A": "alpha beta gamma delta now"}).scan("alpha beta gamma delta now")
+    assert [r[0] for r in rows] == ["A"]
+
+
+def test_documents_equal_whole_texts_against_every_template(spark, sf_dir):
+    """Blocks, clues and the first look at the words leave nothing out."""
+    scanner = Scanner(TEMPLATES, FORMS)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) < 6000")
+    want = []
+    for r in docs.collect():
+        found, taken = [], []
+        for _, _, notices in scanner.kinds:
+            for n in notices:
+                n.possible = lambda there: True
+            parts = [0, *(x for span in sorted(taken) for x in span), len(r.text)]
+            for lo, hi in zip(parts[::2], parts[1::2]):
+                rows, places = scanner.confirmed(r.text, lo, hi, notices)
+                found += rows
+                taken += places if len(notices[0].words) >= 30 else []
+        want += [(r.doc_id, name, start, differ, missing, added) for start, (name, _, _, differ, missing, added) in found]
+    got = [(r.doc_id, r.license, r.block_start, r.differences, r.missing, r.added) for r in scan_licenses(docs).collect()]
+    assert sorted(got) == sorted(want) and want
