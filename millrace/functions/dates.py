@@ -35,6 +35,15 @@ def parse_datetime(c: Column, fmt: str | None = None) -> Column:
     return F.coalesce(*(F.try_to_timestamp(c, F.lit(f)) for f in formats))
 
 
+def format_datetime(c: Column, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    return F.date_format(c, fmt)
+
+
+def now() -> Column:
+    """The time at which a query starts, the same for all its rows."""
+    return F.current_timestamp()
+
+
 def convert_timezone(c: Column, source: str, target: str) -> Column:
     return F.from_utc_timestamp(F.to_utc_timestamp(c, source), target)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ipaddress
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -109,13 +111,65 @@ def url_parts(c: Column) -> Column:
     return F.struct(*(part(n.upper() if n != "fragment" else "REF").alias(n) for n in ("protocol", "host", "path", "query", "fragment")))
 
 
+# Networks by the registries of special-purpose addresses.
+PRIVATE_V4 = ("0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4")
+PUBLIC_IN_PRIVATE_V4 = ("192.0.0.9/32", "192.0.0.10/32")
+SHARED_V4 = ("100.64.0.0/10",)
+PRIVATE_V6 = ("::/127", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16", "fc00::/7", "fe80::/10")
+PUBLIC_IN_PRIVATE_V6 = ("2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28")
+RESERVED_V6 = ("::/8", "100::/8", "200::/7", "400::/6", "800::/5", "1000::/4", "4000::/3", "6000::/3", "8000::/3", "a000::/3", "c000::/3", "e000::/4", "f000::/5", "f800::/6", "fe00::/9")
+MAPPED_V4 = "00000000000000000000ffff"
+
+
+def _within(hexed: Column, networks: tuple[str, ...]) -> Column:
+    """Whether an address in hexadecimal lies in one of the networks."""
+    known = [ipaddress.ip_network(n) for n in networks]
+    return reduce(lambda a, b: a | b, (hexed.between(n[0].packed.hex(), n[-1].packed.hex()) for n in known))
+
+
+def ipv4_hex(c: Column) -> Column:
+    """Eight hexadecimal digits of a dotted address; null for what isn't one."""
+    octets = F.transform(F.split(c, r"\."), lambda p: p.try_cast("int"))
+    valid = c.rlike(r"^(0|[1-9]\d{0,2})(\.(0|[1-9]\d{0,2})){3}$") & F.forall(octets, lambda o: o <= 255)
+    return F.when(valid, F.lower(F.array_join(F.transform(octets, lambda o: F.lpad(F.hex(o), 2, "0")), "")))
+
+
+def ipv6_hex(c: Column) -> Column:
+    """32 hexadecimal digits of an address in any of its forms; null for what isn't one."""
+    tail = ipv4_hex(F.regexp_extract(c, r":(\d+\.\d+\.\d+\.\d+)$", 1))
+    plain = F.lower(F.when(tail.isNotNull(), F.concat(F.regexp_replace(c, r"[^:]*$", ""), F.left(tail, F.lit(4)), F.lit(":"), F.right(tail, F.lit(4)))).otherwise(c))
+    halves = F.split(plain, "::")
+    part = lambda k: F.filter(F.split(F.coalesce(F.get(halves, F.lit(k)), F.lit("")), ":"), lambda g: g != "")
+    left, right = part(0), part(1)
+    given = F.size(left) + F.size(right)
+    whole = F.when(plain.contains("::"), (given <= 7) & (F.size(halves) == 2)).otherwise(given == 8)
+    shaped = plain.rlike("^[0-9a-f:]+$") & ~plain.rlike("[0-9a-f]{5}|:::|^:[^:]|[^:]:$")
+    groups = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - given)), right)
+    return F.when(shaped & whole, F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), ""))
+
+
 def ip_properties(c: Column) -> Column:
-    """What kind of network an IPv4 address belongs to; null for what isn't one."""
-    octets = F.transform(F.split(c, r"\."), lambda p: F.trim(p).try_cast("int"))
-    a, b = F.get(octets, F.lit(0)), F.get(octets, F.lit(1))
-    private = (a == 10) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | (a == 127) | ((a == 169) & (b == 254))
-    found = F.struct(private.alias("is_private"), (a == 127).alias("is_loopback"), a.between(224, 239).alias("is_multicast"), ((a == 169) & (b == 254)).alias("is_link_local"), (a >= 240).alias("is_reserved"))
-    return F.when(is_ipv4(c), found)
+    """Version of an IPv4 or IPv6 address, what kind of network it belongs to, and its full form; null for what isn't one.
+
+    An IPv4 address mapped into IPv6 is private, global or a loop back as that address is.
+    """
+    t = F.trim(c)
+    four, six = ipv4_hex(t), ipv6_hex(t)
+    inner = F.coalesce(four, F.when(F.left(six, F.lit(24)) == MAPPED_V4, F.right(six, F.lit(8))))
+    private4 = _within(inner, PRIVATE_V4) & ~_within(inner, PUBLIC_IN_PRIVATE_V4)
+    private6 = _within(six, PRIVATE_V6) & ~_within(six, PUBLIC_IN_PRIVATE_V6)
+    is_private = F.coalesce(private4, private6)
+    found = F.struct(
+        F.when(four.isNotNull(), 4).otherwise(6).alias("version"),
+        is_private.alias("is_private"),
+        F.coalesce(~private4 & ~_within(inner, SHARED_V4), ~private6).alias("is_global"),
+        F.coalesce(_within(inner, ("127.0.0.0/8",)), six == "1".rjust(32, "0")).alias("is_loopback"),
+        F.coalesce(_within(four, ("224.0.0.0/4",)), _within(six, ("ff00::/8",))).alias("is_multicast"),
+        F.coalesce(_within(four, ("169.254.0.0/16",)), _within(six, ("fe80::/10",))).alias("is_link_local"),
+        F.coalesce(_within(four, ("240.0.0.0/4",)), _within(six, RESERVED_V6)).alias("is_reserved"),
+        F.coalesce(F.when(four.isNotNull(), t), F.regexp_replace(six, "(.{4})(?=.)", "$1:")).alias("exploded"),
+    )
+    return F.when(four.isNotNull() | six.isNotNull(), found)
 
 
 def is_json(c: Column) -> Column:

@@ -222,4 +222,5 @@ def file_size(c: Column) -> Column:
 
 
 def file_extension(c: Column) -> Column:
+    """What follows the last dot of a path, in lower case; empty without one."""
     return F.lower(F.regexp_extract(c, r"\.([^./\\]+)$", 1))

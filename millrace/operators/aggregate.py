@@ -20,7 +20,7 @@ from pyspark.sql.types import NumericType
 from millrace.functions.expressions import parse
 
 GRANULARITIES = ("minute", "hour", "day", "week", "month", "quarter", "year")
-STEPS = {"minute": "INTERVAL 1 MINUTE", "hour": "INTERVAL 1 HOUR", "day": "INTERVAL 1 DAY", "week": "INTERVAL 7 DAYS", "month": "INTERVAL 1 MONTH", "quarter": "INTERVAL 3 MONTHS"}
+STEPS = {"minute": "INTERVAL 1 MINUTE", "hour": "INTERVAL 1 HOUR", "day": "INTERVAL 1 DAY", "week": "INTERVAL 7 DAYS", "month": "INTERVAL 1 MONTH", "quarter": "INTERVAL 3 MONTHS", "year": "1"}
 OUTLIER_REACH = 1.5
 
 

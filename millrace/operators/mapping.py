@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from millrace.functions.expressions import parse
 from millrace.operators.normalize import lookup
 
+#: Samples of a dry run.
+SAMPLES = 10
 TYPES = {"string": "string", "str": "string", "integer": "bigint", "int": "bigint", "float": "double", "number": "double", "boolean": "boolean", "date": "date", "datetime": "timestamp"}
 
 
@@ -92,6 +94,13 @@ def apply_rules(df: DataFrame, rules: list[dict[str, Any]]) -> DataFrame:
     return df
 
 
+def dry_run(df: DataFrame, mappings: list[Mapping], rules: list[dict[str, Any]] | None = None, tables: dict[str, DataFrame] | None = None, most: int = SAMPLES) -> DataFrame:
+    """What mappings and rules would do to a few samples: `input`, `output` and `_errors`; nothing is loaded."""
+    rows = df.limit(most).withColumn("_input", F.struct(*df.columns))
+    out = apply_rules(apply_mappings(rows, [*mappings, Mapping("_input", source="_input")], tables), rules or [])
+    return out.select(F.col("_input").alias("input"), F.struct(*(c for c in out.columns if c not in ("_input", "_errors"))).alias("output"), "_errors")
+
+
 def split_failed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows without and with errors."""
     return df.where("size(_errors) = 0"), df.where("size(_errors) > 0")

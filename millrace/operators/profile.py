@@ -1,7 +1,7 @@
 """Profiles of tables: counts, lengths, types and samples of every column.
 
-All columns are turned to long form and counted by value once; what follows looks at
-distinct values with their counts, so types and lengths are judged once for each.
+Counts, lengths and types come from one aggregate over any number of columns; what needs distinct
+values gets them as digests or below a bound, so that long texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 SAMPLES = 10
+#: Rows that give a first bound of the samples.
+HEAD = 10_000
 LEAST_SHARE = 0.8
 # Texts of truth values and patterns of dates.
 TRUTH = ("true", "false", "1", "0", "yes", "no", "y", "n")
@@ -28,48 +30,64 @@ def _counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.inline(each)).groupBy("position", "column_name", "value").agg(F.count("*").alias("n"))
 
 
+def _distinct(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column_name and unique_count. Values of more than 16 bytes travel as their 128-bit digest, and a task hands on each once."""
+    value = lambda c: F.col(c).cast("string").cast("binary")
+    short = lambda c: F.octet_length(value(c)) <= 16
+    each = F.array(*(F.struct(F.lit(i).alias("position"), short(c).alias("short"), F.when(short(c), value(c)).otherwise(F.unhex(F.md5(value(c)))).alias("mark")) for i, c in enumerate(columns)))
+    marks = df.select(F.inline(each)).where("mark IS NOT NULL").distinct()
+    return marks.groupBy("position").agg(F.count("*").alias("unique_count"))
+
+
 def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """A row for each column: position, counts, shares, lengths and the type its texts look like."""
-    counts = _counts(df, columns or df.columns)
-    v, n = F.col("value"), F.col("n")
-    given = v.isNotNull()
-    filled = given & (v != "")
-    times = lambda test: F.coalesce(F.sum(F.when(test, n)), F.lit(0))
-    number = F.replace(v, F.lit(","), F.lit("")).try_cast("double").isNotNull()
-    told = counts.groupBy("position", "column_name").agg(
-        F.sum("n").alias("total_count"),
-        times(given).alias("_given"),
-        F.count("value").alias("unique_count"),
-        F.min(F.length("value")).alias("min_length"),
-        F.max(F.length("value")).alias("max_length"),
-        times(filled).alias("_filled"),
-        times(filled & F.lower("value").isin(*TRUTH)).alias("_truth"),
-        times(filled & number).alias("_number"),
-        times(filled & looks_like_date(v)).alias("_date"),
-    )
-    most = lambda c: F.col(c) / F.col("_filled") > LEAST_SHARE
-    kind = F.when(F.col("_filled") == 0, "STRING").when(F.col("_truth") == F.col("_filled"), "BOOLEAN").when(most("_number"), "NUMBER").when(most("_date"), "DATE").otherwise("STRING")
+    """A row for each column: position, counts, shares, lengths and the type its texts look like.
+
+    One aggregate of one row gives all but the distinct values, which are counted by digests; no
+    value is shuffled.
+    """
+    columns = columns or df.columns
+    measures = []
+    for i, c in enumerate(columns):
+        v = F.col(c).cast("string")
+        filled = v.isNotNull() & (v != "")
+        number = F.replace(v, F.lit(","), F.lit("")).try_cast("double").isNotNull()
+        tests = {"given": v.isNotNull(), "filled": filled, "truth": filled & F.lower(v).isin(*TRUTH), "number": filled & number, "date": filled & looks_like_date(v)}
+        lengths = {"min_length": F.min(F.length(v)), "max_length": F.max(F.length(v))}
+        parts = {k: F.count_if(F.coalesce(t, F.lit(False))) for k, t in tests.items()} | lengths
+        measures.append(F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"), *(m.alias(k) for k, m in parts.items())).alias(f"c{i}"))
+    one = df.agg(F.count("*").alias("total_count"), *measures)
+    told = one.select("total_count", F.inline(F.array(*(f"c{i}" for i in range(len(columns))))))
+    told = told.join(_distinct(df, columns), "position", "left").withColumn("unique_count", F.coalesce("unique_count", F.lit(0)))
+    most = lambda c: F.col(c) / F.col("filled") > LEAST_SHARE
+    kind = F.when(F.col("filled") == 0, "STRING").when(F.col("truth") == F.col("filled"), "BOOLEAN").when(most("number"), "NUMBER").when(most("date"), "DATE").otherwise("STRING")
     total = F.col("total_count")
     return told.select(
         "column_name",
         "position",
         kind.alias("data_type"),
         "total_count",
-        (total - F.col("_given")).alias("null_count"),
+        (total - F.col("given")).alias("null_count"),
         "unique_count",
-        F.bround((total - F.col("_given")) * 100.0 / total, 2).alias("null_percentage"),
-        F.round(F.col("_given") / total, 6).alias("completeness_ratio"),
-        F.round(F.try_divide(F.col("unique_count").cast("double"), F.col("_given")), 6).alias("uniqueness_ratio"),
+        F.bround(F.try_divide((total - F.col("given")) * 100.0, total), 2).alias("null_percentage"),
+        F.round(F.try_divide(F.col("given").cast("double"), total.cast("double")), 6).alias("completeness_ratio"),
+        F.round(F.try_divide(F.col("unique_count").cast("double"), F.col("given")), 6).alias("uniqueness_ratio"),
         "min_length",
         "max_length",
     )
 
 
 def samples(df: DataFrame, columns: list[str] | None = None, most: int = SAMPLES) -> DataFrame:
-    """The first distinct values of each column in order; ranks are cut off before the shuffle."""
-    counts = _counts(df, columns or df.columns).where("value IS NOT NULL")
+    """The first distinct values of each column in order.
+
+    A few rows give, for each column, a value that at least so many distinct ones don't exceed;
+    only values up to it, a small part of all, are counted and ranked.
+    """
+    columns = columns or df.columns
     place = F.row_number().over(Window.partitionBy("column_name").orderBy("value"))
-    top = counts.withColumn("_rn", place).where(F.col("_rn") <= most)
+    head = _counts(df.limit(HEAD), columns).where("value IS NOT NULL")
+    bounds = {r["column_name"]: r["value"] for r in head.withColumn("_rn", place).where(F.col("_rn") == most).collect()}  # a row for each column
+    near = df.select(*(F.when(F.col(c).cast("string") <= F.lit(bounds[c]), F.col(c).cast("string")).alias(c) if c in bounds else F.col(c) for c in columns))
+    top = _counts(near, columns).where("value IS NOT NULL").withColumn("_rn", place).where(F.col("_rn") <= most)
     return top.groupBy("column_name").agg(F.transform(F.sort_array(F.collect_list(F.struct("_rn", "value"))), lambda x: x.value).alias("sample_values"))
 
 

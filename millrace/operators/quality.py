@@ -117,3 +117,45 @@ def latest(checks: DataFrame, key: str, order: str) -> DataFrame:
     """The last check of each key; ranking is cut off before the shuffle."""
     w = Window.partitionBy(key).orderBy(F.col(order).desc())
     return checks.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def report(checks: DataFrame, rules: DataFrame, since: str, until: str) -> DataFrame:
+    """Checks, failures and pass rate by rule_type of the checks in [since, until); checks without a rule are left out."""
+    rows = checks.where((F.col("checked_at") >= F.lit(since)) & (F.col("checked_at") < F.lit(until))).join(rules, "rule_id")
+    return rows.groupBy("rule_type").agg(F.count("*").alias("checks"), F.sum("failed").alias("failed"), F.round(F.try_divide(F.sum("passed") * 100.0, F.sum("checked")), 6).alias("pass_rate"))
+
+
+def alerts(checks: DataFrame, rules: DataFrame, severities: list[str] | None = None, offset: int = 0, limit: int = 100) -> DataFrame:
+    """A page of failed checks with their rule, those with most failures first."""
+    rows = checks.where("result = 'FAIL'").join(rules.where(F.col("severity").isin(*severities)) if severities else rules, "rule_id")
+    page = rows.orderBy(F.desc("failed"), "check_id").offset(offset).limit(limit)
+    return page.select("check_id", "rule_id", "rule_type", "severity", F.round(F.try_divide(F.col("failed").cast("double"), F.col("checked").cast("double")), 6).alias("failure_rate"))
+
+
+def rule_usage(checks: DataFrame, now: Any, days: int = 30) -> DataFrame:
+    """How often each rule was used in the last days, and how checks and records came out."""
+    rows = checks.where(F.col("checked_at") >= F.lit(now) - F.expr(f"INTERVAL {days} DAYS")).groupBy("rule_id")
+    passed = F.count_if(F.col("result") == "PASS")
+    return rows.agg(
+        F.count("*").alias("checks"),
+        passed.alias("passed_checks"),
+        (F.count("*") - passed).alias("failed_checks"),
+        F.round(passed * 100.0 / F.count("*"), 6).alias("pass_rate"),
+        F.sum("checked").alias("records_checked"),
+        F.sum("passed").alias("records_passed"),
+        F.round(F.try_divide(F.sum("passed") * 100.0, F.sum("checked")), 6).alias("record_pass_rate"),
+        F.max("checked_at").alias("last_used"),
+    )
+
+
+def entity_scorecard(entities: DataFrame, type_column: str, kind: str, data: str, fields: str, rules: list[QualityRule], ids: tuple[str, list] | None = None) -> DataFrame:
+    """A scorecard over the entities (or records of a file) of one kind: their own columns and the fields of their JSON.
+
+    ids: a column and the values that are looked at. A field of the JSON takes the place of a column of its name.
+    """
+    rows = entities.where(F.col(type_column) == kind)
+    if ids:
+        rows = rows.where(F.col(ids[0]).isin(*ids[1]))
+    read = rows.withColumn("_data", F.from_json(data, fields))
+    inner = read.select("_data.*").columns
+    return scorecard(read.select(*(c for c in rows.columns if c != data and c not in inner), "_data.*"), rules)

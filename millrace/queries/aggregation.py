@@ -233,4 +233,5 @@ def win_latest_by_key(spark, sf_dir):
 
 @query("""SELECT user_id, date_trunc('day', ts) AS bucket, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY 1, 2""")
 def win_buckets(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("bucket")).agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    out = w.buckets(table(spark, sf_dir, "events"), ["user_id"], "ts", "day", [F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")])
+    return out.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))

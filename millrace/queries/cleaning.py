@@ -10,6 +10,7 @@ from millrace.functions.expressions import parse
 from millrace.operators import clean as c
 from millrace.operators import mapping as m
 from millrace.operators import normalize as n
+from millrace.operators.aggregate import bracketed_percentiles
 from millrace.queries.registry import query
 from millrace.session import table
 
@@ -33,9 +34,10 @@ def clean_case_and_characters(spark, sf_dir):
     return c.clean(untidy(spark, sf_dir).select("c_custkey", "name"), c.CleanConfig(remove_characters="#-", case="lower"))
 
 
-@query("""SELECT c_custkey, 'O''Neil Mc-Donald 3Rd' AS titled, upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) AS segment FROM customer""")
+@query("""SELECT c_custkey, array_to_string(list_transform(regexp_extract_all(c_name || '''s ' || lower(c_mktsegment) || '-' || c_custkey || c_mktsegment, '[a-zA-Z]+|[^a-zA-Z]+'), lambda w: upper(w[1]) || lower(w[2:])), '') AS titled, upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) AS segment FROM customer""")
 def clean_title(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", text.title(F.lit("o'neil mc-donald 3rd")).alias("titled"), text.title(F.col("c_mktsegment")).alias("segment"))
+    mixed = F.concat("c_name", F.lit("'s "), F.lower("c_mktsegment"), F.lit("-"), "c_custkey", "c_mktsegment")
+    return table(spark, sf_dir, "customer").select("c_custkey", text.title(mixed).alias("titled"), text.title(F.col("c_mktsegment")).alias("segment"))
 
 
 @query(f"""SELECT c_custkey, upper(replace(trim(name), 'Customer', 'Client')) AS name, lower(segment) AS segment,
@@ -111,14 +113,14 @@ def norm_encodings(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", n.label_encode(seg, {"BUILDING": 1, "machinery": 2}).alias("label"), *n.one_hot(seg, "seg", ["BUILDING", "MACHINERY"]))
 
 
-@query("""SELECT c_custkey, round((c_acctbal + 1000) / 11000 * 100, 6) AS scaled, round((c_acctbal - 4500) / 3000, 6) AS z, round((c_acctbal - q2) / (q3 - q1), 6) AS robust
+@query("""SELECT c_custkey, round((c_acctbal + 1000) / 11000 * 100, 6) AS scaled, round_even((c_acctbal - 4500.0) / 3000.0, 2) AS z, round((c_acctbal - q2) / (q3 - q1), 6) AS robust
   FROM customer, (SELECT quantile_cont(c_acctbal, 0.25) q1, quantile_cont(c_acctbal, 0.5) q2, quantile_cont(c_acctbal, 0.75) q3 FROM customer)""")
 def norm_scales(spark, sf_dir):
     d = table(spark, sf_dir, "customer")
-    q = d.agg(F.percentile("c_acctbal", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = bracketed_percentiles(d, [], "c_acctbal", [0.25, 0.5, 0.75]).withColumnRenamed("percentiles", "q")
     b = F.col("c_acctbal")
     # the bounds are one row
-    return d.join(F.broadcast(q)).select("c_custkey", F.round((b + 1000) / 11000 * 100, 6).alias("scaled"), F.round((b - 4500) / 3000, 6).alias("z"), F.round(n.robust_scale(b, F.col("q")[1], F.col("q")[0], F.col("q")[2]), 6).alias("robust"))
+    return d.join(F.broadcast(q)).select("c_custkey", F.round((b + 1000) / 11000 * 100, 6).alias("scaled"), n.z_score(b, 4500.0, 3000.0).alias("z"), F.round(n.robust_scale(b, F.col("q")[1], F.col("q")[0], F.col("q")[2]), 6).alias("robust"))
 
 
 @query("""SELECT c_custkey, round_even((c_acctbal + 1000.0) / 11000.0, 2) AS scaled FROM customer""")
@@ -199,3 +201,18 @@ def map_rules(spark, sf_dir):
   CASE WHEN p_size >= 25 AND p_size < 40 THEN 'mid' ELSE 'edge' END AS place FROM part""")
 def map_expressions(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", parse("len($p_name)").alias("n"), parse("upper($p_brand)").alias("brand"), F.round(parse("$p_retailprice / $p_size"), 6).alias("unit"), parse("$p_size in [1, 2, 3] and not ($p_retailprice > 1000)").alias("chosen"), parse("'mid' if 25 <= $p_size < 40 else 'edge'").alias("place"))
+
+
+@query(f"""SELECT c_custkey, name IS NULL OR name = '' AS failed, CASE WHEN name IS NULL OR name = '' THEN 'name: required' END AS reason FROM {U}""")
+def map_required_split(spark, sf_dir):
+    mapped = m.apply_mappings(untidy(spark, sf_dir), [m.Mapping("c_custkey", source="c_custkey"), m.Mapping("name", source="name", required=True)])
+    good, bad = m.split_failed(mapped)
+    return good.select("c_custkey", F.lit(False).alias("failed"), F.lit(None).cast("string").alias("reason")).unionAll(bad.select("c_custkey", F.lit(True), F.array_join("_errors", "; ")))
+
+
+@query("""SELECT p_partkey, p_name AS input_p_name, upper(p_name) AS name, p_retailprice * 2 AS double_price, CASE WHEN p_size > 10 THEN ['too large'] ELSE [] END AS _errors FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 10)""")
+def map_dry_run(spark, sf_dir):
+    maps = [m.Mapping("p_partkey", source="p_partkey"), m.Mapping("name", "calculated", expression="upper($p_name)"), m.Mapping("double_price", "calculated", expression="$p_retailprice * 2"), m.Mapping("p_size", source="p_size")]
+    rules = [{"type": "validation", "expression": "$p_size <= 10", "message": "too large"}]
+    tried = m.dry_run(table(spark, sf_dir, "part").orderBy("p_partkey"), maps, rules)
+    return tried.select("output.p_partkey", F.col("input.p_name").alias("input_p_name"), "output.name", "output.double_price", "_errors")

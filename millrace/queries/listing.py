@@ -120,6 +120,12 @@ def fn_file_size(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.file_size(F.octet_length(F.coalesce("html", F.lit("")))).alias("size"))
 
 
+@query("""SELECT page_id, CASE WHEN contains(string_split(u, '/')[-1], '.') THEN lower(string_split(string_split(u, '/')[-1], '.')[-1]) ELSE '' END AS extension FROM (SELECT page_id, url || CASE page_id % 3 WHEN 0 THEN '/a.b/c.TAR.Gz' WHEN 1 THEN '/x' ELSE '/p.HTML' END AS u FROM pages)""")
+def fn_file_extension(spark, sf_dir):
+    ends = F.when(F.col("page_id") % 3 == 0, "/a.b/c.TAR.Gz").when(F.col("page_id") % 3 == 1, "/x").otherwise("/p.HTML")
+    return table(spark, sf_dir, "pages").select("page_id", text.file_extension(F.concat("url", ends)).alias("extension"))
+
+
 # -- calendar ------------------------------------------------------------------------------
 
 DAYS = "SELECT o_orderkey, o_orderdate::DATE AS day, (o_orderdate + to_days((o_orderkey % 40)::INT))::DATE AS later FROM orders"
@@ -140,7 +146,7 @@ def date_parse(spark, sf_dir):
 
 @query("SELECT event_id, ts + INTERVAL 7 HOUR AS jakarta, strftime(ts, '%Y-%m-%d %H:%M') AS shown FROM events")
 def date_timezone(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", d.convert_timezone(F.col("ts"), "UTC", "Asia/Jakarta").cast("timestamp_ntz").alias("jakarta"), F.date_format("ts", "yyyy-MM-dd HH:mm").alias("shown"))
+    return table(spark, sf_dir, "events").select("event_id", d.convert_timezone(F.col("ts"), "UTC", "Asia/Jakarta").cast("timestamp_ntz").alias("jakarta"), d.format_datetime(F.col("ts"), "yyyy-MM-dd HH:mm").alias("shown"))
 
 
 @query("SELECT o_orderkey, unnest(generate_series(o_orderdate, o_orderdate + INTERVAL 6 DAY, INTERVAL 3 DAY))::DATE AS day FROM orders")

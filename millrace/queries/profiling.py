@@ -134,3 +134,15 @@ def ing_dotted_path(spark, sf_dir):
 def ing_api_checks(spark, sf_dir):
     d = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("status"))
     return d.select("event_id", i.api_checks(d)["response tells of an error"].alias("failed"))
+
+
+@query("""SELECT page_id, false AS blank, true AS deep FROM pages""")
+def ing_json_checks(spark, sf_dir):
+    nested = table(spark, sf_dir, "pages").select("page_id", F.struct(F.struct(F.struct(F.col("url").alias("c")).alias("b")).alias("a")).alias("data"))
+    checks = i.json_checks(nested, 3)
+    return nested.select("page_id", checks["record is empty"].alias("blank"), checks["nested too deeply"].alias("deep"))
+
+
+@query("SELECT event_id, 'batch-7' AS batch_id, 'orders' AS _api_source FROM events")
+def ing_stamped(spark, sf_dir):
+    return i.stamped(table(spark, sf_dir, "events").select("event_id"), "batch-7", _api_source="orders")

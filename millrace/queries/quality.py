@@ -42,7 +42,7 @@ def fmt_contact(spark, sf_dir):
 
 
 @query(f"""SELECT c_custkey, coalesce(len(string_split({SAMPLES['ipv4']}, '.')) = 4 AND len(list_filter(string_split({SAMPLES['ipv4']}, '.'), lambda p: try_cast(p AS INT) BETWEEN 0 AND 255)) = 4, false) AS ipv4,
-  regexp_matches({SAMPLES['ipv6']}, '^([0-9a-fA-F]{{1,4}}:){{7}}[0-9a-fA-F]{{1,4}}$') AS ipv6, starts_with({SAMPLES['uuid']}, '123e4567-e89b-12d3-a456-426614174000') AS uuid FROM customer""")
+  regexp_matches({SAMPLES['ipv6']}, '^([0-9a-fA-F]{{1,4}}:){{7}}[0-9a-fA-F]{{1,4}}$') AS ipv6, regexp_matches({SAMPLES['uuid']}, '^[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[1-5][0-9a-fA-F]{{3}}-[89abAB][0-9a-fA-F]{{3}}-[0-9a-fA-F]{{12}}') AS uuid FROM customer""")
 def fmt_network(spark, sf_dir):
     return _formats(spark, sf_dir, "ipv4", "ipv6", "uuid")
 
@@ -82,15 +82,27 @@ def fmt_url_parts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", url_parts(F.col("url")).alias("u")).select("page_id", "u.*")
 
 
-@query("""SELECT c_custkey, k < 5 AS is_private, k = 1 AS is_loopback, k = 6 AS is_multicast, k = 4 AS is_link_local, k = 7 AS is_reserved FROM (SELECT c_custkey, c_custkey % 9 AS k FROM customer) WHERE k <> 8
-  UNION ALL SELECT c_custkey, NULL, NULL, NULL, NULL, NULL FROM customer WHERE c_custkey % 9 = 8""")
+# Addresses spread over all networks; the SQL judges them as numbers.
+_FIRST = "array(0, 8, 10, 100, 127, 169, 172, 192, 198, 203, 224, 250)"
+IPS = """SELECT c_custkey, CASE c_custkey % 5 WHEN 4 THEN {six} ELSE {first} || '.' || {second} || '.' || c_custkey % 4 || '.' || c_custkey % 256 END AS ip FROM customer"""
+_SECOND = "CASE c_custkey % 3 WHEN 0 THEN 168 WHEN 1 THEN c_custkey % 256 ELSE CASE c_custkey % 7 WHEN 0 THEN 254 WHEN 1 THEN 18 WHEN 2 THEN 51 WHEN 3 THEN 64 ELSE 0 END END"
+_SIX = "array('fe80::', '2001:db8::', '2002::', 'fc00::1:', '2606:4700::', 'ff02::', '::ffff:0:')"
+SPARK_IPS = IPS.format(first=f"element_at({_FIRST}, cast(1 + c_custkey % 12 AS int))", second=_SECOND, six=f"element_at({_SIX}, cast(1 + c_custkey % 7 AS int)) || lower(hex(c_custkey % 65536))")
+DUCK_IPS = IPS.format(first=f"{_FIRST.replace('array(', '[').replace(')', ']')}[1 + c_custkey % 12]", second=_SECOND, six=f"{_SIX.replace('array(', '[').replace(')', ']')}[1 + c_custkey % 7] || lower(printf('%X', c_custkey % 65536))")
+
+
+@query(f"""WITH a AS (SELECT c_custkey, ip, CASE WHEN contains(ip, '.') THEN list_reduce(list_transform(string_split(ip, '.'), lambda x: x::BIGINT), lambda x, y: x * 256 + y) END AS v FROM ({DUCK_IPS})),
+  b AS (SELECT *, v < 16777216 OR v // 16777216 IN (10, 127) OR v // 65536 IN (43518, 49320) OR v // 1048576 = 2753 OR v // 256 IN (12582912, 12582914, 12989284, 13303921) OR v // 131072 = 25353 OR v >= 4026531840 AS p FROM a),
+  c AS (SELECT *, CASE WHEN v IS NOT NULL THEN p AND v NOT IN (3221225481, 3221225482) ELSE NOT (starts_with(ip, '2606:') OR starts_with(ip, 'ff')) END AS q FROM b)
+  SELECT c_custkey, CASE WHEN v IS NULL THEN 6 ELSE 4 END AS version, q AS is_private, NOT q AND coalesce(v // 4194304 <> 401, true) AS is_global, coalesce(v // 16777216 = 127, false) AS is_loopback,
+  coalesce(v // 268435456 = 14, starts_with(ip, 'ff')) AS is_multicast, coalesce(v // 65536 = 43518, starts_with(ip, 'fe80')) AS is_link_local, coalesce(v // 268435456 = 15, starts_with(ip, '::')) AS is_reserved FROM c""")
 def fmt_ip_properties(spark, sf_dir):
-    ips = F.array(*(F.lit(x) for x in ("10.1.2.3", "127.0.0.1", "192.168.0.9", "172.31.0.1", "169.254.1.1", "8.8.8.8", "224.0.0.1", "250.0.0.1", "1.2.3.256")))
-    d = table(spark, sf_dir, "customer").select("c_custkey", ip_properties(F.get(ips, (F.col("c_custkey") % 9).cast("int"))).alias("p"))
-    return d.select("c_custkey", "p.*")
+    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    return spark.sql(SPARK_IPS).select("c_custkey", ip_properties(F.col("ip")).alias("p")).select("c_custkey", "p.*").drop("exploded")
 
 
-@query("""SELECT event_id, event_id % 3 <> 1 AS valid_json, CASE WHEN event_id % 2 = 0 THEN 'u' || user_id END AS local, CASE WHEN event_id % 2 = 0 THEN 'mail.example.com' END AS domain FROM events""")
+@query("""SELECT event_id, json_valid(j) AS valid_json, nullif(regexp_extract(mail, '^([^@]+)@[^@]+\\.[a-zA-Z]{2,}$', 1), '') AS local, nullif(lower(regexp_extract(mail, '^[^@]+@([^@]+\\.[a-zA-Z]{2,})$', 1)), '') AS domain
+  FROM (SELECT event_id, CASE WHEN event_id % 3 = 1 THEN substr(props, 2) ELSE props END AS j, CASE WHEN event_id % 2 = 0 THEN 'u' || user_id || '@Mail.Example.com' ELSE 'u' || user_id END AS mail FROM events)""")
 def fmt_json_and_email(spark, sf_dir):
     d = table(spark, sf_dir, "events").selectExpr("event_id", "CASE WHEN event_id % 3 = 1 THEN substr(props, 2) ELSE props END AS j", "CASE WHEN event_id % 2 = 0 THEN 'u' || user_id || '@Mail.Example.com' ELSE 'u' || user_id END AS mail")
     return d.select("event_id", is_json(F.col("j")).alias("valid_json"), email_parts(F.col("mail")).alias("m")).select("event_id", "valid_json", "m.*")
@@ -234,18 +246,42 @@ def dq_weighted_score(spark, sf_dir):
     return q.weighted_score(checks(spark, sf_dir))
 
 
-@query(f"""SELECT event_type AS rule_type, count(*) AS checks, sum(failed)::BIGINT AS failed, round(100.0 * sum(passed) / sum(checked), 6) AS pass_rate FROM {CHECKS} JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) ON user_id = c_custkey WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY 1""")
+_RULES_SQL = "(SELECT c_custkey AS rule_id, c_mktsegment AS rule_type, CASE WHEN c_acctbal > 5000 THEN 'critical' ELSE 'error' END AS severity FROM customer WHERE c_acctbal > 0)"
+_CHECKED = f"(SELECT event_id AS check_id, user_id AS rule_id, ts AS checked_at, checked, passed, failed, result FROM {CHECKS})"
+
+
+def _rules(spark, sf_dir):
+    kept = table(spark, sf_dir, "customer").where("c_acctbal > 0")
+    return kept.select(F.col("c_custkey").alias("rule_id"), F.col("c_mktsegment").alias("rule_type"), F.when(F.col("c_acctbal") > 5000, "critical").otherwise("error").alias("severity"))
+
+
+def _checked(spark, sf_dir):
+    return checks(spark, sf_dir).select(F.col("event_id").alias("check_id"), F.col("user_id").alias("rule_id"), F.col("ts").alias("checked_at"), "checked", "passed", "failed", "result")
+
+
+@query(f"""SELECT rule_type, count(*) AS checks, sum(failed)::BIGINT AS failed, round(100.0 * sum(passed) / sum(checked), 6) AS pass_rate FROM {_CHECKED} JOIN {_RULES_SQL} USING (rule_id) WHERE checked_at >= TIMESTAMP '2024-01-10' AND checked_at < TIMESTAMP '2024-01-17' GROUP BY 1""")
 def dq_report(spark, sf_dir):
-    d = checks(spark, sf_dir)
-    newest = d.agg((F.max("ts") - F.expr("INTERVAL 7 DAYS")).alias("since"))  # one row
-    rules = table(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey")
-    return d.join(F.broadcast(newest), F.col("ts") >= F.col("since")).join(rules, F.col("user_id") == F.col("c_custkey")).groupBy(F.col("event_type").alias("rule_type")).agg(F.count("*").alias("checks"), F.sum("failed").alias("failed"), F.round(F.sum("passed") * 100.0 / F.sum("checked"), 6).alias("pass_rate"))
+    return q.report(_checked(spark, sf_dir), _rules(spark, sf_dir), "2024-01-10", "2024-01-17")
 
 
-@query(f"""SELECT event_id, user_id, round(failed / checked::DOUBLE, 6) AS failure_rate FROM {CHECKS} WHERE result = 'FAIL' AND event_type IN ('error', 'purchase') ORDER BY failed DESC, event_id LIMIT 20 OFFSET 10""")
+@query(f"""SELECT check_id, rule_id, rule_type, severity, round(failed / checked::DOUBLE, 6) AS failure_rate FROM {_CHECKED} JOIN {_RULES_SQL} USING (rule_id) WHERE result = 'FAIL' AND severity = 'critical' ORDER BY failed DESC, check_id LIMIT 20 OFFSET 10""")
 def dq_alerts(spark, sf_dir):
-    d = checks(spark, sf_dir).where("result = 'FAIL' AND event_type IN ('error', 'purchase')")
-    return d.orderBy(F.desc("failed"), "event_id").offset(10).limit(20).select("event_id", "user_id", F.round(F.col("failed") / F.col("checked"), 6).alias("failure_rate"))
+    return q.alerts(_checked(spark, sf_dir), _rules(spark, sf_dir), ["critical"], 10, 20)
+
+
+@query(f"""SELECT rule_id, count(*) AS checks, count(*) FILTER (result = 'PASS') AS passed_checks, count(*) FILTER (result <> 'PASS') AS failed_checks, round(100.0 * count(*) FILTER (result = 'PASS') / count(*), 6) AS pass_rate, sum(checked)::BIGINT AS records_checked, sum(passed)::BIGINT AS records_passed,
+  round(100.0 * sum(passed) / nullif(sum(checked), 0), 6) AS record_pass_rate, max(checked_at) AS last_used FROM {_CHECKED} WHERE checked_at >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY GROUP BY 1""")
+def dq_rule_usage(spark, sf_dir):
+    newest = table(spark, sf_dir, "events").agg(F.max("ts").alias("now")).first()["now"]
+    return q.rule_usage(_checked(spark, sf_dir), newest, 30).withColumn("last_used", F.col("last_used").cast("timestamp_ntz"))
+
+
+@query("""SELECT rule_id, count(*) AS checked, count(*) FILTER (NOT bad) AS passed, count(*) FILTER (bad) AS failed, round(100.0 * count(*) FILTER (NOT bad) / count(*), 6) AS pass_rate
+  FROM (SELECT unnest([{'rule_id': 'k', 'bad': coalesce(json_extract_string(props, '$.k')::DOUBLE > 50, false)}, {'rule_id': 'who', 'bad': user_id IS NULL}], recursive := true) FROM events WHERE event_type = 'purchase') GROUP BY 1""")
+def dq_entities(spark, sf_dir):
+    rules = [q.QualityRule("k", "range", "k", {"max": 50}), q.QualityRule("who", "completeness", "user_id")]
+    d = table(spark, sf_dir, "events").withColumnRenamed("event_type", "entity_type")
+    return q.entity_scorecard(d, "entity_type", "purchase", "props", "k double", rules).select("rule_id", "checked", "passed", "failed", "pass_rate")
 
 
 @query("""SELECT o_custkey AS key, max(o_orderkey) AS last_order FROM orders GROUP BY 1""")

@@ -184,3 +184,25 @@ def plan_match_and_aggregate(spark, sf_dir):
     d = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat_ws(" ", "c_mktsegment", "c_nationkey").alias("name"), "c_mktsegment")
     spec = p.PipelineSpec("segments", [p.clean_stage(c.CleanConfig(case="lower")), p.match_stage("id", rules, 0.9, "first"), p.aggregate_stage([a.Key("c_mktsegment", "segment")], [a.Measure("id", "count", "n")])])
     return p.folded(spec, d)
+
+
+@query("SELECT 'INSERT INTO nation (n_nationkey, n_name) VALUES (' || n_nationkey || ', ' || chr(39) || n_name || chr(39) || chr(39) || 's' || chr(39) || ');' AS value FROM nation")
+def sink_sql_backup(spark, sf_dir):
+    path = shared_path(spark)
+    sinks.backup(table(spark, sf_dir, "nation").select("n_nationkey", F.concat("n_name", F.lit("'s")).alias("n_name")), path, "sql", "nation")
+    return spark.read.text(path)
+
+
+@query("SELECT event_id, event_type FROM events WHERE ts < TIMESTAMP '2024-01-10'")
+def sink_archive(spark, sf_dir):
+    path, old = shared_path(spark), table(spark, sf_dir, "events").select("event_id", "event_type", "ts").where("ts < TIMESTAMP_NTZ '2024-01-10'")
+    sinks.archive(old.where("event_id % 2 = 0"), path)
+    sinks.archive(old.where("event_id % 2 = 1"), path)
+    return spark.read.schema("event_id long, event_type string").json(path)
+
+
+@query("SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1")
+def sink_export(spark, sf_dir):
+    report = a.aggregate(table(spark, sf_dir, "orders"), [a.Key("o_orderpriority")], [a.Measure("o_orderkey", "count", "n")])
+    path = sinks.export(report, shared_path(spark), "orders_by_priority", "csv")
+    return spark.read.schema("o_orderpriority string, n long").csv(path, header=True)

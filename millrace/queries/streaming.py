@@ -83,3 +83,27 @@ def stream_user_totals(spark, sf_dir):
 def stream_delivered(spark, sf_dir):
     rows = s.event_stream(spark, sf_dir).select("event_id", s.delivered(F.col("event_id") % 5, F.col("event_type") != "error").alias("outcome"))
     return s.run(rows)
+
+
+@query("""SELECT event_id, CASE WHEN event_type <> 'error' THEN 'delivered' WHEN event_id % 5 < 3 THEN 'retry' ELSE 'dead_letter' END AS outcome, event_id % 5 + (event_type = 'error' AND event_id % 5 < 3)::INT AS attempts FROM events""")
+def stream_retries(spark, sf_dir):
+    paths = {outcome: shared_path(spark) for outcome in ("delivered", "dead_letter", "retry")}
+    rows = s.event_stream(spark, sf_dir).select("event_id", "event_type", (F.col("event_id") % 5).alias("attempts"))
+    s.deliver(rows, F.col("event_type") != "error", *paths.values())
+    read = [spark.read.parquet(p).select("event_id", F.lit(outcome).alias("outcome"), "attempts") for outcome, p in paths.items()]
+    return read[0].unionAll(read[1]).unionAll(read[2])
+
+
+@query("SELECT event_type AS handler, count(*) AS n FROM events WHERE event_type IN ('error', 'purchase') GROUP BY 1")
+def stream_handlers(spark, sf_dir):
+    path = shared_path(spark)
+    note = lambda kind: lambda rows, k: rows.agg(F.lit(kind).alias("handler"), F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/{kind}-{k}")
+    s.handled_by_type(s.event_stream(spark, sf_dir), {kind: note(kind) for kind in ("error", "purchase")})
+    return spark.read.parquet(f"{path}/*").groupBy("handler").agg(F.sum("n").alias("n"))
+
+
+@query("SELECT channel, count(*) AS n FROM (SELECT unnest(['type:' || event_type, 'priority:' || CASE WHEN value > 100 THEN 'high' ELSE 'normal' END]) AS channel FROM events) GROUP BY 1")
+def stream_published(spark, sf_dir):
+    path = shared_path(spark)
+    s.published_to(s.event_stream(spark, sf_dir), path, F.when(F.col("value") > 100, "high").otherwise("normal"))
+    return spark.read.parquet(path).groupBy("channel").agg(F.count("*").alias("n"))

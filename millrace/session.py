@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
         current = jsc.getCheckpointDir()
         named = current.get() if current.isDefined() else None
     if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="millrace-checkpoint-")
     if not jsc.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(named)

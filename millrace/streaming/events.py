@@ -99,6 +99,41 @@ def delivered(attempts: Column, ok: Column, most: int = MOST_RETRIES) -> Column:
     return F.when(ok, "delivered").when(attempts < most, "retry").otherwise("dead_letter")
 
 
+def deliver(stream: DataFrame, ok: Column, delivered_to: str, dead: str, waiting: str, attempts: str = "attempts", most: int = MOST_RETRIES) -> None:
+    """One attempt for every message: those that go through are written to one table, the others wait with one more attempt, and after the last they are dead letters.
+
+    A batch that comes again writes the same folders, so each message has one outcome.
+    """
+
+    def write(rows: DataFrame, k: int) -> None:
+        told = rows.withColumn("_outcome", delivered(F.col(attempts), F.coalesce(ok, F.lit(False)), most)).persist()
+        for outcome, path in (("delivered", delivered_to), ("dead_letter", dead), ("retry", waiting)):
+            part = told.where(F.col("_outcome") == outcome).drop("_outcome")
+            part = part.withColumn(attempts, F.col(attempts) + 1) if outcome == "retry" else part
+            part.write.mode("overwrite").parquet(f"{path}/batch={k:09d}")
+        told.unpersist()
+
+    each_batch(stream, write)
+
+
+def handled_by_type(stream: DataFrame, handlers: dict[str, Callable[[DataFrame, int], None]], column: str = "event_type") -> None:
+    """Each handler gets the events of its type; types without one are left alone. A batch is read once for all."""
+
+    def write(rows: DataFrame, k: int) -> None:
+        rows = rows.where(F.col(column).isin(*handlers)).persist()
+        for kind, handle in handlers.items():
+            handle(rows.where(F.col(column) == kind), k)
+        rows.unpersist()
+
+    each_batch(stream, write)
+
+
+def published_to(stream: DataFrame, path: str, priority: Column, key: str = "event_type") -> None:
+    """A channel for each type, and beside these one for each priority: `channel` is type:... or priority:..."""
+    channels = F.array(F.concat(F.lit("type:"), F.col(key)), F.concat(F.lit("priority:"), priority))
+    each_batch(stream, lambda rows, k: rows.withColumn("channel", F.explode(channels)).withColumn("batch", F.lit(k)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("channel", "batch").parquet(path))
+
+
 def quality_counts(stream: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """A running count of events and of failures of each check."""
     return stream.groupBy().agg(F.count("*").alias("checked"), *(F.count_if(~F.coalesce(ok, F.lit(False))).alias(n) for n, ok in checks.items()))
