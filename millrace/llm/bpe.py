@@ -1,10 +1,16 @@
 """BPE encoding and decoding by tree concatenation.
 
 A text is cut at special tokens, normalised and split into pre-tokens; equal pre-tokens
-of a task are encoded once. A pre-token longer than LEAF symbols is halved until the
-pieces are short; the halves are encoded by themselves and joined: the tokens around the
-join are encoded again in a window that grows on the side that still disagrees. A token
-sequence is the encoding of its text exactly if every two neighbours encode to
+of a task are encoded once. A text of more than PIECE code points isn't one task's work:
+after normalisation it is halved, wherever the halves may fall, until no piece is longer; the
+pieces are dealt out and encoded in parallel, and joined again two by two. Around a join the
+pre-tokens are split again in a window that grows on the side that still disagrees, until
+the first and the last pre-token of the window are those of the halves; what lies between is
+encoded again.
+
+A pre-token of more than LEAF symbols, or one that a cut went through, is joined in the same
+manner one level below: the tokens around the join are encoded again in a growing window.
+A token sequence is the encoding of its text exactly if every two neighbours encode to
 themselves, so the join is done when the pairs at both ends of the window agree.
 
 Vocabulary, merges, special tokens and word-end suffix come from the tokenizer file,
@@ -12,8 +18,8 @@ whose path is a parameter; nothing is trained. Decoding reads the ids back throu
 vocabulary; this tokenizer file declares no decoder, so tokens are joined by spaces.
 
 Defined results: null text counts as empty and encodes to no ids; repeated rows are each
-returned; an empty table gives no rows; other columns are ignored. Very long texts are
-held one at a time by a task.
+returned; an empty table gives no rows; other columns are ignored. Of a very long text, only
+normalising it and putting its result into one row are one task's work.
 """
 
 from __future__ import annotations
@@ -25,16 +31,24 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import settle_table
 
-#: Symbols that are encoded without halving.
+
+#: Code points of a text that are encoded without halving.
+PIECE = 1 << 14
+#: Symbols of a pre-token that are.
 LEAF = 96
+#: Texts whose ids a task holds at once.
+ROWS_AT_ONCE = 500
 #: Distinct pre-tokens that a task remembers; beyond this it starts afresh.
 REMEMBERED = 300_000
 ID_BITS = 24
@@ -57,6 +71,24 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b if b in plain else next(spare)) for b in range(256)}
 
 
+@dataclass
+class Part:
+    """Normalised text, where its pre-tokens stand, its ids, and whether these take the last pre-token to go on."""
+
+    text: str
+    spans: np.ndarray
+    ids: array
+    open: bool
+
+
+def halves(text: str) -> list[str]:
+    """The text halved until no piece is longer than PIECE."""
+    parts = 1
+    while len(text) > parts * PIECE:
+        parts *= 2
+    return [text[len(text) * k // parts : len(text) * (k + 1) // parts] for k in range(parts)]
+
+
 class TreeBpe:
     """Encoder and decoder for one tokenizer file."""
 
@@ -85,6 +117,7 @@ class TreeBpe:
         self.agreed: dict[tuple[int, int], bool] = {}
         self._library = None
         self._path = path
+        self.joins = 0
 
     # -- one unsplit text ---------------------------------------------------------
 
@@ -123,6 +156,7 @@ class TreeBpe:
 
     def _join(self, left: list[int], right: list[int]) -> list[int]:
         a = b = 1
+        self.joins += 1
         while True:
             a, b = min(a, len(left)), min(b, len(right))
             middle = self._merge(self._symbols(left[-a:] + right[:b]))
@@ -132,36 +166,62 @@ class TreeBpe:
                 return left[: len(left) - a] + middle + right[b:]
             a, b = (a if left_agrees else 2 * a), (b if right_agrees else 2 * b)
 
-    def encode_unsplit(self, word: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        symbols = [self.inner[x] for x in word[:-1]] + [self.final[word[-1]]]
+    def encode_unsplit(self, word: bytes, final: bool = True) -> list[int]:
+        """Ids of one pre-token, or of the beginning of one."""
+        symbols = [self.inner[x] for x in word[:-1]] + [(self.final if final else self.inner)[word[-1]]]
         parts = [self._merge(symbols[i : i + LEAF]) for i in range(0, len(symbols), LEAF)]
         while len(parts) > 1:
             parts = [self._join(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
         return parts[0]
 
+    def _closed(self, ids: list[int]) -> list[int]:
+        """Ids of a whole pre-token, of which those of a beginning are given."""
+        symbols = self._symbols(ids[-1:])
+        last = self._merge([*symbols[:-1], self.final[self.inner.index(symbols[-1])]])
+        return self._join(ids[:-1], last) if len(ids) > 1 else last
+
     # -- whole texts --------------------------------------------------------------
 
-    def pre_tokens(self, text: str) -> list[str]:
-        """Normalise and split a text that holds no special token."""
+    def _is_odd(self, text: str) -> bool:
+        """Characters that Python's tables don't know yet, or marks whose order they know since: classes, cases and order are the tokenizer file's library's."""
+        return bool(_LONG_ASSIGNED.search(text)) and any(unicodedata.category(c) == "Cn" or (c > LAST_OLD_MARK and unicodedata.combining(c)) for c in set(text))
+
+    def _tokenizer(self):
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self._path)
+        return self._library
+
+    def normal(self, text: str) -> str:
+        """Normalise a text that holds no special token."""
         if text.isascii():
-            return _ASCII.findall(text.lower())
-        if _LONG_ASSIGNED.search(text) and any(unicodedata.category(c) == "Cn" or (c > LAST_OLD_MARK and unicodedata.combining(c)) for c in set(text)):
-            return self._pre_tokens_of_other_unicode(text)
+            return text.lower()
+        if self._is_odd(text):
+            return self._tokenizer().normalizer.normalize_str(text)
         text = unicodedata.normalize("NFC", text)
         # One letter at a time where context would choose the letter's lower case.
-        text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+        return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+
+    def split_normal(self, text: str) -> list[str]:
+        """The pre-tokens of normalised text."""
+        if text.isascii():
+            return _ASCII.findall(text)
+        if self._is_odd(text):
+            return [text[a:b] for a, b in self.spans(text)]
         return self.split.findall(text)
 
-    def _pre_tokens_of_other_unicode(self, text: str) -> list[str]:
-        """Characters that Python's tables don't know yet, or marks whose order they know since: classes, cases and order are the tokenizer file's library's."""
-        if self._library is None:
-            from tokenizers import Tokenizer
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        """Where the pre-tokens of normalised text stand."""
+        if text.isascii():
+            return [m.span() for m in _ASCII.finditer(text)]
+        if self._is_odd(text):
+            return [span for _, span in self._tokenizer().pre_tokenizer.pre_tokenize_str(text)]
+        return [m.span() for m in self.split.finditer(text)]
 
-            self._library = Tokenizer.from_file(self._path)
-            self._byte_of = {s: b for b, s in byte_symbols().items()}
-        normal = self._library.normalizer.normalize_str(text)
-        return [bytes(self._byte_of[c] for c in piece).decode("utf-8") for piece, _ in self._library.pre_tokenizer.pre_tokenize_str(normal)]
+    def pre_tokens(self, text: str) -> list[str]:
+        """Normalise and split a text that holds no special token."""
+        return self.split_normal(self.normal(text))
 
     def _known(self, word: str) -> tuple[list[int], str, str]:
         found = self.words.get(word)
@@ -174,18 +234,84 @@ class TreeBpe:
                 self.words[word] = found
         return found
 
+    def segments(self, text: str) -> list[str]:
+        """The text cut before and after its special tokens."""
+        return [x for x in self.cut.split(text) if x] if self.cut else [text]
+
     def encode_parts(self, text: str) -> list[tuple[list[int], str, str]]:
         """(ids, ids in decimals, decoded tokens) of each pre-token and special token."""
-        if self.cut is None or "<|" not in text:
-            return [self._known(w) for w in self.pre_tokens(text)]
         out = []
-        for piece in self.cut.split(text):
+        for piece in self.segments(text):
             if piece in self.special:
                 out.append(([self.special[piece]], str(self.special[piece]), piece))
-            elif piece:
+            else:
                 out += [self._known(w) for w in self.pre_tokens(piece)]
         return out
 
+    # -- halves -------------------------------------------------------------------
+
+    def encode_piece(self, text: str, goes_on: bool) -> list[int]:
+        """Ids of a piece of normalised text; the last pre-token may go on in the next piece."""
+        words = self.split_normal(text)
+        last = words.pop() if goes_on and words and text.endswith(words[-1]) else None
+        ids = list(itertools.chain.from_iterable(self._known(w)[0] for w in words))
+        return ids if last is None else ids + self.encode_unsplit(last.encode("utf-8"), False)
+
+    def part(self, text: str, ids: list[int], goes_on: bool) -> Part:
+        spans = np.array(self.spans(text), np.int64).reshape(-1, 2)
+        return Part(text, spans, array("i", ids), goes_on and len(spans) > 0 and spans[-1, 1] == len(text))
+
+    def join_parts(self, left: Part, right: Part) -> Part:
+        """Two pieces of text that follow each other, as one."""
+        n = len(left.text)
+        self.joins += 1
+        a = b = 1
+        while True:
+            a, b = min(a, len(left.spans)), min(b, len(right.spans))
+            lo = left.spans[-a, 0] if a and a < len(left.spans) else 0
+            hi = right.spans[b - 1, 1] if b and b < len(right.spans) else len(right.text)
+            window = left.text[lo:] + right.text[:hi]
+            found = np.array(self.spans(window), np.int64).reshape(-1, 2) + lo
+            left_agrees = a == len(left.spans) or (len(found) and (found[0] == left.spans[-a]).all())
+            right_agrees = b == len(right.spans) or (len(found) and (found[-1] == right.spans[b - 1] + n).all())
+            if left_agrees and right_agrees:
+                break
+            a, b = (a if left_agrees else 2 * a), (b if right_agrees else 2 * b)
+        # ids of the windows' pre-tokens on either side
+        word = lambda part, k: part.text[part.spans[k, 0] : part.spans[k, 1]]
+        opened, kept = [], left.ids
+        if left.open:
+            size = len(self._opened(word(left, -1), left))
+            opened, kept = left.ids[-size:].tolist(), left.ids[:-size]
+        closed = a - 1 if left.open else a
+        size = sum(len(self._known(word(left, k))[0]) for k in range(len(left.spans) - a, len(left.spans) - a + closed))
+        kept = kept[: len(kept) - size]
+        sizes = [self._first_size(right, k, word(right, k)) for k in range(b)]
+        ids = array("i")
+        for s, e in found.tolist():
+            text = window[s - lo : e - lo]
+            goes_on = right.open and e == n + len(right.text)
+            if opened and s == left.spans[-1, 0] and e == n:
+                ids.extend(self._closed(opened))
+            elif opened and s == left.spans[-1, 0] and b and right.spans[0, 0] == 0 and e == n + right.spans[0, 1]:
+                ids.extend(self._join(opened, right.ids[: sizes[0]].tolist()))
+            elif goes_on:
+                ids.extend(self.encode_unsplit(text.encode("utf-8"), False))
+            else:
+                ids.extend(self._known(text)[0])
+        inner = left.spans[: len(left.spans) - a]
+        return Part(left.text + right.text, np.concatenate((inner, found, right.spans[b:] + n)), kept + ids + right.ids[sum(sizes) :], right.open)
+
+    def _opened(self, word: str, part: Part) -> list[int]:
+        """Ids of the pre-token at the end of a part that goes on."""
+        return part.ids if len(part.spans) == 1 else self.encode_unsplit(word.encode("utf-8"), False)
+
+    def _first_size(self, part: Part, k: int, word: str) -> int:
+        """How many ids the k-th pre-token of a part has."""
+        if len(part.spans) == 1:
+            return len(part.ids)
+        return len(self._opened(word, part) if part.open and k == len(part.spans) - 1 else self._known(word)[0])
+
     def encode(self, text: str) -> list[int]:
         return list(itertools.chain.from_iterable(p[0] for p in self.encode_parts(text)))
 
@@ -203,38 +329,116 @@ def _coder(path: str) -> TreeBpe:
     return _loaded[path]
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids (array of int) and the decoded text of each document."""
+def _emit(digests: bool, doc_ids: list, ids: list, decoded: list, shown: list | None = None) -> pa.RecordBatch:
+    """A batch of results; ids as arrays of numbers, decoded and shown (ids in decimals) as texts."""
+    own, counts = pa.array(doc_ids, pa.int64()), pa.array([len(x) for x in ids], pa.int64())
+    if digests:
+        sha = lambda t: hashlib.sha256(t.encode("utf-8")).hexdigest()
+        shown = shown or [" ".join(map(str, x)) for x in ids]
+        return pa.record_batch([own, counts, pa.array([sha(t) for t in shown], pa.string()), pa.array([sha(t) for t in decoded], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    flat = array("i")
+    for x in ids:
+        flat.extend(x)
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
+    return pa.record_batch([own, counts, lists, pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+
+
+def _whole(path: str, digests: bool):
+    """Texts that are encoded without halving."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path)
         for batch in batches:
-            flat, ends, texts = array("i"), [0], []
-            for text in batch.column("text").to_pylist():
-                parts = coder.encode_parts(text or "")
-                for p in parts:
-                    flat.extend(p[0])
-                ends.append(len(flat))
-                texts.append(" ".join([p[2] for p in parts]))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(np.diff(ends), pa.int64()), ids, pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+            for lo in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(lo, ROWS_AT_ONCE)
+                ids, shown, decoded = [], [], []
+                for text in part.column("text").to_pylist():
+                    parts = coder.encode_parts(text or "")
+                    ids.append(array("i", itertools.chain.from_iterable([p[0] for p in parts])))
+                    shown.append(" ".join([p[1] for p in parts]) if digests else "")
+                    decoded.append(" ".join([p[2] for p in parts]))
+                yield _emit(digests, part.column("doc_id").to_pylist(), ids, decoded, shown)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")
+    return run
 
 
-def encode_digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256: as encode(), of which only digests leave the task."""
+PIECES = "doc long, doc_id long, place long, segment long, goes_on boolean, text string"
+
+
+def _pieces(path: str):
+    """Normalised pieces of long texts, and their special tokens, in order."""
+    names, kinds = [c.split()[0] for c in PIECES.split(", ")], [pa.int64()] * 4 + [pa.bool_(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, doc = _coder(path), TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                rows = []
+                for segment, x in enumerate(coder.segments(text)):
+                    cut = [x] if x in coder.special else halves(coder.normal(x))
+                    rows += [(doc, doc_id, len(rows) + k, segment, k + 1 < len(cut), t) for k, t in enumerate(cut)]
+                doc += 1
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return run
+
+
+def _encoded(path: str):
+    """Ids of pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path)
-        sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
         for batch in batches:
-            counts, ids, texts = [], [], []
-            for text in batch.column("text").to_pylist():
-                parts = coder.encode_parts(text or "")
-                counts.append(sum([len(p[0]) for p in parts]))
-                ids.append(sha(" ".join([p[1] for p in parts])))
-                texts.append(sha(" ".join([p[2] for p in parts])))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            for lo in range(0, batch.num_rows, 16):
+                part = batch.slice(lo, 16)
+                ids = [[coder.special[t]] if t in coder.special else coder.encode_piece(t, goes_on) for t, goes_on in zip(part.column("text").to_pylist(), part.column("goes_on").to_pylist(), strict=True)]
+                yield pa.record_batch([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*part.schema.names, "ids"])
+
+    return run
+
+
+def _joined(path: str, digests: bool):
+    """Pieces, sorted by document and place, joined two by two up the tree of halves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, doc, ids = _coder(path), None, array("i")
+        tree: list[tuple[int, Part]] = []  # joined parts, each with its height
+        for batch in batches:
+            for row in (r for lo in range(0, batch.num_rows, 16) for r in batch.slice(lo, 16).to_pylist()):
+                if doc is not None and row["doc"] != doc[0]:
+                    yield _emit(digests, [doc[1]], [ids], [coder.decode(ids)])
+                    ids = array("i")
+                doc = (row["doc"], row["doc_id"])
+                if row["text"] in coder.special:
+                    ids.extend(row["ids"])
+                    continue
+                tree.append((0, coder.part(row["text"], row["ids"], row["goes_on"])))
+                while len(tree) > 1 and (tree[-1][0] == tree[-2][0] or not row["goes_on"]):
+                    (height, left), (_, right) = tree[-2:]
+                    tree[-2:] = [(height + 1, coder.join_parts(left, right))]
+                if not row["goes_on"]:
+                    ids.extend(tree.pop()[1].ids)
+        if doc is not None:
+            yield _emit(digests, [doc[1]], [ids], [coder.decode(ids)])
+
+    return run
+
+
+def _run(docs: DataFrame, path: str, digests: bool, schema: str) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    long = F.coalesce(F.length("text"), F.lit(0)) > PIECE
+    pieces = settle_table(rows.where(long).mapInArrow(_pieces(path), PIECES))
+    encoded = pieces.repartition("doc", "place").mapInArrow(_encoded(path), f"{PIECES}, ids array<int>")
+    joined = encoded.repartition("doc").sortWithinPartitions("doc", "place").mapInArrow(_joined(path, digests), schema)
+    return rows.where(~long).mapInArrow(_whole(path, digests), schema).unionByName(joined)
+
+
+def encode(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids (array of int) and the decoded text of each document."""
+    return _run(docs, path, False, "doc_id long, n_tokens long, ids array<int>, decoded string")
+
+
+def encode_digests(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256: as encode(), of which only digests leave the task."""
+    return _run(docs, path, True, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

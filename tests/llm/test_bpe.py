@@ -5,7 +5,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from millrace.llm.bpe import TreeBpe, encode, encode_digests
+from millrace.llm import bpe
+from millrace.llm.bpe import TreeBpe, encode, encode_digests, halves
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -47,3 +48,50 @@ def test_digests(spark, pair):
     assert sorted(map(tuple, encode_digests(docs, PATH).collect()), key=str) == sorted(want, key=str)
     assert encode_digests(docs.limit(0), PATH).count() == 0
     assert {len(r.ids) == r.n_tokens for r in encode(docs, PATH).collect()} == {True}
+
+
+def by_tree(coder, text, piece):
+    """Ids of a text without special tokens, through pieces of at most so many code points."""
+    old, bpe.PIECE = bpe.PIECE, piece
+    try:
+        cut = halves(coder.normal(text))
+    finally:
+        bpe.PIECE = old
+    parts = [coder.part(t, coder.encode_piece(t, k + 1 < len(cut)), k + 1 < len(cut)) for k, t in enumerate(cut)]
+    while len(parts) > 1:
+        parts = [coder.join_parts(*parts[k : k + 2]) for k in range(0, len(parts), 2)]
+    return parts[0].ids.tolist()
+
+
+@pytest.mark.parametrize("piece", (1, 2, 3, 5, 17, 100))
+def test_halves_join_wherever_they_are_cut(pair, piece):
+    ours, library = pair
+    rng = random.Random(piece)
+    texts = [t for t in EDGE if "<|" not in t and len(t) < 700]
+    for alphabet in ("ab '", "a1!' \n", "I'll'VE're d's x", "éèñü ' mß", "aeiou", "!?-' 12"):
+        texts += ["".join(rng.choice(alphabet) for _ in range(n)) for n in (2, 7, 30, 120, 400)]
+    for text in texts:
+        assert by_tree(ours, text, piece) == library.encode(text, add_special_tokens=False).ids, (piece, text)
+
+
+def test_long_texts_go_through_the_tree(spark, pair, monkeypatch):
+    monkeypatch.setattr(bpe, "PIECE", 300)
+    _, library = pair
+    rows = [(k, t) for k, t in enumerate([*EDGE, "a" * 20_000, "word and 'll " * 3000, ("<|endoftext|>" + "é!" * 500) * 3, " " * 2000])] + [(7, "b c" * 900), (7, "b c" * 900), (None, "x'" * 900)]
+    got = sorted(((r.doc_id, r.ids, r.decoded) for r in encode(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()), key=str)
+    want = [(i, library.encode(t, add_special_tokens=False).ids) for i, t in rows]
+    assert got == sorted(((i, ids, library.decode(ids, skip_special_tokens=False)) for i, ids in want), key=str)
+
+
+def test_documents_of_the_table_are_halved(spark, pair):
+    """Production parameters send documents of the table through the tree, and the ids are the library's."""
+    ours, library = pair
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    long = docs.where(f"length(text) > {bpe.PIECE}").collect()
+    assert len(long) > 5
+    before = ours.joins
+    for r in long:
+        assert by_tree(ours, r.text, bpe.PIECE) == library.encode(r.text, add_special_tokens=False).ids
+    assert ours.joins - before >= len(long)
+    got = {r.doc_id: r.ids for r in encode(docs, PATH).collect()}
+    assert got == {r.doc_id: library.encode(r.text or "", add_special_tokens=False).ids for r in docs.collect()}
