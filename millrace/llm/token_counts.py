@@ -27,10 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
 MARK = "▁"
 MOST_NODES = 600_000
-LONGEST = 64
 UNIT = 1_000_000
 PIECE_BITS = 32
 PIECE_MASK = (1 << PIECE_BITS) - 1
@@ -89,25 +87,22 @@ class Trie(dict):
 
     def __missing__(self, word: bytes) -> int:
         text = MARK + word.decode("utf-8")
-        if len(text) > LONGEST:
-            return self._along(text)
         if len(self.forward) > MOST_NODES:
             self._clear()
         edges, forward, node, path = self.edges, self.forward, 0, [0]
         for end, char in enumerate(text, 1):
             below = edges.get((node, char))
             if below is None:
+                score = self.pieces.forward(text, end, path)
+                if len(forward) > 2 * MOST_NODES:  # one word too long to be held: its end has no nodes
+                    path.append(score)
+                    continue
                 below = edges[node, char] = len(forward)
-                forward.append(self.pieces.forward(text, end, path))
+                forward.append(score)
             node = below
             path.append(forward[node])
-        self[word] = path[-1]
-        return path[-1]
-
-    def _along(self, text: str) -> int:
-        path = [0]
-        for end in range(1, len(text) + 1):
-            path.append(self.pieces.forward(text, end, path))
+        if len(forward) <= 2 * MOST_NODES:
+            self[word] = path[-1]
         return path[-1]
 
 

@@ -1,3 +1,5 @@
+import sys
+
 import public_tokenizers
 
 from millrace.llm import token_counts as t
@@ -31,8 +33,9 @@ def brute(pieces, word):
 
 def test_counts_equal_brute_force(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(t, "MOST_NODES", 2000)
+    sys.setrecursionlimit(20_000)
     pieces = Pieces(PATH)
-    rows = [(1, "a b  the\tthere therefore"), (2, None), (3, ""), (4, "\U0001f600༼ x" * 3), (4, "\U0001f600༼ x" * 3), (None, "word"), (6, "abc" * 100)]
+    rows = [(1, "a b  the\tthere therefore"), (8, "longword" * 900 + " " + "longword" * 900), (2, None), (3, ""), (4, "\U0001f600༼ x" * 3), (4, "\U0001f600༼ x" * 3), (None, "word"), (6, "abc" * 100)]
     rows += [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "0 AS n_tokens")
     known = {}
