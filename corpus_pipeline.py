@@ -12,27 +12,40 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go."""
+    """Documents without a language go: null, empty and letterless texts. Each row is judged by itself.
+
+    Repeated rows stay or go together; an empty table gives none.
+    """
     return language_id.keep_identified(docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one stays."""
+    """Of equal texts one stays: the one with the most code points, then the smallest doc_id (null last), then the first row.
+
+    Null counts as empty, and empty texts are equal; of repeated rows one stays; an empty table gives none.
+    """
     return exact_dedup.keep_best(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest doc_id stays."""
+    """Of each group of linked fingerprints the document with the smallest doc_id (null last) stays.
+
+    Null counts as empty; texts without words have fingerprint zero and link like others; repeated
+    rows stay or go together; an empty table gives none.
+    """
     return simhash.keep_first(docs)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Documents that hold a passage of the benchmark go.
+
+    Null texts and items hold none; repeated rows stay or go together; an empty table gives none.
+    """
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and decoded text of what is left."""
+    """doc_id, n_tokens, ids and decoded text of what is left; no ids for null and empty texts, a row for each repeated row."""
     return bpe.encode(docs, TOKENIZER)
 
 
