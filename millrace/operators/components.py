@@ -13,8 +13,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Labels travel one hop and then jump to the label's own label, so the number of rounds
     grows with the logarithm of a component's diameter. Each round is settled in the shared
-    folder. Hubs are pre-aggregated by the partial minimum; the joins are left to adaptive
-    execution, which splits a hub's partition. Null nodes and self loops are ignored.
+    folder. Hubs are pre-aggregated by the partial minimum. Labels jump through a table with a row for
+    each component that is left, which the optimizer broadcasts where it is small; what is joined
+    beyond that is left to adaptive execution, which splits a hub's partition. Null nodes and self loops are ignored.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     both = settle(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -22,7 +23,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     while True:
         hop = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("seen")), "b").groupBy("a").agg(F.min("seen").alias("seen"))
         near = labels.join(hop.withColumnRenamed("a", "node"), "node").select("node", F.col("component").alias("before"), F.least("component", "seen").alias("component"))
-        far = near.select(F.col("node").alias("component"), F.col("component").alias("root"))
+        left = near.select("component").distinct()
+        far = left.join(near.select(F.col("node").alias("component"), F.col("component").alias("root")), "component")
         new = settle(near.join(far, "component").select("node", "before", F.col("root").alias("component")))
         moved = new.where("component <> before").limit(1).count()
         labels = new.select("node", "component")

@@ -257,21 +257,35 @@ def closure(edges: DataFrame, src: str, dst: str, deepest: int = DEEPEST) -> Dat
     """
     step = edges.select(F.col(src).alias("ancestor"), F.col(dst).alias("descendant")).where("ancestor IS NOT NULL AND descendant IS NOT NULL").distinct()
     level = settle(step.withColumn("depth", F.lit(1)))
-    found, depth = level, 1
+    levels, depth = [level], 1
     below = step.select(F.col("ancestor").alias("descendant"), F.col("descendant").alias("next"))
     while not level.isEmpty():
         if depth == deepest:
             raise ValueError(f"dependencies are more than {deepest} levels deep")
         depth += 1
         pairs = level.join(below, "descendant").select("ancestor", F.col("next").alias("descendant")).distinct()
-        level = settle(pairs.join(found, ["ancestor", "descendant"], "left_anti").withColumn("depth", F.lit(depth)))
-        found = settle(found.unionByName(level))
-    return found
+        for before in levels:
+            pairs = pairs.join(before, ["ancestor", "descendant"], "left_anti")
+        level = settle(pairs.withColumn("depth", F.lit(depth)))
+        levels.append(level)
+    return reduce(DataFrame.unionByName, levels)
 
 
 def cycles(edges: DataFrame, src: str, dst: str) -> DataFrame:
-    """Nodes that lie on a cycle, with the length of the shortest one through them."""
-    return closure(edges, src, dst).where("ancestor = descendant").select(F.col("ancestor").alias("node"), F.col("depth").alias("length"))
+    """Nodes that lie on a cycle, with the length of the shortest one through them.
+
+    Edges from nodes that nothing leads to, and to nodes that lead nowhere, are cut off first, again
+    and again; what is left are cycles and what lies between them.
+    """
+    left = settle(edges.select(src, dst).where(F.col(src).isNotNull() & F.col(dst).isNotNull()).distinct())
+    size = left.count()
+    while True:
+        ends, starts = left.select(F.col(dst).alias(src)).distinct(), left.select(F.col(src).alias(dst)).distinct()
+        left = settle(left.join(ends, src, "left_semi").join(starts, dst, "left_semi"))
+        if (now := left.count()) == size:
+            break
+        size = now
+    return closure(left, src, dst).where("ancestor = descendant").select(F.col("ancestor").alias("node"), F.col("depth").alias("length"))
 
 
 def lineage_graph(edges: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from urllib.parse import unquote
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 DELIMITERS = (",", ";", "\t", "|", ":")
 SNIFFED_LINES, CHECKED_LINES, XML_LINES = 5, 10, 2000
@@ -151,10 +151,21 @@ def _at(c: Column, kind, path: str) -> tuple[Column, object]:
     return c, kind
 
 
+def read_json_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The records of JSON lines, and the lines that don't parse: file, line and reason. Blank lines are neither."""
+    schema = spark.read.json(path, mode="DROPMALFORMED").schema
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
+    wanted = StructType([*schema.fields, StructField("_corrupt", StringType())])
+    parsed = lines.withColumn("r", F.from_json("value", wanted, {"columnNameOfCorruptRecord": "_corrupt"}))
+    bad = F.col("r").isNull() | F.col("r._corrupt").isNotNull()
+    good = parsed.where(~bad).select("r.*").drop("_corrupt")
+    return good, parsed.where(bad).select("file", F.col("value").alias("line"), F.lit("not a JSON record").alias("rejection_reason"))
+
+
 def read_json(spark: SparkSession, path: str, structure: str | None = None, json_path: str | None = None) -> DataFrame:
     """Records of a JSON file.
 
-    Lines that don't parse are dropped. Of a single object come the elements at json_path, or
+    Lines that don't parse are left out here; read_json_lines() gives them, too. Of a single object come the elements at json_path, or
     of its first array of records; of an array of plain values come `value` and `_index`; an
     object without arrays is one record.
     """
@@ -163,7 +174,7 @@ def read_json(spark: SparkSession, path: str, structure: str | None = None, json
     if structure == "invalid":
         raise ValueError(f"no JSON in {path}")
     if structure == "jsonl":
-        return spark.read.json(path, mode="DROPMALFORMED")
+        return read_json_lines(spark, path)[0]
     rows = spark.read.json(path, multiLine=True)
     if structure == "array":
         return rows

@@ -69,6 +69,24 @@ def workbook(path):
         z.writestr("xl/worksheets/sheet2.xml", sheet('<row r="1"><c r="A1" t="str"><v>code</v></c></row><row r="2"><c r="A2" t="e"><v>#DIV/0!</v></c></row>'))
 
 
+def test_dates_of_workbooks(spark, tmp_path):
+    cells = "".join(f'<row r="{k + 1}"><c r="A{k + 1}" s="{style}"><v>{value}</v></c></row>' for k, (style, value) in enumerate([(0, 7), (1, 45292), (2, 45292.75), (3, 0.5), (0, 45292), (4, 12)]))
+    with zipfile.ZipFile(tmp_path / "d.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", '<workbook xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="S" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", '<styleSheet><numFmts><numFmt numFmtId="170" formatCode="yyyy\\-mm\\-dd hh:mm"/><numFmt numFmtId="171" formatCode="0.0 &quot;days&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="21"/><xf numFmtId="171"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet><sheetData>{cells}</sheetData></worksheet>")
+    got = [r["7"] for r in read_excel(spark, str(tmp_path / "d.xlsx")).orderBy("_row_number").collect()]
+    assert got == ["2024-01-01 00:00:00", "2024-01-01 18:00:00", "12:00:00", "45292", "12"]
+
+
+def test_json_lines_that_do_not_parse_are_told(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"a": 1, "b": {"c": "x"}}\n\n{"a": 2\n{"a": 3}\nnonsense\n')
+    good, bad = files.read_json_lines(spark, str(tmp_path / "x.jsonl"))
+    assert sorted((r.a, r.b and r.b.c) for r in good.collect()) == [(1, "x"), (3, None)]
+    assert sorted(r.line for r in bad.collect()) == ["nonsense", '{"a": 2'] and all(r.file.endswith("x.jsonl") for r in bad.collect())
+
+
 def test_workbooks(spark, tmp_path):
     workbook(tmp_path / "w.xlsx")
     path = str(tmp_path / "w.xlsx")
