@@ -47,6 +47,8 @@ from millrace.session import settle_table
 PIECE = 1 << 14
 #: Symbols of a pre-token that are.
 LEAF = 96
+#: Code points in which a pre-token is looked for at first.
+REACH = 32
 #: Texts whose ids a task holds at once.
 ROWS_AT_ONCE = 500
 #: Distinct pre-tokens that a task remembers; beyond this it starts afresh.
@@ -73,10 +75,9 @@ def byte_symbols() -> dict[int, str]:
 
 @dataclass
 class Part:
-    """Normalised text, where its pre-tokens stand, its ids, and whether these take the last pre-token to go on."""
+    """Normalised text, its ids, and whether these take the last pre-token to go on."""
 
     text: str
-    spans: np.ndarray
     ids: array
     open: bool
 
@@ -236,7 +237,9 @@ class TreeBpe:
 
     def segments(self, text: str) -> list[str]:
         """The text cut before and after its special tokens."""
-        return [x for x in self.cut.split(text) if x] if self.cut else [text]
+        if not any(map(text.__contains__, self.special)):
+            return [text] if text else []
+        return [x for x in self.cut.split(text) if x]
 
     def encode_parts(self, text: str) -> list[tuple[list[int], str, str]]:
         """(ids, ids in decimals, decoded tokens) of each pre-token and special token."""
@@ -257,9 +260,21 @@ class TreeBpe:
         ids = list(itertools.chain.from_iterable(self._known(w)[0] for w in words))
         return ids if last is None else ids + self.encode_unsplit(last.encode("utf-8"), False)
 
+    def first_spans(self, text: str, k: int) -> list[tuple[int, int]]:
+        """The first k pre-tokens of normalised text, or all; none holds a space, so that the text can be cut there."""
+        to = text.find(" ", REACH * k)
+        found = self.spans(text if to < 0 else text[:to])
+        return found[:k] if to < 0 or len(found) >= k else self.first_spans(text, 2 * k)[:k]
+
+    def last_spans(self, text: str, k: int) -> list[tuple[int, int]]:
+        """The last k pre-tokens of normalised text, or all."""
+        since = max(0, text.rfind(" ", 0, max(0, len(text) - REACH * k)))
+        found = [(a + since, b + since) for a, b in self.spans(text[since:])]
+        return found[-k:] if not since or len(found) >= k else self.last_spans(text, 2 * k)[-k:]
+
     def part(self, text: str, ids: list[int], goes_on: bool) -> Part:
-        spans = np.array(self.spans(text), np.int64).reshape(-1, 2)
-        return Part(text, spans, array("i", ids), goes_on and len(spans) > 0 and spans[-1, 1] == len(text))
+        last = self.last_spans(text, 1) if goes_on else []
+        return Part(text, array("i", ids), bool(last) and last[0][1] == len(text))
 
     def join_parts(self, left: Part, right: Part) -> Part:
         """Two pieces of text that follow each other, as one."""
@@ -267,50 +282,40 @@ class TreeBpe:
         self.joins += 1
         a = b = 1
         while True:
-            a, b = min(a, len(left.spans)), min(b, len(right.spans))
-            lo = left.spans[-a, 0] if a and a < len(left.spans) else 0
-            hi = right.spans[b - 1, 1] if b and b < len(right.spans) else len(right.text)
-            window = left.text[lo:] + right.text[:hi]
-            found = np.array(self.spans(window), np.int64).reshape(-1, 2) + lo
-            left_agrees = a == len(left.spans) or (len(found) and (found[0] == left.spans[-a]).all())
-            right_agrees = b == len(right.spans) or (len(found) and (found[-1] == right.spans[b - 1] + n).all())
+            before, after = self.last_spans(left.text, a + 1), self.first_spans(right.text, b + 1)
+            # of a half whose pre-tokens are all in the window nothing has to agree
+            all_before, all_after = len(before) <= a, len(after) <= b
+            before, after = (before if all_before else before[1:]), (after if all_after else after[:b])
+            lo = 0 if all_before else before[0][0]
+            window = left.text[lo:] + (right.text if all_after else right.text[: after[-1][1]])
+            found = [(x + lo, y + lo) for x, y in self.spans(window)]
+            left_agrees = all_before or (found and found[0] == before[0])
+            right_agrees = all_after or (found and found[-1] == (after[-1][0] + n, after[-1][1] + n))
             if left_agrees and right_agrees:
                 break
             a, b = (a if left_agrees else 2 * a), (b if right_agrees else 2 * b)
-        # ids of the windows' pre-tokens on either side
-        word = lambda part, k: part.text[part.spans[k, 0] : part.spans[k, 1]]
-        opened, kept = [], left.ids
-        if left.open:
-            size = len(self._opened(word(left, -1), left))
-            opened, kept = left.ids[-size:].tolist(), left.ids[:-size]
-        closed = a - 1 if left.open else a
-        size = sum(len(self._known(word(left, k))[0]) for k in range(len(left.spans) - a, len(left.spans) - a + closed))
-        kept = kept[: len(kept) - size]
-        sizes = [self._first_size(right, k, word(right, k)) for k in range(b)]
-        ids = array("i")
-        for s, e in found.tolist():
-            text = window[s - lo : e - lo]
-            goes_on = right.open and e == n + len(right.text)
-            if opened and s == left.spans[-1, 0] and e == n:
+        # how many ids the pre-tokens of the window have in either half
+        sizes = [self._size(left, x, len(before) == 1 and all_before) for x in before]
+        opened = left.ids[len(left.ids) - sizes[-1] :].tolist() if left.open else []
+        firsts = [self._size(right, x, len(after) == 1 and all_after) for x in after]
+        ids = left.ids[: len(left.ids) - sum(sizes)]
+        for s, e in found:
+            if opened and s == before[-1][0] and e == n:
                 ids.extend(self._closed(opened))
-            elif opened and s == left.spans[-1, 0] and b and right.spans[0, 0] == 0 and e == n + right.spans[0, 1]:
-                ids.extend(self._join(opened, right.ids[: sizes[0]].tolist()))
-            elif goes_on:
-                ids.extend(self.encode_unsplit(text.encode("utf-8"), False))
+            elif opened and after and s == before[-1][0] and after[0][0] == 0 and e == n + after[0][1]:
+                ids.extend(self._join(opened, right.ids[: firsts[0]].tolist()))
+            elif right.open and e == n + len(right.text):
+                ids.extend(self.encode_unsplit(window[s - lo :].encode("utf-8"), False))
             else:
-                ids.extend(self._known(text)[0])
-        inner = left.spans[: len(left.spans) - a]
-        return Part(left.text + right.text, np.concatenate((inner, found, right.spans[b:] + n)), kept + ids + right.ids[sum(sizes) :], right.open)
+                ids.extend(self._known(window[s - lo : e - lo])[0])
+        return Part(left.text + right.text, ids + right.ids[sum(firsts) :], right.open)
 
-    def _opened(self, word: str, part: Part) -> list[int]:
-        """Ids of the pre-token at the end of a part that goes on."""
-        return part.ids if len(part.spans) == 1 else self.encode_unsplit(word.encode("utf-8"), False)
-
-    def _first_size(self, part: Part, k: int, word: str) -> int:
-        """How many ids the k-th pre-token of a part has."""
-        if len(part.spans) == 1:
+    def _size(self, part: Part, span: tuple[int, int], only: bool) -> int:
+        """How many ids a pre-token of a part has there."""
+        if only:
             return len(part.ids)
-        return len(self._opened(word, part) if part.open and k == len(part.spans) - 1 else self._known(word)[0])
+        word = part.text[span[0] : span[1]]
+        return len(self.encode_unsplit(word.encode("utf-8"), False) if part.open and span[1] == len(part.text) else self._known(word)[0])
 
     def encode(self, text: str) -> list[int]:
         return list(itertools.chain.from_iterable(p[0] for p in self.encode_parts(text)))
@@ -329,13 +334,18 @@ def _coder(path: str) -> TreeBpe:
     return _loaded[path]
 
 
-def _emit(digests: bool, doc_ids: list, ids: list, decoded: list, shown: list | None = None) -> pa.RecordBatch:
-    """A batch of results; ids as arrays of numbers, decoded and shown (ids in decimals) as texts."""
+def _sha(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8")).hexdigest()
+
+
+def _digests(doc_ids: list, counts: list[int], shown: list[str], decoded: list[str]) -> pa.RecordBatch:
+    """A batch of results by digests of the ids in decimals and of the decoded texts."""
+    return pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(shown, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def _results(doc_ids: list, ids: list[array], decoded: list[str]) -> pa.RecordBatch:
+    """A batch of results by ids and decoded texts."""
     own, counts = pa.array(doc_ids, pa.int64()), pa.array([len(x) for x in ids], pa.int64())
-    if digests:
-        sha = lambda t: hashlib.sha256(t.encode("utf-8")).hexdigest()
-        shown = shown or [" ".join(map(str, x)) for x in ids]
-        return pa.record_batch([own, counts, pa.array([sha(t) for t in shown], pa.string()), pa.array([sha(t) for t in decoded], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
     flat = array("i")
     for x in ids:
         flat.extend(x)
@@ -352,13 +362,14 @@ def _whole(path: str, digests: bool):
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(lo, ROWS_AT_ONCE)
-                ids, shown, decoded = [], [], []
-                for text in part.column("text").to_pylist():
-                    parts = coder.encode_parts(text or "")
-                    ids.append(array("i", itertools.chain.from_iterable([p[0] for p in parts])))
-                    shown.append(" ".join([p[1] for p in parts]) if digests else "")
-                    decoded.append(" ".join([p[2] for p in parts]))
-                yield _emit(digests, part.column("doc_id").to_pylist(), ids, decoded, shown)
+                doc_ids = part.column("doc_id").to_pylist()
+                found = (coder.encode_parts(text or "") for text in part.column("text").to_pylist())
+                if digests:
+                    rows = [(sum([len(p[0]) for p in parts]), _sha(" ".join([p[1] for p in parts])), _sha(" ".join([p[2] for p in parts]))) for parts in found]
+                    yield _digests(doc_ids, *map(list, zip(*rows, strict=True)))
+                else:
+                    rows = [(array("i", itertools.chain.from_iterable([p[0] for p in parts])), " ".join([p[2] for p in parts])) for parts in found]
+                    yield _results(doc_ids, *map(list, zip(*rows, strict=True)))
 
     return run
 
@@ -401,13 +412,17 @@ def _encoded(path: str):
 def _joined(path: str, digests: bool):
     """Pieces, sorted by document and place, joined two by two up the tree of halves."""
 
+    def told(coder: TreeBpe, doc_id: int | None, ids: array) -> pa.RecordBatch:
+        decoded = coder.decode(ids)
+        return _digests([doc_id], [len(ids)], [_sha(" ".join(map(str, ids)))], [_sha(decoded)]) if digests else _results([doc_id], [ids], [decoded])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, doc, ids = _coder(path), None, array("i")
         tree: list[tuple[int, Part]] = []  # joined parts, each with its height
         for batch in batches:
             for row in (r for lo in range(0, batch.num_rows, 16) for r in batch.slice(lo, 16).to_pylist()):
                 if doc is not None and row["doc"] != doc[0]:
-                    yield _emit(digests, [doc[1]], [ids], [coder.decode(ids)])
+                    yield told(coder, doc[1], ids)
                     ids = array("i")
                 doc = (row["doc"], row["doc_id"])
                 if row["text"] in coder.special:
@@ -420,7 +435,7 @@ def _joined(path: str, digests: bool):
                 if not row["goes_on"]:
                     ids.extend(tree.pop()[1].ids)
         if doc is not None:
-            yield _emit(digests, [doc[1]], [ids], [coder.decode(ids)])
+            yield told(coder, doc[1], ids)
 
     return run
 
