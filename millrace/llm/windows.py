@@ -32,8 +32,11 @@ from millrace.session import settle, settle_table
 
 #: Bytes of text that a task turns into arrays at once.
 CHUNK_BYTES = 1 << 19
-#: Different pieces under one anchor beyond which its windows are dealt out by their own hash.
+#: Windows of a piece; a longer run of one anchor is several pieces.
+LONGEST_RUN = 1 << 16
+#: Different pieces under one anchor, and their bytes, beyond which its windows are dealt out by their own hash.
 CROWDED = 4000
+CROWDED_BYTES = 1 << 24
 #: Bits of the hash that routes a window of a crowded piece.
 ROUTE_BITS = 64
 #: Windows of crowded pieces whose texts a task holds at once.
@@ -80,7 +83,7 @@ def _grams(h: np.ndarray, size: int) -> np.ndarray:
 
 
 def runs(h: np.ndarray, first: np.ndarray, units: Units, repeats: bool = False) -> tuple[np.ndarray, ...]:
-    """Row, start, number of windows and anchor of each run of windows with one anchor; with `repeats` also whether its anchor stands in it more than once."""
+    """Row, start, number of windows (LONGEST_RUN at most) and anchor of each run of windows with one anchor; with `repeats` also whether its anchor stands in it more than once."""
     n = len(h) - units.window + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
@@ -107,6 +110,11 @@ def runs(h: np.ndarray, first: np.ndarray, units: Units, repeats: bool = False)
         pick = np.repeat(lo, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         own = np.repeat(np.arange(len(start)), size)
         again = np.bincount(own[grams[at[pick]] == anchor[own]], minlength=len(start)) > 1
+    if len(start) and count.max() > LONGEST_RUN:
+        parts = -(-count // LONGEST_RUN)
+        own = np.repeat(np.arange(len(start)), parts)
+        past = (np.arange(len(own)) - np.repeat(np.cumsum(parts) - parts, parts)) * LONGEST_RUN
+        start, count, anchor, again = start[own] + past, np.minimum(count[own] - past, LONGEST_RUN), anchor[own], again[own] | (parts[own] > 1)
     return row[start], start - first[row[start]], count, anchor, again
 
 
@@ -270,7 +278,8 @@ def shared_windows(rows: DataFrame, units: Units, decide: Callable, across: bool
     occurrences = settle_table(pieces_of(candidates, units))
     times = F.count("*").alias("times")
     pieces = settle_table(occurrences.groupBy("anchor", "mark").agg(F.min("id").alias("id"), F.max("id").alias("last_id"), times, F.first("piece").alias("piece")))
-    crowded = settle(pieces.groupBy("anchor").count().where(F.col("count") > CROWDED).select("anchor"))
+    held = pieces.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.octet_length("piece")).alias("size"))
+    crowded = settle(held.where((F.col("n") > CROWDED) | (F.col("n") > 1) & (F.col("size") > CROWDED_BYTES)).select("anchor"))
     if crowded.isEmpty():
         spans = _shards(pieces, decide, units)
     else:

@@ -87,7 +87,7 @@ def test_colliding_hashes_under_crowded_anchors(spark, monkeypatch):
 def test_very_long_texts(spark):
     rng = random.Random(3)
     text = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60_000))
-    rows = [(1, text), (2, "x y " + text[100_000:130_000]), (3, "a" * 300_000), (4, text[::-1] + "b " * 40_000)]
+    rows = [(1, text), (2, "x y " + text[100_000:130_000]), (3, "a" * 300_000), (5, "x " * 80_000), (6, "y " + "x " * 80_000), (4, text[::-1] + "b " * 40_000)]
     check(spark, rows)
 
 
