@@ -51,8 +51,8 @@ LEAF = 96
 REACH = 32
 #: Texts whose ids a task holds at once.
 ROWS_AT_ONCE = 500
-#: Distinct pre-tokens that a task remembers; beyond this it starts afresh.
-REMEMBERED = 300_000
+#: Distinct pre-tokens that a task remembers, and as many of those it met before these.
+REMEMBERED = 250_000
 ID_BITS = 24
 ID_MASK = (1 << ID_BITS) - 1
 NO_MERGE = 1 << 62
@@ -115,6 +115,7 @@ class TreeBpe:
         self.split = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words: dict[str, tuple[list[int], str, str]] = {}
+        self.older: dict[str, tuple[list[int], str, str]] = {}
         self.agreed: dict[tuple[int, int], bool] = {}
         self._library = None
         self._path = path
@@ -125,15 +126,19 @@ class TreeBpe:
     def _merge(self, tokens: list[int]) -> list[int]:
         """Merge from scratch: the lowest rank first, of equal ranks the leftmost."""
         tokens, merge = list(tokens), self.merges.get
-        found = [merge(a << ID_BITS | b, NO_MERGE) for a, b in zip(tokens, tokens[1:], strict=False)]
-        while found and (best := min(found)) != NO_MERGE:
+        found, last = [], -1
+        for t in tokens:
+            found.append(merge(last << ID_BITS | t, NO_MERGE))
+            last = t
+        found[0] = NO_MERGE  # of each token, its merge with the one before
+        while (best := min(found)) != NO_MERGE:
             i, made = found.index(best), best & ID_MASK
-            tokens[i : i + 2] = (made,)
-            del found[i]
-            if i:
-                found[i - 1] = merge(tokens[i - 1] << ID_BITS | made, NO_MERGE)
+            tokens[i - 1] = made
+            del tokens[i], found[i]
+            if i > 1:
+                found[i - 1] = merge(tokens[i - 2] << ID_BITS | made, NO_MERGE)
             if i < len(found):
-                found[i] = merge(made << ID_BITS | tokens[i + 1], NO_MERGE)
+                found[i] = merge(made << ID_BITS | tokens[i], NO_MERGE)
         return tokens
 
     def _symbols(self, tokens: list[int]) -> list[int]:
@@ -169,7 +174,11 @@ class TreeBpe:
 
     def encode_unsplit(self, word: bytes, final: bool = True) -> list[int]:
         """Ids of one pre-token, or of the beginning of one."""
-        symbols = [self.inner[x] for x in word[:-1]] + [(self.final if final else self.inner)[word[-1]]]
+        symbols = list(map(self.inner.__getitem__, word))
+        if final:
+            symbols[-1] = self.final[word[-1]]
+        if len(symbols) <= LEAF:
+            return self._merge(symbols)
         parts = [self._merge(symbols[i : i + LEAF]) for i in range(0, len(symbols), LEAF)]
         while len(parts) > 1:
             parts = [self._join(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
@@ -227,10 +236,12 @@ class TreeBpe:
     def _known(self, word: str) -> tuple[list[int], str, str]:
         found = self.words.get(word)
         if found is None:
-            ids = self.encode_unsplit(word.encode("utf-8"))
-            found = (ids, " ".join(map(str, ids)), self.decode(ids))
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
+            found = self.older.get(word)
+            if found is None:
+                ids = self.encode_unsplit(word.encode("utf-8"))
+                found = (ids, " ".join(map(str, ids)), self.decode(ids))
+            if len(self.words) >= REMEMBERED:  # what hasn't been met since the last turn goes
+                self.older, self.words = self.words, {}
             if len(word) <= LEAF:
                 self.words[word] = found
         return found
