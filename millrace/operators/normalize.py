@@ -91,11 +91,11 @@ def one_hot(c: Column, prefix: str, categories: Iterable[str]) -> list[Column]:
 def min_max(c: Column, low: float, high: float, new_low: float = 0.0, new_high: float = 1.0) -> Column:
     if high == low:
         return c
-    return F.bround((c - low) / (high - low) * (new_high - new_low) + new_low, 2)
+    return text.half_even((c - low) / (high - low) * (new_high - new_low) + new_low, 2)
 
 
 def z_score(c: Column, mean: float, std: float) -> Column:
-    return F.bround((c - mean) / std, 2) if std else c
+    return text.half_even((c - mean) / std, 2) if std else c
 
 
 def robust_scale(c: Column, median: Column, low: Column, high: Column) -> Column:

@@ -80,11 +80,11 @@ def sim_metaphone(spark, sf_dir):
 NAMES = "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Dr ' || c_name WHEN 1 THEN 'PT  ' || c_mktsegment || ' Tbk' WHEN 2 THEN ' ' || c_name || ' Ltd. ' ELSE 'O''Neil, Mrs Jane' END AS name"
 
 
-@query(f"""SELECT c_custkey, lower(name) AS lowercase, upper(name) AS uppercase, trim(name) AS strip, replace(name, ' ', '') AS remove_spaces, regexp_replace(name, '[^\\w\\s]', '', 'g') AS remove_punctuation, trim(regexp_replace(name, '\\s+', ' ', 'g')) AS normalize_whitespace FROM ({NAMES} FROM customer)""")
+@query(f"""SELECT c_custkey, lower(name) AS lowercase, upper(name) AS uppercase, trim(name) AS strip, replace(name, ' ', '') AS remove_spaces, regexp_replace(name, '[^\\w\\s]', '', 'g') AS remove_punctuation, trim(regexp_replace(name, '\\s+', ' ', 'g')) AS normalize_whitespace, lower(trim(regexp_replace(regexp_replace(name, '[^\\w\\s]', '', 'g'), '\\s+', ' ', 'g'))) AS phonetic_normalize FROM ({NAMES} FROM customer)""")
 def er_preprocess(spark, sf_dir):
     table(spark, sf_dir, "customer").createOrReplaceTempView("_millrace_names")
     d = spark.sql(f"{NAMES} FROM _millrace_names")
-    return d.select("c_custkey", *(text.PREPROCESSORS[n](F.col("name")).alias(n) for n in ("lowercase", "uppercase", "strip", "remove_spaces", "remove_punctuation", "normalize_whitespace")))
+    return d.select("c_custkey", *(text.PREPROCESSORS[n](F.col("name")).alias(n) for n in ("lowercase", "uppercase", "strip", "remove_spaces", "remove_punctuation", "normalize_whitespace", "phonetic_normalize")))
 
 
 @query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN lower(c_name) WHEN 1 THEN 'pt ' || lower(c_mktsegment) || ' tbk' WHEN 2 THEN lower(c_name) || ' ltd.' ELSE 'o''neil, jane' END AS untitled,
@@ -139,8 +139,9 @@ def er_best_matches(spark, sf_dir):
     return r.best_matches(links).withColumn("score", F.round("score", 6))
 
 
-# All links of a customer's own records: the group is that customer's, with the changed name and, for copies, the upper-cased one.
-GROUPED = "(SELECT id, CASE WHEN id % 3 = 1 OR (id // 3) % 7 = 0 THEN id - id % 3 ELSE id END AS master FROM " + E + ")"
+# Groups by following links from class to class until nothing new is reached.
+GROUPED = f"""(WITH RECURSIVE m AS (SELECT id, min(id) OVER (PARTITION BY lower(name), segment) AS rep FROM {E}), l AS (SELECT a, b FROM {LINKS} UNION ALL SELECT b, a FROM {LINKS}),
+  c(node, root) AS (SELECT DISTINCT rep, rep FROM m UNION SELECT c.node, l.b FROM c JOIN l ON c.root = l.a) SELECT id, min(root) AS master FROM m JOIN c ON rep = node GROUP BY id)"""
 
 
 @query(f"SELECT * FROM {GROUPED}")

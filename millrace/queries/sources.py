@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import aggregate as a
 from millrace.operators import clean as c
+from millrace.operators import mapping as m
 from millrace.operators import resolve as r
 from millrace.operators import validate as v
 from millrace.plans import pipeline as p
@@ -206,3 +207,10 @@ def sink_export(spark, sf_dir):
     report = a.aggregate(table(spark, sf_dir, "orders"), [a.Key("o_orderpriority")], [a.Measure("o_orderkey", "count", "n")])
     path = sinks.export(report, shared_path(spark), "orders_by_priority", "csv")
     return spark.read.schema("o_orderpriority string, n long").csv(path, header=True)
+
+
+@query("SELECT c_custkey AS key, upper(c_name) AS name, 'v1' AS version FROM customer WHERE c_acctbal >= 0")
+def plan_map(spark, sf_dir):
+    maps = [m.Mapping("key", source="c_custkey", required=True), m.Mapping("name", "calculated", expression="upper($c_name)"), m.Mapping("version", "constant", expression="v1")]
+    spec = p.PipelineSpec("customers", [p.Stage("solvent", lambda df: df.where("c_acctbal >= 0"), ["c_acctbal"]), p.map_stage(maps)])
+    return p.folded(spec, table(spark, sf_dir, "customer")).drop("_errors")
