@@ -10,7 +10,9 @@ least t (see `field_threshold`), and two values so similar share a key:
   two stand unchanged.
 - sets (of letter pairs, of words): two sets that share enough members share one among
   their rarest.
-- codes: they are equal.
+- codes: they are equal. Where a code is too frequent, its records are compared by another field: if the
+  code alone doesn't make a match, one of the other fields has to be similar enough, so the keys of these
+  fields say what to compare; records that lack all of them match every record of their code.
 
 Every pair that shares a key is then scored, so that the result is that of comparing all.
 """
@@ -142,6 +144,30 @@ def _set_pairs(values: DataFrame, members: Callable[[Column], Column], share: fl
     return _pairs(keys, keys, two_sided)
 
 
+#: Codes by the strategy that compares them.
+CODES: dict[str, Callable[[Column], Column]] = {"exact": lambda c: c, "soundex": text.soundex, "metaphone": text.metaphone, "double_metaphone": text.metaphone}
+SETS_AND_EDITS = ("levenshtein", "ml", "jaccard", "cosine", "semantic")
+
+
+def _coded_pairs(classes: DataFrame, rules: list[MatchRule], i: int, threshold: float, two_sided: bool) -> DataFrame:
+    """Pairs of classes (id, side, _m0, ...) with equal codes of the i-th field that can reach the threshold."""
+    code = CODES[rules[i].strategy]
+    others = [k for k in range(len(rules)) if k != i]
+    keys = classes.withColumn("key", F.xxhash64(code(F.col(f"_m{i}")))).where(f"_m{i} IS NOT NULL AND _m{i} <> ''")
+    # with a weight P of other fields that neither lacks, their mean is T - w (1 - T) / P or more, and so is one of them
+    need = threshold - rules[i].weight * (1 - threshold) / min((rules[k].weight for k in others), default=1)
+    frequent = settle(keys.groupBy("key").count().where(F.col("count") > FREQUENT).select("key"))
+    own = keys.select("id", "side", "key")
+    if frequent.isEmpty() or not others or need <= 0.5 or any(rules[k].strategy not in (*CODES, *SETS_AND_EDITS) for k in others):
+        return _pairs(own, own, two_sided)
+    rare = own.join(frequent, "key", "left_anti")
+    deep = settle(keys.join(frequent, "key", "left_semi"))
+    bare = deep.where(reduce(lambda a, b: a & b, (F.col(f"_m{k}").isNull() for k in others))).select("id", "side", "key")
+    found = [_pairs(rare, rare, two_sided), _pairs(bare, deep.select("id", "side", "key"), two_sided)]
+    found += [candidate_pairs(deep.select("id", "side", F.col(f"_m{k}").alias("v")), rules[k].strategy, need, two_sided) for k in others]
+    return reduce(DataFrame.unionAll, found)
+
+
 def _code_pairs(values: DataFrame, code: Callable[[Column], Column], two_sided: bool) -> DataFrame:
     keys = values.select("id", "side", F.xxhash64(code(F.col("v"))).alias("key")).where("v <> ''")
     return _pairs(keys, keys, two_sided)
@@ -159,12 +185,8 @@ def candidate_pairs(values: DataFrame, strategy: str, t: float, two_sided: bool
             return _set_pairs(values, text.bigrams, t * t, two_sided)
         case "semantic":
             return _set_pairs(values, text.words, t, two_sided)
-        case "exact":
-            return _code_pairs(values, lambda c: c, two_sided)
-        case "soundex":
-            return _code_pairs(values, text.soundex, two_sided)
-        case "metaphone" | "double_metaphone":
-            return _code_pairs(values, text.metaphone, two_sided)
+        case "exact" | "soundex" | "metaphone" | "double_metaphone":
+            return _code_pairs(values, CODES[strategy], two_sided)
     raise ValueError(f"{strategy} can't tell which records to compare; use it for fields that don't block")
 
 
@@ -197,7 +219,8 @@ def _classes(rows: DataFrame, key: str, rules: list[MatchRule]) -> DataFrame:
 
 def _linked(classes: DataFrame, rules: list[MatchRule], threshold: float, two_sided: bool) -> DataFrame:
     t = field_threshold(rules, threshold)
-    pairs = [candidate_pairs(classes.select("id", "side", F.col(f"_m{i}").alias("v")), r.strategy, t, two_sided) for i, r in enumerate(rules) if r.blocking]
+    by_value = lambda i, r: candidate_pairs(classes.select("id", "side", F.col(f"_m{i}").alias("v")), r.strategy, t, two_sided)
+    pairs = [_coded_pairs(classes, rules, i, threshold, two_sided) if r.strategy in CODES else by_value(i, r) for i, r in enumerate(rules) if r.blocking]
     met = reduce(lambda x, y: x.unionAll(y), pairs).distinct()
     own = lambda name: classes.alias(name)
     sides = (F.col("l.side") == 0) & (F.col("r.side") == 1) if two_sided else F.lit(True)

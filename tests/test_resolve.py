@@ -143,3 +143,25 @@ def test_lineage_and_keys(spark):
     df = spark.createDataFrame([("A ", None), ("a", "")], "x string, y string")
     keys = [x.k for x in df.select(o.match_key(["x", "y"]).alias("k")).collect()]
     assert keys[0] == keys[1]
+
+
+@pytest.mark.parametrize("strategy", ["soundex", "exact"])
+def test_frequent_codes_lose_no_link(spark, monkeypatch, strategy):
+    """Records of a frequent code are compared by their other field, and those without one with all."""
+    rng = random.Random(3)
+    near = words(40, 6, "abcd", (8, 10))
+    rows = [(k, rng.choice(["Robert", "Rupert", "Ribert", "Anna", None]), rng.choice([None, *near, *(w[:-1] + "z" for w in near)])) for k in range(200)]
+    df = spark.createDataFrame(rows, "id long, name string, street string")
+    rules = [MatchRule("name", strategy, 0.3, blocking=True), MatchRule("street", "levenshtein", 0.7)]
+    want = {(x.a, x.b): round(x.score, 9) for x in r.similar_records(df, "id", rules, 0.9)[0].collect()}
+    monkeypatch.setattr(r, "FREQUENT", 10)
+    got = {(x.a, x.b): round(x.score, 9) for x in r.similar_records(df, "id", rules, 0.9)[0].collect()}
+    assert got == want and len(want) > 20
+
+
+def test_many_records_of_one_code(spark):
+    """Twenty thousand names of one soundex code: as many pairs as have similar streets, not two hundred million."""
+    df = spark.range(20_000).selectExpr("id", "concat('R', repeat('o', cast(1 + id % 40 AS int)), 'bert') AS name", "substr(md5(cast(id AS string)), 1, 12) AS street")
+    df = df.unionAll(df.where("id % 500 = 0").selectExpr("id + 100000", "name", "concat(substr(street, 1, 11), 'x')"))
+    links, _ = r.similar_records(df, "id", [MatchRule("name", "soundex", 0.3, blocking=True), MatchRule("street", "levenshtein", 0.7)], 0.9)
+    assert {(x.a, x.b) for x in links.collect()} == {(i, i + 100000) for i in range(0, 20_000, 500)}
