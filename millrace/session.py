@@ -33,9 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Materialise df once in the shared folder: later uses read files, not lineage."""
+    """Materialise df once in the shared folder: later uses read files, not lineage. release() deletes them."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    file = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        _written.append((df.sparkSession, file.get()))
+    return out
 
 
 def shared_path(spark: SparkSession) -> str:
