@@ -406,6 +406,11 @@ def _pieces(path: str):
     return run
 
 
+def _packed(coder: TreeBpe) -> str:
+    """The type in which ids travel between tasks."""
+    return "<u2" if max(coder.names) < 1 << 16 else "<u4"
+
+
 def _encoded(path: str):
     """Ids of pieces."""
 
@@ -415,7 +420,7 @@ def _encoded(path: str):
             for lo in range(0, batch.num_rows, 16):
                 part = batch.slice(lo, 16)
                 ids = [[coder.special[t]] if t in coder.special else coder.encode_piece(t, goes_on) for t, goes_on in zip(part.column("text").to_pylist(), part.column("goes_on").to_pylist(), strict=True)]
-                yield pa.record_batch([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*part.schema.names, "ids"])
+                yield pa.record_batch([*part.columns, pa.array([np.array(x, _packed(coder)).tobytes() for x in ids], pa.binary())], names=[*part.schema.names, "ids"])
 
     return run
 
@@ -436,10 +441,11 @@ def _joined(path: str, digests: bool):
                     yield told(coder, doc[1], ids)
                     ids = array("i")
                 doc = (row["doc"], row["doc_id"])
+                own = np.frombuffer(row["ids"], _packed(coder)).tolist()
                 if row["text"] in coder.special:
-                    ids.extend(row["ids"])
+                    ids.extend(own)
                     continue
-                tree.append((0, coder.part(row["text"], row["ids"], row["goes_on"])))
+                tree.append((0, coder.part(row["text"], own, row["goes_on"])))
                 while len(tree) > 1 and (tree[-1][0] == tree[-2][0] or not row["goes_on"]):
                     (height, left), (_, right) = tree[-2:]
                     tree[-2:] = [(height + 1, coder.join_parts(left, right))]
@@ -455,7 +461,7 @@ def _run(docs: DataFrame, path: str, digests: bool, schema: str) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     long = F.coalesce(F.length("text"), F.lit(0)) > PIECE
     pieces = settle_table(rows.where(long).mapInArrow(_pieces(path), PIECES))
-    encoded = pieces.repartition("doc", "place").mapInArrow(_encoded(path), f"{PIECES}, ids array<int>")
+    encoded = pieces.repartition("doc", "place").mapInArrow(_encoded(path), f"{PIECES}, ids binary")
     joined = encoded.repartition("doc").sortWithinPartitions("doc", "place").mapInArrow(_joined(path, digests), schema)
     return rows.where(~long).mapInArrow(_whole(path, digests), schema).unionByName(joined)
 
