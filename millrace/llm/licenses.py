@@ -192,7 +192,7 @@ class Notice:
     def clues(self) -> list[str]:
         """Words of which every match holds one."""
         words = sorted(dict.fromkeys(self.fixed), key=lambda w: (-len(w), w))
-        telling = [w for w in words if w in self.telling]
+        telling = [w for w in words if w in self.telling and len(w) > 2]  # shorter ones are everywhere
         return telling[:1] or words[: self.lacks + 1]
 
 
@@ -326,8 +326,10 @@ class Scanner:
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """A row for each confirmed notice: doc_id, license, where it starts in the text, bytes saved, and the differences."""
     known, further = (templates, None) if templates else (TEMPLATES, FORMS)
-    lowered = F.lower(F.col("text").cast("string"))
-    clue = reduce(lambda a, b: a | b, (F.contains(lowered, F.lit(c)) for c in Scanner(known, further).clues()))
+    clues = Scanner(known, further).clues()
+    # of an array of one, so that the text is lowered once and not for each word
+    lowered = F.array(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    clue = F.exists(lowered, lambda t: reduce(lambda a, b: a | b, (F.contains(t, F.lit(c)) for c in clues)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(known, further)
