@@ -1,4 +1,4 @@
-"""Queries over the ten operators, and the SQL that some of them equal."""
+"""Queries over the thirteen operators, and the SQL that some of them equal."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.fm_dedup import substring_dedup
 from millrace.llm.language_id import identify
 from millrace.llm.licenses import scan_licenses
+from millrace.llm.quality import score_quality
+from millrace.llm.runs import periodic_runs, run_digests, with_repeats
 from millrace.llm.simhash import simhash_components
 from millrace.llm.suffix_dedup import suffix_dedup
 from millrace.llm.token_counts import token_counts
@@ -65,6 +67,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(with_repeats(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_dedup": op2_exact_dedup,
@@ -76,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_warc": op10_warc,
+    "op11_quality": op11_quality,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
