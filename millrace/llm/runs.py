@@ -28,7 +28,6 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,22 +51,24 @@ def lyndon_runs(words: list[bytes], rising: bool, found: dict[tuple[int, int], i
     counted: its first item grows by the number of comparisons of words.
     """
     n = len(words)
-    empty = array("i", bytes(4 * n))
-    after, after_ext = array("i", [n]) * n, empty[:]  # next smaller suffix, and how far both are equal
-    before, before_ext = array("i", [-1]) * n, empty[:]  # the next one below on the stack, likewise
+    after, after_ext = [n] * n, [0] * n  # next smaller suffix, and how far both are equal
+    before, before_ext = [-1] * n, [0] * n  # the next one below on the stack, likewise
     roots: list[tuple[int, int, int, int, int]] = []
     end = shift = box = compared = 0  # of the furthest match: its end, J - I and I
     for j in range(1, n):
         i, known, reach = j - 1, 0, 0
+        word = words[j]
         while True:
-            twin = -1
             # how many words of suffixes i and j are equal, and which suffix is smaller
-            if known < reach:  # the suffix above had fewer in common with i than with j
-                ext, smaller = known, False
-            elif known > reach:
-                ext, smaller = reach, True
+            if known != reach:
+                smaller = known > reach  # else the suffix above had fewer words in common with i than with j
+                ext = reach if smaller else known
+                twin = -1
+            elif j >= end and not known and (other := words[i]) != word:  # nothing matches, as mostly
+                compared += 1
+                smaller, ext, twin = (word < other) == rising, 0, -1
             else:
-                ext = known
+                ext, twin = known, -1
                 if j < end:
                     a, b = i - shift, j - shift
                     if a >= 0 and after[a] == b:
@@ -90,9 +91,9 @@ def lyndon_runs(words: list[bytes], rising: bool, found: dict[tuple[int, int], i
             after[i], after_ext[i] = j, ext
             if ext > (MIN_EXPONENT - 2) * (j - i):
                 roots.append((i, j, ext, twin, box))
-            if before[i] < 0:
-                break
             known, reach, i = before_ext[i], ext, before[i]
+            if i < 0:
+                break
     if counted is not None:
         counted[0] += compared
     lefts: dict[int, int] = {}
