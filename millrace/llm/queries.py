@@ -12,6 +12,7 @@ from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.fm_dedup import substring_dedup
 from millrace.llm.language_id import identify
 from millrace.llm.licenses import scan_licenses
+from millrace.llm.prefix_trie import grafted_trie
 from millrace.llm.quality import score_quality
 from millrace.llm.runs import periodic_runs, run_digests, with_repeats
 from millrace.llm.simhash import simhash_components
@@ -71,6 +72,10 @@ def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grafted_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(with_repeats(table(spark, sf_dir, "documents"))))
 
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_warc": op10_warc,
     "op11_quality": op11_quality,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -114,4 +120,41 @@ ORACLES: dict[str, str] = {
                true AS verified
         FROM f
     """,
+    "op12_prefix_trie": r"""
+        WITH t AS (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+                   coalesce(role, '') AS role, coalesce(text, '') AS text
+            FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (  -- h: CRC-32 of the decimal digits, bit by bit
+            SELECT conv_id, conv_id - conv_id % 5 AS base,
+                   xor(4294967295, list_reduce(
+                       list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+                       lambda crc, b: list_reduce(
+                           list_prepend(xor(crc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                           lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END))) % 9 AS h
+            FROM (SELECT DISTINCT conv_id FROM t)),
+        g AS (
+            SELECT c.conv_id, 0 AS half, pos, role, text FROM c JOIN t ON t.conv_id = c.base AND pos <= h
+            UNION ALL
+            SELECT c.conv_id, 1, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
+        r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY half, pos) AS depth FROM g),
+        p AS (
+            SELECT conv_id, depth, string_agg(sha256(role) || sha256(text), '') OVER (PARTITION BY conv_id ORDER BY depth) AS k, strlen(text) AS bytes FROM r
+            UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+        last AS (SELECT conv_id, max(depth) AS turns FROM p GROUP BY conv_id),
+        n AS (
+            SELECT k, depth, min(conv_id) AS node, count(*) AS n_convs, (count(*) - 1) * max(bytes) AS saved,
+                   sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE depth = turns), '')) AS ends_sha256
+            FROM p JOIN last USING (conv_id) GROUP BY k, depth),
+        way AS (SELECT p.conv_id, n.depth, n.node FROM p JOIN n ON p.k = n.k AND p.depth = n.depth),
+        up AS (SELECT n.node, n.depth, w.node AS parent FROM n JOIN way w ON w.conv_id = n.node AND w.depth = n.depth - 1),
+        kids AS (SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM up GROUP BY ALL),
+        own AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (node, depth)),
+        under AS (
+            SELECT w.node, w.depth, count(*) FILTER (WHERE o.n_children = 0) AS n_leaves, sum(o.saved) AS saved_tokens
+            FROM own o JOIN way w ON w.conv_id = o.node AND w.depth <= o.depth GROUP BY ALL)
+        SELECT o.node AS conv_id, o.depth, up.parent AS parent_conv_id, o.n_convs, o.n_children, under.n_leaves,
+               CAST(under.saved_tokens AS BIGINT) AS saved_tokens, o.ends_sha256
+        FROM own o JOIN under USING (node, depth) LEFT JOIN up USING (node, depth)
+    """,
 }
