@@ -9,8 +9,8 @@ Each indicator is scaled by the log-ratio of its smoothed counts in the two clas
 over all labelled documents; the scaled vectors have length 1. A linear hinge-loss model is
 fitted to them by dual coordinate descent, on at most about MOST_TRAINING labelled documents
 chosen by a hash of id and text (the bound doesn't change with the table). Margins become
-probabilities by a logistic curve fitted to margins of documents that a first model, of four fifths of
-the sample, hasn't seen.
+probabilities by a logistic curve fitted to margins of documents that their model hasn't seen: folds of
+the sample, each scored by a model of the other four.
 
 Bins of every document are written once to the shared folder; counts, sample and scores read
 them there. Only the sample and BINS counts for each class reach the driver.
@@ -45,6 +45,9 @@ MOST_TRAINING = 10_000
 COST = 1.0
 EPOCHS = 20
 ENOUGH = 1e-3
+#: A fold of the sample gets its margins from a model of the others; folds are taken until there are so many margins.
+FOLDS = 5
+ENOUGH_MARGINS = 2_000
 CHUNK_BYTES = 1 << 19
 GOOD = 0.3
 
@@ -214,11 +217,14 @@ def fit(counts: np.ndarray, rows: list[np.ndarray], quality: np.ndarray) -> Mode
         share = ((y > 0).sum() + 1) / (len(y) + 2)
         return Model(ratio, np.zeros(BINS + 1), 0.0, float(np.log(share / (1 - share))))
     values = [ratio[x] / max(np.linalg.norm(ratio[x]), 1e-6) for x in rows]
-    apart = np.arange(len(rows)) % 5 == 0
-    some = np.flatnonzero(~apart) if len(set(y[~apart].tolist())) == 2 else np.arange(len(rows))
-    first = coordinate_descent([rows[i] for i in some], [values[i] for i in some], y[some])
-    unseen = np.flatnonzero(apart) if len(set(y[apart].tolist())) == 2 else np.arange(len(rows))
-    slope, offset = calibrated(np.array([values[i] @ first[rows[i]] + first[BINS] for i in unseen]), y[unseen])
+    fold, unseen, margins = np.arange(len(rows)) % FOLDS, [], []
+    for k in range(FOLDS):
+        seen, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        if len(set(y[seen].tolist())) == 2 and sum(map(len, unseen)) < ENOUGH_MARGINS:
+            w = coordinate_descent([rows[i] for i in seen], [values[i] for i in seen], y[seen])
+            unseen.append(own)
+            margins.append(np.array([values[i] @ w[rows[i]] + w[BINS] for i in own]))
+    slope, offset = calibrated(np.concatenate(margins), y[np.concatenate(unseen)]) if unseen else (1.0, 0.0)
     return Model(ratio, coordinate_descent(rows, values, y), slope, offset)
 
 
