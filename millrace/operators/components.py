@@ -1,32 +1,54 @@
-"""Connected components of an edge table by minimum labels and pointer jumping."""
+"""Connected components of an edge table by alternating star contraction."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.session import settle
 
+#: A node is a hub with more edges than this and than a thousandth of all, so that there are fewer than a thousand.
+LEAST_HUB = 64
+#: What a hub's edges are dealt over.
+SALTS = 128
+
+
+def salted_join(edges: DataFrame, named: DataFrame, key: str, n_edges: int) -> DataFrame:
+    """edges left-joined with named (key, ...; a row for each key); edges of a hub are dealt over SALTS copies of its row.
+
+    The list of hubs is broadcast: as each has a thousandth of n_edges, the number of rows of edges, it has less than a thousand rows.
+    """
+    hubs = F.broadcast(edges.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > max(LEAST_HUB, n_edges // 1000)).select(key, F.lit(True).alias("_hub")))
+    others = [c for c in edges.columns if c != key]
+    salt = lambda hub: F.when(F.col("_hub"), hub).otherwise(F.lit(0))
+    left = edges.join(hubs, key, "left").withColumn("_salt", salt(F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int"))).drop("_hub")
+    copies = F.when(F.col("_hub"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = named.join(hubs, key, "left").withColumn("_salt", F.explode(copies)).drop("_hub")
+    return left.join(right, [key, "_salt"], "left").drop("_salt")
+
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """node, component for each node that has an edge; component is the smallest node reachable.
 
-    Labels travel one hop and then jump to the label's own label, so the number of rounds
-    grows with the logarithm of a component's diameter. Each round is settled in the shared
-    folder. Hubs are pre-aggregated by the partial minimum. Labels jump through a table with a row for
-    each component that is left, which the optimizer broadcasts where it is small; what is joined
-    beyond that is left to adaptive execution, which splits a hub's partition. Null nodes and self loops are ignored.
+    Every edge points from the larger node to the smaller one. The large star moves what points to a node on to
+    the least node that it points to itself; the small star makes all that a node points
+    to point to the least of these. Both keep what is connected, edges only become fewer (equal ones are
+    one), and when nothing moves any more each component is a star around its smallest node. The number of rounds grows with the
+    logarithm of the number of nodes. Each star is settled in the shared folder. Hubs are salted. Null nodes and self loops are ignored.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    both = settle(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = settle(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node"))
-    while True:
-        hop = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("seen")), "b").groupBy("a").agg(F.min("seen").alias("seen"))
-        near = labels.join(hop.withColumnRenamed("a", "node"), "node").select("node", F.col("component").alias("before"), F.least("component", "seen").alias("component"))
-        left = near.select("component").distinct()
-        far = left.join(near.select(F.col("node").alias("component"), F.col("component").alias("root")), "component")
-        new = settle(near.join(far, "component").select("node", "before", F.col("root").alias("component")))
-        moved = new.where("component <> before").limit(1).count()
-        labels = new.select("node", "component")
+    once = lambda rows: rows.groupBy("child", "root").agg(F.bool_or("moved").alias("moved"))
+    least: Column = F.min("root").alias("low")
+    stars = settle(once(pairs.select(F.greatest("a", "b").alias("child"), F.least("a", "b").alias("root"), F.lit(True).alias("moved"))))
+    n = stars.count()
+    while n:
+        up = stars.groupBy("child").agg(least).withColumnRenamed("child", "root")
+        large = settle(once(salted_join(stars.select("child", "root"), up, "root", n).select("child", F.coalesce("low", "root").alias("root"), F.col("low").isNotNull().alias("moved"))))
+        down = large.groupBy("child").agg(least)
+        own = F.col("root") == F.col("low")
+        small = salted_join(large, down, "child", n).select(F.when(own, F.col("child")).otherwise(F.col("root")).alias("child"), F.col("low").alias("root"), (F.col("moved") | ~own).alias("moved"))
+        stars = settle(once(small))
+        n, moved = stars.agg(F.count("*"), F.bool_or("moved")).first()
         if not moved:
-            return labels
+            break
+    return stars.select(F.col("child").alias("node"), F.col("root").alias("component")).unionAll(stars.select("root", "root").distinct())

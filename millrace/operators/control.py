@@ -16,14 +16,12 @@ from pyspark.sql import functions as F
 from millrace.functions.dates import period_days
 from millrace.operators.aggregate import fill_periods
 from millrace.operators.windows import latest, latest_by_key
-from millrace.session import settle
 
 HEALTHY, WARNING = 90, 70
 JOB_CRITICAL, JOB_WARNING = 50, 80
 STUCK_HOURS, STALE_DAYS = 4, 7
 ARCHIVE_DAYS, PURGE_DAYS, FAILED_DAYS, RESET_HOURS = 90, 365, 7, 24
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
-DEEPEST = 50
 # Words in names of exceptions and what they tell.
 ERROR_TYPES = (
     (("Validation", "Invalid"), "VALIDATION_ERROR"),
@@ -249,45 +247,6 @@ def triggered(parents: DataFrame, dependencies: DataFrame, executions: DataFrame
     return executable_jobs(children.select(F.col("child_job_id").alias("job_id")).distinct(), dependencies, executions)
 
 
-def closure(edges: DataFrame, src: str, dst: str, deepest: int = DEEPEST) -> DataFrame:
-    """Every node with each node below it and the least number of edges between: (ancestor, descendant, depth).
-
-    A level at a time; each is settled and only holds pairs that no level before had, so that
-    cycles end. `deepest` is a limit of the operator, past which it raises an error.
-    """
-    step = edges.select(F.col(src).alias("ancestor"), F.col(dst).alias("descendant")).where("ancestor IS NOT NULL AND descendant IS NOT NULL").distinct()
-    level = settle(step.withColumn("depth", F.lit(1)))
-    levels, depth = [level], 1
-    below = step.select(F.col("ancestor").alias("descendant"), F.col("descendant").alias("next"))
-    while not level.isEmpty():
-        if depth == deepest:
-            raise ValueError(f"dependencies are more than {deepest} levels deep")
-        depth += 1
-        pairs = level.join(below, "descendant").select("ancestor", F.col("next").alias("descendant")).distinct()
-        for before in levels:
-            pairs = pairs.join(before, ["ancestor", "descendant"], "left_anti")
-        level = settle(pairs.withColumn("depth", F.lit(depth)))
-        levels.append(level)
-    return reduce(DataFrame.unionByName, levels)
-
-
-def cycles(edges: DataFrame, src: str, dst: str) -> DataFrame:
-    """Nodes that lie on a cycle, with the length of the shortest one through them.
-
-    Edges from nodes that nothing leads to, and to nodes that lead nowhere, are cut off first, again
-    and again; what is left are cycles and what lies between them.
-    """
-    left = settle(edges.select(src, dst).where(F.col(src).isNotNull() & F.col(dst).isNotNull()).distinct())
-    size = left.count()
-    while True:
-        ends, starts = left.select(F.col(dst).alias(src)).distinct(), left.select(F.col(src).alias(dst)).distinct()
-        left = settle(left.join(ends, src, "left_semi").join(starts, dst, "left_semi"))
-        if (now := left.count()) == size:
-            break
-        size = now
-    return closure(left, src, dst).where("ancestor = descendant").select(F.col("ancestor").alias("node"), F.col("depth").alias("length"))
-
-
 def lineage_graph(edges: DataFrame) -> DataFrame:
     """Nodes of a lineage (entity.field) with the edges that enter and leave them."""
     name = lambda side: F.concat_ws(".", f"{side}_entity", f"{side}_field")

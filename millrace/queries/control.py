@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import control as k
+from millrace.operators import graphs as g
 from millrace.queries.quality import CHECKS, checks
 from millrace.queries.registry import query
 from millrace.session import table
@@ -207,14 +208,20 @@ EDGES = "(SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FROM
 def join_dependency_tree(spark, sf_dir):
     a = table(spark, sf_dir, "nation").selectExpr("'r' || n_regionkey AS parent", "'n' || n_nationkey AS child")
     b = table(spark, sf_dir, "supplier").selectExpr("'n' || s_nationkey AS parent", "'s' || s_suppkey AS child")
-    return k.closure(a.unionAll(b), "parent", "child")
+    return g.closure(a.unionAll(b), "parent", "child")
 
 
-@query("SELECT n_nationkey AS node, CASE WHEN n_nationkey < 3 THEN 3 ELSE 2 END AS length FROM nation WHERE n_nationkey < 5")
+# Customers in blocks of 50 lead to the next one, those in debt also back by up to five.
+FOLLOWED = "(SELECT c_custkey AS parent, c_custkey + 1 AS child FROM customer WHERE c_custkey % 50 <> 49 UNION ALL SELECT c_custkey, c_custkey - 1 - c_custkey % 5 FROM customer WHERE c_acctbal < 0 AND c_custkey % 50 > 5)"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT * FROM {FOLLOWED}), t AS (SELECT parent AS start, child AS node, 1 AS length FROM e UNION SELECT start, child, length + 1 FROM t JOIN e ON node = parent WHERE length < 6)
+  SELECT node, min(length)::INT AS length FROM t WHERE node = start GROUP BY 1""")
 def join_cycles(spark, sf_dir):
-    # 0 -> 1 -> 2 -> 0 and 3 <-> 4 among the nations; all others lead on to nothing
-    edges = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS parent", "CASE n_nationkey WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 0 WHEN 3 THEN 4 WHEN 4 THEN 3 ELSE n_nationkey + 100 END AS child")
-    return k.cycles(edges, "parent", "child")
+    c = table(spark, sf_dir, "customer")
+    on = c.where("c_custkey % 50 <> 49").selectExpr("c_custkey AS parent", "c_custkey + 1 AS child")
+    back = c.where("c_acctbal < 0 AND c_custkey % 50 > 5").selectExpr("c_custkey AS parent", "c_custkey - 1 - c_custkey % 5 AS child")
+    return g.cycles(on.unionAll(back), "parent", "child")
 
 
 LINEAGE = "(SELECT 'orders' AS source_entity, o_orderpriority AS source_field, 'report' AS target_entity, o_orderstatus AS target_field FROM orders UNION ALL SELECT 'report', o_orderstatus, 'board', 'all' FROM orders)"

@@ -39,14 +39,6 @@ def test_specs_are_checked(spark):
     assert p.folded(p.PipelineSpec("t", [p.Stage("s", lambda d: d.limit(0), ["name"], optional=True)]), df).count() == 1
 
 
-def test_cycles_end(spark):
-    chain = [("a", "b"), ("b", "c"), ("c", "d"), ("a", "c"), ("d", "a"), ("x", "y"), (None, "z")]
-    edges = spark.createDataFrame(chain, "p string, q string")
-    assert {tuple(r) for r in k.cycles(edges, "p", "q").collect()} == {("a", 3), ("b", 4), ("c", 3), ("d", 3)}
-    assert k.closure(edges.where("p = 'x'"), "p", "q").count() == 1
-    with pytest.raises(ValueError, match="levels deep"):
-        k.closure(spark.range(9).selectExpr("id AS p", "id + 1 AS q"), "p", "q", deepest=4)
-
 
 def test_dependencies(spark):
     runs = spark.createDataFrame([(1, 1, "SUCCESS", datetime(2024, 1, 1), 0), (2, 2, "FAILED", datetime(2024, 1, 1), 5), (2, 3, "RUNNING", datetime(2024, 1, 2), 0)], "job_id long, execution_id long, status string, start_time timestamp, records_successful long")
