@@ -36,6 +36,8 @@ def violation(rule: QualityRule) -> Column:
             bad = c.isNull() | (F.trim(c.cast("string")) == "")
         case "uniqueness":
             bad = F.col(f"_times_{rule.rule_id}") > 1
+            if p.get("scope") == "global":  # known from an earlier load
+                bad = F.coalesce(bad, F.lit(False)) | F.coalesce(F.col(f"_seen_{rule.rule_id}"), F.lit(False))
         case "validity":
             ok = FORMATS[p["format"]](c) if "format" in p else c.cast("string").rlike(p["pattern"])
             bad = c.isNotNull() & (c.cast("string") != "") & ~ok
@@ -57,11 +59,16 @@ def violation(rule: QualityRule) -> Column:
 
 
 def prepared(df: DataFrame, rules: list[QualityRule], references: dict[str, tuple[DataFrame, str]] | None = None) -> DataFrame:
-    """df with what uniqueness and referential rules need: counts by pre-aggregation and a left join, never by a window over a hot value."""
+    """df with what uniqueness and referential rules need: counts by pre-aggregation and a left join, never by a window over a hot value.
+
+    A uniqueness rule of scope `global` names the store.History of all loads in params["history"]; a value is then also held against that.
+    """
     for r in rules:
         if r.kind == "uniqueness":
             times = df.groupBy(F.col(r.column).alias("_value")).agg(F.count("*").alias(f"_times_{r.rule_id}")).where(F.col("_value").isNotNull() & (F.col(f"_times_{r.rule_id}") > 1))
             df = df.join(times, F.col(r.column) == F.col("_value"), "left").drop("_value")
+            if r.params.get("scope") == "global":
+                df = r.params["history"].marked(df, [r.column], f"_seen_{r.rule_id}")
         if r.kind in ("referential", "integrity"):
             known, key = references[r.rule_id]
             df = df.join(known.select(F.col(key).alias(f"_known_{r.rule_id}")).distinct(), F.col(r.column) == F.col(f"_known_{r.rule_id}"), "left")

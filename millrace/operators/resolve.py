@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text
-from millrace.operators.components import connected_components
+from millrace.operators.components import connected_components, salted_join
 from millrace.session import settle
 
 GLOBAL_THRESHOLD, HIGH, MEDIUM = 0.85, 0.9, 0.7
@@ -98,7 +98,7 @@ def _places(m: str, n: str, i: str, p: str, body: str) -> str:
     return f"transform(filter(sequence({low}, greatest({low}, {high})), {p} -> {p} <= {high}), {p} -> {body})"
 
 
-def _edit_keys(values: DataFrame, t: float, agree: int) -> tuple[DataFrame, DataFrame]:
+def edit_keys(values: DataFrame, t: float, agree: int = 1) -> tuple[DataFrame, DataFrame]:
     """(id, side, key) under which values (id, side, v) are filed and looked for; `agree` segments of a key are unchanged."""
     rows = values.where("v <> ''").selectExpr("id", "side", "v", "length(v) AS l", f"cast(floor({1 - t} * length(v) + {_ROUND}) AS int) AS k")
     last = f"cast(floor({1 - t} * floor(l / {t} + {_ROUND}) + {_ROUND}) AS int)"
@@ -124,14 +124,14 @@ def _pairs(filed: DataFrame, sought: DataFrame, two_sided: bool) -> DataFrame:
 
 
 def _edit_pairs(values: DataFrame, t: float, two_sided: bool) -> DataFrame:
-    filed, sought = _edit_keys(values, t, 1)
+    filed, sought = edit_keys(values, t, 1)
     counts = filed.select("key", F.lit(1).alias("f"), F.lit(0).alias("s")).unionAll(sought.select("key", F.lit(0), F.lit(1)))
     frequent = settle(counts.groupBy("key").agg(F.sum("f").alias("f"), F.sum("s").alias("s")).where((F.col("f") > 0) & (F.col("s") > FREQUENT) | (F.col("f") > FREQUENT) & (F.col("s") > 0)).select("key"))
     if frequent.isEmpty():
         return _pairs(filed, sought, two_sided)
     plain = _pairs(filed.join(frequent, "key", "left_anti"), sought, two_sided)
     ids = filed.join(frequent, "key", "left_semi").select("id", "side").unionAll(sought.join(frequent, "key", "left_semi").select("id", "side")).distinct()
-    return plain.unionAll(_pairs(*_edit_keys(values.join(ids, ["id", "side"], "left_semi"), t, 2), two_sided))
+    return plain.unionAll(_pairs(*edit_keys(values.join(ids, ["id", "side"], "left_semi"), t, 2), two_sided))
 
 
 def _set_pairs(values: DataFrame, members: Callable[[Column], Column], share: float, two_sided: bool) -> DataFrame:
@@ -268,6 +268,42 @@ def groups(links: DataFrame, members: DataFrame, key: str) -> DataFrame:
     return named.select(key, F.coalesce("component", "representative").alias("master"))
 
 
+def dropped_in_order(links: DataFrame) -> DataFrame:
+    """node of each record that isn't kept, if every record, by key, is kept unless it is linked with a smaller kept one.
+
+    In rounds: records without a smaller link are kept, what they are linked with is dropped, and
+    links of both are done. For links at random the number of rounds grows with the logarithm of their number; only a
+    chain of links by ascending keys takes a round for every two of them.
+    """
+    left, gone = settle(links.select("a", "b").distinct()), []
+    n = left.count()
+    while n:
+        later = left.select(F.col("b").alias("a")).distinct().withColumn("later", F.lit(True))
+        marked = settle(salted_join(left, later, "a", n))
+        out = settle(marked.where("later IS NULL").select("b").distinct().withColumn("out", F.lit(True)))
+        gone.append(out.select(F.col("b").alias("node")))
+        rest = salted_join(marked.where("later").select("a", "b"), out, "b", n).where("out IS NULL").select("a", "b")
+        left = settle(salted_join(rest, out.withColumnRenamed("b", "a"), "a", n).where("out IS NULL").select("a", "b"))
+        n = left.count()
+    return reduce(DataFrame.unionAll, gone) if gone else left.select(F.col("a").alias("node"))
+
+
+def sequential(links: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """key, is_duplicate, duplicate_of and match_score of each record, compared with those that were kept before it, by key.
+
+    A record that is like a kept one is a duplicate of the one it is most like (the smallest of equal ones), and isn't kept itself; so records
+    that only have a dropped one in common stay apart. Copies of a kept record are its duplicates, copies of a dropped one are duplicates of the same record.
+    """
+    gone = settle(dropped_in_order(links))
+    kept = links.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_semi")
+    best = kept.groupBy("b").agg(F.max(F.struct("score", F.struct((-F.col("a")).alias("minus"), F.col("a")))).alias("m"))
+    told = best.select(F.col("b").alias("representative"), F.col("m.col2.a").alias("like"), F.col("m.score").alias("score"))
+    rows = members.join(told, "representative", "left")
+    copy = F.col(key) != F.col("representative")
+    of = F.coalesce("like", F.when(copy, F.col("representative")))
+    return rows.select(key, of.isNotNull().alias("is_duplicate"), of.alias("duplicate_of"), F.coalesce("score", F.when(copy, F.lit(1.0))).alias("match_score"))
+
+
 def group_statistics(grouped: DataFrame) -> DataFrame:
     sizes = grouped.groupBy("master").agg(F.count("*").alias("n"))
     return sizes.agg(F.sum("n").alias("records"), F.count("*").alias("entities"), F.count_if(F.col("n") > 1).alias("duplicate_groups"), F.sum(F.col("n") - 1).alias("duplicates"), F.max("n").alias("largest_group"))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from millrace.functions import text
 from millrace.operators import load as o
 from millrace.operators import resolve as r
+from millrace.operators.store import MatchIndex, Store, upsert_into
 from millrace.queries.registry import query
-from millrace.session import table
+from millrace.session import shared_path, table
 
 # Both engines read these: a name and another one that is more or less like it.
 PAIRS = """SELECT p_partkey, p_name AS a, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) WHEN 2 THEN replace(p_name, 'e', 'a') WHEN 3 THEN substr(p_name, 2) ELSE p_type END AS b"""
@@ -149,6 +150,28 @@ def er_groups(spark, sf_dir):
     return r.groups(*r.similar_records(entities(spark, sf_dir), "id", RULES, THRESHOLD), "id")
 
 
+# Both engines read these: names of 12 letters, and each again with one, two and three letters changed, under keys in mixed order; some are the same.
+CHAINED = """SELECT (c_custkey * 7 + i * 3) % 11 * 100000000 + c_custkey * 4 + i AS id, CASE WHEN c_custkey % 9 = 0 AND i = 3 THEN 'copy' ELSE concat(repeat('x', i), substr(md5(concat('', c_custkey)), i + 1, 12 - i)) END AS name FROM customer CROSS JOIN (VALUES (0), (1), (2), (3)) AS t(i)"""
+SEQUENCE = f"({CHAINED})"
+NAMED_ONCE = f"(SELECT min(id) AS id, name FROM {SEQUENCE} GROUP BY name)"
+_ALIKE = "1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name))"
+# Names at 11 of 12 letters equal share one of their halves.
+LINKS_LOW = f"(SELECT a.id AS a, b.id AS b, {_ALIKE} AS score FROM {NAMED_ONCE} a JOIN {NAMED_ONCE} b ON a.id < b.id AND (left(a.name, 6) = left(b.name, 6) OR right(a.name, 6) = right(b.name, 6)) WHERE {_ALIKE} >= 0.9)"
+# One class after the other: kept unless it is linked with one that was kept before.
+ORDERED = f"""(WITH RECURSIVE l AS (SELECT a, b, score FROM {LINKS_LOW}), c AS (SELECT b, list(a) AS smaller, row_number() OVER (ORDER BY b) AS n FROM l GROUP BY b),
+  s(n, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT c.n, CASE WHEN len(list_filter(c.smaller, lambda x: NOT list_contains(gone, x))) > 0 THEN list_append(gone, c.b) ELSE gone END FROM s JOIN c ON c.n = s.n + 1),
+  g AS (SELECT unnest(gone) AS id FROM (SELECT gone FROM s ORDER BY n DESC LIMIT 1))
+  SELECT b AS rep, first(a ORDER BY score DESC, a) AS duplicate_of, max(score) AS score FROM l WHERE b IN (SELECT id FROM g) AND a NOT IN (SELECT id FROM g) GROUP BY b)"""
+
+
+@query(f"""SELECT id, score IS NOT NULL OR id <> m.rep AS is_duplicate, coalesce(duplicate_of, CASE WHEN id <> m.rep THEN m.rep END) AS duplicate_of, round(coalesce(score, CASE WHEN id <> m.rep THEN 1.0 END), 6) AS match_score
+  FROM (SELECT id, min(id) OVER (PARTITION BY name) AS rep FROM {SEQUENCE}) m LEFT JOIN {ORDERED} o ON m.rep = o.rep""")
+def er_sequential(spark, sf_dir):
+    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    links, members = r.similar_records(spark.sql(CHAINED), "id", [r.MatchRule("name", "levenshtein", blocking=True)], 0.9)
+    return r.sequential(links, members, "id").withColumn("match_score", F.round("match_score", 6))
+
+
 @query(f"SELECT sum(n)::BIGINT AS records, count(*) AS entities, count(*) FILTER (n > 1) AS duplicate_groups, sum(n - 1)::BIGINT AS duplicates, max(n) AS largest_group FROM (SELECT master, count(*) AS n FROM {GROUPED} GROUP BY 1)")
 def er_statistics(spark, sf_dir):
     return r.group_statistics(r.groups(*r.similar_records(entities(spark, sf_dir), "id", RULES, THRESHOLD), "id"))
@@ -217,7 +240,10 @@ def _loaded(spark, sf_dir):
     return old, spark.sql(INCOMING.format(s="STRING")).withColumn("confidence", F.col("confidence").cast("double"))
 
 
-CLASSIFIED = f"""(SELECT n.id, CASE WHEN k.id IS NULL OR n.id % 3 = 2 THEN 'new' WHEN n.id % 3 = 0 THEN 'update' ELSE 'duplicate' END AS action, CASE WHEN n.id % 3 < 2 THEN k.id END AS existing_id, CASE WHEN k.id IS NULL OR n.id % 3 = 2 THEN NULL WHEN n.id % 3 = 0 THEN 1.0 ELSE round(11.0 / 12, 6) END AS confidence FROM {NEW} n LEFT JOIN {OLD} k ON n.id = k.id)"""
+_LIKE = "1 - levenshtein(lower(n.name), lower(k.name)) / greatest(length(n.name), length(k.name))"
+FUZZY = f"(SELECT n.id, first(k.id ORDER BY {_LIKE} DESC, k.id) AS existing_id, max({_LIKE}) AS score FROM {NEW} n JOIN {OLD} k ON {_LIKE} > 0.85 GROUP BY n.id)"
+CLASSIFIED = f"""(SELECT n.id, CASE WHEN e.id IS NOT NULL THEN 'update' WHEN f.id IS NOT NULL THEN 'duplicate' ELSE 'new' END AS action, coalesce(e.id, f.existing_id) AS existing_id, CASE WHEN e.id IS NOT NULL THEN 1.0 ELSE round(f.score, 6) END AS confidence
+  FROM {NEW} n LEFT JOIN (SELECT lower(trim(name)) AS k, min(id) AS id FROM {OLD} GROUP BY 1) e ON lower(trim(n.name)) = e.k LEFT JOIN {FUZZY} f ON n.id = f.id)"""
 
 
 @query(f"SELECT id, action, existing_id, confidence::DOUBLE AS confidence FROM {CLASSIFIED}")
@@ -254,6 +280,28 @@ def load_newer_wins(spark, sf_dir):
     return _upsert(spark, sf_dir, "newer_wins")
 
 
+@query(f"SELECT id, action, existing_id, confidence::DOUBLE AS confidence FROM {CLASSIFIED}")
+def load_index_classify(spark, sf_dir):
+    # what is known is filed in two loads, then the incoming records ask the index
+    old, new = _loaded(spark, sf_dir)
+    index = MatchIndex(spark, shared_path(spark), "id", ["name"], LOAD_RULES, o.FUZZY, buckets=8)
+    index.add(old.where("id % 3 = 0"))
+    index.add(old.where("id % 3 <> 0"))
+    out = index.classify(new.drop("confidence"))
+    return out.select("id", "action", "existing_id", F.round("confidence", 6).alias("confidence"))
+
+
+@query(_upserted(_NEWER, "n.name IS DISTINCT FROM k.name OR n.balance IS DISTINCT FROM k.balance OR n.note IS DISTINCT FROM k.note"))
+def load_into_store(spark, sf_dir):
+    # suppliers are the first load, every fourth customer the second, the others the third
+    old, new = _loaded(spark, sf_dir)
+    store = Store(spark, shared_path(spark), "id", buckets=8)
+    store.write(old)
+    upsert_into(store, new.where("id % 4 = 0"), FIELDS, "newer_wins")
+    upsert_into(store, new.where("id % 4 <> 0"), FIELDS, "newer_wins")
+    return store.read()
+
+
 @query(_upserted("coalesce(k.name, n.name) AS name, coalesce(k.balance, n.balance) AS balance, coalesce(k.note, n.note) AS note", "k.note IS NULL AND n.note IS NOT NULL"))
 def load_conservative(spark, sf_dir):
     return _upsert(spark, sf_dir, "conservative")
@@ -295,7 +343,7 @@ def load_change_log(spark, sf_dir):
     return o.change_log(old, new, "id", ["name", "note"], "entities")
 
 
-@query(f"SELECT k.id, k.name, (CASE WHEN k.id % 3 = 1 AND n.id IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS duplicate_count FROM {OLD} k LEFT JOIN {NEW} n ON k.id = n.id")
+@query(f"SELECT k.id, k.name, (SELECT count(*) FROM {CLASSIFIED} c WHERE c.action = 'duplicate' AND c.existing_id = k.id) AS duplicate_count FROM {OLD} k")
 def load_duplicate_counts(spark, sf_dir):
     old, new = _loaded(spark, sf_dir)
     found = o.classify(new.drop("confidence"), old, "id", ["name"], LOAD_RULES).where("action = 'duplicate'")

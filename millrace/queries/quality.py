@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from millrace.functions.formats import FORMATS, PATTERNS, email_parts, ip_properties, is_json, parsed_date, parsed_datetime, url_parts
 from millrace.operators import quality as q
 from millrace.operators import validate as v
+from millrace.operators.store import History
 from millrace.queries.registry import query
-from millrace.session import table
+from millrace.session import shared_path, table
 
 # Both engines read these: texts of every format, good and bad.
 SAMPLES = {
@@ -155,6 +156,29 @@ def valid_unique_and_referential(spark, sf_dir):
     return d.select("o_orderkey", has("uniqueness").alias("repeated"), has("referential").alias("unknown"))
 
 
+_PAST = "o_orderdate < DATE '1997-01-01'"
+
+
+@query(f"""SELECT o_orderkey, NOT (o_orderkey > o_first OR EXISTS (SELECT 1 FROM orders p WHERE p.{_PAST} AND p.o_custkey = b.o_custkey AND p.o_orderpriority = b.o_orderpriority)) AS is_unique
+  FROM (SELECT *, min(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority) AS o_first FROM orders WHERE NOT {_PAST}) b""")
+def valid_unique_over_loads(spark, sf_dir):
+    # two loads of the past, then a batch that is held to both
+    orders, columns = table(spark, sf_dir, "orders"), ["o_custkey", "o_orderpriority"]
+    history = History(spark, shared_path(spark), buckets=8)
+    for year in ("1995", "1997"):
+        history.add(orders.where(f"o_orderdate < DATE '{year}-01-01'" + (" AND o_orderdate >= DATE '1995-01-01'" if year == "1997" else "")), columns)
+    return history.check(orders.where(f"NOT ({_PAST})"), columns, "o_orderkey").select("o_orderkey", "is_unique")
+
+
+@query(f"""SELECT count(*) AS checked, count(*) FILTER (n > 1 OR o_custkey IN (SELECT o_custkey FROM orders WHERE {_PAST} AND o_totalprice > 300000)) AS failed FROM (SELECT o_custkey, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WHERE NOT {_PAST} AND o_totalprice > 300000)""")
+def dq_global_uniqueness(spark, sf_dir):
+    dear = table(spark, sf_dir, "orders").where("o_totalprice > 300000")
+    history = History(spark, shared_path(spark), buckets=8)
+    history.add(dear.where(_PAST), ["o_custkey"])
+    rule = q.QualityRule("customer", "uniqueness", "o_custkey", {"scope": "global", "history": history})
+    return q.scorecard(dear.where(f"NOT ({_PAST})"), [rule]).select("checked", "failed")
+
+
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 40 THEN 'range' WHEN NOT (l_extendedprice * (1 - l_discount) > 1000) THEN 'cross_field' ELSE '' END AS first_error FROM lineitem""")
 def valid_cross_field(spark, sf_dir):
     rules = [v.Rule("l_quantity", "range", {"max": 40}), v.Rule("", "cross_field", {"expression": "$l_extendedprice * (1 - $l_discount) > 1000"})]

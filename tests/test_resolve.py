@@ -165,3 +165,31 @@ def test_many_records_of_one_code(spark):
     df = df.unionAll(df.where("id % 500 = 0").selectExpr("id + 100000", "name", "concat(substr(street, 1, 11), 'x')"))
     links, _ = r.similar_records(df, "id", [MatchRule("name", "soundex", 0.3, blocking=True), MatchRule("street", "levenshtein", 0.7)], 0.9)
     assert {(x.a, x.b) for x in links.collect()} == {(i, i + 100000) for i in range(0, 20_000, 500)}
+
+
+def test_sequential_equals_a_loop_over_records(spark):
+    import random
+
+    rng = random.Random(6)
+    for n, m in ((8, 9), (40, 60), (60, 40)):
+        pairs = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(m)}
+        score = {p: round(rng.choice([0.9, 0.95, rng.random()]), 3) for p in pairs}
+        kept, want = [], {}
+        for i in range(n):
+            like = [(-score[k, i], k) for k in kept if (k, i) in score]
+            if like:
+                want[i] = (True, min(like)[1], -min(like)[0])
+            else:
+                kept.append(i)
+                want[i] = (False, None, None)
+        links = spark.createDataFrame([(*p, s) for p, s in score.items()], "a long, b long, score double")
+        members = spark.createDataFrame([(i, i) for i in range(n)] + [(1000 + i, i) for i in range(4)], "id long, representative long")
+        got = {x.id: tuple(x)[1:] for x in r.sequential(links, members, "id").collect()}
+        for i in range(4):
+            want[1000 + i] = (True, i, 1.0) if i in kept else want[i]
+        assert got == want
+    # a - b - c: c is like b only, which was dropped
+    links = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.9)], "a long, b long, score double")
+    members = spark.range(1, 4).selectExpr("id", "id AS representative")
+    assert {x.id: x.duplicate_of for x in r.sequential(links, members, "id").collect()} == {1: None, 2: 1, 3: None}
+    assert [x.is_duplicate for x in r.sequential(links.limit(0), members, "id").collect()] == [False] * 3
