@@ -1,4 +1,8 @@
-"""Paths and cycles of edge tables, in a number of rounds that grows with the logarithm of their length."""
+"""Paths and cycles of edge tables, in a number of rounds that grows with the logarithm of their length.
+
+What rounds make is written as tables: a checkpoint would hand on what the optimizer has inferred, which doubles with every
+round that renames columns.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import settle
+from millrace.session import settle, settle_table
 
 
 def closure(edges: DataFrame, src: str, dst: str, deepest: int | None = None) -> DataFrame:
@@ -26,7 +30,7 @@ def closure(edges: DataFrame, src: str, dst: str, deepest: int | None = None) ->
         longer = last.join(below, "middle").groupBy("ancestor", "descendant").agg((F.min("depth") + far).cast("int").alias("depth"))
         if deepest is not None:
             longer = longer.where(F.col("depth") <= deepest)
-        new = settle(longer.join(reach.select("ancestor", "descendant"), ["ancestor", "descendant"], "left_anti"))
+        new = settle_table(longer.join(reach.select("ancestor", "descendant"), ["ancestor", "descendant"], "left_anti"))
         if new.isEmpty():
             break
         rounds.append(new)
@@ -50,21 +54,22 @@ def _compressed(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     out = edges.groupBy("a").agg(F.count("*").alias("n"))
     links = into.where("n = 1").join(out.where("n = 1"), F.col("b") == F.col("a"), "left_semi").select("b", "before")
     state = settle(edges.join(links.withColumnRenamed("b", "a"), "a", "left").select("id", F.coalesce("before", "id").alias("back"), F.col("before").isNull().alias("done"), F.col("id").alias("low")))
-    longest = state.count()
-    far = 1
-    while far < longest and not state.where("NOT done").isEmpty():
-        further = state.select(F.col("id").alias("back"), F.col("back").alias("to"), F.col("done").alias("there"), F.col("low").alias("lower"))
-        moved = state.where("NOT done").join(further, "back").select("id", F.col("to").alias("back"), F.col("there").alias("done"), F.least("low", "lower").alias("low"))
-        state = settle(state.where("done").unionByName(moved))
+    met, looking = [state.where("done")], state.where("NOT done")
+    longest, far = looking.count(), 1
+    while far <= longest and not looking.isEmpty():
+        further = reduce(DataFrame.unionByName, met, looking).select(F.col("id").alias("back"), F.col("back").alias("to"), F.col("done").alias("there"), F.col("low").alias("lower"))
+        moved = settle_table(looking.join(further, "back").select("id", F.col("to").alias("back"), F.col("there").alias("done"), F.least("low", "lower").alias("low")))
+        met.append(moved.where("done"))
+        looking = moved.where("NOT done")
         far *= 2
-    rings = edges.join(state.where("NOT done").select("id", F.col("low").alias("ring")), "id")
+    rings = edges.join(looking.select("id", F.col("low").alias("ring")), "id")
     rings = rings.select("id", "ring").join(rings.groupBy("ring").agg(F.sum("length").alias("length")), "ring")
-    gone = state.where("done").select("id", F.col("back").alias("into"))
+    gone = reduce(DataFrame.unionByName, met).select("id", F.col("back").alias("into"))
     linked = edges.join(gone, "id").join(links.select("b", F.lit(True).alias("link")), "b", "left")
     last = F.max(F.when(F.col("link").isNull(), F.col("b")))  # one edge of a chain ends at a node that is no link
     first = F.max(F.when(F.col("id") == F.col("into"), F.col("a")))
     chains = linked.groupBy("into").agg(first.alias("a"), last.alias("b"), F.sum("length").alias("length")).withColumnRenamed("into", "id")
-    return settle(chains), settle(gone), settle(rings)
+    return settle_table(chains), settle_table(gone), settle_table(rings)
 
 
 def _nearest(edges: DataFrame) -> DataFrame:
@@ -73,7 +78,7 @@ def _nearest(edges: DataFrame) -> DataFrame:
     while True:
         on = best.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("length").alias("more"))
         longer = best.join(on, "b").groupBy("a", F.col("c").alias("b")).agg(F.min(F.col("length") + F.col("more")).alias("found"))
-        both = settle(best.join(longer, ["a", "b"], "full").select("a", "b", F.least("length", "found").alias("length"), (F.col("length").isNull() | (F.col("found") < F.col("length"))).alias("better")))
+        both = settle_table(best.join(longer, ["a", "b"], "full").select("a", "b", F.least("length", "found").alias("length"), (F.col("length").isNull() | (F.col("found") < F.col("length"))).alias("better")))
         best = both.drop("better")
         if both.where("better").isEmpty():
             return best
@@ -93,8 +98,8 @@ def cycles(edges: DataFrame, src: str, dst: str) -> DataFrame:
     while n:
         left, gone, rings = _compressed(left)
         found.append(inside.join(rings, "id").select("own", "length"))
-        inside = settle(inside.join(gone, "id").select("own", F.col("into").alias("id")))
-        left = settle(_raked(left))
+        inside = settle_table(inside.join(gone, "id").select("own", F.col("into").alias("id")))
+        left = settle_table(_raked(left))
         before, n = n, left.count()
         if n == before:
             break
