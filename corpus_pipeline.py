@@ -20,7 +20,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one stays: the one with the most code points, then the smallest doc_id (null last), then the first row.
+    """Of equal texts one stays: the one with the most code points, then the smallest doc_id (null last), then the first by all columns as JSON.
 
     Null counts as empty, and empty texts are equal; of repeated rows one stays; an empty table gives none.
     """
@@ -37,7 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go.
+    """Documents that hold a passage of the benchmark go; items of one or two words are no passages.
 
     Null texts and items hold none; repeated rows stay or go together; an empty table gives none.
     """

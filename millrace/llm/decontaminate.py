@@ -39,6 +39,8 @@ from millrace.session import settle, settle_table
 WINDOW = 13
 SUBSTITUTIONS = 2
 TOLERANT = 6
+#: Of an item of one or two words nearly every document may be one: such items are reported, but no reason to drop a document.
+LEAST_TOKENS = 3
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 #: Bits, as a power of two, of the filter that is broadcast: 8 MB.
 FILTER_BITS = 26
@@ -260,6 +262,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return overlaps(_lowered(docs), benchmark).select("doc_id", "item_id", "overlap_tokens", "equal_tokens", "doc_start", "item_start")
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that hold no passage of the benchmark."""
-    return without(docs, overlaps(_lowered(docs), benchmark).select("id", "key").distinct())
+def keep_clean(docs: DataFrame, benchmark: DataFrame, least_tokens: int = LEAST_TOKENS) -> DataFrame:
+    """The rows of docs, all columns, that hold no passage of the benchmark; items of fewer than least_tokens tokens are no passages."""
+    held = overlaps(_lowered(docs), benchmark).where(F.col("overlap_tokens") >= least_tokens)
+    return without(docs, held.select("id", "key").distinct())

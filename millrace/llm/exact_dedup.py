@@ -223,7 +223,7 @@ def keep_best(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that stay: one of each group of equal texts.
 
     Only ids and keys of rows that go are joined with the documents. A row that is repeated
-    as a whole shares both with the one that stays; of such rows, if any, one is kept.
+    as a whole shares both with the one that stays; of such rows the first by all columns, as JSON, is kept.
     """
     rows = digests(docs)
     own = ["id", "key"]
@@ -234,8 +234,11 @@ def keep_best(docs: DataFrame) -> DataFrame:
     if repeated.isEmpty():
         return left
     marked = left.withColumns({"_millrace_id": row_id(), "_millrace_key": content_key()})
-    one = marked.join(repeated, ["_millrace_id", "_millrace_key"], "left_semi").dropDuplicates(["_millrace_id", "_millrace_key"])
-    return marked.join(repeated, ["_millrace_id", "_millrace_key"], "left_anti").unionByName(one).select(*docs.columns)
+    # rows alike in id and text may differ elsewhere: the first by their other columns, as JSON, stays
+    again = marked.join(repeated, ["_millrace_id", "_millrace_key"], "left_semi")
+    own = F.struct(*docs.columns)
+    one = again.groupBy("_millrace_id", "_millrace_key").agg(F.min_by(own, F.to_json(own, {"ignoreNullFields": "false"})).alias("_millrace_row")).select("_millrace_row.*")
+    return marked.join(repeated, ["_millrace_id", "_millrace_key"], "left_anti").select(*docs.columns).unionByName(one)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:

@@ -9,11 +9,11 @@ and the codeword with the least weighted logistic loss is chosen. A text whose t
 codewords lie closer than AMBIGUOUS is flagged.
 
 Training counts trigrams in the tasks; what reaches the driver is one table of BINS counts
-for each language. At most MOST_TRAINING documents are used, chosen by a hash of
-the id, and the bound doesn't change with the table.
+for each of MOST_LANGS languages at the utmost (of more labels the most frequent are learned). About MOST_TRAINING documents
+are used, chosen by a hash of id and text, and the bound doesn't change with the table.
 
 Defined results: `und` with score 0 for null text and for text without a letter, and for
-everything if there is no labelled row; a language is learned from non-null labels only;
+everything if there is no labelled row; of equally near codewords that of the first language by name wins; a language is learned from non-null labels only;
 repeated rows are each returned; an empty table gives no rows; other columns are ignored.
 """
 
@@ -33,6 +33,7 @@ from millrace.llm.arrow import in_chunks, utf8
 BINS = 1 << 14
 SMOOTHING = 0.5
 MOST_TRAINING = 20_000
+MOST_LANGS = 500
 #: Difference between the two least losses below which a text is ambiguous.
 AMBIGUOUS = 0.03
 SHARPNESS = 10.0
@@ -99,8 +100,9 @@ class Ecoc:
         return out
 
     def losses(self, margins: np.ndarray) -> np.ndarray:
-        """Weighted logistic loss of each text against each codeword."""
-        return (np.log1p(np.exp(-2 * margins[:, None, :] * self.code[None])) * self.trust).sum(axis=2)
+        """Weighted logistic loss of each text against each codeword: a bit's loss if it is +1, or else if it is -1."""
+        plus, minus = (np.log1p(np.exp(-2 * sign * margins)) * self.trust for sign in (1, -1))
+        return plus @ (self.code.T > 0) + minus @ (self.code.T < 0)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +129,10 @@ def train(labelled: DataFrame, most: int = MOST_TRAINING) -> Ecoc | None:
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
     total = rows.count()
     if total > most:
-        rows = rows.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 2) < F.lit(sampled_below(most, total)))
+        rows = rows.where(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2) < F.lit(sampled_below(most, total)))
+    often = rows.groupBy(F.col("lang").cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS + 1).collect()
+    if len(often) > MOST_LANGS:
+        rows = rows.where(F.col("lang").cast("string").isin([r.lang for r in often[:MOST_LANGS]]))
     found = (
         rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("binary").alias("body"))
         .mapInArrow(_count, "lang string, bin int, n long")

@@ -1,10 +1,11 @@
 """License scans by conditional compression.
 
 Blocks of text around words that a notice can't do without are compressed twice with zstandard:
-alone, and with each notice as a raw dictionary. The notice that saves the most bytes
-describes the block best; those whose words the block has are held against it word by word,
-and the one with the fewest differences wins if at most TOLERANCE of its words differ.
-Its words are cut out, and so on with what is left of the block until no notice is confirmed.
+alone, and with each notice as a raw dictionary, and the notices are ranked by the bytes that they save. Only those that save
+at least GATE of what they save on their own wording are candidates. They are held against the block word by word in the order of their
+rank, those of about the same savings (within NEAR) together: of these the one with the fewest differences wins if at
+most TOLERANCE of its words differ. The winner's words are cut out, and so on with the next
+candidates and with what is left of the block until no notice is confirmed.
 What differs - words of the notice that are missing, words put in between - is reported.
 
 Some differences refuse a match, however few they are: a missing word that tells a license from
@@ -14,17 +15,17 @@ the licenses have), such a word of another license put in, and a negation put in
 Where to look follows from the notices themselves: of each notice one such telling word has to
 be there, or else one of any words that are one more than may be missing. So the blocks
 around these words hold all matches, whatever templates a caller gives. Notices may be wrapped
-over lines. Those of LONG words or more are looked for first; what they hold is not looked at again.
+over lines and spelled the British way. Those of LONG words or more are looked for first; what they hold is not looked at again.
 
 {holder} in a notice stands for up to MOST_HELD words, such as years and names, that are no
-differences. Notices too short for a difference by TOLERANCE may have one, but of three
+differences; of more words than that some are reported as put in. Notices too short for a difference by TOLERANCE may have one, but of three
 words none may be missing: two are no notice ("all rights") or another ("some rights reserved").
 
 Notices are short, so every task holds them; documents that hold none of the words are dropped by
 built-in string functions in the scan, and only the others reach Python.
 
 Defined results: null and empty texts have no blocks; repeated rows are each reported; an
-empty table gives no rows; other columns are ignored; of notices with equally few
+empty table gives no rows; other columns are ignored; of notices of about the same savings with equally few
 differences the one that saves more bytes wins, then the first by name. Notices that don't
 share words are all reported, repeated ones too; saved_bytes of one found in
 what was left are of that part of the block. Very long texts are held one at a time by a task.
@@ -34,7 +35,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,10 @@ from pyspark.sql import functions as F
 
 
 TOLERANCE = 0.2
-LEVEL = 19
+LEVEL = 12
+#: Share of the bytes that a notice saves on its own wording, and share of the best savings, or bytes, by which savings count as about the same.
+GATE = 0.1
+NEAR, NEAR_BYTES = 0.1, 8
 LONG = 30
 MOST_HELD = 30
 #: Words before a match among which a negation refuses it.
@@ -122,8 +126,18 @@ FORMS = {
     ),
     "Proprietary": ("Copyright {holder}. All rights reserved.",),
 }
+for _name, _form in {
+    "Apache-2.0": "Licensed under the terms of the Apache License 2.0.",
+    "BSD-2-Clause": "Licensed under the terms of the BSD 2-Clause License.",
+    "BSD-3-Clause": "Licensed under the terms of the BSD 3-Clause License.",
+    "ISC": "Licensed under the terms of the ISC License.",
+    "MIT": "Licensed under the terms of the MIT License.",
+    "MPL-2.0": "Subject to the terms of the Mozilla Public License, version 2.0.",
+}.items():
+    FORMS[_name] = (*FORMS.get(_name, ()), _form)
 OUT = "doc_id long, license string, block_start long, saved_bytes long, differences long, missing array<string>, added array<string>"
 
+_ALONE = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 _HOLDER = "{holder}"
 #: A word put in, above the bits that tell where a match starts.
@@ -131,8 +145,13 @@ _PUT_IN = 1 << 32
 _NEVER = 1 << 60
 
 
+def folded(text: str) -> str:
+    """In lower case and American spelling; as long as before but for one letter."""
+    return text.lower().replace("licence", "license")
+
+
 def _words(notice: str) -> list[str]:
-    parts = [_WORD.findall(x) for x in notice.lower().split(_HOLDER)]
+    parts = [_WORD.findall(x) for x in folded(notice).split(_HOLDER)]
     return parts[0] + [w for p in parts[1:] for w in (_HOLDER, *p)]
 
 
@@ -182,6 +201,8 @@ class Notice:
         self.fixed = [w for w in self.words if w != _HOLDER]
         spare = int(TOLERANCE * len(self.fixed))
         self.lacks, self.adds = max(spare, int(len(self.fixed) > 3)), max(spare, 1)
+        own = text.replace(_HOLDER, "").lower().encode("utf-8")
+        self.least = GATE * (len(_ALONE.compress(own)) - len(self.given.compress(own)))
         self.telling: set[str] = set()
         self.others: set[str] = set()
 
@@ -196,12 +217,17 @@ class Notice:
         return telling[:1] or words[: self.lacks + 1]
 
 
+@lru_cache(4096)
+def _pattern(words: tuple[str, ...], any_case: bool) -> re.Pattern:
+    """One of the words, as a whole."""
+    return re.compile(r"(?<![^\W_])(?:" + "|".join(map(re.escape, words)) + r")(?![^\W_])", re.IGNORECASE if any_case else 0)
+
+
 class Scanner:
     """Notices, and where to look for them."""
 
     def __init__(self, templates: dict[str, str], forms: dict[str, tuple[str, ...]] | None = None):
         named = sorted([*templates.items(), *((name, text) for name, texts in (forms or {}).items() for text in texts)])
-        self.alone = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
         notices = [Notice(*x) for x in named]
         names = {w for n in notices for w in _names(n.text)}
         licenses = {n.name for n in notices}
@@ -213,7 +239,7 @@ class Scanner:
         for long in (True, False):
             kind = [n for n in notices if (len(n.words) >= LONG) == long]
             if kind:
-                clues = re.compile(r"(?<![^\W_])(?:" + "|".join(sorted({re.escape(w) for n in kind for w in n.clues()})) + r")(?![^\W_])", re.IGNORECASE)
+                clues = sorted({w for n in kind for w in n.clues()})
                 self.kinds.append((clues, 2 * max(len(n.text) for n in kind), kind))
 
     def clues(self) -> list[str]:
@@ -221,10 +247,15 @@ class Scanner:
         return sorted({w for _, _, kind in self.kinds for n in kind for w in n.clues()})
 
     @staticmethod
-    def blocks(text: str, clues: re.Pattern, reach: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    def blocks(text: str, clues: list[str], reach: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
         """Text within reach of a clue, outside of what is taken; parts that meet are one."""
         found: list[list[int]] = []
-        for m in clues.finditer(text):
+        low = folded(text)
+        there = tuple(w for w in clues if w in low)
+        if not there:
+            return []
+        aligned = len(low) == len(text)  # all but one letter keep their length
+        for m in _pattern(there, not aligned).finditer(low if aligned else text):
             if any(a < m.end() and m.start() < b for a, b in taken):
                 continue
             lo = max([0, m.start() - reach, *(b for _, b in taken if b <= m.start())])
@@ -284,22 +315,30 @@ class Scanner:
     def confirmed(self, text: str, lo: int, hi: int, notices: list[Notice]) -> tuple[list[tuple[int, tuple]], list[tuple[int, int]]]:
         """Where each notice in a block begins with its row, and the places of their words."""
         at = [(m.start(), m.end()) for m in _WORD.finditer(text, lo, hi)]
-        words = [text[a:b].lower() for a, b in at]
+        words = [folded(text[a:b]) for a, b in at]
         there = set(words)
         able = [n for n in notices if n.possible(there)]
         if not able:
             return [], []
-        raw = text[lo:hi].lower().encode("utf-8")
-        plain = len(self.alone.compress(raw))
-        saved = [plain - len(n.given.compress(raw)) for n in able]
-        hits = sorted((d, -s, n.name, start - end, start, end, k) for k, (n, s) in enumerate(zip(able, saved, strict=True)) for d, start, end in self.matches(n, words))
+        raw = folded(text[lo:hi]).encode("utf-8")
+        plain = len(_ALONE.compress(raw))
+        ranked = sorted(((plain - len(n.given.compress(raw)), n) for n in able), key=lambda x: (-x[0], x[1].name))
+        hits, tier, top = [], 0, None
+        for less, n in ranked:
+            if less < max(1, n.least):
+                continue
+            if top is not None and less < top - max(NEAR * top, NEAR_BYTES):
+                tier, top = tier + 1, less
+            top = less if top is None else top
+            hits += [(tier, d, -less, n.name, start - end, start, end, n) for d, start, end in self.matches(n, words)]
+        hits.sort(key=lambda h: h[:7])
         rows, places = [], []
         free = np.ones(len(words), bool)
-        for differ, less, name, _, start, end, k in hits:
+        for _, differ, less, name, _, start, end, n in hits:
             if free[start:end].all():
-                missing, added = self.wording(able[k].words, words, (start, end), able[k].lacks)
+                missing, added = self.wording(n.words, words, (start, end), n.lacks)
                 ahead = [m.group().lower() for m in _WORD.finditer(text[max(0, at[start][0] - 100) : at[start][0]].rpartition(". ")[2])][-BEFORE:]
-                if able[k].telling & set(missing) or able[k].others & set(added) or not set(NEGATIONS).isdisjoint((*added, *ahead)):
+                if n.telling & set(missing) or n.others & set(added) or not set(NEGATIONS).isdisjoint((*added, *ahead)):
                     continue
                 free[start:end] = False
                 rows.append((at[start][0], (name, at[start][0], -less, differ, missing, added)))
@@ -328,7 +367,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     known, further = (templates, None) if templates else (TEMPLATES, FORMS)
     clues = Scanner(known, further).clues()
     # of an array of one, so that the text is lowered once and not for each word
-    lowered = F.array(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    lowered = F.array(F.replace(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit("licence"), F.lit("license")))
     clue = F.exists(lowered, lambda t: reduce(lambda a, b: a | b, (F.contains(t, F.lit(c)) for c in clues)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -94,3 +94,12 @@ def test_short_items_and_unspaced_scripts(spark):
     docs = [(1, "no, yes! " + "yes " * 999), (2, "of nine lives"), (3, seven.replace("a1", "x")), (4, "u " + twelve.replace("t6", "x")), (5, "诗:" + chinese.replace("疑", "乃") + "。"), (6, "a" + thai + "b"), (7, "x東京y"), (8, seven.replace("b1", "x").replace("f1", "y") + " nine x lives 東x京")]
     got = gather(contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
     assert got == {(1, 1): [(1, 1, 1, 0)], (2, 2): [(2, 2, 1, 0)], (3, 3): [(7, 6, 0, 0)], (4, 4): [(12, 11, 1, 0)], (5, 5): [(15, 14, 1, 0)], (6, 6): [(13, 13, 1, 0)], (7, 7): [(2, 2, 1, 0)]}
+
+
+def test_items_of_a_word_or_two_drop_no_document(spark):
+    from millrace.llm.decontaminate import keep_clean
+
+    docs = spark.createDataFrame([(1, "the end of the line"), (2, "nothing here"), (3, "one two three four")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "the"), (2, "the end"), (3, "two three four")], "item_id long, text string")
+    assert {r.doc_id for r in keep_clean(docs, items).collect()} == {1, 2}
+    assert {r.doc_id for r in keep_clean(docs, items, least_tokens=1).collect()} == {2}

@@ -58,3 +58,12 @@ def test_groups(spark):
         assert [r.kept for r in by[sha]].count(True) == 1
         assert next(r.doc_id for r in by[sha] if r.kept) == keep[0]
     assert exact_dedup(docs.limit(0)).count() == 0
+
+
+def test_of_rows_alike_in_id_and_text_the_first_stays(spark):
+    from millrace.llm.exact_dedup import keep_best
+
+    rows = [(1, "a b", "z", None), (1, "a b", "x", 2), (1, "a b", "y", 1), (2, "ab", "a", 0), (None, "c", "q", 1), (None, "c", "p", 1)]
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(parts, "source")
+        assert sorted(((r.doc_id or 0), r.source, r.n) for r in keep_best(docs).collect()) == [(0, "p", 1), (1, "x", 2)]

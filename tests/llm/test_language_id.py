@@ -96,3 +96,17 @@ def test_the_sample_is_bounded_and_never_empty(spark, sf_dir):
     for total in (30_000, 10**9, 10**12, 10**15):
         assert abs(sampled_below(MOST_TRAINING, total) / (1 << 62) * total - MOST_TRAINING) < 1
     assert train(spark.read.parquet(f"{sf_dir}/documents.parquet"), most=60).langs
+
+
+def test_null_ids_are_sampled_like_others_and_labels_are_bounded(spark, sf_dir, monkeypatch):
+    from millrace.llm import language_id
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("cast(null AS long) AS doc_id", "text", "lang")
+    seen = []
+    plain = language_id.Ecoc
+    monkeypatch.setattr(language_id, "Ecoc", lambda langs, counts: seen.append(counts.sum()) or plain(langs, counts))
+    whole, some = train(docs, most=10**6), train(docs, most=20)
+    assert some.langs and seen[1] < 0.5 * seen[0]
+    many = docs.selectExpr("doc_id", "text", "concat('l', pmod(hash(text), 7)) AS lang")
+    monkeypatch.setattr(language_id, "MOST_LANGS", 3)
+    assert len(train(many).langs) == 3 and len(whole.langs) > 1

@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from millrace.llm.licenses import FORMS, TEMPLATES, Scanner, scan_licenses
+from millrace.llm.licenses import _WORD, FORMS, TEMPLATES, Scanner, scan_licenses
 
 
 def test_every_template_is_found_in_running_text(spark):
@@ -105,3 +107,91 @@ def test_documents_equal_whole_texts_against_every_template(spark, sf_dir):
         want += [(r.doc_id, name, start, differ, missing, added) for start, (name, _, _, differ, missing, added) in found]
     got = [(r.doc_id, r.license, r.block_start, r.differences, r.missing, r.added) for r in scan_licenses(docs).collect()]
     assert sorted(got) == sorted(want) and want
+
+
+class Idle:
+    """A compressor that saves nothing, whatever it is given."""
+
+    def compress(self, raw):
+        return b""
+
+
+def test_compression_decides_what_is_found(monkeypatch):
+    text = "Parts: " + TEMPLATES["Apache-2.0"] + " Others: " + TEMPLATES["MIT"]
+    scanner = Scanner(TEMPLATES, FORMS)
+    assert [r[0] for r in scanner.scan(text)] == ["Apache-2.0", "MIT"]
+    for _, _, notices in scanner.kinds:
+        for n in notices:
+            if n.name == "MIT":
+                n.given = type("Worse", (), {"compress": lambda self, raw: raw * 2})()
+    assert [r[0] for r in scanner.scan(text)] == ["Apache-2.0"]
+    monkeypatch.setattr("millrace.llm.licenses._ALONE", Idle())
+    assert scanner.scan(text) == []
+
+
+def plain_differences(notice, block):
+    """The least number of words missing or put in (the larger of both) of a notice in any stretch of a block, by plain edit tables; None beyond what it tolerates."""
+    fixed = notice.fixed
+    best = None
+    for start in range(len(block)):
+        # least[i][m]: words put in, of the first i notice words with m missing, ending at each place
+        reach = {(0, start): 0}  # (missing, place) -> put in
+        for w in fixed:
+            new = {}
+            for (m, at), p in reach.items():
+                if m < notice.lacks and new.get((m + 1, at), 99) > p:
+                    new[m + 1, at] = p
+                for q in range(notice.adds - p + 1):
+                    if at + q < len(block) and block[at + q] == w and new.get((m, at + q + 1), 99) > p + (q if at > start else 0) and (at > start or q == 0):
+                        new[m, at + q + 1] = p + (q if at > start else 0)
+            reach = new
+        for (m, at), p in reach.items():
+            if at > start and (best is None or max(m, p) < best):
+                best = max(m, p)
+    return best
+
+
+def test_gate_loses_no_notice_that_edit_tables_find():
+    """Every notice without a {holder}, with words dropped, put in and in other company, is found where plain edit tables find it."""
+    rng = random.Random(8)
+    filler = "la de under terms this work free use copy with text more plain".split()
+    scanner = Scanner(TEMPLATES, FORMS)
+    tried = found = 0
+    for _, _, notices in scanner.kinds:
+        for n in notices:
+            if "{holder}" in n.text:
+                continue
+            for _ in range(6):
+                words = n.text.lower().split()
+                telling = n.telling
+                for _ in range(rng.randrange(1 + max(1, len(words) // 6))):
+                    at = rng.randrange(1, len(words))
+                    if rng.random() < 0.5:
+                        words.insert(at, rng.choice(filler))
+                    elif not any(t in words[at] for t in telling) and len(words) > 4:
+                        del words[at]
+                around = [rng.choice(filler) for _ in range(rng.randrange(60))]
+                text = " ".join([*around, *words, *around[::-1]])
+                block = [m.group() for m in _WORD.finditer(text)]
+                least = plain_differences(n, block)
+                if least is None or not n.possible(set(block)):
+                    continue
+                tried += 1
+                rows = scanner.scan(text)
+                found += any(r[0] == n.name for r in rows)
+                assert all(r[3] <= max(n.lacks, n.adds) for r in rows if r[0] == n.name)
+    assert tried > 60 and found == tried
+
+
+def test_recall_on_other_wordings():
+    """Wordings that no template has, by figures: what is found of them, and that nothing else is."""
+    known = {
+        "Licensed under the MIT License.": "MIT", "It is released under the terms of the MIT license.": "MIT", "This file is released under the MIT license": "MIT",
+        "Licensed under the Apache License 2.0": "Apache-2.0", "Code is licensed under Apache License, version 2.0": "Apache-2.0", "Licensed under the Apache License, Version 2.0 and nothing else": "Apache-2.0",
+        "Text is licensed under CC BY-SA 4.0": "CC-BY-SA-4.0", "Released under the ISC licence": "ISC", "Licenced under the MIT licence.": "MIT", "Our package is licensed under the terms of the BSD 2-Clause licence": "BSD-2-Clause", "This library is licensed under the GNU Lesser General Public License, version 3": "LGPL-3.0",
+        "This program is licensed under the GNU General Public License version 3": "GPL-3.0", "licensed under the BSD 3-Clause license": "BSD-3-Clause", "subject to the terms of the Mozilla Public License, version 2.0": "MPL-2.0",
+    }
+    scanner = Scanner(TEMPLATES, FORMS)
+    got = {text: [r[0] for r in scanner.scan("Some words. " + text + " and more words here.")] for text in known}
+    assert all(set(names) <= {known[text]} for text, names in got.items())
+    assert sum(bool(x) for x in got.values()) / len(known) >= 0.9
