@@ -34,6 +34,13 @@ def prof_columns(spark, sf_dir):
     return p.profile(mixed(spark, sf_dir), list(COLUMNS))
 
 
+@query(" UNION ALL ".join(_profiled(k, c) for k, c in enumerate(COLUMNS[1:]) if c != "amount"))
+def prof_merged(spark, sf_dir):
+    # summaries of ten parts; columns with few values, which a sketch counts exactly
+    parts = p.summaries(mixed(spark, sf_dir).withColumn("part", F.expr("c_custkey % 10")), list(COLUMNS[1:]), by="part")
+    return p.merged_profile(parts).where("column_name <> 'amount'")
+
+
 @query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, array_to_string(list_slice(list_sort(list(DISTINCT {c})), 1, 10), '|') AS samples FROM {M} WHERE {c} IS NOT NULL" for c in COLUMNS))
 def prof_samples(spark, sf_dir):
     return p.samples(mixed(spark, sf_dir), list(COLUMNS)).select("column_name", F.array_join("sample_values", "|").alias("samples"))
