@@ -35,6 +35,47 @@ def parse_datetime(c: Column, fmt: str | None = None) -> Column:
     return F.coalesce(*(F.try_to_timestamp(c, F.lit(f)) for f in formats))
 
 
+# The months by their first three letters.
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+_MONTH = rf"\b({'|'.join(MONTHS)})[a-z]*\.?"
+_DAY = r"(\d{1,2})(?:st|nd|rd|th)?"
+_YEAR = r"(\d{4})\b"
+#: Ways to write a date, and which group is its year, month and day; a month or day of 0 isn't written.
+WRITTEN = (
+    (r"\b(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?!\d)", (1, 2, 3)),
+    (rf"\b{_DAY}[\s-]+(?:of\s+)?{_MONTH},?[\s-]+{_YEAR}", (3, 2, 1)),
+    (rf"{_MONTH}[\s-]+{_DAY},?[\s-]+{_YEAR}", (3, 1, 2)),
+    (rf"\b(\d{{1,2}})[-/.](\d{{1,2}})[-/.]{_YEAR}", (3, 1, 2)),
+    (rf"{_MONTH},?\s+{_YEAR}", (2, 1, 0)),
+)
+_TIME = r"(?<![\d:.])(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\.\d+)?\s*([ap]\.?m\b)?"
+
+
+def find_datetime(c: Column) -> Column:
+    """The date, with the time if there is one, that stands anywhere in a text; null without one.
+
+    The first way of writing it that occurs, in the order of WRITTEN, tells the date. Of two numbers before a year the
+    first is the month, or else, if it is above 12, the day. A month without a day is its first. Days that don't exist give null.
+    """
+    low = F.lower(c)
+    number = lambda text: text.try_cast("int")
+    dates = []
+    for pattern, (y, m, d) in WRITTEN:
+        part = lambda g, p=pattern: F.regexp_extract(low, p, g)
+        named = F.array_position(F.array(*map(F.lit, MONTHS)), part(m)).cast("int")
+        month = F.when(named > 0, named).otherwise(number(part(m)))
+        day = number(part(d)) if d else F.lit(1)
+        turned = month > 12
+        date = F.struct(number(part(y)).alias("y"), F.when(turned, day).otherwise(month).alias("m"), F.when(turned, month).otherwise(day).alias("d"))
+        dates.append(F.when(low.rlike(pattern), date))
+    date = F.coalesce(*dates)
+    clock = lambda g: F.regexp_extract(low, _TIME, g)
+    hour, half = F.coalesce(number(clock(1)), F.lit(0)), F.left(clock(4), F.lit(1))
+    hour = F.when((half == "p") & (hour < 12), hour + 12).when((half == "a") & (hour == 12), 0).otherwise(hour)
+    shown = F.format_string("%04d-%02d-%02d %02d:%02d:%02d", date["y"], date["m"], date["d"], hour, F.coalesce(number(clock(2)), F.lit(0)), F.coalesce(number(clock(3)), F.lit(0)))
+    return F.when(date.isNotNull(), F.try_to_timestamp(shown, F.lit("yyyy-MM-dd HH:mm:ss")))
+
+
 def format_datetime(c: Column, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:
     return F.date_format(c, fmt)
 

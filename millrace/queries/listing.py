@@ -144,6 +144,19 @@ def date_parse(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", d.parse_datetime(iso).cast("timestamp_ntz").alias("parsed"), d.parse_datetime(shown).cast("timestamp_ntz").alias("parsed_some"))
 
 
+# Both engines read these: sentences with a date in them.
+_SAID = """CASE o_orderkey % 5 WHEN 0 THEN 'Shipped on ' || {long} || ' at 3:07 pm, as agreed' WHEN 1 THEN 'Due the ' || {short} || ', please; 12 boxes' WHEN 2 THEN 'order (' || {slashed} || ') 17:45:10'
+  WHEN 3 THEN 'paid ' || {american} || '.' ELSE 'no date in it, 12 times' END"""
+_SENTENCES = _SAID.format(long="strftime(o_orderdate, '%B %-d, %Y')", short="strftime(o_orderdate, '%-dth of %b %Y')", slashed="strftime(o_orderdate, '%Y/%m/%d')", american="strftime(o_orderdate, '%m/%d/%Y')")
+
+
+@query(rf"""SELECT o_orderkey, coalesce(try_strptime(regexp_extract(s, '[A-Z][a-z]+ \d+, \d{{4}} at \d+:\d+ [ap]m'), '%B %d, %Y at %I:%M %p'), try_strptime(replace(regexp_extract(s, '\d+th of [A-Z][a-z]+ \d{{4}}'), 'th of', ''), '%d %b %Y'),
+  try_strptime(replace(regexp_extract(s, '\d{{4}}/\d\d/\d\d. [\d:]+'), ')', ''), '%Y/%m/%d %H:%M:%S'), try_strptime(regexp_extract(s, '\d\d/\d\d/\d{{4}}'), '%m/%d/%Y')) AS found FROM (SELECT o_orderkey, {_SENTENCES} AS s FROM orders)""")
+def date_in_text(spark, sf_dir):
+    shown = {n: f"date_format(o_orderdate, {f})" for n, f in {"long": '"MMMM d, yyyy"', "short": "\"d'th of 'MMM yyyy\"", "slashed": "'yyyy/MM/dd'", "american": "'MM/dd/yyyy'"}.items()}
+    return table(spark, sf_dir, "orders").select("o_orderkey", d.find_datetime(F.expr(_SAID.format(**shown))).cast("timestamp_ntz").alias("found"))
+
+
 @query("SELECT event_id, ts + INTERVAL 7 HOUR AS jakarta, strftime(ts, '%Y-%m-%d %H:%M') AS shown FROM events")
 def date_timezone(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", d.convert_timezone(F.col("ts"), "UTC", "Asia/Jakarta").cast("timestamp_ntz").alias("jakarta"), d.format_datetime(F.col("ts"), "yyyy-MM-dd HH:mm").alias("shown"))
