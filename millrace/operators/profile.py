@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, MapType, StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, _parse_datatype_string
 
 SAMPLES = 10
 #: Rows that give a first bound of the samples.
@@ -155,6 +155,37 @@ def schema_fields(schema: StructType, prefix: str = "", level: int = 0) -> list[
     return out
 
 
+def json_schema(df: DataFrame, column: str) -> StructType:
+    """The structure that the JSON objects of a column have together, from one aggregate; texts that are no object are left out."""
+    value = F.try_parse_json(F.col(column))
+    told = df.where(F.schema_of_variant(value).startswith("OBJECT")).agg(F.schema_of_variant_agg(value)).first()[0]
+    kind = _parse_datatype_string((told or "OBJECT<>").replace("OBJECT<", "STRUCT<"))
+    return kind if isinstance(kind, StructType) else StructType()
+
+
+def json_fields(df: DataFrame, column: str) -> DataFrame:
+    """path, kind, level and present (records that have it) of each field of the JSON objects in a column; fields within arrays aren't counted.
+
+    The structure is merged from all records; a second aggregate counts its fields.
+    """
+    fields = schema_fields(json_schema(df, column))
+    arrays = [path for path, kind, _ in fields if kind == "array"]
+    steps = lambda path: "".join(f'["{x}"]' for x in path.split("."))
+    value = F.try_parse_json(F.col(column))
+    there = lambda path: F.count(F.try_variant_get(value, F.lit("$" + steps(path)), "variant")) if not any(path.startswith(a + ".") for a in arrays) else F.lit(None).cast("long")
+    rows = [F.struct(F.lit(path).alias("path"), F.lit(kind).alias("kind"), F.lit(level).alias("level"), F.col(f"n{i}").alias("present")) for i, (path, kind, level) in enumerate(fields)]
+    if not rows:
+        return df.sparkSession.createDataFrame([], "path string, kind string, level int, present long")
+    return df.agg(*(there(path).alias(f"n{i}") for i, (path, _, _) in enumerate(fields))).select(F.inline(F.array(*rows)))
+
+
+def value_mismatches(df: DataFrame, expected: dict[str, str]) -> DataFrame:
+    """column_name, expected, checked and mismatched: values, neither null nor empty, that the expected type doesn't take. One aggregate for all columns."""
+    given = lambda c: F.col(c).isNotNull() & (F.col(c).cast("string") != "")
+    one = df.agg(*(F.struct(F.lit(c).alias("column_name"), F.lit(kind).alias("expected"), F.count_if(given(c)).alias("checked"), F.count_if(given(c) & F.col(c).cast("string").try_cast(kind).isNull()).alias("mismatched")).alias(f"c{i}") for i, (c, kind) in enumerate(expected.items())))
+    return one.select(F.inline(F.array(*(f"c{i}" for i in range(len(expected))))))
+
+
 def depth(schema: StructType) -> int:
     return 1 + max((level for _, _, level in schema_fields(schema)), default=0)
 

@@ -67,6 +67,24 @@ def prof_schema(spark, sf_dir):
     return spark.createDataFrame(p.schema_fields(table(spark, sf_dir, "embeddings").schema), "path string, kind string, level int")
 
 
+# Both engines read these: a JSON object for each event, not all with the same fields, and some texts that are none.
+_EVENT = """CASE WHEN event_id % 13 = 0 THEN 'no json' ELSE concat('{"id": ', event_id, ', "props": ', props, CASE WHEN event_id % 3 = 0 THEN '' ELSE concat(', "user": {"id": ', user_id, ', "kind": "', event_type, '", "tags": ["a", "b"]}') END, '}') END AS doc"""
+
+
+@query(f"""SELECT substr(fullkey, 3) AS path, CASE WHEN t.type = 'OBJECT' THEN 'object' WHEN t.type = 'ARRAY' THEN 'array' ELSE 'primitive' END AS kind, (length(fullkey) - length(replace(fullkey, '.', '')) - 1)::INT AS level, count(*) AS present
+  FROM (SELECT {_EVENT} FROM events) e, json_tree(CASE WHEN json_valid(doc) THEN doc::JSON END) t WHERE fullkey <> '$' AND fullkey NOT LIKE '%[%' GROUP BY ALL""")
+def prof_json_fields(spark, sf_dir):
+    return p.json_fields(table(spark, sf_dir, "events").selectExpr(_EVENT), "doc")
+
+
+_CASTS = {"name": "int", "solvent": "boolean", "amount": "double", "due": "date"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, '{k}' AS expected, count(nullif({c}, '')) AS checked, count(*) FILTER (nullif({c}, '') IS NOT NULL AND try_cast({c} AS {k}) IS NULL) AS mismatched FROM {M}" for c, k in _CASTS.items()))
+def prof_value_types(spark, sf_dir):
+    return p.value_mismatches(mixed(spark, sf_dir), _CASTS)
+
+
 @query("SELECT 'event_id' AS column_name, 'string' AS expected, 'bigint' AS actual UNION ALL SELECT 'none', 'int', ''")
 def prof_types(spark, sf_dir):
     odd = p.type_mismatches(table(spark, sf_dir, "events"), {"event_id": "string", "value": "double", "none": "int"})

@@ -6,13 +6,11 @@ with another trigger the same plans run on. Checkpoints go to the shared folder.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.session import shared_path
 
@@ -139,17 +137,7 @@ def quality_counts(stream: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return stream.groupBy().agg(F.count("*").alias("checked"), *(F.count_if(~F.coalesce(ok, F.lit(False))).alias(n) for n, ok in checks.items()))
 
 
-def _totals(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    n, errors, last = state.get if state.exists else (0, 0, 0)
-    for chunk in chunks:
-        n += len(chunk)
-        errors += int((chunk["event_type"] == "error").sum())
-        last = max(last, int(chunk["micros"].max()))
-    state.update((n, errors, last))
-    yield pd.DataFrame({"user_id": [key[0]], "events": [n], "errors": [errors], "last_micros": [last]})
-
-
 def user_totals(stream: DataFrame) -> DataFrame:
-    """Events, errors and last time of each user, kept as state; a user's events come in chunks, so that a busy one fits."""
-    rows = stream.select("user_id", "event_type", F.unix_micros("ts").alias("micros"))
-    return rows.groupBy("user_id").applyInPandasWithState(_totals, "user_id long, events long, errors long, last_micros long", "events long, errors long, last_micros long", "update", GroupStateTimeout.NoTimeout)
+    """Events, errors and last time of each user so far; what is kept as state are these numbers."""
+    last = F.max(F.unix_micros("ts")).alias("last_micros")
+    return stream.groupBy("user_id").agg(F.count("*").alias("events"), F.count_if(F.col("event_type") == "error").alias("errors"), last)
