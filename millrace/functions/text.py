@@ -102,47 +102,39 @@ def metaphone_similarity(a: Column, b: Column) -> Column:
     return (metaphone(a) == metaphone(b)).cast("double")
 
 
-def _winkler(a: str, b: str) -> float:
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(0, max(len(a), len(b)) // 2 - 1)
-    used = [False] * len(b)
-    left = []
-    for i, ch in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not used[j] and b[j] == ch:
-                used[j] = True
-                left.append(ch)
-                break
-    right = [ch for ch, u in zip(b, used, strict=True) if u]
-    m = len(left)
-    if not m:
-        return 0.0
-    swapped = sum(x != y for x, y in zip(left, right, strict=True)) // 2
-    jaro = (m / len(a) + m / len(b) + (m - swapped) / m) / 3
-    prefix = 0
-    for x, y in zip(a[:4], b[:4], strict=False):
-        if x != y:
-            break
-        prefix += 1
-    return jaro + prefix * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
-
-
-def _winkler_batches(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in pairs:
-        yield pd.Series([None if x is None or y is None else _winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
 def _ratio_batches(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in pairs:
         yield pd.Series([None if x is None or y is None else round(100 * difflib.SequenceMatcher(None, x, y).ratio()) / 100 for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def jaro_winkler_similarity(a: Column, b: Column) -> Column:
-    """Spark has no such function: an Arrow batch function. Put cheap predicates before it."""
-    return F.pandas_udf(_winkler_batches, "double")(a, b)
+    """Jaro similarity, raised above 0.7 by a common beginning of up to four characters.
+
+    One pass over the characters of a, each of which takes the first free equal one of b within reach.
+    """
+    n, m = F.length(a), F.length(b)
+    reach = F.greatest(F.lit(0), F.floor(F.greatest(n, m) / 2).cast("int") - 1)
+    char = lambda c, i: F.substring(c, i + 1, F.lit(1))
+
+    def step(state: Column, i: Column) -> Column:
+        near = F.sequence(F.greatest(F.lit(0), i - reach), F.least(m - 1, i + reach))
+        hit = F.get(F.filter(near, lambda j: (char(b, j) == char(a, i)) & (char(state["used"], j) == "0")), F.lit(0))
+        # beyond the end of b the places would run backwards
+        taken = F.struct(F.overlay(state["used"], F.lit("1"), hit + 1).alias("used"), F.concat(state["left"], char(a, i)).alias("left"))
+        return F.when(hit.isNull() | (i - reach > m - 1), state).otherwise(taken)
+
+    def told(state: Column) -> Column:
+        left, size = state["left"], F.length(state["left"])
+        right = F.array_join(F.filter(F.split(b, ""), lambda _, j: char(state["used"], j) == "1"), "")
+        unequal = F.size(F.filter(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), lambda k: char(left, k) != char(right, k)))
+        jaro = (size / n + size / m + (size - F.floor(unequal / 2)) / size) / 3
+        same = reduce(lambda more, k: F.when(F.left(a, F.lit(k)) == F.left(b, F.lit(k)), k).otherwise(more), range(1, 5), F.lit(0))
+        prefix = F.least(same, n, m)
+        return F.when(size == 0, 0.0).when(jaro > 0.7, jaro + prefix * 0.1 * (1 - jaro)).otherwise(jaro)
+
+    start = F.struct(F.repeat(F.lit("0"), m).alias("used"), F.lit("").alias("left"))
+    score = F.aggregate(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), start, step, told)
+    return F.when(a == b, 1.0).when((n == 0) | (m == 0), 0.0).when(a.isNotNull() & b.isNotNull(), score)
 
 
 def ratio_similarity(a: Column, b: Column) -> Column:
