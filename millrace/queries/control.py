@@ -81,10 +81,13 @@ def ctl_metric_trend(spark, sf_dir):
     return k.metric_trend(table(spark, sf_dir, "events"), "ts", "value", "hour").withColumn("period", F.col("period").cast("timestamp_ntz"))
 
 
-# Halves of the last digit are common among these means: a little more than nothing sends all of them upwards.
-@query("SELECT l_shipdate::DATE AS day, round(avg(l_quantity) + 0.0000001, 4) AS throughput, round(avg(l_extendedprice) + 0.0000001, 4) AS memory FROM lineitem GROUP BY 1")
+# Halves of the last digit are common among these means, so they are rounded as whole numbers: of cents and rows.
+@query("""SELECT day, ((200 * quantity + n) // (2 * n)) / 10000.0::DOUBLE AS throughput, ((200 * price + n) // (2 * n)) / 10000.0::DOUBLE AS memory
+  FROM (SELECT l_shipdate::DATE AS day, count(*) AS n, sum(round(l_quantity * 100)::BIGINT)::BIGINT AS quantity, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT AS price FROM lineitem GROUP BY 1)""")
 def ctl_performance_by_day(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("day")).agg(F.round(F.avg("l_quantity") + 1e-7, 4).alias("throughput"), F.round(F.avg("l_extendedprice") + 1e-7, 4).alias("memory"))
+    cents = lambda c: F.sum(F.round(F.col(c) * 100).cast("long"))
+    days = table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("day")).agg(F.count("*").alias("n"), cents("l_quantity").alias("throughput"), cents("l_extendedprice").alias("memory"))
+    return days.select("day", *(F.expr(f"((200 * {c} + n) div (2 * n)) / 10000.0D").alias(c) for c in ("throughput", "memory")))
 
 
 @query(f"""SELECT job_id, count(*) AS runs, round_even(count(*) FILTER (status = 'SUCCESS') * 100.0 / count(*), 2)::DOUBLE AS success_rate, round_even(count(*) FILTER (status = 'FAILED') * 100.0 / count(*), 2)::DOUBLE AS failure_rate, round(avg({_SECONDS}), 4) AS avg_seconds,
