@@ -151,6 +151,20 @@ MEASURES: dict[str, Callable[[Column, dict[str, Any]], Column]] = {
     "kurtosis": lambda c, p: F.kurtosis(c),
 }
 MEASURES["group_concat"] = MEASURES["concat"]
+#: Measures by rank, and the shares of a group below the values that they need.
+RANKED: dict[str, Callable[[dict[str, Any]], list[float]]] = {
+    "median": lambda p: [0.5],
+    "percentile": lambda p: [p.get("p", 50) / 100],
+    "percentile_25": lambda p: [0.25],
+    "percentile_75": lambda p: [0.75],
+    "iqr": lambda p: [0.25, 0.75],
+    "quartiles": lambda p: [0.25, 0.5, 0.75],
+    "outlier_count": lambda p: [0.25, 0.75],
+}
+#: Rows of a group beyond which its ranks are bracketed first, as its counts by value may not fit a task.
+LARGE = 1_000_000
+#: Bytes that a row has at the least, by which small tables are known to have no large group.
+LEAST_ROW = 8
 #: Measures over the counts of a group's values, made by a second aggregate.
 BY_VALUE = ("mode", "entropy")
 #: Measures that compare values with something of their whole group.
@@ -187,22 +201,46 @@ def _by_value(rows: DataFrame, keys: list[str], m: Measure, c: Column) -> DataFr
     return counts.groupBy(*keys).agg(bits.alias(m.name))
 
 
-def _outliers(rows: DataFrame, keys: list[str], m: Measure, c: Column) -> DataFrame:
+def _ranks(rows: DataFrame, keys: list[str], m: Measure, c: Column) -> DataFrame:
+    """keys and the values at the measure's ranks, as an array `p`, of groups of any size."""
+    met = parse(m.condition) if m.condition else F.lit(True)
+    return bracketed_percentiles(rows.where(met).select(*keys, c.cast("double").alias("_value")), keys, "_value", RANKED[m.kind](m.params)).withColumnRenamed("percentiles", "p")
+
+
+def _ranked(rows: DataFrame, keys: list[str], m: Measure, c: Column) -> DataFrame:
+    p = F.col("p")
+    shown = p if m.kind == "quartiles" else p[1] - p[0] if m.kind == "iqr" else p[0]
+    return _ranks(rows, keys, m, c).select(*keys, shown.alias(m.name))
+
+
+def _outliers(rows: DataFrame, keys: list[str], m: Measure, c: Column, large: bool = False) -> DataFrame:
     """Values more than 1.5 quartile distances outside the quartiles."""
     met = parse(m.condition) if m.condition else F.lit(True)
-    rows = rows.where(met).withColumn("_v", c)
-    fences = rows.groupBy(*keys).agg(F.percentile("_v", F.lit(0.25)).alias("_a"), F.percentile("_v", F.lit(0.75)).alias("_b"))
+    values = rows.where(met).withColumn("_v", c)
+    if large:
+        fences = _ranks(rows, keys, m, c).select(*keys, F.col("p")[0].alias("_a"), F.col("p")[1].alias("_b"))
+    else:
+        fences = values.groupBy(*keys).agg(F.percentile("_v", F.lit(0.25)).alias("_a"), F.percentile("_v", F.lit(0.75)).alias("_b"))
+    counts = values.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
     reach = OUTLIER_REACH * (F.col("_b") - F.col("_a"))
     out = (F.col("_v") < F.col("_a") - reach) | (F.col("_v") > F.col("_b") + reach)
-    return rows.join(fences, keys).groupBy(*keys).agg(F.count_if(out).alias(m.name))
+    return counts.join(fences, keys).groupBy(*keys).agg(F.sum(F.when(out, F.col("_n")).otherwise(0)).alias(m.name))
+
+
+def _has_large_group(rows: DataFrame, keys: list[str], large: int) -> bool:
+    """Whether a group has more rows than that: counted, unless the table is known to be too small for it."""
+    if int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < large * LEAST_ROW:
+        return False
+    return (rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > large
 
 
-def aggregate(df: DataFrame, keys: list[Key], measures: list[Measure], nulls: str = "ignore") -> DataFrame:
+def aggregate(df: DataFrame, keys: list[Key], measures: list[Measure], nulls: str = "ignore", large: int = LARGE) -> DataFrame:
     """One row for each group: its keys and measures. Without keys, one row for all.
 
     Groups with a null key are left out, and so are keys whose column the table lacks.
     nulls: 'ignore' them, count them as 'zero', or end with an 'error'. Without measures the
-    distinct keys come back.
+    distinct keys come back. Measures by rank keep a group's counts by value in one task, unless a group has more than
+    `large` rows: then they come from bracketed_percentiles(), for which rows are counted first.
     """
     keys = [k for k in keys if k.column in df.columns]
     names = [k.name for k in keys]
@@ -213,14 +251,16 @@ def aggregate(df: DataFrame, keys: list[Key], measures: list[Measure], nulls: st
     named = lambda out: out.select(*(F.col(k).alias(n) for k, n in zip(own, names, strict=False)), *out.columns[len(own) :])
     if not measures:
         return named(rows.select(*own).distinct())
-    plain = [m for m in measures if m.kind not in BY_VALUE and m.kind not in TWO_PASS]
+    big = any(m.kind in RANKED for m in measures) and _has_large_group(rows, own, large)
+    plain = [m for m in measures if m.kind not in BY_VALUE and m.kind not in TWO_PASS and not (big and m.kind in RANKED)]
     if keys:
         out = rows.groupBy(*own).agg(F.count("*").alias("_rows"), *(measure(m, _value(df, m, nulls)) for m in plain))
     else:  # of no rows, too, there is one result
         out = rows.agg(F.count("*").alias("_rows"), *(measure(m, _value(df, m, nulls)) for m in plain)).select(F.lit(0).alias("_key0"), "*")
     for m in measures:
         if m not in plain:
-            more = (_by_value if m.kind in BY_VALUE else _outliers)(rows, own, m, _value(df, m, nulls))
+            c = _value(df, m, nulls)
+            more = _by_value(rows, own, m, c) if m.kind in BY_VALUE else _outliers(rows, own, m, c, big) if m.kind in TWO_PASS else _ranked(rows, own, m, c)
             out = out.join(more, own, "left")
     out = out.select(*own, *(m.name for m in measures))
     return named(out) if keys else out.drop("_key0")

@@ -75,3 +75,19 @@ def test_partitions_make_no_difference(groups):
     measures = [Measure("v", k) for k in ("sum", "avg", "median", "unique_count")]
     one, many = (sorted(map(tuple, a.aggregate(groups.repartition(n), [Key("g")], measures).collect())) for n in (1, 8))
     assert one == many
+
+
+def test_ranks_of_large_groups_are_the_same(spark, monkeypatch):
+    df = spark.range(30_000).selectExpr("CASE WHEN id % 9 = 0 THEN 'small' ELSE 'big' END AS k", "CASE WHEN id % 50 = 0 THEN null WHEN id % 977 = 0 THEN 90000 ELSE (id * 7919) % 1000 END AS v")
+    kinds = ["median", "percentile", "percentile_25", "percentile_75", "iqr", "quartiles", "outlier_count", "avg"]
+    measures = [a.Measure("v", kind, condition="$v != 5" if kind == "iqr" else None, params={"p": 90} if kind == "percentile" else {}) for kind in kinds]
+    want = by_key(a.aggregate(df, [a.Key("k")], measures))
+    whole = a.aggregate(df, [], measures).first()
+    asked = []
+    plain = a.bracketed_percentiles
+    monkeypatch.setattr(a, "bracketed_percentiles", lambda *x: asked.append(x) or plain(*x, accuracy=500))
+    assert by_key(a.aggregate(df, [a.Key("k")], measures, large=5_000)) == want
+    assert len(asked) == 7
+    assert a.aggregate(df, [], measures, large=5_000).first() == whole
+    asked.clear()
+    assert by_key(a.aggregate(df, [a.Key("k")], measures, large=100_000)) == want and not asked
