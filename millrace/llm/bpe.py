@@ -30,7 +30,7 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,7 +51,7 @@ LEAF = 96
 REACH = 32
 #: Texts whose ids a task holds at once.
 ROWS_AT_ONCE = 500
-#: Distinct pre-tokens that a task remembers, and as many of those it met before these.
+#: Distinct pre-tokens that a task remembers, and as many of those it met before these; of one met once only the ids, packed.
 REMEMBERED = 250_000
 ID_BITS = 24
 ID_MASK = (1 << ID_BITS) - 1
@@ -114,8 +114,12 @@ class TreeBpe:
         self.final = [self.vocab[symbols[b] + self.suffix] for b in range(256)]
         self.split = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words: dict[str, tuple[list[int], str, str]] = {}
-        self.older: dict[str, tuple[list[int], str, str]] = {}
+        #: Each id's one number, so that remembered pre-tokens share it.
+        self.numbers = list(range(max(self.names) + 1))
+        self.words: dict[str, tuple[tuple[int, ...], str, str]] = {}
+        self.older: dict[str, tuple[tuple[int, ...], str, str]] = {}
+        self.once: dict[str, bytes] = {}
+        self.older_once: dict[str, bytes] = {}
         self.agreed: dict[tuple[int, int], bool] = {}
         self._library = None
         self._path = path
@@ -233,17 +237,21 @@ class TreeBpe:
         """Normalise and split a text that holds no special token."""
         return self.split_normal(self.normal(text))
 
-    def _known(self, word: str) -> tuple[list[int], str, str]:
+    def _known(self, word: str) -> tuple[tuple[int, ...], str, str]:
         found = self.words.get(word)
         if found is None:
+            if len(self.words) + len(self.once) >= REMEMBERED:  # what hasn't been met since the last turn goes
+                self.older, self.older_once, self.words, self.once = self.words, self.once, {}, {}
             found = self.older.get(word)
             if found is None:
-                ids = self.encode_unsplit(word.encode("utf-8"))
+                packed = self.once.pop(word, None) or self.older_once.pop(word, None)
+                ids = tuple(map(self.numbers.__getitem__, self.encode_unsplit(word.encode("utf-8")) if packed is None else array("i", packed)))
                 found = (ids, " ".join(map(str, ids)), self.decode(ids))
-            if len(self.words) >= REMEMBERED:  # what hasn't been met since the last turn goes
-                self.older, self.words = self.words, {}
-            if len(word) <= LEAF:
-                self.words[word] = found
+                if packed is None:  # more than half of the distinct pre-tokens are never met again
+                    if len(word) <= LEAF:
+                        self.once[word] = array("i", ids).tobytes()
+                    return found
+            self.words[word] = found
         return found
 
     def segments(self, text: str) -> list[str]:
@@ -252,7 +260,7 @@ class TreeBpe:
             return [text] if text else []
         return [x for x in self.cut.split(text) if x]
 
-    def encode_parts(self, text: str) -> list[tuple[list[int], str, str]]:
+    def encode_parts(self, text: str) -> list[tuple[Sequence[int], str, str]]:
         """(ids, ids in decimals, decoded tokens) of each pre-token and special token."""
         out = []
         for piece in self.segments(text):
@@ -331,7 +339,7 @@ class TreeBpe:
     def encode(self, text: str) -> list[int]:
         return list(itertools.chain.from_iterable(p[0] for p in self.encode_parts(text)))
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         """Special tokens are kept."""
         return " ".join(self.names[i] for i in ids)
 

@@ -165,7 +165,7 @@ def predict(docs: DataFrame, model: Ecoc | None) -> DataFrame:
         for batch in batches:
             n = batch.num_rows
             names = batch.schema.names
-            raw, offsets = utf8(batch.column("_millrace_body"))
+            raw, offsets = utf8(batch.column(body))
             letters = batch.column("_millrace_letters").to_numpy(zero_copy_only=False).astype(bool)
             margins = [model.margins(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in in_chunks(np.diff(offsets), CHUNK_BYTES)]
             loss = model.losses(np.concatenate(margins)) if n else np.zeros((0, len(model.langs)))
@@ -179,8 +179,11 @@ def predict(docs: DataFrame, model: Ecoc | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(score), pa.array(doubt | ~letters)], names=[c for c in names if not c.startswith("_millrace_")] + ["lang_pred", "score", "ambiguous"])
 
     own = docs.drop("lang_pred", "score", "ambiguous")
+    # a string reaches the worker in UTF-8 already, so that the text goes there once
+    body = "text" if ("text", "string") in own.dtypes else "_millrace_body"
     schema = own.limit(0).withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).withColumn("ambiguous", F.lit(True)).schema
-    return own.withColumn("_millrace_body", F.col("text").cast("binary")).withColumn("_millrace_letters", has_letter()).mapInArrow(run, schema)
+    sent = own if body == "text" else own.withColumn(body, F.col("text").cast("binary"))
+    return sent.withColumn("_millrace_letters", has_letter()).mapInArrow(run, schema)
 
 
 def held_out() -> F.Column:

@@ -64,7 +64,8 @@ def fingerprint(text: bytes, width: int = WIDTH, seed: int = SEED) -> int:
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.array([fingerprint(t or b"") for t in batch.column("body").to_pylist()], np.uint64).view(np.int64)
+        # one text at a time: as a list they would be held twice
+        prints = np.array([fingerprint(t.as_py() or b"") for t in batch.column("body")], np.uint64).view(np.int64)
         yield pa.record_batch([batch.column("doc_id"), batch.column("key"), pa.array(prints, pa.int64())], names=["doc_id", "key", "fp"])
 
 
@@ -169,11 +170,11 @@ def _bucketed(keyed: DataFrame, turn_at: int) -> DataFrame:
     )
 
 
-def similar_fingerprints(prints: DataFrame) -> DataFrame:
-    """src, dst: stars that join what links of the distinct fingerprints fp join, bucket by bucket."""
+def similar_fingerprints(prints: DataFrame, n_prints: int | None = None) -> DataFrame:
+    """src, dst: stars that join what links of the distinct fingerprints fp join, bucket by bucket. n_prints: about as many as there are, if that is known."""
     filed = F.array(*(F.struct((F.shiftrightunsigned(_rotated(i), 40) + F.lit(i << 24)).alias("key"), _rotated(i).alias("rot")) for i in range(SEGMENTS)))
     keyed = prints.select(F.explode(filed).alias("x")).select("x.key", "x.rot")
-    full = settle(keyed.groupBy("key").count().where(F.col("count") > FULL_BUCKET))
+    full = settle(keyed.groupBy("key").count().where(F.col("count") > FULL_BUCKET), SEGMENTS * n_prints if n_prints is not None else None)
     if full.isEmpty():
         return _bucketed(keyed, 24)
     plain = _bucketed(keyed.join(full, "key", "left_anti"), 24)
@@ -189,8 +190,10 @@ def similar_fingerprints(prints: DataFrame) -> DataFrame:
 def _components(docs: DataFrame) -> DataFrame:
     """doc_id, key, fp and component_id for each row."""
     prints = settle(fingerprints(docs))
-    classes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
-    roots = connected_components(similar_fingerprints(classes))
+    n = prints.count()
+    classes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), n)
+    # in a bucket's forest a fingerprint has one link at most, and it is filed in a bucket for each rotation
+    roots = connected_components(similar_fingerprints(classes, n), n_edges=SEGMENTS * n)
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
     lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("copies").alias("members"))
     named = rooted.join(lowest, "root").select("fp", "root", "component_id", "members")

@@ -27,27 +27,28 @@ def salted_join(edges: DataFrame, named: DataFrame, key: str, n_edges: int) -> D
     return left.join(right, [key, "_salt"], "left").drop("_salt")
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", n_edges: int | None = None) -> DataFrame:
     """node, component for each node that has an edge; component is the smallest node reachable.
 
     Every edge points from the larger node to the smaller one. The large star moves what points to a node on to
     the least node that it points to itself; the small star makes all that a node points
     to point to the least of these. Both keep what is connected, edges only become fewer (equal ones are
     one), and when nothing moves any more each component is a star around its smallest node. The number of rounds grows with the
-    logarithm of the number of nodes. Each star is settled in the shared folder. Hubs are salted. Null nodes and self loops are ignored.
+    logarithm of the number of nodes. Each star is settled in the shared folder, in files for its number of edges (at first about
+    n_edges, if that is known). Hubs are salted. Null nodes and self loops are ignored.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     once = lambda rows: rows.groupBy("child", "root").agg(F.bool_or("moved").alias("moved"))
     least: Column = F.min("root").alias("low")
-    stars = settle(once(pairs.select(F.greatest("a", "b").alias("child"), F.least("a", "b").alias("root"), F.lit(True).alias("moved"))))
+    stars = settle(once(pairs.select(F.greatest("a", "b").alias("child"), F.least("a", "b").alias("root"), F.lit(True).alias("moved"))), n_edges)
     n = stars.count()
     while n:
         up = stars.groupBy("child").agg(least).withColumnRenamed("child", "root")
-        large = settle(once(salted_join(stars.select("child", "root"), up, "root", n).select("child", F.coalesce("low", "root").alias("root"), F.col("low").isNotNull().alias("moved"))))
+        large = settle(once(salted_join(stars.select("child", "root"), up, "root", n).select("child", F.coalesce("low", "root").alias("root"), F.col("low").isNotNull().alias("moved"))), n)
         down = large.groupBy("child").agg(least)
         own = F.col("root") == F.col("low")
         small = salted_join(large, down, "child", n).select(F.when(own, F.col("child")).otherwise(F.col("root")).alias("child"), F.col("low").alias("root"), (F.col("moved") | ~own).alias("moved"))
-        stars = settle(once(small))
+        stars = settle(once(small), n)
         n, moved = stars.agg(F.count("*"), F.bool_or("moved")).first()
         if not moved:
             break

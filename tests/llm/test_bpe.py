@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import public_tokenizers
 import pytest
@@ -95,3 +96,31 @@ def test_documents_of_the_table_are_halved(spark, pair):
     assert ours.joins - before >= len(long)
     got = {r.doc_id: r.ids for r in encode(docs, PATH).collect()}
     assert got == {r.doc_id: library.encode(r.text or "", add_special_tokens=False).ids for r in docs.collect()}
+
+
+def test_words_met_once_are_remembered_packed(pair):
+    ours, library = TreeBpe(PATH), pair[1]
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aeinrstlo") for _ in range(11)) for _ in range(20_000)]
+    tracemalloc.start()
+    first = [ours.encode(w) == library.encode(w, add_special_tokens=False).ids for w in words[:200]]
+    before = tracemalloc.get_traced_memory()[0]
+    for w in words[200:]:
+        ours.encode(w)
+    held = tracemalloc.get_traced_memory()[0] - before
+    tracemalloc.stop()
+    assert held < 300 * (len(words) - 200)
+    assert all(first) and not ours.words
+    again = [(ours.encode_parts(w), library.encode(w, add_special_tokens=False).ids) for w in words[:500]]
+    assert all(list(ids) == want and shown == " ".join(map(str, want)) and decoded == library.decode(want, skip_special_tokens=False) for [(ids, shown, decoded)], want in again)
+    assert len(ours.words) == 500 and len(ours.once) == len(set(words)) - 500
+
+
+def test_turns_of_remembered_words_lose_no_result(pair, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    ours, library = TreeBpe(PATH), pair[1]
+    rng = random.Random(5)
+    for _ in range(300):
+        text = " ".join(rng.choice(["one", "two", "three", "fourteen", "éèñ", "unwordly", "x9"]) for _ in range(6))
+        assert ours.encode(text) == library.encode(text, add_special_tokens=False).ids
+    assert len(ours.words) + len(ours.once) <= 3

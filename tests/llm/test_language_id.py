@@ -110,3 +110,13 @@ def test_null_ids_are_sampled_like_others_and_labels_are_bounded(spark, sf_dir,
     many = docs.selectExpr("doc_id", "text", "concat('l', pmod(hash(text), 7)) AS lang")
     monkeypatch.setattr(language_id, "MOST_LANGS", 3)
     assert len(train(many).langs) == 3 and len(whole.langs) > 1
+
+
+def test_texts_go_to_the_workers_once(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = keep_identified(docs)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    sent = plan[plan.index("MapInArrow") :]
+    assert "cast(text" not in sent
+    as_bytes = keep_identified(docs.withColumn("text", F.col("text").cast("binary")))
+    assert sorted(r.doc_id for r in as_bytes.collect()) == sorted(r.doc_id for r in kept.collect())

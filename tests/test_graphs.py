@@ -121,3 +121,18 @@ def test_edges_of_components_never_grow_and_hubs_are_dealt_out(spark, monkeypatc
 def test_components_of_other_types(spark):
     df = spark.createDataFrame([("b", "a"), ("c", "b"), ("z", "y")], "src string, dst string")
     assert shown(c.connected_components(df)) == {("a", "a"), ("b", "a"), ("c", "a"), ("y", "y"), ("z", "y")}
+
+
+def test_small_components_are_kept_in_few_files(spark):
+    own = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        out = c.connected_components(frame(spark, [(i, i + 1) for i in range(200) if i % 10]), "p", "q")
+        kept = out.rdd.getNumPartitions()
+        assert {(r.node, r.component) for r in out.collect()} == {(i, i - (i - 1) % 10) for i in range(1, 201)}
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert kept <= 1 + 32  # a star's one file, and its roots dealt out once
