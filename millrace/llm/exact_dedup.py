@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import settle
+from millrace.session import few_files, settle
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -228,7 +228,7 @@ def keep_best(docs: DataFrame) -> DataFrame:
     rows = digests(docs)
     own = ["id", "key"]
     members = rows.join(groups_of(rows), "sha").where("members > 1").select(row_id().alias("id"), "key", (F.col("uid") == F.col("keep_uid")).alias("stays"))
-    told = settle(members.groupBy(*own).agg(F.bool_or("stays").alias("stays"), F.count("*").alias("rows")), rows.count())
+    told = settle(few_files(members.groupBy(*own).agg(F.bool_or("stays").alias("stays"), F.count("*").alias("rows")), rows.count()))
     left = without(docs, told.where("NOT stays"))
     repeated = told.where("stays AND rows > 1").select(F.col("id").alias("_millrace_id"), F.col("key").alias("_millrace_key"))
     if repeated.isEmpty():

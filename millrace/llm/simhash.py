@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.exact_dedup import content_key, row_id, without
 from millrace.operators.components import connected_components
-from millrace.session import settle
+from millrace.session import few_files, settle
 
 SEED = 42
 WIDTH = 3
@@ -174,7 +174,7 @@ def similar_fingerprints(prints: DataFrame, n_prints: int | None = None) -> Data
     """src, dst: stars that join what links of the distinct fingerprints fp join, bucket by bucket. n_prints: about as many as there are, if that is known."""
     filed = F.array(*(F.struct((F.shiftrightunsigned(_rotated(i), 40) + F.lit(i << 24)).alias("key"), _rotated(i).alias("rot")) for i in range(SEGMENTS)))
     keyed = prints.select(F.explode(filed).alias("x")).select("x.key", "x.rot")
-    full = settle(keyed.groupBy("key").count().where(F.col("count") > FULL_BUCKET), SEGMENTS * n_prints if n_prints is not None else None)
+    full = settle(few_files(keyed.groupBy("key").count().where(F.col("count") > FULL_BUCKET), SEGMENTS * n_prints if n_prints is not None else None))
     if full.isEmpty():
         return _bucketed(keyed, 24)
     plain = _bucketed(keyed.join(full, "key", "left_anti"), 24)
@@ -191,7 +191,7 @@ def _components(docs: DataFrame) -> DataFrame:
     """doc_id, key, fp and component_id for each row."""
     prints = settle(fingerprints(docs))
     n = prints.count()
-    classes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), n)
+    classes = settle(few_files(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), n))
     # in a bucket's forest a fingerprint has one link at most, and it is filed in a bucket for each rotation
     roots = connected_components(similar_fingerprints(classes, n), n_edges=SEGMENTS * n)
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))

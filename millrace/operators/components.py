@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import settle
+from millrace.session import few_files, settle
 
 #: A node is a hub with more edges than this and than a thousandth of all, so that there are fewer than a thousand.
 LEAST_HUB = 64
@@ -40,15 +40,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", n
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     once = lambda rows: rows.groupBy("child", "root").agg(F.bool_or("moved").alias("moved"))
     least: Column = F.min("root").alias("low")
-    stars = settle(once(pairs.select(F.greatest("a", "b").alias("child"), F.least("a", "b").alias("root"), F.lit(True).alias("moved"))), n_edges)
+    stars = settle(few_files(once(pairs.select(F.greatest("a", "b").alias("child"), F.least("a", "b").alias("root"), F.lit(True).alias("moved"))), n_edges))
     n = stars.count()
     while n:
         up = stars.groupBy("child").agg(least).withColumnRenamed("child", "root")
-        large = settle(once(salted_join(stars.select("child", "root"), up, "root", n).select("child", F.coalesce("low", "root").alias("root"), F.col("low").isNotNull().alias("moved"))), n)
+        large = settle(few_files(once(salted_join(stars.select("child", "root"), up, "root", n).select("child", F.coalesce("low", "root").alias("root"), F.col("low").isNotNull().alias("moved"))), n))
         down = large.groupBy("child").agg(least)
         own = F.col("root") == F.col("low")
         small = salted_join(large, down, "child", n).select(F.when(own, F.col("child")).otherwise(F.col("root")).alias("child"), F.col("low").alias("root"), (F.col("moved") | ~own).alias("moved"))
-        stars = settle(once(small), n)
+        stars = settle(few_files(once(small), n))
         n, moved = stars.agg(F.count("*"), F.bool_or("moved")).first()
         if not moved:
             break
