@@ -7,6 +7,7 @@ from millrace.operators import load as o
 from millrace.operators import resolve as r
 from millrace.operators.components import connected_components
 from millrace.operators.resolve import MatchRule
+from millrace.queries import QUERIES
 
 
 def distance(a, b):
@@ -193,3 +194,10 @@ def test_sequential_equals_a_loop_over_records(spark):
     members = spark.range(1, 4).selectExpr("id", "id AS representative")
     assert {x.id: x.duplicate_of for x in r.sequential(links, members, "id").collect()} == {1: None, 2: 1, 3: None}
     assert [x.is_duplicate for x in r.sequential(links.limit(0), members, "id").collect()] == [False] * 3
+
+
+@pytest.mark.parametrize("name", ["load_classify"])
+def test_loads_shuffle_what_grows(spark, sf_dir, name):
+    """However small the optimizer takes records to be, none are broadcast through the driver."""
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
