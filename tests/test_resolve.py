@@ -196,7 +196,7 @@ def test_sequential_equals_a_loop_over_records(spark):
     assert [x.is_duplicate for x in r.sequential(links.limit(0), members, "id").collect()] == [False] * 3
 
 
-@pytest.mark.parametrize("name", ["load_classify", "load_duplicate_counts", "load_duplicate_edges"])
+@pytest.mark.parametrize("name", ["load_classify", "load_duplicate_counts", "load_duplicate_edges", "load_statistics"])
 def test_loads_shuffle_what_grows(spark, sf_dir, name):
     """However small the optimizer takes records to be, none are broadcast through the driver."""
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
