@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import few_files, settle
+from millrace.session import few_files, settle, shuffled
 
 #: A node is a hub with more edges than this and than a thousandth of all, so that there are fewer than a thousand.
 LEAST_HUB = 64
@@ -13,10 +13,11 @@ LEAST_HUB = 64
 SALTS = 128
 
 
-def salted_join(edges: DataFrame, named: DataFrame, key: str, n_edges: int) -> DataFrame:
+def salted_join(edges: DataFrame, named: DataFrame, key: str, n_edges: int, by_shuffle: bool = False) -> DataFrame:
     """edges left-joined with named (key, ...; a row for each key); edges of a hub are dealt over SALTS copies of its row.
 
     The list of hubs is broadcast: as each has a thousandth of n_edges, the number of rows of edges, it has less than a thousand rows.
+    by_shuffle: named isn't broadcast, however small the optimizer takes it to be.
     """
     hubs = F.broadcast(edges.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > max(LEAST_HUB, n_edges // 1000)).select(key, F.lit(True).alias("_hub")))
     others = [c for c in edges.columns if c != key]
@@ -24,7 +25,7 @@ def salted_join(edges: DataFrame, named: DataFrame, key: str, n_edges: int) -> D
     left = edges.join(hubs, key, "left").withColumn("_salt", salt(F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int"))).drop("_hub")
     copies = F.when(F.col("_hub"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     right = named.join(hubs, key, "left").withColumn("_salt", F.explode(copies)).drop("_hub")
-    return left.join(right, [key, "_salt"], "left").drop("_salt")
+    return left.join(shuffled(right) if by_shuffle else right, [key, "_salt"], "left").drop("_salt")
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", n_edges: int | None = None) -> DataFrame:

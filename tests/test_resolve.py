@@ -201,3 +201,41 @@ def test_loads_shuffle_what_grows(spark, sf_dir, name):
     """However small the optimizer takes records to be, none are broadcast through the driver."""
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def alike(values, t):
+    return {(i, j) for i, a in enumerate(values) for j, b in enumerate(values) if i < j and 1 - distance(a, b) / max(len(a), len(b)) >= t - 1e-9}
+
+
+@pytest.mark.parametrize("two_sided", [False, True])
+@pytest.mark.parametrize("frequent", [2000, 3])
+def test_values_of_one_segment_are_no_pairs(spark, monkeypatch, two_sided, frequent):
+    """Short values that share a segment, as most here do, become a pair only if they are alike: what is shuffled grows with the links."""
+    monkeypatch.setattr(r, "FREQUENT", frequent)
+    values = sorted({"shared" + w for w in words(120, 7, "abcd", (5, 6))})
+    df = spark.createDataFrame([(k, k % 2 if two_sided else 0, v) for k, v in enumerate(values)], "id long, side int, v string")
+    got = {(x.a, x.b) for x in r.candidate_pairs(df, "levenshtein", 0.9, two_sided).distinct().collect()}
+    want = alike(values, 0.9)
+    if two_sided:
+        want = {(a, b) if a % 2 < b % 2 else (b, a) for a, b in want if a % 2 != b % 2}
+    assert got == want and len(want) > 30
+
+
+@pytest.mark.parametrize("frequent", [2000, 3])
+@pytest.mark.parametrize("lengths", [200, 1])
+def test_values_too_long_to_travel_are_matched(spark, monkeypatch, frequent, lengths):
+    monkeypatch.setattr(r, "FREQUENT", frequent)
+    monkeypatch.setattr(r, "MOST_LENGTHS", lengths)
+    rng = random.Random(8)
+    values = set()
+    for base in words(12, 9, "abcdef", (r.CARRIED - 1, r.CARRIED + 2)):
+        values |= {base, *(base[:at] + rng.choice(["", "z", "zz", base[at] + "y"]) + base[at + 1 :] for at in rng.sample(range(len(base)), 3))}
+    values = sorted(values)
+    df = spark.createDataFrame([(k, 0, v) for k, v in enumerate(values)], "id long, side int, v string")
+    got = {(x.a, x.b) for x in r.candidate_pairs(df, "levenshtein", 0.93).distinct().collect()}
+    assert alike(values, 0.93) <= got and len(alike(values, 0.93)) > 30
+    # equal records are a class whether their text is shorter than a digest or not
+    twice = df.union(df.selectExpr("id + 1000", "side", "v")).union(spark.createDataFrame([(5000, 0, "ab"), (5001, 0, "ab"), (5002, 0, None), (5003, 0, None)], df.schema))
+    links, members = r.similar_records(twice, "id", [MatchRule("v", blocking=True)], 0.93)
+    assert {(x.a, x.b) for x in links.collect()} == alike(values, 0.93)
+    assert {x.id: x.representative for x in members.collect()} == {**{k + d: k for k in range(len(values)) for d in (0, 1000)}, 5000: 5000, 5001: 5000, 5002: 5002, 5003: 5002}
